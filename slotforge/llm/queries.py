@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotforge.llm import bpe, counts, exact, packing
+from slotforge.llm import bpe, counts, embed, exact, packing, simhash
 from slotforge.llm.common import shared_dir
 
 
@@ -30,13 +30,21 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return bpe.digests(bpe.decode(bpe.encode(_documents(spark, sf_dir), vocabulary), vocabulary))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op3_exact_dedup, op5_token_counts, op10_bpe)}
+    return {f.__name__: f for f in (op1_token_output, op3_exact_dedup, op5_token_counts, op7_simhash_dedup, op8_embedding_dedup, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
