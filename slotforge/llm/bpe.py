@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotforge.llm.common import CACHE_WORDS, parts, texts_of
+from slotforge.llm.common import Memo, parts, texts_of
 
 NO_RANK = 1 << 30
 #: Words of more parts than this use a heap, as scanning a rank array costs the square of its length.
@@ -47,11 +47,12 @@ class WordBpe:
         self.vocab: dict[str, int] = dict(model["vocab"])
         self.end = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []  # the id that a merge makes, by its rank
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            left = a.removesuffix(self.end)
-            self.pairs[self.vocab[a], self.vocab[b]] = (rank, self.vocab[left + b])
+            self.ranks[self.vocab[a], self.vocab[b]] = rank
+            self.made.append(self.vocab[a + b])
         letters = byte_letters()
         self.inner = [self.vocab[x] for x in letters]
         self.final = [self.vocab[x + self.end] for x in letters]
@@ -61,46 +62,41 @@ class WordBpe:
             tokens[i] = token
         self.tokens = pa.array(tokens)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.cache: dict[str, bytes] = {}
+        self.memo = Memo()
 
     def merge(self, ids: list[int]) -> list[int]:
-        """Lowest rank first, the leftmost of equals."""
+        """Lowest rank first, the leftmost of equals. A part is known by where it begins, so its neighbours by position."""
         if len(ids) > SHORT_WORD:
             return self._merge_long(ids)
-        none = (NO_RANK, 0)
-        get = self.pairs.get
-        bounds = list(range(len(ids)))  # where each part begins
-        ranks = [get(p, none) for p in zip(ids, ids[1:], strict=False)]  # of each part with its right neighbour
-        while ranks:
-            best = min(ranks)
-            if best is none or best[0] == NO_RANK:
-                break
+        rank_of, made = self.ranks.get, self.made
+        ranks = [rank_of(p, NO_RANK) for p in zip(ids, ids[1:])]  # noqa: B905  of each part with its right neighbour
+        while ranks and (best := min(ranks)) != NO_RANK:
             i = ranks.index(best)
-            ids[i] = best[1]
-            del ids[i + 1], bounds[i + 1], ranks[i]
+            ids[i] = made[best]
+            del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
+                ranks[i - 1] = rank_of((ids[i - 1], ids[i]), NO_RANK)
             if i < len(ranks):
-                ranks[i] = get((ids[i], ids[i + 1]), none)
+                ranks[i] = rank_of((ids[i], ids[i + 1]), NO_RANK)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        get, n = self.pairs.get, len(ids)
+        rank_of, made, n = self.ranks.get, self.made, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         live = [True] * n
-        heap = [(p[0], i, ids[i], ids[i + 1], p[1]) for i in range(n - 1) if (p := get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank_of((ids[i], ids[i + 1]), NO_RANK)) != NO_RANK]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if not live[i] or j >= n or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], live[j], after[i] = made, False, after[j]
+            ids[i], live[j], after[i] = made[rank], False, after[j]
             if after[j] < n:
                 before[after[j]] = i
             for k in (before[i], i):
-                if k >= 0 and after[k] < n and (p := get((ids[k], ids[after[k]]))):
-                    heapq.heappush(heap, (p[0], k, ids[k], ids[after[k]], p[1]))
+                if k >= 0 and after[k] < n and (r := rank_of((ids[k], ids[after[k]]), NO_RANK)) != NO_RANK:
+                    heapq.heappush(heap, (r, k, ids[k], ids[after[k]]))
         return [x for x, on in zip(ids, live, strict=True) if on]
 
     def word(self, word: str) -> list[int]:
@@ -114,12 +110,11 @@ class WordBpe:
     def words(self, text: str) -> list[str]:
         return _LONE.findall("".join(c.lower() for c in unicodedata.normalize("NFC", text)) if "Σ" in text else unicodedata.normalize("NFC", text).lower())
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        for w in words:
-            if w not in self.cache:
-                self.cache[w] = np.array(self.word(w), dtype="<i4").tobytes()
+    def _packed(self, words: list[str]) -> list[bytes]:
+        ids = list(map(self.word, words))
+        flat = np.fromiter(chain.from_iterable(ids), "<i4").tobytes()
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text begins (one more entry than texts)."""
@@ -131,11 +126,11 @@ class WordBpe:
                 split.append(self.words(text))
         plain = set(chain.from_iterable(split))
         specials = plain & self.special.keys()
-        self.learn(plain - specials)
-        get = self.cache.__getitem__
+        known = self.memo.fill(plain - specials, self._packed)
+        get = known.__getitem__
         if specials:
             marks = {t: np.array([i], dtype="<i4").tobytes() for t, i in self.special.items()}
-            get = lambda w: marks[w] if w in marks else self.cache[w]  # noqa: E731  a mark inside a text is always the mark
+            get = lambda w: marks[w] if w in marks else known[w]  # noqa: E731  a mark inside a text is always the mark
         packed = [b"".join(map(get, w)) for w in split]
         ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)))]) // 4
         return np.frombuffer(b"".join(packed), dtype="<i4"), ends.astype(np.int32)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PART_BYTES = 4 << 20
-CACHE_WORDS = 400_000
+#: Words of one generation of a worker's cache, and the longest that is remembered.
+CACHE_WORDS, CACHE_LENGTH = 500_000, 64
 
 _own_dirs: dict[str, str] = {}
 
@@ -64,3 +65,28 @@ def parts(batches: Iterable[pa.RecordBatch], column: str, limit: int = PART_BYTE
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The texts of a part, null as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
+
+
+class Memo:
+    """What a worker has worked out for words: two generations, so that words in use outlive a full cache."""
+
+    def __init__(self, fixed: dict[str, object] | None = None, limit: int = CACHE_WORDS):
+        self.fixed, self.limit = fixed or {}, limit
+        self.new, self.old = dict(self.fixed), {}
+        self.long: list[str] = []
+
+    def fill(self, words: set[str], make: Callable[[list[str]], Iterable]) -> dict[str, object]:
+        """A dict that has all of ``words``; ``make`` works out those that aren't remembered. Valid until the next call."""
+        for w in self.long:
+            self.new.pop(w, None)
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, dict(self.fixed)
+        missing = words - self.new.keys()
+        if self.old:
+            known = missing & self.old.keys()
+            self.new.update((w, self.old[w]) for w in known)
+            missing -= known
+        unknown = list(missing)
+        self.new.update(zip(unknown, make(unknown), strict=True))
+        self.long = [w for w in unknown if len(w) > CACHE_LENGTH]
+        return self.new

@@ -14,61 +14,52 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotforge.llm.common import CACHE_WORDS, parts, texts_of
+from slotforge.llm.common import CACHE_LENGTH, Memo, parts, texts_of
 
-#: Entries of the broadcast table, pre-tokens that a task names for it, and the longest pre-token that is remembered.
-TABLE_WORDS, TASK_WORDS, LONGEST = 32_768, 4_096, 64
+#: Entries of the broadcast table, and pre-tokens that a task names for it.
+TABLE_WORDS, TASK_WORDS = 32_768, 4_096
 
 _CHUNK = re.compile(" +[^ ]*")
+#: Stands for a space mark on its own, before a line break: one token, as a line break is.
+_MARK = "\n"
 
 
 @lru_cache(maxsize=2)
 def _model(path: str) -> sentencepiece.SentencePieceProcessor:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    inner = [p for p in map(model.id_to_piece, range(model.get_piece_size())) if re.search("[^▁]▁", p)]
+    inner = [p for p in map(model.id_to_piece, range(model.get_piece_size())) if re.search("[^▁]▁|\n", p)]
     if inner:
-        raise ValueError(f"pieces run across a space, so pre-tokens aren't independent: {inner[:3]}")
+        raise ValueError(f"pieces run across a space or line break, so pre-tokens aren't independent: {inner[:3]}")
     return model
 
 
 def pre_tokens(text: str) -> list[str]:
-    """The stretches that the model encodes independently, each without the one space that the model puts before it.
+    """The stretches that the model encodes independently, each without the one space before it.
 
-    No piece goes from a character to a following space mark, so merges never cross those places.
+    No piece goes from a character to a following space mark or holds a line break, so merges never cross those places.
+    A stretch that follows a lone line break begins with it.
     """
     if not text:
         return []
     text = text.replace("▁", " ")
-    if "  " not in text and text[0] != " " and text[-1] != " ":
-        return text.split(" ")
-    return [x[1:] for x in _CHUNK.findall(" " + text)]
+    if text[0] not in " \n" and text[-1] != " " and "  " not in text and " \n" not in text:
+        return text.replace("\n", " \n").split(" ")
+    found = [x[1:] for x in _CHUNK.findall(" " + text)]
+    return [y for x in found for y in ((_MARK, x) if x[:1] == "\n" else (x,))]
 
 
-class Lengths(dict):
-    """Token counts of pre-tokens: the broadcast table first, then what this worker has encoded."""
+def lengths_of(model: sentencepiece.SentencePieceProcessor, words: list[str]) -> list[int]:
+    """Tokens of each stretch; before one that begins with a line break the model puts a mark that isn't in the text."""
+    return [len(ids) - (w[:1] == "\n") for w, ids in zip(words, model.encode(words, num_threads=1), strict=True)]
 
-    def __init__(self, table: dict[str, int], model: sentencepiece.SentencePieceProcessor):
-        super().__init__(table)
-        self.table, self.model = table, model
 
-    def learn(self, words: set[str]) -> dict[str, int]:
-        """Encode the misses; returns the counts of those too long to remember."""
-        if len(self) > CACHE_WORDS:
-            self.clear()
-            self.update(self.table)
-        missing = [w for w in words if w not in self]
-        found = dict(zip(missing, map(len, self.model.encode(missing, num_threads=1)), strict=True))
-        self.update((w, n) for w, n in found.items() if len(w) <= LONGEST)
-        return {w: n for w, n in found.items() if len(w) > LONGEST}
+_worker: dict[str, Memo] = {}
 
 
-_worker: dict[str, Lengths] = {}
-
-
-def worker_lengths(model_path: str, table: dict[str, int]) -> Lengths:
-    """This worker's cache, which outlives its tasks."""
+def worker_lengths(model_path: str, table: dict[str, int]) -> Memo:
+    """This worker's two tiers, which outlive its tasks: the broadcast table, then what it has encoded itself."""
     if model_path not in _worker:
-        _worker[model_path] = Lengths(table, _model(model_path))
+        _worker[model_path] = Memo(table)
     return _worker[model_path]
 
 
@@ -85,14 +76,14 @@ def frequent_lengths(docs: DataFrame, text_col: str, model_path: str, size: int
             seen.update(chain.from_iterable(map(pre_tokens, texts_of(part, "text"))))
             if len(seen) > 64 * TASK_WORDS:
                 seen = Counter(dict(seen.most_common(8 * TASK_WORDS)))
-        top = [(w, n) for w, n in seen.most_common(TASK_WORDS) if len(w) <= LONGEST]
+        top = [(w, n) for w, n in seen.most_common(TASK_WORDS) if len(w) <= CACHE_LENGTH]
         if top:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*top, strict=True)], names=["word", "n"])
 
     named = docs.select(docs[text_col].alias("text")).mapInArrow(summaries, "word string, n long")
     top = named.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()
     words = [r.word for r in top]
-    return dict(zip(words, map(len, _model(model_path).encode(words, num_threads=1)), strict=True))
+    return dict(zip(words, lengths_of(_model(model_path), words), strict=True))
 
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, table_words: int = TABLE_WORDS) -> DataFrame:
@@ -105,11 +96,10 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(rows, "text", model_path, table_words))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = worker_lengths(model_path, table.value)
+        model, lengths = _model(model_path), worker_lengths(model_path, table.value)
         for part in parts(batches, "text"):
             words = list(map(pre_tokens, texts_of(part, "text")))
-            extra = lengths.learn(set(chain.from_iterable(words)))
-            get = (lambda w, x=extra: x[w] if w in x else lengths[w]) if extra else lengths.__getitem__
+            get = lengths.fill(set(chain.from_iterable(words)), lambda w: lengths_of(model, w)).__getitem__
             n_bytes = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("id"), n_bytes, pa.array([sum(map(get, w)) for w in words], pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
