@@ -20,7 +20,7 @@ from slotforge.llm.common import CACHE_LENGTH, Memo, parts, texts_of
 TABLE_WORDS, TASK_WORDS = 32_768, 4_096
 
 _CHUNK = re.compile(" +[^ ]*")
-#: Stands for a space mark on its own, before a line break: one token, as a line break is.
+#: Stands for a space mark on its own, at the end or before a line break: one token, as a line break is.
 _MARK = "\n"
 
 
@@ -45,7 +45,7 @@ def pre_tokens(text: str) -> list[str]:
     if text[0] not in " \n" and text[-1] != " " and "  " not in text and " \n" not in text:
         return text.replace("\n", " \n").split(" ")
     found = [x[1:] for x in _CHUNK.findall(" " + text)]
-    return [y for x in found for y in ((_MARK, x) if x[:1] == "\n" else (x,))]
+    return [y for x in found for y in ((_MARK,) if not x else (_MARK, x) if x[0] == "\n" else (x,))]
 
 
 def lengths_of(model: sentencepiece.SentencePieceProcessor, words: list[str]) -> list[int]:
