@@ -21,18 +21,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
-from slotforge.llm.common import CACHE_WORDS, parts, shuffle_parts, texts_of
+from slotforge.llm.common import Memo, parts, shuffle_parts, texts_of
 
 #: A block is closed when it has so many ids; a longer document has a block of its own.
 BLOCK_IDS = 1 << 16
 END_ID = 0
+#: Unknown chunks that the library encodes in one text.
+TOGETHER = 256
 
-_DIRTY = re.compile(r"^\s| \s|\s |\s$")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _BLOCKS = "shard int, block int, before long, n_ids int, bits int, doc_ids array<long>, offsets array<int>, payload binary"
 
 
+def chunks_of(text: str) -> list[str]:
+    """Stretches that the library encodes independently: the first as it stands, others with the space before them
+    left out, or with the line break that they begin with."""
+    if text.replace("\n", " ").split(" ") == text.split():  # white space is lone spaces and lone line breaks
+        return text.replace("\n", " \n").split(" ")
+    return _LONE_SPACE.split(text)
+
+
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids of up to ``bits`` bits, lowest bit first, without gaps."""
     if bits in (8, 16, 32):
@@ -56,30 +66,56 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
 class ChunkEncoder:
     """The library's ids of a text, chunk by chunk.
 
-    A byte-level pre-token takes at most the one space before it, so the library encodes what stands on either side of
-    a lone space independently; ids of a chunk are remembered by the worker.
+    A byte-level pre-token takes at most the one space before it, and a lone line break is one, so the library encodes
+    what stands on either side of a lone space or break independently; ids of a chunk are remembered by the worker. Unknown words are encoded many at a time:
+    each begins with its space, and no other token of it begins with one.
     """
 
     def __init__(self, path: str):
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.cache: dict[str, bytes] = {}
-        self.bits = max(1, (self.model.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        self.memo = Memo()
+        size = self.model.get_vocab_size(with_added_tokens=True)
+        self.bits = max(1, (size - 1).bit_length())
+        self.opens = np.array([(self.model.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        self.pieces = Tokenizer.from_file(path)  # the same model on ready pre-tokens
+        self.pieces.no_truncation()
+        self.pieces.no_padding()
+        self.pieces.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _later(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks after the first, as they stand in a text."""
+        out = [b""] * len(chunks)
+        # A word of letters is one pre-token, and so is a full stop or comma behind it.
+        words = [k for k, c in enumerate(chunks) if c.isalpha() or (c[-1:] in (".", ",") and c[:-1].isalpha())]
+        for at in range(0, len(words), TOGETHER):
+            group = words[at : at + TOGETHER]
+            pieces: list[str] = []
+            for c in map(chunks.__getitem__, group):
+                pieces += (" " + c,) if c[-1] not in ".," else (" " + c[:-1], c[-1])
+            ids = self.pieces.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids
+            packed = np.array(ids, dtype="<u4")
+            ends = (np.flatnonzero(self.opens[packed]) * 4).tolist()
+            raw = packed.tobytes()
+            for k, a, b in zip(group, ends, [*ends[1:], len(raw)], strict=True):
+                out[k] = raw[a:b]
+        known = set(words)
+        others = [k for k in range(len(chunks)) if k not in known]
+        for k, ids in zip(others, self._ids([c if c[:1] == "\n" else " " + c for c in map(chunks.__getitem__, others)]), strict=True):
+            out[k] = np.array(ids, dtype="<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        chunks = [_LONE_SPACE.split(t) if _DIRTY.search(t) else t.split(" ") for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        missing = [c for c in set(chain.from_iterable(c[1:] for c in chunks)) if c not in self.cache]
-        self.cache.update(zip(missing, self._ids([" " + c for c in missing]), strict=True))
-        heads = self._ids([c[0] for c in chunks])
-        get = self.cache.__getitem__
-        return [head + b"".join(map(get, c[1:])) for head, c in zip(heads, chunks, strict=True)]
+        chunks = list(map(chunks_of, texts))
+        heads = [np.array(x, dtype="<u4").tobytes() for x in self._ids([c[0] for c in chunks])]
+        tails = [c[1:] for c in chunks]
+        get = self.memo.fill(set(chain.from_iterable(tails)), self._later).__getitem__
+        return [head + b"".join(map(get, tail)) for head, tail in zip(heads, tails, strict=True)]
 
 
 @lru_cache(maxsize=2)
