@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slotforge.llm import bpe, counts, embed, exact, packing, simhash
-from slotforge.llm.common import shared_dir
+from slotforge.llm import bpe, counts, embed, exact, langid, license, mixing, packing, simhash, toxicity
+from slotforge.llm.common import fold, shared_dir
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,14 +23,32 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.token_index(spark, path)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(fold(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score(docs, toxicity.learn(docs.join(labels, "doc_id")))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_documents(spark, sf_dir), keep="largest")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = langid.train(docs.where(fold(F.col("doc_id"), 3) != 1))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(_documents(spark, sf_dir)).select("doc_id", "license", F.round("containment", 6).alias("containment"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -38,17 +57,40 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return bpe.digests(bpe.decode(bpe.encode(_documents(spark, sf_dir), vocabulary), vocabulary))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op3_exact_dedup, op5_token_counts, op7_simhash_dedup, op8_embedding_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_token_output, op2_toxicity, op3_exact_dedup, op4_language_id, op5_token_counts, op6_license_scan, op7_simhash_dedup, op8_embedding_dedup, op9_mixing, op10_bpe)}
+
+
+def _license_sql() -> str:
+    quoted = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(license.TEMPLATES.items()))
+    kinds = ", ".join(f"({w}, {s})" for w, s, _ in license.WINDOWS)
+    five = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))"
+    words = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    return f"""
+        WITH kinds(width, step) AS (VALUES {kinds}),
+        t AS (SELECT license, list_distinct({five}) AS wanted FROM (SELECT license, {words.format("body")} AS w FROM (VALUES {quoted}) v(license, body)) q),
+        templates AS (SELECT license, wanted, width, step FROM t, kinds
+                      WHERE width = (SELECT min(k.width) FROM kinds k WHERE k.width >= len(wanted))),
+        d AS (SELECT doc_id, {five} AS s FROM (SELECT doc_id, {words.format("text")} AS w FROM documents) q WHERE len(w) >= 5),
+        near AS (SELECT d.*, t.* FROM d, templates t WHERE list_has_any(s, wanted)),
+        windows AS (SELECT *, unnest(range(1, greatest(2, len(s) - width + step + 1), step)) AS pos FROM near),
+        scored AS (SELECT doc_id, license,
+                   len(list_intersect(wanted, list_slice(s, greatest(1, pos - width), pos + 2 * width - 1))) / len(wanted) AS c FROM windows)
+        SELECT doc_id, license, round(max(c), 6) AS containment FROM scored WHERE c >= {license.CONTAINED} GROUP BY ALL"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_license_scan": _license_sql(),
         "op3_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                    doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
