@@ -8,8 +8,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from slotforge.llm.common import parts
 
@@ -136,21 +137,22 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return fit([(np.asarray(i.values), np.asarray(c.values), x) for i, c, x in zip(index, counts, table.column("lang").to_pylist(), strict=True)])
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str | Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` (the id where none are named), lang_pred and score of each row.
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """id, lang_pred and score of each row; with ``whole`` a struct ``row`` of all its columns instead of the id.
 
     lang_pred is ``und`` with score 0 where the text is null, empty or has no letter, or the model knows no language.
     Very long texts are read whole, in stretches; repeated rows get equal results; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # FEATURES x languages, at most SAMPLE / 10 languages
-    columns = keep or [docs[id_col]]
-    rows = docs.select(F.struct(*columns).alias("kept"), docs[text_col].alias("text"))
-    kept = rows.schema["kept"].dataType
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages, at most SAMPLE / 10 languages
+    kept = F.struct(*(docs[f"`{c}`"] for c in docs.columns)) if whole else F.struct(docs[id_col].alias("id"))
+    rows = docs.select(kept.alias("row"), docs[text_col].alias("text"))
+    kind = rows.schema["row"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, "text"):
             found = [shared.value.predict(x) for x in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("kept"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["kept", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["row", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"kept {kept.simpleString()}, lang_pred string, score double").select("kept.*", "lang_pred", "score")
+    schema = StructType([StructField("row", kind), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    out = rows.mapInArrow(run, schema)
+    return out if whole else out.select(F.col("row.id").alias(id_col), "lang_pred", "score")
