@@ -66,7 +66,7 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order books from line items: asks ascending, bids descending, as arrays of (price, size)."""
-    line = table(spark, sf_dir, "lineitem").withColumn("level", F.struct(F.round(F.col("l_extendedprice") / F.col("l_quantity"), 6).alias("price"), F.col("l_quantity").alias("size")))
+    line = table(spark, sf_dir, "lineitem").withColumn("level", F.struct((F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 10_000 + 0.5) / 10_000).alias("price"), F.col("l_quantity").alias("size")))
     side = lambda s: F.collect_list(F.when(F.col("l_linestatus") == s, F.col("level")))
     return line.groupBy(F.col("l_orderkey").alias("book_id")).agg(F.sort_array(side("F")).alias("asks"), F.sort_array(side("O"), asc=False).alias("bids"))
 
@@ -94,7 +94,7 @@ SQL = {
                    CASE WHEN arg_max(value, (epoch_us(ts), event_id)) > arg_min(value, (epoch_us(ts), event_id)) THEN 1 ELSE 0 END AS target
             FROM events GROUP BY 1))""",
     "ladders": """levels AS (
-        SELECT l_orderkey AS book_id, l_linestatus AS s, round(l_extendedprice / l_quantity, 6) AS price, l_quantity AS size FROM lineitem),
+        SELECT l_orderkey AS book_id, l_linestatus AS s, floor(l_extendedprice / l_quantity * 10000 + 0.5) / 10000 AS price, l_quantity AS size FROM lineitem),
         ladders AS (
         SELECT book_id, coalesce(list({'price': price, 'size': size} ORDER BY price, size) FILTER (s = 'F'), []) AS asks,
                coalesce(list({'price': price, 'size': size} ORDER BY price DESC, size DESC) FILTER (s = 'O'), []) AS bids

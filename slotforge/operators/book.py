@@ -70,7 +70,7 @@ def open_close(snapshots: DataFrame, key: str, opened: float, close_from: float,
 
 def price_changes(moves: DataFrame, key: str) -> DataFrame:
     """Share of upward moves, std_pop of moves, number of moves and size-weighted fill imbalance."""
-    w = Window.partitionBy(key).orderBy("t", "id")
+    w = Window.partitionBy(key).orderBy("t", "id", "price")
     d = moves.withColumn("_d", F.col("price") - F.lag("price").over(w))
     signed = F.when(F.col("side") == "BUY", F.col("size")).otherwise(-F.col("size"))
     n = F.count_if(F.col("_d") != 0)

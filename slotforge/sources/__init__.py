@@ -1 +1 @@
-"""sources of slotforge."""
+"""Landed files to typed tables, and tables to files."""
