@@ -120,6 +120,17 @@ def search(folds: DataFrame, features: list[str], n_folds: int, trials: int, see
     return sorted(tried, key=lambda x: -x[0])
 
 
+def sweep(folds: DataFrame, sets: dict[str, list[str]], n_folds: int, **params) -> list[tuple[str, int, float]]:
+    """Mean fold AUC of each named feature set, best first: feature counts, ablations."""
+    tried = [(name, len(f), fold_summary(metrics(evaluate_folds(folds, f, n_folds, **params))).first().auc_mean) for name, f in sets.items()]
+    return sorted(tried, key=lambda x: -x[2])
+
+
+def usable(model_metrics: DataFrame, least_auc: float = 0.65) -> DataFrame:
+    """Models that meet the minimum bar: AUC and at least one feature."""
+    return model_metrics.where((F.col("auc") >= least_auc) & (F.col("n_features") > 0))
+
+
 def calibrated(train: DataFrame, test: DataFrame, features: list[str], parts: int = 3, label: str = "target") -> DataFrame:
     """Mean of ``parts`` isotonic maps, each fitted on the part its model hasn't seen."""
     dealt = stratified_folds(train, label, F.col("slot_ts"), parts)

@@ -171,3 +171,30 @@ def p_synthesised_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_mktsegment")
     j = s.join(known, "k", "left").join(cat, "k", "left")
     return j.select("market_id", F.coalesce("o_orderstatus", "c_mktsegment", F.lit("unknown")).alias("source"), (F.col("slot_ts") - 300).alias("start_ts"), (F.col("slot_ts") + 300).alias("end_ts"), (F.col("slot_ts") + F.when(F.col("known"), 300).otherwise(310)).alias("closed_ts"))
+
+
+_CATALOGUE = f"""{X.ctes("slots")}, cat AS (SELECT market_id, slot_ts // 21600 AS k, target FROM slots), c AS (SELECT market_id, CASE WHEN k % 3 = 0 THEN 'ETH' ELSE 'BTC' END AS crypto,
+    CASE WHEN k % 4 = 0 THEN '1-hour' WHEN k % 4 = 1 THEN '5-min' ELSE '5-minute' END AS timeframe, CASE WHEN k % 7 = 0 THEN -1 ELSE target END AS resolution, k FROM cat)"""
+
+
+@query(f"{_CATALOGUE} SELECT market_id, CAST(k * 21600 AS BIGINT) AS slot_ts, resolution FROM c WHERE crypto = 'BTC' AND timeframe IN ('5-minute', '5-min') AND resolution IN (0, 1) AND k % 11 <> 0")
+def p_resolved_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolved markets of one asset and timeframe; slugs without a time at their end are left out."""
+    k = F.expr("slot_ts div 21600")
+    s = X.slots(spark, sf_dir).select(
+        "market_id", F.when(k % 11 == 0, F.lit("asset-updown-soon")).otherwise(F.col("slug")).alias("slug"), F.when(k % 3 == 0, "ETH").otherwise("BTC").alias("crypto"),
+        F.when(k % 4 == 0, "1-hour").when(k % 4 == 1, "5-min").otherwise("5-minute").alias("timeframe"), F.when(k % 7 == 0, -1).otherwise(F.col("target")).alias("resolution"),
+    )
+    return landed.resolved_markets(s, "BTC", strict=True).select("market_id", "slot_ts", "resolution")
+
+
+@query(f"""{X.ctes("slots", "candles")}, book AS (SELECT DISTINCT ts // 21600 * 21600 AS slot_ts FROM candles WHERE volume > 20)
+    SELECT (SELECT count(*) FROM (SELECT slot_ts FROM slots INTERSECT SELECT slot_ts FROM book)) AS n_both, (SELECT count(*) FROM (SELECT slot_ts FROM slots EXCEPT SELECT slot_ts FROM book)) AS n_without,
+    round((SELECT count(*) FROM (SELECT slot_ts FROM slots INTERSECT SELECT slot_ts FROM book)) / (SELECT count(*) FROM slots), 6) AS coverage""")
+def u_id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intersection and difference of two id sets in one full join of distinct ids."""
+    a = X.slots(spark, sf_dir).select("slot_ts").distinct().withColumn("a", F.lit(True))
+    b = X.candles(spark, sf_dir).where("volume > 20").select(F.expr("ts div 21600 * 21600").alias("slot_ts")).distinct().withColumn("b", F.lit(True))
+    j = a.join(b, "slot_ts", "full")
+    both, alone = F.count_if(F.col("a") & F.col("b")), F.count_if(F.col("a") & F.col("b").isNull())
+    return j.agg(both.alias("n_both"), alone.alias("n_without"), F.round(both / F.count("a"), 6).alias("coverage"))

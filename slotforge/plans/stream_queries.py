@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotforge import fixtures as X
+from slotforge.operators import ledger
 from slotforge.plans.flow_queries import FLOW, FLOW_DOUBLES, r6
 from slotforge.plans.registry import query, rounded
 from slotforge.streaming import tables as T
@@ -83,3 +84,23 @@ def t_resolved_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = T.resolved_log(log, labels, "user_id", "6 hours").where("rid IS NOT NULL").select("event_id", "rid", F.lit(1).alias("one"))
     rows = T.run_to_table(joined, ["event_id", "rid"], mode="append")
     return rows.groupBy("event_id").agg(F.count("rid").alias("n_resolved"))
+
+
+@query("""WITH e AS (SELECT event_type AS feed, event_id AS id, epoch_us(ts) AS us, user_id % 5 < 2 AS won, CAST(user_id % 2 AS VARCHAR) AS s FROM events),
+    w AS (SELECT *, avg(CAST(won AS INT)) OVER a AS wr, count(*) OVER a AS n, count(DISTINCT s) OVER b AS kinds, count(*) OVER b AS m, row_number() OVER (PARTITION BY feed ORDER BY us DESC, id DESC) AS back FROM e
+        WINDOW a AS (PARTITION BY feed ORDER BY us, id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), b AS (PARTITION BY feed ORDER BY us, id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+    SELECT feed, count(*) AS n, round(max(wr) FILTER (back = 1), 6) AS win_rate, bool_or(n = 20 AND wr < 0.1) AS paused, bool_or(m = 3 AND kinds = 1) AS stale, count(*) <= 3 AS warming FROM w GROUP BY 1""")
+def t_stateful_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.landed_events(spark, sf_dir).select(F.col("event_type").alias("feed"), "us", F.col("event_id").alias("id"), (F.col("user_id") % 5 < 2).alias("won"), (F.col("user_id") % 2).cast("string").alias("signature"))
+    return rounded(T.run_to_table(T.stateful_gates(e, least=0.1), ["feed"]))
+
+
+@query(f"""{X.ctes("slots")} SELECT slot_ts, 'settled' AS status, CASE WHEN (slot_ts // 21600 % 2 = 0) = (target = 1) THEN 'WIN' ELSE 'LOSS' END AS result,
+    round(CASE WHEN (slot_ts // 21600 % 2 = 0) = (target = 1) THEN 9.8 - 5 ELSE -5 END, 6) AS pnl_usdc FROM slots""")
+def t_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open ledger rows settled by labels that a stream resolves."""
+    labels = T.run_to_table(T.slot_targets(T.landed_events(spark, sf_dir)), ["slot_ts"])
+    open_ = X.slots(spark, sf_dir).select("slot_ts", F.when(F.expr("slot_ts div 21600 % 2 = 0"), "UP").otherwise("DOWN").alias("direction"), F.lit(10.0).alias("shares"), F.lit(5.0).alias("actual_cost"),
+                                          F.lit("open").alias("status"), F.lit(None).cast("double").alias("pnl_usdc"), F.lit(None).cast("string").alias("result"))
+    s = ledger.settle(open_, labels, 9_999_999_999, X.SLOT, 60)
+    return rounded(s.select("slot_ts", "status", "result", "pnl_usdc"))

@@ -59,6 +59,13 @@ def json_list(col: Column) -> Column:
     return F.from_json(text, "array<string>")
 
 
+def resolved_markets(catalogue: DataFrame, asset: str, timeframes: tuple[str, ...] = ("5-minute", "5-min"), strict: bool = False) -> DataFrame:
+    """Resolved markets of an asset and timeframe with a slot time in their slug; ``strict`` wants a result of 0 or 1."""
+    done = F.col("resolution").isin(0, 1) if strict else F.col("resolution") != -1
+    kept = catalogue.where((F.col("crypto") == asset) & F.col("timeframe").isin(*timeframes) & done)
+    return kept.withColumn("slot_ts", slug_time(F.col("slug"))).where("slot_ts > 0")
+
+
 def slug_time(slug: Column) -> Column:
     """The last part of a slug where it is all digits, else 0."""
     last = F.element_at(F.split(slug, "-"), -1)

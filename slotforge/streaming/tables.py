@@ -150,3 +150,31 @@ def silence(events: DataFrame, quiet_us: int, checks: int = 3) -> DataFrame:
     return rows.groupBy("feed").applyInPandasWithState(update, "feed string, gaps long, alarms long", "last long, gaps long, alarms long", "update", GroupStateTimeout.NoTimeout)
 
 
+
+
+def slot_targets(events: DataFrame) -> DataFrame:
+    """Label of each slot as it stands: 1 if its last value is above its first."""
+    order = F.struct("us", "event_id")
+    g = events.withWatermark("at", LATE).groupBy(F.window("at", f"{X.SLOT} seconds").alias("w")).agg((F.max_by("value", order) > F.min_by("value", order)).alias("up"))
+    return g.select(F.unix_seconds("w.start").alias("slot_ts"), F.col("up").cast("int").alias("target"))
+
+
+def stateful_gates(settled: DataFrame, last: int = 20, least: float = 0.4, warm: int = 3, run: int = 3) -> DataFrame:
+    """feed, us, id, won, signature to the gates of each feed: win rate of the last rows, the latch that stays, whether
+    the last ``run`` signatures were ever the same, and whether the feed still warms up. State has ``last`` rows a feed.
+    """
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, wins, signs, paused, stale = state.get if state.exists else (0, [], [], False, False)
+        wins, signs = list(wins), list(signs)
+        rows = sorted(r for f in frames for r in zip(f["us"].tolist(), f["id"].tolist(), f["won"].tolist(), f["signature"].tolist(), strict=True))
+        for _, _, won, sign in rows:
+            seen, wins, signs = seen + 1, [*wins, int(won)][-last:], [*signs, sign][-run:]
+            paused = paused or (len(wins) == last and sum(wins) / last < least)
+            stale = stale or (len(signs) == run and len(set(signs)) == 1)
+        state.update((seen, wins, signs, paused, stale))
+        yield pd.DataFrame({"feed": [key[0]], "n": [seen], "win_rate": [sum(wins) / max(1, len(wins))], "paused": [paused], "stale": [stale], "warming": [seen <= warm]})
+
+    return settled.groupBy("feed").applyInPandasWithState(
+        update, "feed string, n long, win_rate double, paused boolean, stale boolean, warming boolean", "seen long, wins array<long>, signs array<string>, paused boolean, stale boolean", "update", GroupStateTimeout.NoTimeout
+    )
