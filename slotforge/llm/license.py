@@ -61,8 +61,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     """One row for each id and licence found: id, license, containment (the best of any window), n_windows.
 
     A band agrees only where the window holds the shingle that is the template's smallest under that band's hash, so a
-    text without any of these shingles has no candidate window and is left before windows are made. Windows of the
-    other texts overlap; where a band of a window equals one of a template, the share of the template's shingles in
+    text or window without any of these shingles is no candidate and is left before its bands are worked out. Windows of
+    the other texts overlap; where a band of a window equals one of a template, the share of the template's shingles in
     the window and the half windows around it is taken exactly. Null, empty and short texts match nothing; rows that
     share an id give one row a licence; an empty table gives an empty result; other columns are ignored.
     """
@@ -73,7 +73,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     kinds = F.array(*(F.lit(r.kind) for r in table.select("kind").distinct().orderBy("kind").collect()))
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    rows = rows.select("id", words_of(F.col("text")).alias("words")).select("id", _shingles(F.col("words")).alias("shingles"))
+    # Each explode of one array keeps what it computes from being put into later filters, which would repeat it.
+    rows = rows.select("id", F.explode(F.array(words_of(F.col("text")))).alias("words"))
+    rows = rows.select("id", F.explode(F.array(_shingles(F.col("words")))).alias("shingles"))
     rows = rows.where(F.arrays_overlap("shingles", anchors))
     size = F.size("shingles")
     steps = F.array(*(F.lit(s) for _, s, _ in WINDOWS))
@@ -82,6 +84,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     windows = windows.select("id", "shingles", "kind", "width", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), size - F.col("width") + F.col("step")), F.col("step"))).alias("at"))
     around = F.slice("shingles", F.greatest(F.lit(1), F.col("at") - F.col("width")), F.col("width") * 2 + F.least(F.col("at"), F.col("width") + 1) - 1)
     windows = windows.select("id", "kind", "at", F.slice("shingles", F.col("at"), F.col("width")).alias("window"), around.alias("around"))
+    windows = windows.where(F.arrays_overlap("window", anchors))
     found = windows.select("id", "kind", "at", "around", F.posexplode(_bands(F.col("window"), F.col("kind"))).alias("band", "low"))
     met = found.select("id", "kind", "at", "around", "band", F.col("low.h").alias("h")).join(F.broadcast(bands.select("license", "kind", "band", "h")), ["kind", "band", "h"])
     share = F.size(F.array_intersect("wanted", "around")) / F.size("wanted")
