@@ -179,18 +179,21 @@ def _logodds(toxic: float, clean: float, n_toxic: int, n_clean: int) -> float:
     return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on a bounded sample of labelled rows, half of each label where there are enough, drawn by a hash of the id.
 
-    Equal texts with equal labels teach once. Null labels teach nothing, a null text counts as empty. With one label only, the score is that label's share.
+    The sample is drawn from the labels alone, so only its ids meet the texts. Equal texts with equal labels teach once;
+    an id with both labels counts as 1. Null ids and labels teach nothing, a null text counts as empty. With one label
+    only, the score is near that label; with none it is one half.
     """
-    spark = labelled.sparkSession
-    rows = labelled.select(labelled[id_col].alias("id"), F.coalesce(labelled[text_col], F.lit("")).alias("text"), labelled[label_col].cast("int").alias("y")).where("y IN (0, 1)")
-    drawn = None
+    spark = docs.sparkSession
+    marks = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
+    chosen = None
     for y in (0, 1):
-        one = rows.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(17)), "id").limit(sample // 2)
-        drawn = one if drawn is None else drawn.unionByName(one)
-    drawn = materialize(drawn.groupBy(F.xxhash64("text").alias("same"), "y").agg(F.first("text").alias("text")).select("text", "y"), "labelled")
+        one = marks.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(17)), "id").limit(sample // 2)
+        chosen = one if chosen is None else chosen.unionByName(one)
+    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(F.broadcast(chosen), "id")  # ``sample`` ids at most
+    drawn = materialize(rows.groupBy(F.xxhash64("text").alias("same"), "y").agg(F.first("text").alias("text")).select("text", "y"), "labelled")
     sizes = {r.y: r.n for r in drawn.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
