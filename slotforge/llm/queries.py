@@ -26,7 +26,7 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(fold(F.col("doc_id"), 5) != 0)
-    scored = toxicity.score(docs, toxicity.learn(docs.join(labels, "doc_id")))
+    scored = toxicity.score(docs, toxicity.learn(docs, labels))
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -91,6 +91,18 @@ def _license_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_license_scan": _license_sql(),
+        "op8_embedding_dedup": """
+            WITH RECURSIVE v AS (
+                SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+                WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                  AND list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) > 0),
+            links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+                      ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+            reach(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id),
+            roots AS (SELECT id, min(root) AS component_id FROM reach GROUP BY 1),
+            counts AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+            SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+            FROM embeddings JOIN roots ON id = vec_id LEFT JOIN counts ON a = vec_id""",
         "op3_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                    doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
