@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from slotforge.llm.common import materialize, shuffle_parts
@@ -59,6 +61,57 @@ def exact_dedup(
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Column | None = None, keep: str = "smallest", partitions: int | None = None) -> DataFrame:
+    """The rows that ``exact_dedup`` keeps, with all their columns, after a single shuffle of the texts.
+
+    A task holds one row at a time: the last of each run in its sorted partition goes on, and the last of the partition
+    only if the next partition doesn't begin with an equal text. The same cases are defined as in ``exact_dedup``.
+    """
+    if keep not in ("smallest", "largest"):
+        raise ValueError("keep is smallest or largest")
+    text = F.coalesce(docs[text_col] if normalise is None else normalise, F.lit(""))
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs[id_col].cast("long").alias("id"), text.alias("text"))
+    rows = rows.withColumns({"head": F.substring("text", 1, SPLITTER_CHARS), "digest": F.sha2("text", 256)})
+    order = [F.col("head"), F.col("digest"), F.col("id").asc_nulls_first() if keep == "largest" else F.col("id").desc_nulls_first()]
+    dealt = rows.repartitionByRange(partitions or shuffle_parts(docs.sparkSession), *order).sortWithinPartitions(*order).select("row", "text", "digest")
+    kind = StructType([StructField("row", rows.schema["row"].dataType), StructField("part", IntegerType()), StructField("edge", StringType()), StructField("edge_text", StringType())])
+    kept = materialize(dealt.mapInArrow(_last_of_runs, kind), "exact-kept")
+    firsts = kept.where("edge IN ('F', 'FL')").select("part", "edge_text")
+    before = firsts.select("part", F.lag("part").over(Window.orderBy("part")).alias("prev"))  # one row for each partition
+    lasts = kept.where("edge IN ('L', 'FL')").select(F.col("part").alias("prev"), F.col("edge_text").alias("prev_text"))
+    goes_on = firsts.join(before, "part").join(lasts, "prev").where("edge_text = prev_text").select(F.col("prev").alias("part"), F.lit(True).alias("goes_on"))
+    out = kept.withColumn("ends", F.col("edge").isin("L", "FL")).join(F.broadcast(goes_on), "part", "left")  # one row for each partition at most
+    return out.where(~(F.coalesce("ends", F.lit(False)) & F.coalesce("goes_on", F.lit(False)))).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
+def _last_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last row of each run of equal neighbours; the first and last run of the partition are marked."""
+    part, held, first = TaskContext.get().partitionId(), None, True
+
+    def out(rows: pa.RecordBatch, end: bool) -> pa.RecordBatch:
+        nonlocal first
+        edges = [None] * rows.num_rows
+        if first:
+            edges[0] = "F"
+        if end:
+            edges[-1] = (edges[-1] or "") + "L"
+        first = False
+        text = rows.column(1)
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array([part] * rows.num_rows, pa.int32()), pa.array(edges, pa.string()), pa.array([text[k].as_py() if e else None for k, e in enumerate(edges)], pa.string())], names=["row", "part", "edge", "edge_text"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        n = rows.num_rows
+        ends = [k for c in (1, 2) for k in pc.indices_nonzero(pc.not_equal(rows.column(c).slice(0, n - 1), rows.column(c).slice(1))).to_pylist()]
+        if ends:
+            yield out(rows.take(pa.array(sorted(set(ends)), pa.int64())), False)
+        held = rows.slice(n - 1)
+    if held is not None:
+        yield out(held, True)
+
+
 def _edge_groups(runs: DataFrame) -> DataFrame:
     """For the first and last run of each partition: rows and last id of the whole group they belong to."""
     ends = runs.where("edge IS NOT NULL").select("part", "run", "run_rows", "run_last", "edge", "edge_text")

@@ -65,18 +65,48 @@ def mix(
     as ``(none)``; null or blank texts have no tokens and take their cell's probability; a null id is drawn like any
     other value; repeated ids get equal draws; an empty table gives an empty result; other columns are ignored.
     """
+    rows = materialize(_labelled(docs, id_col, text_col, source_col, lang_col, topic), "mix-rows")
+    chances = _chances(rows, targets, keep)
+    out = rows.join(chances, ["source", "lang", "topic"])
+    return out.select(F.col("id").alias(id_col), "source", "lang", "topic", "n_tokens", "weight", "probability", (draw(F.col("id"), seed) < F.col("probability")).alias("sampled"))
+
+
+def sample(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    lang_col: str = "lang",
+    topic: Column | None = None,
+    targets: dict[str, dict[str, float]] | None = None,
+    keep: float = KEEP,
+    seed: int = SEED,
+) -> DataFrame:
+    """The rows that ``mix`` samples, with all their columns: texts meet only the small table of cells."""
+    chances = _chances(_labelled(docs, id_col, text_col, source_col, lang_col, topic), targets, keep)
+    whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+    rows = _labelled(docs, id_col, text_col, source_col, lang_col, topic, whole)
+    kept = rows.join(chances, ["source", "lang", "topic"]).where(draw(F.col("id"), seed) < F.col("probability"))
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column | None, *more: Column) -> DataFrame:
+    """id, source, lang, topic of each row, and its tokens or the given columns."""
     label = lambda c: F.coalesce(c.cast("string"), F.lit(OTHER))
     text = docs[text_col]
-    rows = materialize(
-        docs.select(docs[id_col].cast("long").alias("id"), label(docs[source_col]).alias("source"), label(docs[lang_col]).alias("lang"), label(topic if topic is not None else topic_of(text)).alias("topic"), token_count(text).alias("n_tokens")),
-        "mix-rows",
+    return docs.select(
+        docs[id_col].cast("long").alias("id"), label(docs[source_col]).alias("source"), label(docs[lang_col]).alias("lang"), label(topic if topic is not None else topic_of(text)).alias("topic"),
+        *(more or [token_count(text).alias("n_tokens")]),
     )
+
+
+def _chances(rows: DataFrame, targets: dict[str, dict[str, float]] | None, keep: float) -> DataFrame:
+    """source, lang, topic, weight, probability of each cell."""
     cells = materialize(rows.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")), "cells")
     fitted = _rake(cells, targets or {})
     k = _scale(fitted, keep)
-    chances = materialize(fitted.select("source", "lang", "topic", (F.col("raked") / F.greatest("tokens", F.lit(1))).alias("weight"), F.least(F.lit(1.0), F.lit(k) * F.col("raked") / F.greatest("tokens", F.lit(1))).alias("probability")), "chances")
-    out = rows.join(chances, ["source", "lang", "topic"])
-    return out.select(F.col("id").alias(id_col), "source", "lang", "topic", "n_tokens", "weight", "probability", (draw(F.col("id"), seed) < F.col("probability")).alias("sampled"))
+    rate = F.col("raked") / F.greatest("tokens", F.lit(1))
+    return materialize(fitted.select("source", "lang", "topic", rate.alias("weight"), F.least(F.lit(1.0), F.lit(k) * rate).alias("probability")), "chances")
 
 
 def _shares(cells: DataFrame, name: str, given: dict[str, float] | None) -> DataFrame:
