@@ -26,24 +26,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, the one with the smallest id; of rows tied on both, one."""
-    stays = exact.exact_dedup(docs, keep="smallest").where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumns({"_own": F.coalesce(F.col("doc_id"), F.lit(-(2**63))), "_digest": F.sha2(F.coalesce("text", F.lit("")), 256)})
-    stays = stays.withColumn("_id", F.coalesce("_id", F.lit(-(2**63))))
-    kept = marked.join(stays, (F.col("_own") == F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
-    return kept.dropDuplicates(["_own", "_digest"]).select(*docs.columns)
+    return exact.keep_one(docs, keep="smallest")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component; those of components without an id all stay."""
     found = simhash.near_duplicates(docs)
-    stays = materialize(found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct(), "stays")
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["_id"]), "left_semi")
+    goes = materialize(found.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct(), "goes")
+    return docs.join(goes, docs["doc_id"].eqNullSafe(goes["_id"]), "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that sources, languages and topics meet their target weights in expectation."""
-    drawn = materialize(mixing.mix(docs).where("sampled").select(F.col("doc_id").alias("_id")).distinct(), "drawn")
-    return docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["_id"]), "left_semi")
+    return mixing.sample(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
