@@ -13,17 +13,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PART_BYTES = 4 << 20
-#: Words of one generation of a worker's cache, and the longest that is remembered.
-CACHE_WORDS, CACHE_LENGTH = 500_000, 64
+#: Bytes of a worker's cache of words, what an entry takes beside its text and value, and the longest word remembered.
+CACHE_BYTES, ENTRY_BYTES, CACHE_LENGTH = 64 << 20, 190, 64
 
 _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a new one only where it is unset (tests)."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a new one only where it is unset on a local master."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="slotforge-")
@@ -68,25 +70,35 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
 
 
 class Memo:
-    """What a worker has worked out for words: two generations, so that words in use outlive a full cache."""
+    """What a worker has worked out for words: two generations, so that words in use outlive a full cache.
 
-    def __init__(self, fixed: dict[str, object] | None = None, limit: int = CACHE_WORDS):
+    ``limit`` bounds the bytes of both together, apart from the words of one call and the ``fixed`` entries.
+    """
+
+    def __init__(self, fixed: dict[str, object] | None = None, limit: int = CACHE_BYTES):
         self.fixed, self.limit = fixed or {}, limit
         self.new, self.old = dict(self.fixed), {}
+        self.size = 0
         self.long: list[str] = []
 
+    def _add(self, words: list[str], values: Iterable) -> None:
+        values = list(values)
+        self.new.update(zip(words, values, strict=True))
+        held = sum(map(len, words)) + (sum(map(len, values)) if values and isinstance(values[0], bytes) else 0)
+        self.size += held + ENTRY_BYTES * len(words)
+
     def fill(self, words: set[str], make: Callable[[list[str]], Iterable]) -> dict[str, object]:
         """A dict that has all of ``words``; ``make`` works out those that aren't remembered. Valid until the next call."""
         for w in self.long:
             self.new.pop(w, None)
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, dict(self.fixed)
-        missing = words - self.new.keys()
-        if self.old:
-            known = missing & self.old.keys()
-            self.new.update((w, self.old[w]) for w in known)
-            missing -= known
-        unknown = list(missing)
-        self.new.update(zip(unknown, make(unknown), strict=True))
+        if self.size > self.limit // 2:
+            self.old, self.new, self.size = self.new, dict(self.fixed), 0
+        new, old = self.new, self.old
+        unknown = [w for w in words if w not in new]  # a set less the keys of a dict would go through all keys
+        if old:
+            known = [w for w in unknown if w in old]
+            self._add(known, map(old.__getitem__, known))
+            unknown = [w for w in unknown if w not in old]
+        self._add(unknown, make(unknown))
         self.long = [w for w in unknown if len(w) > CACHE_LENGTH]
         return self.new

@@ -10,9 +10,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +28,38 @@ from slotforge.llm.common import Memo, parts, shuffle_parts, texts_of
 BLOCK_IDS = 1 << 16
 END_ID = 0
 #: Unknown chunks that the library encodes in one text.
-TOGETHER = 256
+TOGETHER = 128
+
+#: Marks that make a pre-token of their own at the end of a word.
+MARKS = ".,;:!?*%$&#()\"-"
+#: Bytes of a worker's cache of chunks.
+CHUNK_CACHE = 288 << 20
 
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_BLOCKS = "shard int, block int, before long, n_ids int, bits int, doc_ids array<long>, offsets array<int>, payload binary"
+_BLOCKS = "shard int, block int, before long, n_ids int, bits int, first_id long, last_id long, doc_ids array<long>, offsets array<int>, payload binary"
+
+
+def _sound(chunk: str) -> bool:
+    """No white space stands at either end of a chunk, apart from the line break that it may begin with."""
+    bare = chunk[1:] if chunk[:1] == "\n" else chunk
+    return bare != "" and bare == bare.strip()
 
 
-def chunks_of(text: str) -> list[str]:
-    """Stretches that the library encodes independently: the first as it stands, others with the space before them
-    left out, or with the line break that they begin with."""
-    if text.replace("\n", " ").split(" ") == text.split():  # white space is lone spaces and lone line breaks
-        return text.replace("\n", " \n").split(" ")
-    return _LONE_SPACE.split(text)
+def chunks_of(texts: list[str], known: Container[str] = ()) -> tuple[list[list[str]], set[str]]:
+    """Stretches of each text that the library encodes independently: the first as it stands, others with the space
+    before them left out, or with the line break that they begin with; and the set of all that aren't first.
+
+    Chunks that are ``known`` aren't looked at."""
+    split = [t.replace("\n", " \n").split(" ") for t in texts]
+    heads = [x.pop(0) for x in split]
+    distinct = set().union(*split)
+    bad = {c for c in distinct if c not in known and not c.isalpha() and not _sound(c)}
+    odd = [k for k, x in enumerate(split) if heads[k] != heads[k].rstrip() or (bad and not bad.isdisjoint(x))]
+    distinct -= bad
+    for k in odd:
+        heads[k], *split[k] = _LONE_SPACE.split(texts[k])
+        distinct.update(split[k])
+    return [heads, *split], distinct
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -64,58 +83,74 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
 
 
 class ChunkEncoder:
-    """The library's ids of a text, chunk by chunk.
+    """The library's ids of a text, chunk by chunk, as unsigned integers of ``unit`` bytes.
 
     A byte-level pre-token takes at most the one space before it, and a lone line break is one, so the library encodes
-    what stands on either side of a lone space or break independently; ids of a chunk are remembered by the worker. Unknown words are encoded many at a time:
-    each begins with its space, and no other token of it begins with one.
+    what stands on either side of a lone space or break independently; the worker remembers the ids of chunks. Unknown
+    chunks are encoded many in one text: each begins with its space, and no other token of it does.
     """
 
     def __init__(self, path: str):
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.memo = Memo()
         size = self.model.get_vocab_size(with_added_tokens=True)
         self.bits = max(1, (size - 1).bit_length())
+        self.unit = self.bits // 8 if self.bits in (8, 16) else 4
+        self.kind = np.dtype(f"<u{self.unit}")
         self.opens = np.array([(self.model.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.pieces = Tokenizer.from_file(path)  # the same model on ready pre-tokens
-        self.pieces.no_truncation()
-        self.pieces.no_padding()
-        self.pieces.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        self.memo = Memo(limit=CHUNK_CACHE)
+        self.marks: dict[str, bytes] = {}
+
+    def _packed(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.kind) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that are one pre-token with its space, and others without one."""
+        out = {}
+        for at in range(0, len(chunks), TOGETHER):
+            group = chunks[at : at + TOGETHER]
+            ids = self._packed([" " + " ".join(group)])[0]
+            ends = (np.flatnonzero(self.opens[ids]) * self.unit).tolist()
+            raw = ids.tobytes()
+            out.update((c, raw[a:b]) for c, a, b in zip(group, ends, [*ends[1:], len(raw)], strict=True))
+        return out
 
     def _later(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks after the first, as they stand in a text."""
-        out = [b""] * len(chunks)
-        # A word of letters is one pre-token, and so is a full stop or comma behind it.
-        words = [k for k, c in enumerate(chunks) if c.isalpha() or (c[-1:] in (".", ",") and c[:-1].isalpha())]
-        for at in range(0, len(words), TOGETHER):
-            group = words[at : at + TOGETHER]
-            pieces: list[str] = []
-            for c in map(chunks.__getitem__, group):
-                pieces += (" " + c,) if c[-1] not in ".," else (" " + c[:-1], c[-1])
-            ids = self.pieces.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids
-            packed = np.array(ids, dtype="<u4")
-            ends = (np.flatnonzero(self.opens[packed]) * 4).tolist()
-            raw = packed.tobytes()
-            for k, a, b in zip(group, ends, [*ends[1:], len(raw)], strict=True):
-                out[k] = raw[a:b]
-        known = set(words)
-        others = [k for k in range(len(chunks)) if k not in known]
-        for k, ids in zip(others, self._ids([c if c[:1] == "\n" else " " + c for c in map(chunks.__getitem__, others)]), strict=True):
-            out[k] = np.array(ids, dtype="<u4").tobytes()
-        return out
+        """Ids of chunks after the first, as they stand in a text. A word keeps its ids before marks that end it."""
+        known, marks = self.memo.new, self.marks
+        plain, odd, ended = set(), [], {}
+        for c in chunks:
+            if c.isalpha():
+                plain.add(c)
+                continue
+            if " " in c or c[0] <= " " or c[-1].isspace():
+                odd.append(c)
+                continue
+            word = c.rstrip(MARKS)
+            if word != c and word.isalpha():
+                ended[c] = word
+                if word not in known:
+                    plain.add(word)
+                if (end := c[len(word) :]) not in marks:
+                    marks[end] = self._packed([end])[0].tobytes()
+            else:
+                plain.add(c)
+        made = self._together(list(plain))
+        made.update(zip(odd, (x.tobytes() for x in self._packed([c if c[:1] == "\n" else " " + c for c in odd])), strict=True))
+        for c, word in ended.items():
+            made[c] = (made[word] if word in made else known[word]) + marks[c[len(word) :]]
+        if len(marks) > TOGETHER:
+            marks.clear()
+        return list(map(made.__getitem__, chunks))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        chunks = list(map(chunks_of, texts))
-        heads = [np.array(x, dtype="<u4").tobytes() for x in self._ids([c[0] for c in chunks])]
-        tails = [c[1:] for c in chunks]
-        get = self.memo.fill(set(chain.from_iterable(tails)), self._later).__getitem__
-        return [head + b"".join(map(get, tail)) for head, tail in zip(heads, tails, strict=True)]
+        """Ids of each text as little-endian unsigned integers of ``unit`` bytes."""
+        (heads, *tails), distinct = chunks_of(texts, self.memo.new.keys())
+        get = self.memo.fill(distinct, self._later).__getitem__
+        first = list(set(heads))
+        opened = dict(zip(first, (x.tobytes() for x in self._packed(first)), strict=True))
+        return [opened[head] + b"".join(map(get, tail)) for head, tail in zip(heads, tails, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -134,48 +169,50 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
     by their ids' bytes; an empty table writes no block; other columns are ignored.
     """
     spark = docs.sparkSession
-    n = shards or shuffle_parts(spark)
+    n, bits = shards or shuffle_parts(spark), chunk_encoder(vocabulary).bits
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     cuts = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
     splitters = sorted(set(cuts)) if n > 1 else []
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunk_encoder(vocabulary)
-        end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+        unit, exact = encoder.unit, encoder.unit * 8 == encoder.bits
+        end = b"" if end_id is None else np.array([end_id], dtype=encoder.kind).tobytes()
         for part in parts(batches, "text"):
             ids = [x + end for x in encoder.encode(texts_of(part, "text"))]
             keys = np.array([-(2**63) if i is None else i for i in part.column("id").to_pylist()], dtype=np.int64)
             shard = np.searchsorted(np.array(splitters, dtype=np.int64), keys, "left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard), part.column("id"), pa.array([len(x) // 4 for x in ids], pa.int32()), pa.array([pack(np.frombuffer(x, dtype="<u4"), encoder.bits) for x in ids], pa.binary())],
-                names=["shard", "id", "n", "payload"],
-            )
+            packed = ids if exact else [pack(np.frombuffer(x, dtype=encoder.kind), encoder.bits) for x in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(shard), part.column("id"), pa.array([len(x) // unit for x in ids], pa.int32()), pa.array(packed, pa.binary())], names=["shard", "id", "n", "payload"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, shard = chunk_encoder(vocabulary).bits, TaskContext.get().partitionId()
-        held: list[tuple[int | None, np.ndarray]] = []
+        shard = TaskContext.get().partitionId()
+        held: list[tuple[int | None, int, bytes]] = []
         size, before, number = 0, 0, 0
 
         def close() -> pa.RecordBatch:
             nonlocal held, size, before, number
-            starts = np.cumsum([0, *(len(x) for _, x in held)])[:-1].tolist()
-            row = (shard, number, before, size, bits, [i for i, _ in held], starts, pack(np.concatenate([x for _, x in held]), bits))
+            starts = np.cumsum([0, *(n for _, n, _ in held)])[:-1].tolist()
+            payload = b"".join(x for _, _, x in held) if bits % 8 == 0 else pack(np.concatenate([unpack(x, bits, 0, n) for _, n, x in held]), bits)
+            ids = [i for i, _, _ in held]
+            known = [i for i in ids if i is not None]
+            row = (shard, number, before, size, bits, min(known, default=None), max(known, default=None), ids, starts, payload)
             held, size, before, number = [], 0, before + size, number + 1
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["shard", "block", "before", "n_ids", "bits", "doc_ids", "offsets", "payload"])
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["shard", "block", "before", "n_ids", "bits", "first_id", "last_id", "doc_ids", "offsets", "payload"])
 
         for batch in batches:
-            for i, n_ids, payload in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist(), batch.column("payload"), strict=True):
+            for i, n_ids, payload in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "payload")), strict=True):
                 if held and size + n_ids > BLOCK_IDS:
                     yield close()
-                held.append((i, unpack(payload.as_buffer(), bits, 0, n_ids)))
+                held.append((i, n_ids, payload))
                 size += n_ids
         if held:
             yield close()
 
     encoded = rows.mapInArrow(encode, "shard int, id long, n int, payload binary")
     placed = encoded.repartitionById(len(splitters) + 1, "shard").sortWithinPartitions(F.col("id").asc_nulls_first(), "payload")
-    placed.select("id", "n", "payload").mapInArrow(blocks, _BLOCKS).write.option("compression", "zstd").parquet(path)
+    placed.select("id", "n", "payload").mapInArrow(blocks, _BLOCKS).write.option("compression", "lz4_raw").parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -187,6 +224,21 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     return read_blocks(spark, path).mapInArrow(_documents, "shard int, start_in_shard long, id long, ids array<long>").withColumnRenamed("id", id_col)
 
 
+def fetch(spark: SparkSession, path: str, wanted: int, id_col: str = "doc_id") -> DataFrame:
+    """The documents with one id and their ids: only blocks whose range of ids holds it are read, and only its own bits."""
+    near = read_blocks(spark, path).where((F.col("first_id") <= wanted) & (F.col("last_id") >= wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                bits, n, ids, starts = (batch.column(c)[row].as_py() for c in ("bits", "n_ids", "doc_ids", "offsets"))
+                ends, payload = [*starts[1:], n], batch.column("payload")[row].as_buffer()
+                found = [unpack(payload, bits, a, b - a).astype(np.int64) for i, a, b in zip(ids, starts, ends, strict=True) if i == wanted]
+                yield pa.RecordBatch.from_arrays([pa.array([wanted] * len(found), pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "ids"])
+
+    return near.mapInArrow(run, "id long, ids array<long>").withColumnRenamed("id", id_col)
+
+
 def token_index(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """Read the files back; each document's id, start (ids of all documents before it), n_tokens and ids_crc32."""
     read = read_blocks(spark, path)
@@ -213,6 +265,6 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for shard, starts, docs, ids in _each(batches):
         yield pa.RecordBatch.from_arrays(
-            [pa.array([shard] * len(docs), pa.int32()), pa.array(starts, pa.int64()), pa.array(docs, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())],
+            [pa.array([shard] * len(docs), pa.int32()), pa.array(starts, pa.int64()), pa.array(docs, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())],
             names=["shard", "start_in_shard", "id", "n_tokens", "ids_crc32"],
         )
