@@ -21,6 +21,8 @@ from slotforge.llm.common import Memo, parts, texts_of
 NO_RANK = 1 << 30
 #: Words of more parts than this use a heap, as scanning a rank array costs the square of its length.
 SHORT_WORD = 256
+#: Bytes of text that a worker encodes and decodes at once.
+ROUND_BYTES = 1 << 20
 
 # The vocabulary file's own split pattern and the characters that count as white space in it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -179,6 +181,21 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
     return rows.mapInArrow(run, "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
+def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, ids, decoded: ``decode`` of ``encode`` in one pass, so that a task has one worker and
+    one vocabulary. The same cases are defined as in ``encode``; an empty text decodes as the empty text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = word_bpe(vocabulary)
+        for part in parts(batches, "text", ROUND_BYTES):
+            flat, at = bpe.encode(texts_of(part, "text"))
+            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([part.column("id"), ids, bpe.decode(ids)], names=["id", "ids", "decoded"])
+
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    return rows.mapInArrow(run, "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+
+
 def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts and sha256 digests of ids and decoded texts."""
     return decoded.select(
