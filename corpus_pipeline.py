@@ -30,10 +30,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; those of components without an id all stay."""
-    found = simhash.near_duplicates(docs)
-    goes = materialize(found.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct(), "goes")
-    return docs.join(goes, docs["doc_id"].eqNullSafe(goes["_id"]), "left_anti")
+    """One document of each component stays, the one with the smallest id; ties are settled by row, never by id alone."""
+    return simhash.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of ids and decoded text."""
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.digests(bpe.decode(bpe.encode(docs, vocabulary), vocabulary))
+    return bpe.digests(bpe.round_trip(docs, vocabulary))
 
 
 STAGES = [
