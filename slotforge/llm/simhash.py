@@ -18,8 +18,10 @@ BITS = 64
 HASH_SEED = 42
 #: A subtree with more fingerprints than this is dealt out again by a second block of bits.
 HOT_KEY = 50_000
-#: Groups that one call joins together (12 bits), node pairs that are held at once, and pairs of leaves compared directly.
-GROUPS, FRONTIER, DIRECT = 4096, 1 << 20, 32
+#: Largest budget: more would leave blocks of one bit, which choose nothing.
+MOST_BUDGET = 31
+#: Node pairs that are held at once, and pairs of leaves compared directly.
+FRONTIER, DIRECT = 1 << 20, 32
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -43,15 +45,23 @@ def fingerprint(text: str, shingle: int = 4) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """id, fp (the fingerprint as a signed long) of each row; null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, **more: Column) -> DataFrame:
+    """id, fp (the fingerprint as a signed long) of each row, and ``more`` columns of longs; null text counts as empty."""
+    extra = list(more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, "text"):
             prints = np.array([fingerprint(x or "", shingle) for x in part.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(prints.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(prints.view(np.int64)), *(part.column(c) for c in extra)], names=["id", "fp", *extra])
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, fp long")
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), *(c.cast("long").alias(n) for n, c in more.items()))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("id", "fp", *extra)))
+
+
+def _components(classes: DataFrame, budget: int) -> DataFrame:
+    """fp, component of the distinct fingerprints in ``classes``."""
+    linked = connected_components(trie_links(classes, budget)).withColumnRenamed("node", "fp")
+    return classes.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4) -> DataFrame:
@@ -63,13 +73,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "classes")
-    linked = connected_components(trie_links(classes, budget)).withColumnRenamed("node", "fp")
-    grouped = classes.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    grouped = _components(classes, budget)
     lowest = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = materialize(grouped.join(lowest, "component").select("fp", "component_id"), "components")
     return prints.join(named, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4) -> DataFrame:
+    """The rows of ``docs`` of which one stays for each component: the one with the smallest id.
+
+    A null id is the last choice; of rows tied on the id one text stays, and rows that are equal in id and text share
+    its fate. Rows are told apart by id and two digests of the text, so the texts are shuffled once at most.
+    """
+    text = F.coalesce(docs[text_col], F.lit(""))
+    prints = materialize(fingerprints(docs, id_col, text_col, shingle, h1=F.xxhash64(text, F.lit(1)), h2=F.xxhash64(text, F.lit(2))), "fingerprints")
+    row = F.struct(F.col("id").isNull().alias("unknown"), "id", "h1", "h2")
+    classes = materialize(prints.groupBy("fp").agg(F.min(row).alias("first")), "classes")
+    grouped = materialize(_components(classes, budget), "grouped")
+    best = grouped.groupBy("component").agg(F.min("first").alias("stays"))
+    named = materialize(grouped.join(best, "component").select("fp", "stays"), "components")
+    goes = prints.join(named, "fp").where(row != F.col("stays")).select(F.col("id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
+    goes = materialize(goes.distinct(), "goes")
+    same = docs[id_col].cast("long").eqNullSafe(goes["_id"]) & (F.xxhash64(text, F.lit(1)) == goes["_h1"]) & (F.xxhash64(text, F.lit(2)) == goes["_h2"])
+    return docs.join(goes, same, "left_anti")
+
+
 def _blocks(width: int, n: int) -> list[tuple[int, int]]:
     """``n`` blocks of nearly equal width over ``width`` bits: (first bit, number of bits)."""
     cuts = [width * k // n for k in range(n + 1)]
@@ -92,26 +120,34 @@ def trie_links(classes: DataFrame, budget: int = 4, hot_key: int = HOT_KEY) -> D
     Two fingerprints within the budget agree on one of budget+1 blocks of bits. For each block the trie with that
     block's bits first is cut below it, and each subtree is joined with itself in one task: node pairs go down
     together, differing bits add up, and a pair beyond the budget is pruned, as is one whose leaves are all joined
-    already. A subtree with more than ``hot_key`` leaves is cut once more, by the same rule on its remaining bits.
-    A task emits a spanning forest, at most one edge a leaf, never all pairs.
+    already. A subtree with more than ``hot_key`` leaves is cut again by the same rule on its remaining bits, and a
+    subtree of those once more. A task emits a spanning forest, at most one edge a leaf, never all pairs.
     """
-    fp = F.col("fp")
-    cuts = _blocks(BITS, budget + 1)
+    if not 0 <= budget <= MOST_BUDGET:
+        raise ValueError(f"a budget is 0 to {MOST_BUDGET}")
+    fp, blocks = F.col("fp"), budget + 1
+    if not budget:
+        return classes.sparkSession.createDataFrame([], "a long, b long")
+    cuts = _blocks(BITS, blocks)
+    width = BITS - min(n for _, n in cuts)
     rows = classes.select("fp", F.explode(F.array(*(
-        F.struct((_bits(fp, at, n) * 8 + k).alias("key"), _without(fp, at, n).alias("rest")) for k, (at, n) in enumerate(cuts)
-    ))).alias("x")).select("fp", "x.key", "x.rest")
-    hot = materialize(rows.groupBy("key").count().where(F.col("count") > hot_key).select("key", F.lit(True).alias("hot")), "hot")
-    rest = F.col("rest")
-    again = F.array(*(F.struct((_bits(rest, at, n) * 8 + k).alias("sub")) for k, (at, n) in enumerate(_blocks(BITS - min(n for _, n in cuts), budget + 1))))
-    if hot.head(1):
-        rows = rows.join(hot, "key", "left").select("fp", "key", "rest", F.explode(F.when(F.col("hot"), again).otherwise(F.array(F.struct(F.lit(-1).cast("long").alias("sub"))))).alias("y")).select("fp", "key", "y.sub", "rest")
-    else:
-        rows = rows.withColumn("sub", F.lit(-1).cast("long"))
+        F.struct((_bits(fp, at, n) * blocks + k).alias("key"), _without(fp, at, n).alias("rest")) for k, (at, n) in enumerate(cuts)
+    ))).alias("x")).select("fp", "x.key", F.lit(-1).cast("long").alias("sub"), "x.rest")
+    left = F.col("rest")
+    for _ in range(2):
+        hot = materialize(rows.groupBy("key", "sub").count().where(F.col("count") > hot_key).select(F.col("key").alias("_k"), F.col("sub").alias("_s")), "hot")
+        if not hot.head(1):
+            break
+        again = F.array(*(F.xxhash64("sub", _bits(left, at, n) * blocks + k) for k, (at, n) in enumerate(_blocks(width, blocks))))
+        rows = rows.join(hot, (F.col("key") == F.col("_k")) & (F.col("sub") == F.col("_s")), "left")
+        rows = rows.select("fp", "key", F.explode(F.when(F.col("_k").isNotNull(), again).otherwise(F.array("sub"))).alias("sub"), "rest")
+        # The next cut takes other bits: the same blocks, each cut in its middle.
+        left = F.shiftleft(F.col("rest"), width // (2 * blocks)).bitwiseAND(F.lit((1 << width) - 1 if width < 63 else (1 << 63) - 1).cast("long")).bitwiseOR(F.shiftrightunsigned(F.col("rest"), width - width // (2 * blocks)))
     dealt = rows.repartition(shuffle_parts(classes.sparkSession), "key", "sub").sortWithinPartitions("key", "sub", "rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, sub, fps, rests in _whole_groups(batches):
-            a, b = forest(key, sub, rests, budget)
+            a, b = forest(key, sub, rests, budget, width)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(fps[a]), pa.array(fps[b])], names=["a", "b"])
 
@@ -137,18 +173,19 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], enough: int = 200_000) -> I
         yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
-def forest(key: np.ndarray, sub: np.ndarray, rest: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (positions) that join what is linked within each group of sorted rows."""
+def forest(key: np.ndarray, sub: np.ndarray, rest: np.ndarray, budget: int, width: int = 52) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (positions) that join what is linked within each group of sorted rows; paths have ``width`` bits."""
     edge = np.flatnonzero((key[1:] != key[:-1]) | (sub[1:] != sub[:-1])) + 1
     lo, hi = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
     several = hi - lo > 1
     lo, hi = lo[several], hi[several]
     out_a, out_b = [], []
-    for at in range(0, len(lo), GROUPS):
-        a, b = lo[at : at + GROUPS], hi[at : at + GROUPS]
+    together = 1 << (BITS - width)  # groups that one call joins, by the bits above the path
+    for at in range(0, len(lo), together):
+        a, b = lo[at : at + together], hi[at : at + together]
         rows = np.concatenate([np.arange(x, y) for x, y in zip(a, b, strict=True)])
         group = np.repeat(np.arange(len(a), dtype=np.uint64), b - a)
-        labels = _join_trie((group << np.uint64(52)) | rest[rows].astype(np.uint64), budget)
+        labels = _join_trie((group << np.uint64(width)) | rest[rows].astype(np.uint64), budget, width)
         moved = np.flatnonzero(labels != np.arange(len(labels)))
         out_a.append(rows[moved])
         out_b.append(rows[labels[moved]])
@@ -156,14 +193,15 @@ def forest(key: np.ndarray, sub: np.ndarray, rest: np.ndarray, budget: int) -> t
     return np.concatenate([empty, *out_a]), np.concatenate([empty, *out_b])
 
 
-def _join_trie(codes: np.ndarray, budget: int) -> np.ndarray:
-    """Labels of sorted, distinct codes: group in the high 12 bits, a path of 52 bits below. Deepest nodes join first."""
+def _join_trie(codes: np.ndarray, budget: int, width: int) -> np.ndarray:
+    """Labels of sorted, distinct codes: a path of ``width`` bits below the group. Deepest nodes join first."""
     n = len(codes)
     labels = np.arange(n)
-    starts = np.concatenate([[0], np.flatnonzero(codes[1:] >> np.uint64(52) != codes[:-1] >> np.uint64(52)) + 1])
+    above = np.uint64(width)
+    starts = np.concatenate([[0], np.flatnonzero(codes[1:] >> above != codes[:-1] >> above) + 1])
     lo, hi = starts, np.concatenate([starts[1:], [n]])
     forks = []  # (bit, lo, mid, hi) of nodes with two children
-    for bit in range(51, -1, -1):
+    for bit in range(width - 1, -1, -1):
         mid = _middle(codes, lo, bit)
         fork = (mid > lo) & (mid < hi)
         if fork.any():
