@@ -63,7 +63,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.digests(bpe.decode(bpe.encode(_documents(spark, sf_dir), vocabulary), vocabulary))
+    return bpe.digests(bpe.round_trip(_documents(spark, sf_dir), vocabulary))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -72,7 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def _license_sql() -> str:
     quoted = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(license.TEMPLATES.items()))
-    kinds = ", ".join(f"({w}, {s})" for w, s, _ in license.WINDOWS)
+    kinds = ", ".join(f"({w}, {s})" for w, s, _ in license.windows_for(max(len(x.split()) for x in license.TEMPLATES.values())))
     five = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))"
     words = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
     return f"""
