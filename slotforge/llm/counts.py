@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -14,10 +13,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotforge.llm.common import CACHE_LENGTH, Memo, parts, texts_of
-
-#: Entries of the broadcast table, and pre-tokens that a task names for it.
-TABLE_WORDS, TASK_WORDS = 32_768, 4_096
+from slotforge.llm.common import Memo, parts, texts_of
 
 _CHUNK = re.compile(" +[^ ]*")
 #: Stands for a space mark on its own, at the end or before a line break: one token, as a line break is.
@@ -63,37 +59,25 @@ def worker_lengths(model_path: str, table: dict[str, int]) -> Memo:
     return _worker[model_path]
 
 
-def frequent_lengths(docs: DataFrame, text_col: str, model_path: str, size: int = TABLE_WORDS) -> dict[str, int]:
-    """The ``size`` most frequent pre-tokens of all texts and their token counts.
+def frequent_lengths(model_path: str) -> dict[str, int]:
+    """The pre-tokens that the vocabulary itself has a piece for, and their token counts.
 
-    Each task sums its own pre-tokens in a bounded summary and names TASK_WORDS of them; only these short lists meet.
-    The table decides speed, never a count.
+    The model has merged these because they are frequent, in the order of their frequency, so no pass over the texts and
+    no shuffle is needed to name them. The table is bounded by the vocabulary and decides speed, never a count.
     """
-
-    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for part in parts(batches, "text"):
-            seen.update(chain.from_iterable(map(pre_tokens, texts_of(part, "text"))))
-            if len(seen) > 64 * TASK_WORDS:
-                seen = Counter(dict(seen.most_common(8 * TASK_WORDS)))
-        top = [(w, n) for w, n in seen.most_common(TASK_WORDS) if len(w) <= CACHE_LENGTH]
-        if top:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*top, strict=True)], names=["word", "n"])
-
-    named = docs.select(docs[text_col].alias("text")).mapInArrow(summaries, "word string, n long")
-    top = named.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()
-    words = [r.word for r in top]
-    return dict(zip(words, lengths_of(_model(model_path), words), strict=True))
+    model = _model(model_path)
+    words = sorted({p[1:] for p in map(model.id_to_piece, range(model.get_piece_size())) if len(p) > 1 and p[0] == "▁" and "▁" not in p[1:]})
+    return dict(zip(words, lengths_of(model, words), strict=True))
 
 
-def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, table_words: int = TABLE_WORDS) -> DataFrame:
+def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit.
 
     Counts equal the library's over the whole text, without begin or end tokens. A null text counts as empty (0, 0);
     ids are passed on as they are, null or repeated; an empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(rows, "text", model_path, table_words))
+    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(model_path))  # at most one entry a piece
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, lengths = _model(model_path), worker_lengths(model_path, table.value)
