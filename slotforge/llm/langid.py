@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from slotforge.llm.common import parts
+from slotforge.llm.common import materialize, parts
 
 UNKNOWN = "und"
 #: Hashed n-gram features, the n-grams' lengths, and characters that are hashed at once.
 FEATURES, ORDERS, STRETCH = 1 << 15, (1, 2, 3), 1 << 18
-#: Bound of the training sample: rows of one language, and rows in all.
-PER_LANGUAGE, SAMPLE = 1_500, 30_000
+#: Bound of the training sample: rows of one language, rows in all (both in expectation), and n-grams of a row, of which
+#: the most frequent stay. At most SAMPLE * ROW_GRAMS * 6 bytes come to the driver.
+PER_LANGUAGE, SAMPLE, ROW_GRAMS = 1_500, 12_000, 4_096
 
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
@@ -43,6 +44,14 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return index, counts[index]
 
 
+def heaviest(index: np.ndarray, counts: np.ndarray, most: int = ROW_GRAMS) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent n-grams of a text, the lower number first of equals, in ascending order of number."""
+    if len(index) <= most:
+        return index, counts
+    kept = np.sort(np.argsort(-counts, kind="stable")[:most])
+    return index[kept], counts[kept]
+
+
 def weigh(index: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF with logarithmic term frequency, of length one."""
     value = (1 + np.log(counts)) * idf[index]
@@ -118,21 +127,24 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], alpha: float = 0.5, beta
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
     """Fit on a bounded sample of labelled rows: about ``per_language`` of each language, drawn by a hash of the id.
 
+    The n-grams are counted where the rows are read; only their numbers and counts come to the driver.
+
     Rows with a null language, a null text or no letter teach nothing. Without any row the model knows no language.
     """
     rows = labelled.select(labelled[id_col].alias("id"), labelled[text_col].alias("text"), labelled[lang_col].cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample // 10)
-    share = sizes.select("lang", (F.lit(float(per_language)) / F.col("n")).alias("share"))
+    sizes = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample // 10), "languages")
+    each = min(per_language, sample // max(1, sizes.count()))
+    share = sizes.select("lang", (F.lit(float(each)) / F.col("n")).alias("share"))
     draw = F.pmod(F.xxhash64(F.col("id"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.join(F.broadcast(share), "lang").where(draw < F.col("share")).orderBy(F.xxhash64("id", F.lit(13)), "id").limit(sample).select("text", "lang")
+    drawn = rows.join(F.broadcast(share), "lang").where(draw < F.col("share")).select(F.xxhash64("id", F.lit(13)).alias("at"), "text", "lang")  # sample / 10 languages at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, "text"):
-            found = [features(x) for x in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0].astype(np.int32) for x in found], pa.list_(pa.int32())), pa.array([x[1].astype(np.int32) for x in found], pa.list_(pa.int32())), part.column("lang")], names=["index", "counts", "lang"])
+            found = [heaviest(*features(x)) for x in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("at"), pa.array([x[0].astype(np.int16) for x in found], pa.list_(pa.int16())), pa.array([x[1].astype(np.float32) for x in found], pa.list_(pa.float32())), part.column("lang")], names=["at", "index", "counts", "lang"])
 
-    table = drawn.mapInArrow(count, "index array<int>, counts array<int>, lang string").toArrow()
+    table = drawn.mapInArrow(count, "at long, index array<short>, counts array<float>, lang string").toArrow().sort_by([("at", "ascending"), ("lang", "ascending")])
     index, counts = table.column("index"), table.column("counts")
     return fit([(np.asarray(i.values), np.asarray(c.values), x) for i, c, x in zip(index, counts, table.column("lang").to_pylist(), strict=True)])
 

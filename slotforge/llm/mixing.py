@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +12,7 @@ from slotforge.llm.common import materialize
 
 #: Rounds at most, and the largest relative error of a marginal at which rounds end.
 ROUNDS, TOLERANCE = 40, 1e-6
-#: Values of language or topic at most; sources have no bound.
+#: With more values of language or topic than this, their factors are kept in tables too; sources always are.
 LABELS = 2_000
 #: Exponent that flattens observed shares into default targets, and the share of tokens to keep.
 FLATTEN, KEEP = 0.7, 0.5
@@ -52,7 +54,7 @@ def mix(
     keep: float = KEEP,
     seed: int = SEED,
 ) -> DataFrame:
-    """One row per input row: id, source, lang, topic, n_tokens, weight, probability, sampled.
+    """One row per input row: id, source, lang, topic, n_tokens, weight, probability, sampled, marginal_error.
 
     Token totals of the cells (source, language, topic) are raked until each marginal meets its target shares; a
     document's weight is its cell's raked tokens per token, and it is sampled with probability min(1, k * weight), where
@@ -61,14 +63,15 @@ def mix(
     leaves out get weight 0.
 
     Each document meets its cell's total before any shuffle, so a hot source is one row a task; the state of the fit is
-    one factor for each language and topic (bounded by LABELS), while source factors stay in a table. Null labels count
-    as ``(none)``; null or blank texts have no tokens and take their cell's probability; a null id is drawn like any
+    one factor for each language and topic, while source factors stay in a table; beyond LABELS languages or topics all
+    factors do. ``marginal_error`` is the largest relative error of a marginal when the rounds ended (TOLERANCE or less
+    if the fit converged; targets that contradict each other can't be met, and are warned of). Null labels count as ``(none)``; null or blank texts have no tokens and take their cell's probability; a null id is drawn like any
     other value; repeated ids get equal draws; an empty table gives an empty result; other columns are ignored.
     """
     rows = materialize(_labelled(docs, id_col, text_col, source_col, lang_col, topic), "mix-rows")
-    chances = _chances(rows, targets, keep)
+    chances, error = _chances(rows, targets, keep)
     out = rows.join(chances, ["source", "lang", "topic"])
-    return out.select(F.col("id").alias(id_col), "source", "lang", "topic", "n_tokens", "weight", "probability", (draw(F.col("id"), seed) < F.col("probability")).alias("sampled"))
+    return out.select(F.col("id").alias(id_col), "source", "lang", "topic", "n_tokens", "weight", "probability", (draw(F.col("id"), seed) < F.col("probability")).alias("sampled"), F.lit(error).alias("marginal_error"))
 
 
 def sample(
@@ -83,7 +86,7 @@ def sample(
     seed: int = SEED,
 ) -> DataFrame:
     """The rows that ``mix`` samples, with all their columns: texts meet only the small table of cells."""
-    chances = _chances(_labelled(docs, id_col, text_col, source_col, lang_col, topic), targets, keep)
+    chances, _ = _chances(_labelled(docs, id_col, text_col, source_col, lang_col, topic), targets, keep)
     whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
     rows = _labelled(docs, id_col, text_col, source_col, lang_col, topic, whole)
     kept = rows.join(chances, ["source", "lang", "topic"]).where(draw(F.col("id"), seed) < F.col("probability"))
@@ -100,13 +103,15 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang
     )
 
 
-def _chances(rows: DataFrame, targets: dict[str, dict[str, float]] | None, keep: float) -> DataFrame:
-    """source, lang, topic, weight, probability of each cell."""
+def _chances(rows: DataFrame, targets: dict[str, dict[str, float]] | None, keep: float) -> tuple[DataFrame, float]:
+    """source, lang, topic, weight, probability of each cell; and the error that the fit ended with."""
     cells = materialize(rows.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")), "cells")
-    fitted = _rake(cells, targets or {})
+    fitted, error = _rake(cells, targets or {})
+    if error > TOLERANCE:
+        warnings.warn(f"the marginals are met to {error:.2g} only", stacklevel=3)
     k = _scale(fitted, keep)
     rate = F.col("raked") / F.greatest("tokens", F.lit(1))
-    return materialize(fitted.select("source", "lang", "topic", rate.alias("weight"), F.least(F.lit(1.0), F.lit(k) * rate).alias("probability")), "chances")
+    return materialize(fitted.select("source", "lang", "topic", rate.alias("weight"), F.least(F.lit(1.0), F.lit(k) * rate).alias("probability")), "chances"), error
 
 
 def _shares(cells: DataFrame, name: str, given: dict[str, float] | None) -> DataFrame:
@@ -122,19 +127,18 @@ def _shares(cells: DataFrame, name: str, given: dict[str, float] | None) -> Data
     return raw.select(name, (F.col("raw") / F.lit(total or 1.0)).alias("goal"))
 
 
-def _rake(cells: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
+def _rake(cells: DataFrame, targets: dict[str, dict[str, float]]) -> tuple[DataFrame, float]:
     """source, lang, topic, tokens, raked: totals whose marginals meet the targets and that add up to all tokens."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    small = {}
-    for name in ("lang", "topic"):
-        found = _shares(cells, name, targets.get(name)).limit(LABELS + 1).collect()
-        if len(found) > LABELS:
-            raise ValueError(f"more than {LABELS} values of {name}")
-        small[name] = {r[name]: r.goal for r in found}
-    sources = _shares(cells, "source", targets.get("source"))
-    base = materialize(cells.join(sources, "source", "left").select("source", "lang", "topic", "tokens", (F.coalesce("goal", F.lit(0.0)) * total).alias("goal")), "raking")
-    factors = {name: dict.fromkeys(goals, 1.0) for name, goals in small.items()}
-    for _ in range(ROUNDS if total else 0):
+    goals = {name: materialize(_shares(cells, name, targets.get(name)), "goals") for name in ("source", "lang", "topic")}
+    base = materialize(cells.join(goals["source"], "source", "left").select("source", "lang", "topic", "tokens", (F.coalesce("goal", F.lit(0.0)) * total).alias("goal")), "raking")
+    if not total:
+        return _weighed(base, {}), 0.0
+    if any(len(goals[name].take(LABELS + 1)) > LABELS for name in ("lang", "topic")):
+        return _rake_tables(base, goals, total)
+    small = {name: {r[name]: r.goal for r in goals[name].collect()} for name in ("lang", "topic")}  # LABELS rows at most
+    factors = {name: dict.fromkeys(shares, 1.0) for name, shares in small.items()}
+    for _ in range(ROUNDS):
         grid = {(r.lang, r.topic): r.t for r in _weighed(base, factors).groupBy("lang", "topic").agg(F.sum("raked").alias("t")).collect()}
         worst = 0.0
         for at, name in enumerate(("lang", "topic")):
@@ -147,7 +151,24 @@ def _rake(cells: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
             grid = {key: t * ratio[key[at]] for key, t in grid.items()}
         if worst < TOLERANCE:
             break
-    return _weighed(base, factors)
+    return _weighed(base, factors), worst
+
+
+def _rake_tables(base: DataFrame, goals: dict[str, DataFrame], total: float) -> tuple[DataFrame, float]:
+    """The same fit with all factors in tables; each round is written to the shared folder."""
+    now = base.select("source", "lang", "topic", "tokens", F.col("tokens").cast("double").alias("raked"))
+    for _ in range(ROUNDS):
+        errors = []
+        for name in ("lang", "topic", "source"):
+            sums = now.groupBy(name).agg(F.sum("raked").alias("s")).join(goals[name], name, "left")
+            ratio = F.when(F.col("s") > 0, F.coalesce("goal", F.lit(0.0)) * total / F.col("s")).otherwise(0.0)
+            sums = materialize(sums.select(name, ratio.alias("ratio"), (F.coalesce("goal", F.lit(0.0)) > 0).alias("aimed")), "ratios")
+            errors.append(sums.where("aimed").agg(F.max(F.abs(F.col("ratio") - 1))).first()[0] or 0.0)
+            now = now.join(sums.drop("aimed"), name).select("source", "lang", "topic", "tokens", (F.col("raked") * F.col("ratio")).alias("raked"))
+        now = materialize(now, "raking")
+        if max(errors) < TOLERANCE:
+            break
+    return now, max(errors)
 
 
 def _weighed(base: DataFrame, factors: dict[str, dict[str, float]]) -> DataFrame:
