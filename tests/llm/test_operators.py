@@ -71,6 +71,7 @@ def test_token_files(spark, docs, local, empty):
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
     one = packing.read_tokens(spark, path).where("doc_id = 0").first()
     assert one.ids == ids(dict(local)[0])
+    assert [r.ids for r in packing.fetch(spark, path, 3).collect()] == [ids(t) for i, t in local if i == 3]
     none = new_path(spark, "tokens")
     packing.write_tokens(empty, none, vocabulary)
     assert packing.token_index(spark, none).count() == 0
@@ -83,7 +84,7 @@ def test_encoders_on_odd_text():
     ours_byte, ours_word = packing.ChunkEncoder(P.path("byte_bpe_50k.json")), bpe.word_bpe(P.path("word_bpe_49k.json"))
     for _ in range(3000):
         t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 14)))
-        assert np.frombuffer(ours_byte.encode([t])[0], "<u4").tolist() == byte.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ours_byte.encode([t])[0], ours_byte.kind).tolist() == byte.encode(t, add_special_tokens=False).ids
         assert ours_word.encode([t])[0].tolist() == word.encode(t, add_special_tokens=False).ids
         assert sum(counts.lengths_of(piece, counts.pre_tokens(t))) == len(piece.encode(t))
 
@@ -103,7 +104,7 @@ def test_long_words_merge_alike():
 
 def test_memo_generations():
     made = []
-    m = Memo({"fixed": 0}, limit=10)
+    m = Memo({"fixed": 0}, limit=20 * 200)
     for k in range(100):
         got = m.fill({"often", f"w{k}", "fixed"}, lambda ws: [made.append(w) or len(w) for w in ws])
         assert got["often"] == 5 and got["fixed"] == 0 and len(got) <= 15
@@ -117,6 +118,9 @@ def test_bpe_round_trip(spark, docs, local, empty):
     want = sorted((str(i), tk.encode(t, add_special_tokens=False).ids) for i, t in local)
     assert sorted((str(r.doc_id), r.ids) for r in got) == want
     assert all(r.decoded == tk.decode(r.ids, skip_special_tokens=False) for r in got)
+    both = bpe.round_trip(docs, vocabulary).collect()
+    assert sorted((str(r.doc_id), r.ids, r.decoded) for r in both) == sorted((str(r.doc_id), r.ids, r.decoded) for r in got)
+    assert bpe.digests(bpe.round_trip(empty, vocabulary)).count() == 0
     assert bpe.digests(bpe.decode(bpe.encode(empty, vocabulary), vocabulary)).count() == 0
     assert bpe.decode(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>"), vocabulary).where("decoded = ''").count() == 2
 
@@ -124,7 +128,7 @@ def test_bpe_round_trip(spark, docs, local, empty):
 def test_token_counts(docs, local, empty):
     path = P.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in counts.token_counts(docs, path, limit=50, table_words=20).collect())
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in counts.token_counts(docs, path, limit=50).collect())
     assert got == sorted((str(i), len(t.encode()), len(sp.encode(t)), len(sp.encode(t)) > 50) for i, t in local)
     assert counts.token_counts(empty, path).count() == 0
 
@@ -194,26 +198,39 @@ def test_simhash(docs, local, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot_key", [50_000, 8])
-def test_trie_join_equals_brute_force(spark, hot_key):
+@pytest.mark.parametrize(("hot_key", "budget"), [(50_000, 4), (8, 4), (2, 4), (50_000, 1), (50_000, 5), (8, 6), (50_000, 9), (50_000, 0)])
+def test_trie_join_equals_brute_force(spark, hot_key, budget):
     rng = np.random.default_rng(4)
-    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64) << np.uint64(1)
     near = [base]
     for _ in range(6):
         x = base.copy()
-        for _ in range(int(rng.integers(1, 6))):
+        for _ in range(int(rng.integers(1, budget + 2))):
             x = x ^ (np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64))
         near.append(x)
     dense = np.full(150, base[0])
     for _ in range(4):
         dense = dense ^ (np.uint64(1) << rng.integers(0, 64, len(dense)).astype(np.uint64))
     f = np.unique(np.concatenate([*near, dense]))
-    edges = simhash.trie_links(spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long"), hot_key=hot_key).collect()
+    edges = simhash.trie_links(spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long"), budget, hot_key=hot_key).collect()
     at = {int(x): k for k, x in enumerate(f.view(np.int64))}
-    got = join_labels(np.arange(len(f)), np.array([at[e.a] for e in edges]), np.array([at[e.b] for e in edges]))
-    a, b = np.nonzero(np.bitwise_count(f[:, None] ^ f[None, :]) <= 4)
+    got = join_labels(np.arange(len(f)), np.array([at[e.a] for e in edges], dtype=int), np.array([at[e.b] for e in edges], dtype=int))
+    a, b = np.nonzero(np.bitwise_count(f[:, None] ^ f[None, :]) <= budget)
     assert np.array_equal(got, join_labels(np.arange(len(f)), a, b))
     assert all((int(np.uint64(e.a & (2**64 - 1))) ^ int(np.uint64(e.b & (2**64 - 1)))) for e in edges)
+    with pytest.raises(ValueError, match="budget"):
+        simhash.trie_links(spark.createDataFrame([(1,)], "fp long"), 40)
+
+
+def test_keep_one_of_near_copies(spark, docs, local, empty):
+    t = "the market value of the house and the end of the line"
+    rows = frame(spark, [(3, t), (5, t + " "), (5, "green stones roll by the old river at night"), (None, t + "\n"), (9, None), (None, ""), (8, "   ")])
+    stays = simhash.keep_one(rows)
+    assert stays.columns == rows.columns and sorted((str(r.doc_id), r.text) for r in stays.collect()) == [("3", t), ("5", "green stones roll by the old river at night"), ("8", "   ")]
+    found = simhash.near_duplicates(docs).collect()
+    kept = simhash.keep_one(docs)
+    assert {r.doc_id for r in kept.collect()} == {r.component_id for r in found}
+    assert simhash.keep_one(empty).count() == 0
 
 
 def test_components(spark):
@@ -245,6 +262,28 @@ def test_embeddings(spark):
     assert embed.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+def test_embeddings_that_share_an_id_or_clash(spark):
+    v = [1.0, 2.0, 3.0, 4.0]
+    near = [1.0, 2.0, 3.0, 4.01]
+    rows = [(1, v, 0, 0, 0, 0), (1, near, 0, 0, 0, 0), (1, v, 0, 0, 0, 0), (7, [-5.0, 1.0, 0.0, 2.0], 0, 0, 0, 0), (7, None, 0, 0, 0, 0)]
+    schema = "vec_id long, embedding array<float>, class long, v long, m long, id long"
+    got = embed.near_duplicates(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 0, 1, True)] * 3 + [(7, 0, 7, True)] * 2
+    more = embed.near_duplicates(spark.createDataFrame([*rows, (2, near, 0, 0, 0, 0), (3, v, 0, 0, 0, 0)], schema)).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in more} == {(1, 2, 1), (2, 2, 1), (3, 2, 1), (7, 0, 7)}
+
+
+def test_embedding_recall_at_production_parameters(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = embed.near_duplicates(table).toPandas().set_index("vec_id")
+    data = table.select("vec_id", "embedding").toPandas()
+    x = np.stack(data.embedding.to_numpy()).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.95).sum(axis=1) - 1
+    ours = got.n_links.reindex(data.vec_id).to_numpy()
+    assert (ours <= links).all() and ours.sum() >= 0.99 * links.sum()
+
+
 def test_embedding_chunks_count_every_link(spark):
     keep, embed.CHUNK = embed.CHUNK, 16
     try:
@@ -337,6 +376,25 @@ def test_license(spark, empty):
     assert license.scan(empty).count() == 0
 
 
+def test_license_of_any_length(spark):
+    rng = random.Random(12)
+    body = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randrange(5000)) for _ in range(n))
+    long, longest, noise = body(600), body(1500), body(3000)
+    words = longest.split()
+    damaged = " ".join(w if k % 40 else "other" for k, w in enumerate(words))  # four fifths of its shingles and more stay
+    rows = [(1, noise + " " + long + " " + noise), (2, longest), (3, noise), (4, body(700) + " " + damaged), (5, " ".join(words[:700])), (2, longest)]
+    table = spark.createDataFrame([("long", long), ("longest", longest), ("short", "a b"), (None, None)], "license string, body string")
+    got = license.scan(frame(spark, rows), templates=table).collect()
+    assert {(r.doc_id, r.license) for r in got} == {(1, "long"), (2, "longest"), (4, "longest")}
+    assert all(r.containment == 1 for r in got if r.doc_id != 4) and all(0.8 <= r.containment < 1 for r in got if r.doc_id == 4)
+    keep, license.SMALL = license.SMALL, 10
+    try:
+        assert sorted(license.scan(frame(spark, [rows[1], rows[3]]), templates=table).select("doc_id", "license").collect()) == [(2, "longest"), (4, "longest")]
+    finally:
+        license.SMALL = keep
+    assert license.scan(frame(spark, rows[2:3]), templates={"short": "a b"}).count() == 0
+
+
 def brute_rake(cells, goals, rounds=200):
     w = dict(cells)
     for _ in range(rounds):
@@ -368,5 +426,12 @@ def test_mixing(spark, empty):
     assert kept == pytest.approx(total / 2, rel=1e-3)
     assert {r.doc_id for r in out if r.sampled} == {r.doc_id for r in mixing.mix(d, topic=F.col("topic"), targets=targets).collect() if r.sampled}
     assert mixing.mix(empty).count() == 0 and mixing.sample(empty).count() == 0
+    assert max(r.marginal_error for r in out) < 1e-5
+    held, mixing.LABELS = mixing.LABELS, 2
+    try:
+        tables = {(r.source, r.lang, r.topic): r.weight for r in mixing.mix(d, topic=F.col("topic"), targets=targets).collect()}
+    finally:
+        mixing.LABELS = held
+    assert all(tables[k] == pytest.approx(want[k] / cells[k], rel=1e-4) for k in cells)
     drawn = mixing.sample(d, topic=F.col("topic"), targets=targets)
     assert drawn.columns == d.columns and sorted(str(r.doc_id) for r in drawn.collect()) == sorted(str(r.doc_id) for r in out if r.sampled)
