@@ -58,15 +58,15 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = F.max_by("value", order) > F.min_by("value", order)
     return e.groupBy(F.expr(f"us div {SLOT}000000 * {SLOT}").alias("slot_ts")).agg(F.when(up, 1).otherwise(0).alias("target")).select(
         F.concat(F.lit("m"), F.col("slot_ts").cast("string")).alias("market_id"),
-        F.concat(F.lit("asset-updown-6h-"), F.col("slot_ts").cast("string")).alias("slug"),
+        F.concat(F.lit("btc-updown-6h-"), F.col("slot_ts").cast("string")).alias("slug"),
         "slot_ts",
         "target",
     )
 
 
 def ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order books from line items: asks ascending, bids descending, as arrays of (price, size)."""
-    line = table(spark, sf_dir, "lineitem").withColumn("level", F.struct((F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 10_000 + 0.5) / 10_000).alias("price"), F.col("l_quantity").alias("size")))
+    """Order books from line items: asks ascending, bids descending, as arrays of (price, size); prices of 1 to 99 cents."""
+    line = table(spark, sf_dir, "lineitem").withColumn("level", F.struct(((F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) % 99 + 1) / 100.0).alias("price"), F.col("l_quantity").alias("size")))
     side = lambda s: F.collect_list(F.when(F.col("l_linestatus") == s, F.col("level")))
     return line.groupBy(F.col("l_orderkey").alias("book_id")).agg(F.sort_array(side("F")).alias("asks"), F.sort_array(side("O"), asc=False).alias("bids"))
 
@@ -89,12 +89,12 @@ SQL = {
                min(value) AS low, arg_max(value, (epoch_us(ts), event_id)) AS close, count(*) AS volume
         FROM events GROUP BY 1)""",
     "slots": f"""slots AS (
-        SELECT 'm' || s AS market_id, 'asset-updown-6h-' || s AS slug, s AS slot_ts, target FROM (
+        SELECT 'm' || s AS market_id, 'btc-updown-6h-' || s AS slug, s AS slot_ts, target FROM (
             SELECT epoch_us(ts) // {SLOT}000000 * {SLOT} AS s,
                    CASE WHEN arg_max(value, (epoch_us(ts), event_id)) > arg_min(value, (epoch_us(ts), event_id)) THEN 1 ELSE 0 END AS target
             FROM events GROUP BY 1))""",
     "ladders": """levels AS (
-        SELECT l_orderkey AS book_id, l_linestatus AS s, floor(l_extendedprice / l_quantity * 10000 + 0.5) / 10000 AS price, l_quantity AS size FROM lineitem),
+        SELECT l_orderkey AS book_id, l_linestatus AS s, (CAST(floor(l_extendedprice / l_quantity * 100) AS BIGINT) % 99 + 1) / 100.0 AS price, l_quantity AS size FROM lineitem),
         ladders AS (
         SELECT book_id, coalesce(list({'price': price, 'size': size} ORDER BY price, size) FILTER (s = 'F'), []) AS asks,
                coalesce(list({'price': price, 'size': size} ORDER BY price DESC, size DESC) FILTER (s = 'O'), []) AS bids

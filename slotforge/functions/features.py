@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotforge.operators import book
 from slotforge.operators.flow import cyclical
 
 #: name: (category, text). Fixed lists of this domain's features; ``lag`` and sub-window names follow a rule.
@@ -26,7 +27,9 @@ REGISTRY: dict[str, tuple[str, str]] = {
     "size_disparity": ("flow", "mean Up size against mean Down size"),
     "up_ratio_z20": ("zscore", "up ratio against 20 slots"),
     "up_ratio_z5": ("zscore", "up ratio against 5 slots"),
-    "up_ratio_zc": ("zscore", "clipped form"),
+    "up_w5_z20": ("zscore", "last sub-window against 20 slots"),
+    "lag_ur_z20": ("lag", "up ratio of the slot before against 20 slots, clipped"),
+    "lag_ur_z5": ("lag", "up ratio of the slot before against 5 slots, clipped"),
     "ret_0h": ("spot", "return inside the slot"),
     "ret_1h": ("spot", "return since an hour before"),
     "ret_6h": ("spot", "return since six hours before"),
@@ -46,14 +49,27 @@ REGISTRY: dict[str, tuple[str, str]] = {
     f"lag{k}_{c}": ("lag", f"{c} {k} slots ago") for k in range(1, 6) for c in ("target", "up_ratio", "n_ticks", "vol_tot")
 }
 
-#: Products of two columns.
-CROSS = {"hour_x_ratio": ("hour_sin", "up_ratio"), "flow_x_spot": ("up_ratio", "ret_0h"), "momentum_x_vol": ("momentum", "ret_vol"), "z_x_ret": ("up_ratio_z20", "ret_1h"), "buy_x_trend": ("buy_ratio", "vwap_trend")}
+#: Order-book features of a slot (prefix ob_) and microstructure of its last minute (prefix clob_).
+BOOK = tuple("ob_" + n for n in (*book.STATIC, "mid_drift", "imbalance_end", "spread_end", "depth_change", "imb_momentum", "imb_w0", "imb_w1", "imb_w2", "pc_up_ratio", "pc_volatility", "pc_count", "fill_imbalance"))
+CLOB = tuple("clob_" + n for n in ("imb_mean", "imb_std", "imb_drift", "spread_mean", "spread_trend", "mid_velocity", "mid_volatility", "activity_rate", "depth_trend", "ask_pressure"))
+REGISTRY |= {n: ("book", "order book at the close of the window") for n in BOOK} | {n: ("clob", "events of the last minute") for n in CLOB}
+
+#: Products of two columns by set; those with a book column are 0 for a slot without a book. hour_share is hour / 24.
+CROSS = {
+    "v25": {
+        "hour_x_up_ratio": ("up_ratio", "hour_share"), "hour_x_tw_ur": ("decayed_up_ratio", "hour_share"), "x_imb_x_ur": ("ob_imbalance", "up_ratio"), "x_depth_x_momentum": ("ob_depth_ratio", "momentum"),
+        "x_spread_x_vol": ("ob_spread", "n_ticks"), "x_ob_drift_x_inslot": ("ob_mid_drift", "ret_0h"), "x_fill_imb_x_buy": ("ob_fill_imbalance", "buy_ratio"),
+    },
+    "v26": {
+        "x_imb_x_inslot": ("ob_imbalance", "ret_0h"), "x_drift_x_ret5m": ("ob_mid_drift", "ret_1h"), "x_spread_x_vol": ("ob_spread", "ret_vol"), "x_imb_end_x_ret": ("ob_imbalance_end", "ret_0h"),
+        "x_depth_x_vol": ("ob_depth_ratio", "ret_vol"),
+    },
+}
 
 SETS = {
-    "v25": [n for n in REGISTRY if n not in ("up_ratio_zc", "ret_vol", "volume_ratio", "range_pos")],
-    "v26": [n for n, (category, _) in REGISTRY.items() if category in ("spot", "lag", "calendar")] + ["up_ratio_zc"],
+    "v25": [n for n in REGISTRY if n not in ("lag_ur_z20", "lag_ur_z5", "ret_vol", "volume_ratio", "range_pos", "day_range")],
+    "v26": [n for n, (category, _) in REGISTRY.items() if category in ("spot", "lag", "calendar", "book", "clob")],
 }
-_CROSS_OF = {"v25": tuple(CROSS), "v26": ("momentum_x_vol", "z_x_ret")}
 
 
 def registry(spark: SparkSession) -> DataFrame:
@@ -63,16 +79,20 @@ def registry(spark: SparkSession) -> DataFrame:
 def calendar(df: DataFrame, ts: str) -> DataFrame:
     """Cyclical UTC hour and weekday (Monday 0) of an epoch second."""
     hour, day = F.pmod(F.col(ts), F.lit(86_400)) / 3600.0, F.pmod(F.expr(f"{ts} div 86400") + 3, F.lit(7))
-    return df.select("*", *cyclical(hour, 24, "hour"), *cyclical(day, 7, "weekday"))
+    return df.select("*", *cyclical(hour, 24, "hour"), *cyclical(day, 7, "weekday"), (hour / 24).alias("hour_share"))
 
 
-def select_set(wide: DataFrame, version: str) -> DataFrame:
-    products = [(F.col(a) * F.col(b)).alias(n) for n, (a, b) in CROSS.items() if n in _CROSS_OF[version]]
-    return wide.select("slot_ts", "target", *(F.col(n).cast("double").alias(n) for n in SETS[version]), *products)
+def with_books(wide: DataFrame, books: DataFrame, key: str) -> DataFrame:
+    """Join book features; a slot without a book has neutral values and ``has_book`` false."""
+    joined = wide.join(books.withColumn("has_book", F.lit(True)), key, "left")
+    filled = fill_by_name(joined, [n for n in BOOK if n in books.columns], neutral_value)
+    return filled.fillna(0.0, subset=[n for n in CLOB if n in books.columns]).withColumn("has_book", F.coalesce("has_book", F.lit(False)))
 
 
-def set_sql(version: str) -> dict[str, str]:
-    return {n: n for n in SETS[version]} | {n: f"{a} * {b}" for n, (a, b) in CROSS.items() if n in _CROSS_OF[version]}
+def select_set(wide: DataFrame, version: str) -> DataFrame:
+    product = lambda a, b: F.col(a) * F.col(b)
+    crosses = [(F.when(F.col("has_book"), product(a, b)).otherwise(0.0) if a in BOOK else product(a, b)).alias(n) for n, (a, b) in CROSS[version].items()]
+    return wide.select("slot_ts", "target", *(F.col(n).cast("double").alias(n) for n in SETS[version]), *crosses)
 
 
 def neutral_value(name: str) -> float:
@@ -81,17 +101,17 @@ def neutral_value(name: str) -> float:
         return 0.0
     if "spread" in name:
         return 0.02
-    if "depth" in name or "5c" in name:
+    if "depth" in name and "5c" in name:
         return 0.5
     return 0.5 if "mid" in name and "drift" not in name else 0.0
 
 
-#: Serving defaults by part of a feature's name, first fit.
-SERVING = (("depth_5c", 0.5), ("depth_ratio", 1.0), ("total_depth", 1000.0), ("spread", 0.02), ("drift", 0.0), ("mid", 0.5))
+#: Serving defaults by exact name; all else is 0.
+SERVING = {"ob_mid": 0.5, "ob_ask_depth_5c": 0.5, "ob_bid_depth_5c": 0.5, "ob_depth_ratio": 1.0, "ob_total_depth": 1000.0, "ob_spread": 0.02}
 
 
 def serving_default(name: str) -> float:
-    return next((v for part, v in SERVING if part in name), 0.0)
+    return SERVING.get(name, 0.0)
 
 
 def fill_by_name(df: DataFrame, names: list[str], rule: Callable[[str], float]) -> DataFrame:
@@ -111,4 +131,4 @@ def serve(df: DataFrame, ordered: list[str]) -> DataFrame:
 def epoch_seconds(col: Column) -> Column:
     """Seconds from an epoch that may be in seconds, milliseconds or microseconds; what isn't a number is 0."""
     x = col.try_cast("double")
-    return F.when(x.isNull(), 0.0).when(x > 1e14, x / 1e6).when(x > 1e11, x / 1e3).otherwise(x)
+    return F.when(x.isNull(), 0.0).when(x > 1e14, x / 1e6).when(x > 1e10, x / 1e3).otherwise(x)

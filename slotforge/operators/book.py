@@ -22,87 +22,83 @@ def best_bid(bids: Column) -> Column:
     return F.array_max(F.transform(bids, lambda x: x["price"]))
 
 
+#: Static features of a snapshot, in the order in which they are computed.
+STATIC = ("mid", "spread", "imbalance", "bid_depth_5c", "ask_depth_5c", "depth_ratio", "total_depth", "weighted_imb")
+
+
 def snapshot_metrics(band: float = 0.05, sharpness: float = 10.0) -> list[Column]:
-    """Mid, spread, imbalances and depth of one snapshot with sorted ``asks`` and ``bids``; null with an empty side."""
+    """Mid, spread, imbalances and depth of one snapshot with sorted ``asks`` and ``bids``; null with an empty side.
+
+    Depth counts levels within ``band`` of the mid, as a share of the side; weights fall with the distance from the mid.
+    """
     asks, bids = F.col("asks"), F.col("bids")
     ask, bid = F.element_at(asks, 1), F.element_at(bids, 1)
     both = (F.size(asks) > 0) & (F.size(bids) > 0)
     mid = (ask["price"] + bid["price"]) / 2
     sa, sb = total(asks), total(bids)
-    near_a = total(asks, lambda x: x["price"] <= ask["price"] * (1 + band))
-    near_b = total(bids, lambda x: x["price"] >= bid["price"] * (1 - band))
-    pulled = lambda ladder: F.aggregate(ladder, F.lit(0.0), lambda s, x: s + x["size"] * F.exp(-F.lit(sharpness) * F.abs(x["price"] / mid - 1)))
+    near_a = total(asks, lambda x: x["price"] <= mid + band) / (sa + 1e-8)
+    near_b = total(bids, lambda x: x["price"] >= mid - band) / (sb + 1e-8)
+    pulled = lambda ladder: F.aggregate(ladder, F.lit(0.0), lambda s, x: s + x["size"] * F.exp(-F.lit(sharpness) * F.abs(x["price"] - mid)))
     wa, wb = pulled(asks), pulled(bids)
-    out = {
-        "mid": mid,
-        "spread": ask["price"] - bid["price"],
-        "top_imbalance": (bid["size"] - ask["size"]) / (bid["size"] + ask["size"] + 1e-8),
-        "ask_depth_near": near_a / (sa + 1e-8),
-        "bid_depth_near": near_b / (sb + 1e-8),
-        "depth_ratio": sb / (sa + 1e-8),
-        "total_depth": sa + sb,
-        "weighted_imbalance": (wb - wa) / (wb + wa + 1e-8),
-    }
-    return [F.when(both, c).alias(k) for k, c in out.items()]
+    values = (mid, ask["price"] - bid["price"], (bid["size"] - ask["size"]) / (bid["size"] + ask["size"] + 1e-8), near_b, near_a, near_b / (near_a + 1e-8), sa + sb, (wb - wa) / (wb + wa + 1e-8))
+    return [F.when(both, c).alias(k) for k, c in zip(STATIC, values, strict=True)]
+
 
+def open_close(snapshots: DataFrame, key: str, opened: float = 30, close_from: float = 150, cutoff: float = 168, window: float = 60) -> DataFrame:
+    """Open: first snapshot with t <= opened, else the first; close: last with close_from <= t < cutoff.
 
-def open_close(snapshots: DataFrame, key: str, opened: float, close_from: float, close_to: float) -> DataFrame:
-    """Open: first snapshot with t <= opened, else the first; close: last with close_from <= t < close_to, else open."""
-    order = F.struct("t", "id")
-    fields = F.struct("mid", "spread", "total_depth", "top_imbalance")
-    t = F.col("t")
+    Static features are those of the close, or of the open where there is none; then all changes are 0. Mean imbalances
+    are of the windows that begin at 0, ``window`` and twice that, the last one ends at ``cutoff``.
+    """
+    order, fields, t = F.struct("t", "id"), F.struct(*STATIC), F.col("t")
+    early, late = t <= opened, (t >= close_from) & (t < cutoff)
+    mean = lambda a, b: F.coalesce(F.avg(F.when((t >= a) & (t < b), F.col("imbalance"))), F.lit(0.0))
     g = snapshots.groupBy(key).agg(
-        F.min_by(F.when(t <= opened, fields), F.when(t <= opened, order)).alias("_o"),
-        F.min_by(fields, order).alias("_f"),
-        F.max_by(F.when((t >= close_from) & (t < close_to), fields), F.when((t >= close_from) & (t < close_to), order)).alias("_c"),
-        *(F.coalesce(F.avg(F.when((t >= a) & (t < b), F.col("top_imbalance"))), F.lit(0.0)).alias(f"imb_{k}") for k, (a, b) in enumerate(((0, close_to / 3), (close_to / 3, 2 * close_to / 3), (2 * close_to / 3, close_to)))),
-        F.count("*").alias("n_snapshots"),
+        F.min_by(F.when(early, fields), F.when(early, order)).alias("_o"), F.min_by(fields, order).alias("_f"), F.max_by(F.when(late, fields), F.when(late, order)).alias("_c"),
+        *(mean(a, b).alias(f"imb_w{k}") for k, (a, b) in enumerate(((0, window), (window, 2 * window), (2 * window, cutoff)))), F.count("*").alias("n_snapshots"),
     )
     o = F.coalesce("_o", "_f")
     c = F.coalesce(F.col("_c"), o)
     return g.select(
-        key, "n_snapshots",
-        o["mid"].alias("open_mid"), c["mid"].alias("close_mid"), (c["mid"] - o["mid"]).alias("mid_drift"),
-        c["spread"].alias("close_spread"), (c["total_depth"] / (o["total_depth"] + 1e-8) - 1).alias("depth_change"),
-        (c["top_imbalance"] - o["top_imbalance"]).alias("imb_momentum"), "imb_0", "imb_1", "imb_2",
+        key, "n_snapshots", *(c[n].alias(n) for n in STATIC), (c["mid"] - o["mid"]).alias("mid_drift"), c["imbalance"].alias("imbalance_end"), c["spread"].alias("spread_end"),
+        (c["total_depth"] - o["total_depth"]).alias("depth_change"), (c["imbalance"] - o["imbalance"]).alias("imb_momentum"), "imb_w0", "imb_w1", "imb_w2",
     )
 
 
+def _before(value: str, key: str, *order: str) -> Column:
+    """The last known value in an earlier row of the key."""
+    return F.last(value, True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+
+
 def price_changes(moves: DataFrame, key: str) -> DataFrame:
-    """Share of upward moves, std_pop of moves, number of moves and size-weighted fill imbalance."""
-    w = Window.partitionBy(key).orderBy("t", "id", "price")
-    d = moves.withColumn("_d", F.col("price") - F.lag("price").over(w))
-    signed = F.when(F.col("side") == "BUY", F.col("size")).otherwise(-F.col("size"))
+    """Share of upward moves (0 without a move), std_pop of moves, number of moves and fill imbalance by size.
+
+    Rows without a price make no move; sides other than BUY and SELL, null included, fill neither.
+    """
+    d = moves.withColumn("_d", F.col("price") - _before("price", key, "t", "id", "price"))
+    side = F.upper("side")
+    of = lambda s: F.coalesce(F.sum(F.when(side == s, F.col("size"))), F.lit(0.0))
     n = F.count_if(F.col("_d") != 0)
     return d.groupBy(key).agg(
-        F.when(n > 0, F.count_if(F.col("_d") > 0) / n).otherwise(0.5).alias("pc_up_share"),
-        F.coalesce(F.stddev_pop("_d"), F.lit(0.0)).alias("pc_std"),
-        n.alias("pc_moves"),
-        (F.sum(signed) / (F.sum("size") + 1e-8)).alias("pc_imbalance"),
+        (F.count_if(F.col("_d") > 0) / (n + 1e-8)).alias("pc_up_ratio"), F.when(F.count("_d") > 1, F.stddev_pop("_d")).otherwise(0.0).alias("pc_volatility"),
+        n.cast("double").alias("pc_count"), ((of("BUY") - of("SELL")) / (of("BUY") + of("SELL") + 1e-8)).alias("fill_imbalance"),
     )
 
 
-def microstructure(events: DataFrame, key: str, span: float) -> DataFrame:
-    """Ten features of a window: columns t, id, mid, spread, ask, imbalance, depth (null on synthetic snapshots).
+def microstructure(events: DataFrame, key: str, span: float, least_events: int = 5, least_mids: int = 2) -> DataFrame:
+    """Ten features of a window: columns t, id, mid, spread (null where unknown), imbalance and depth (null unless the
+    event is a whole book), sell_price (null unless the event is a price change on the selling side).
 
-    Slopes are least squares, 0 for fewer than two points or one time; pressure is the share of downward moves among
-    the moves of consecutive ask prices.
+    All are 0 for fewer than ``least_events`` events or ``least_mids`` mids. Slopes are least squares, 0 for one time;
+    pressure is the share of downward moves among the moves of consecutive sell prices.
     """
-    w = Window.partitionBy(key).orderBy("t", "id")
-    e = events.withColumns({"_dm": F.col("mid") - F.lag("mid").over(w), "_da": F.col("ask") - F.lag("ask").over(w)})
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    order = F.struct("t", "id")
-    real = F.col("imbalance").isNotNull()
+    e = events.withColumns({"_dm": F.col("mid") - _before("mid", key, "t", "id"), "_da": F.col("sell_price") - _before("sell_price", key, "t", "id")})
+    order, real = F.struct("t", "id"), F.col("imbalance").isNotNull()
     moved = F.count_if(F.col("_da") != 0)
-    return e.groupBy(key).agg(
-        zero(F.avg("imbalance")).alias("imb_mean"),
-        zero(F.stddev_pop("imbalance")).alias("imb_std"),
-        zero(F.max_by("imbalance", F.when(real, order)) - F.min_by("imbalance", F.when(real, order))).alias("imb_drift"),
-        zero(F.avg("spread")).alias("spread_mean"),
-        zero(F.regr_slope("spread", "t")).alias("spread_slope"),
-        zero(F.regr_slope("mid", "t")).alias("mid_slope"),
-        zero(F.stddev_pop("_dm")).alias("mid_move_std"),
-        (F.count("*") / F.lit(span)).alias("events_per_sec"),
-        zero(F.regr_slope("depth", "t")).alias("depth_slope"),
-        F.when(moved > 0, F.count_if(F.col("_da") < 0) / moved).otherwise(0.0).alias("ask_pressure"),
-    )
+    enough = (F.count("*") >= least_events) & (F.count("mid") >= least_mids)
+    values = {
+        "imb_mean": F.avg("imbalance"), "imb_std": F.stddev_pop("imbalance"), "imb_drift": F.max_by("imbalance", F.when(real, order)) - F.min_by("imbalance", F.when(real, order)),
+        "spread_mean": F.avg("spread"), "spread_trend": F.regr_slope("spread", "t"), "mid_velocity": F.regr_slope("mid", "t"), "mid_volatility": F.stddev_pop("_dm"),
+        "activity_rate": F.count("*") / F.lit(span), "depth_trend": F.regr_slope("depth", "t"), "ask_pressure": F.when(moved > 0, F.count_if(F.col("_da") < 0) / moved),
+    }
+    return e.groupBy(key).agg(*(F.when(enough, F.coalesce(c, F.lit(0.0))).otherwise(0.0).alias(n) for n, c in values.items()))

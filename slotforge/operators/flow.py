@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 EPS = 1e-9
 
@@ -159,46 +160,66 @@ def phase_of(t: Column, first: float, second: float, end: float | None = None, l
     return phase if end is None else F.when((t >= 0) & (t <= end), phase)
 
 
+PHASE_FIELDS = ("vol_up", "vol_down", "up_ratio", "n_ticks", "n_up", "n_down", "total_vol", "vwap_up", "vwap_down")
+
+
 def phase_pack(ticks: DataFrame, first: float, second: float) -> DataFrame:
-    """Nine aggregates for each of three phases, totals, and contrasts between phases."""
+    """Nine aggregates for each of three phases, the number of all ticks, and contrasts between phases."""
     t = ticks.withColumn("phase", phase_of(F.col("t_sec"), first, second))
-    up, buy, size = F.col("outcome") == "Up", F.col("side") == "BUY", F.col("size_usdc")
-    eps = 1e-8
-    aggs = []
+    up, size, eps = F.col("outcome") == "Up", F.col("size_usdc"), 1e-8
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    sums = []
     for p in PHASES:
         here = F.col("phase") == p
-        zero = lambda c: F.coalesce(c, F.lit(0.0))
-        aggs += [
-            zero(_of(here, size)).alias(f"{p}_volume"),
-            zero(_of(here & up, size)).alias(f"{p}_up"),
-            zero(_of(here & ~up, size)).alias(f"{p}_down"),
-            zero(_of(here & buy, size)).alias(f"{p}_buy"),
-            zero(_of(here & ~buy, size)).alias(f"{p}_sell"),
-            F.count_if(here).alias(f"{p}_n"),
-            zero(F.avg(F.when(here, size))).alias(f"{p}_avg"),
-            zero(F.avg(F.when(here, F.col("price")))).alias(f"{p}_price"),
-            zero(F.max(F.when(here, size))).alias(f"{p}_max"),
-        ]
-    packed = t.groupBy("market_id").agg(*aggs, F.sum(size).alias("total_volume"), F.count("*").alias("total_n"))
-    e, m, l = (F.col(f"{p}_volume") for p in PHASES)
+        for side, of in (("up", here & up), ("down", here & ~up)):
+            sums += [zero(_of(of, size)).alias(f"{p}_vol_{side}"), F.count_if(of).alias(f"{p}_n_{side}"), zero(_of(of, F.col("price") * size)).alias(f"_{p}_pv_{side}")]
+    c = lambda p, n: F.col(f"{p}_{n}")
+    both = {p: c(p, "vol_up") + c(p, "vol_down") for p in PHASES}
+    packed = t.groupBy("market_id").agg(*sums).withColumns({
+        k: v for p in PHASES for k, v in {
+            f"{p}_total_vol": both[p], f"{p}_n_ticks": c(p, "n_up") + c(p, "n_down"), f"{p}_up_ratio": c(p, "vol_up") / (both[p] + eps),
+            **{f"{p}_vwap_{s}": F.col(f"_{p}_pv_{s}") / (c(p, f"vol_{s}") + eps) for s in ("up", "down")},
+        }.items()
+    })
+    n = sum((c(p, "n_ticks") for p in PHASES[1:]), c(PHASES[0], "n_ticks"))
     return packed.select(
-        "*",
-        *((F.col(f"{p}_up") / (F.col(f"{p}_volume") + eps)).alias(f"{p}_up_ratio") for p in PHASES),
-        (l / (e + eps)).alias("momentum_vol_ratio"),
-        (l / (F.col("total_volume") + eps)).alias("late_surge"),
-        (m - e).alias("early_mid_vol_diff"),
-        (l - m).alias("mid_late_vol_diff"),
-        ((l - e) / (F.col("total_volume") + eps)).alias("vol_trend"),
+        "market_id", *(c(p, f) for p in PHASES for f in PHASE_FIELDS), n.alias("total_temporal_n_ticks"),
+        (c("early", "up_ratio") / (c("late", "up_ratio") + eps)).alias("momentum_vol_ratio"), (c("late", "n_ticks") / (n + eps)).alias("late_surge"),
+        (c("early", "up_ratio") - c("mid", "up_ratio")).alias("early_mid_vol_diff"), (c("mid", "up_ratio") - c("late", "up_ratio")).alias("mid_late_vol_diff"),
+        (c("late", "total_vol") / (c("early", "total_vol") + eps)).alias("vol_trend"),
+    )
+
+
+def documented_features(ticks: DataFrame, obs: float, windows: int = 6) -> DataFrame:
+    """Features that only the documents of the domain describe: accelerations of volume and of ticks, and momentum
+    weighted by the volume of the sub-windows. 1 and 0 where there is nothing to compare with."""
+    up, size, t = F.col("outcome") == "Up", F.col("size_usdc"), F.col("t_sec")
+    index, half = F.floor(t / (obs / windows)), windows // 2
+    g = ticks.where((t >= 0) & (t < obs)).groupBy("slot_ts").agg(
+        *(c for k in range(windows) for c in (F.coalesce(_of(index == k, size), F.lit(0.0)).alias(f"v{k}"), F.coalesce(_of((index == k) & up, size), F.lit(0.0)).alias(f"u{k}"))),
+        F.count_if(index == 0).alias("first"), F.count_if(index == windows - 1).alias("last"),
+    )
+    v = [F.col(f"v{k}") for k in range(windows)]
+    w = [F.when(v[k] > 0, F.col(f"u{k}") / v[k]).otherwise(0.5) for k in range(windows)]
+    add = lambda cols: sum(cols[1:], cols[0])
+    accel = F.when(add(v[:half]) > 0, add(v[half:]) / add(v[:half])).otherwise(1.0)
+    momentum = add(w[half:]) / (windows - half) - add(w[:half]) / half
+    return g.select(
+        "slot_ts", accel.alias("vol_accel"), F.when(F.col("first") > 0, (F.col("last") - F.col("first")) / F.col("first")).otherwise(0.0).alias("tick_accel"),
+        F.when(add(v) > 0, add([v[k] / add(v) * (w[k] - 0.5) for k in range(windows)])).otherwise(0.0).alias("vwmom"), (momentum * accel).alias("momentum_vol_sync"),
     )
 
 
 def serving_pack(ticks: DataFrame) -> DataFrame:
-    """Prices at index round_half_even(q * (n - 1)) of a market's ordered trades, and population deviations."""
-    ordered = F.sort_array(F.collect_list(F.struct("t_sec", "event_id", "price")))
-    packed = ticks.groupBy("market_id").agg(ordered.alias("_p"), F.avg("price").alias("price_mean"), F.stddev_pop("price").alias("price_std"), F.sum("size_usdc").alias("volume"))
-    n = F.size("_p")
-    at = lambda q: F.element_at("_p", (F.bround(F.lit(q) * (n - 1), 0).cast("int") + 1))["price"]
-    return packed.select("market_id", n.cast("long").alias("n"), *(at(q).alias(f"price_i{int(q * 100)}") for q in (0.0, 0.25, 0.5, 0.75, 1.0)), "price_mean", "price_std", "volume")
+    """Prices at index round_half_even(q * (n - 1)) of a market's ordered trades, and population deviations.
+
+    The index is compared with a rank inside the market, so that no row holds a market's trades."""
+    rank = F.row_number().over(Window.partitionBy("market_id").orderBy("t_sec", "event_id")) - 1
+    base = ticks.groupBy("market_id").agg(F.count("*").alias("n"), F.avg("price").alias("price_mean"), F.stddev_pop("price").alias("price_std"), F.sum("size_usdc").alias("volume"))
+    ranked = ticks.select("market_id", "price", rank.alias("_r")).join(base.select("market_id", "n"), "market_id")
+    at = lambda q: F.max(F.when(F.col("_r") == F.bround(F.lit(q) * (F.col("n") - 1), 0), F.col("price"))).alias(f"price_i{int(q * 100)}")
+    prices = ranked.groupBy("market_id").agg(*map(at, (0.0, 0.25, 0.5, 0.75, 1.0)))
+    return base.join(prices, "market_id").select("market_id", "n", *prices.columns[1:], "price_mean", "price_std", "volume")
 
 
 def scan_pack(ticks: DataFrame) -> DataFrame:

@@ -34,13 +34,19 @@ class Range:
     high: float
 
 
-#: Limits by part of a feature's name; the first that fits counts, and all values stay within a million.
-RANGES = (("_ret", Range(-0.05, 0.05)), ("ratio_z", Range(-5, 5)), ("ratio", Range(-0.001, 1.001)))
+# Which features are returns, shares and z-scores; all values stay within a million.
+RETURNS = frozenset(("ret_0h", "ret_1h", "ret_6h", "ret_24h"))
+RATIOS = frozenset(("up_ratio", "buy_ratio", "decayed_up_ratio", "up_w0", "up_w1", "up_w2", "up_w3", "up_w4", "up_w5", "ob_bid_depth_5c", "ob_ask_depth_5c"))
+ZSCORES = frozenset(("up_ratio_z5", "up_ratio_z20", "up_w5_z20"))
 WIDEST = Range(-1e6, 1e6)
 
 
 def range_of(name: str) -> Range:
-    return next((r for part, r in RANGES if part in name or (part == "_ret" and name.startswith("ret"))), WIDEST)
+    if name in RETURNS:
+        return Range(-0.05, 0.05)
+    if name in RATIOS:
+        return Range(-0.001, 1.001)  # a thousandth for rounding
+    return Range(-5, 5) if name in ZSCORES else WIDEST
 
 
 def violations(names: list[str]) -> Column:

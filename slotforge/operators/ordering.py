@@ -41,14 +41,23 @@ def in_blocks(rank: str = "rank"):
     return Window.partitionBy("_block").orderBy(rank)
 
 
+def _ahead(each: DataFrame, aggs: dict[str, tuple], size: int) -> DataFrame:
+    """For each block ``_b`` what lies before it: inside its run of blocks, and in the runs before that. The last window
+    has a row for each ``size`` blocks."""
+    runs = each.withColumn("_r", F.floor(F.col("_b") / size))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_r").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = runs.groupBy("_r").agg(*(f(n).alias(n) for n, (f, _) in aggs.items())).select("_r", *(f(n).over(before).alias(f"_w{n}") for n, (f, _) in aggs.items()))
+    return runs.join(whole, "_r").select("_b", *(join(F.col(f"_w{n}"), f(n).over(inside)).alias(f"_a{n}") for n, (f, join) in aggs.items()))
+
+
 def running(ranked: DataFrame, sums: dict[str, Column], rank: str = "rank", size: int = BLOCK) -> DataFrame:
     """Running totals over the whole order: inside blocks, plus what lies before the block."""
     own = ranked.withColumn("_b", F.floor(F.col(rank) / size))
-    each = own.groupBy("_b").agg(*(F.sum(c).alias(f"_s_{k}") for k, c in sums.items()))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
-    ahead = each.select("_b", *(F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0.0)).alias(f"_a_{k}") for k in sums))
+    each = own.groupBy("_b").agg(*(F.sum(c).alias(f"_{k}") for k, c in sums.items()))
+    plus = lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))
     inside = Window.partitionBy("_b").orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
-    joined = own.join(ahead, "_b")
+    joined = own.join(_ahead(each, {f"_{k}": (F.sum, plus) for k in sums}, size), "_b")
     return joined.select(*ranked.columns, *((F.col(f"_a_{k}") + F.sum(c).over(inside)).alias(k) for k, c in sums.items()))
 
 
@@ -56,11 +65,9 @@ def running_max(ranked: DataFrame, value: str, name: str, rank: str = "rank", si
     """Largest value so far over the whole order; with ``floor`` it starts there."""
     own = ranked.withColumn("_b", F.floor(F.col(rank) / size))
     each = own.groupBy("_b").agg(F.max(value).alias("_m"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = each.select("_b", F.max("_m").over(before).alias("_a"))
     inside = Window.partitionBy("_b").orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
-    best = F.greatest(F.max(value).over(inside), F.col("_a"), F.lit(floor))
-    return own.join(ahead, "_b").select(*ranked.columns, best.alias(name))
+    best = F.greatest(F.max(value).over(inside), F.col("_a_m"), F.lit(floor))
+    return own.join(_ahead(each, {"_m": (F.max, F.greatest)}, size), "_b").select(*ranked.columns, best.alias(name))
 
 
 #: Lagged columns and what a stale or unknown lag gets.
@@ -95,16 +102,18 @@ def lag_features(ranked: DataFrame, slot_seconds: int, lags: int = 5, stale: int
     return b.select(*ranked.columns, "_halo", *out, streak.alias("lag_streak"), true_streak.alias("true_streak")).where("NOT _halo").drop("_halo")
 
 
-def zscores(ranked: DataFrame, value: str, live: Column, long: int = 20, short: int = 5) -> DataFrame:
+def zscores(ranked: DataFrame, value: str, live: Column, slot_seconds: int, late: str | None = None, long: int = 20, short: int = 5, stale: int = 3) -> DataFrame:
     """z against the previous ``long`` slots and the ``short`` most recent available ones, the current one excluded.
 
-    Slots where ``live`` is false are skipped. Plain: (x - mean) / (std_pop + 1e-6), needs 3 (short: 2) values; clipped:
-    std of at least 0.01, result within -5..5.
+    Slots where ``live`` is false are skipped. Plain: (x - mean) / (std_pop + 1e-6), needs 3 (short: 2) values; ``late``
+    is another column that is held against the long mean of ``value``. The lagged form scores the slot before, never the
+    current one: std of at least 0.01, result within -5..5, one half where that slot is stale.
     """
     b = blocks(ranked.withColumn("_v", F.when(live, F.col(value))), long)
     back = in_blocks().rowsBetween(-long, -1)
     past = F.collect_list("_v").over(back)  # nulls are left out; at most ``long`` values
-    b = b.withColumn("_past", past)
+    fresh = F.coalesce(F.col("slot_ts") - F.lag("slot_ts", 1).over(in_blocks()) <= slot_seconds * stale, F.lit(False))
+    b = b.withColumns({"_past": past, "_lag": F.when(fresh, F.lag(value, 1).over(in_blocks())).otherwise(0.5)})
     recent = F.slice("_past", F.greatest(F.size("_past") - short + 1, F.lit(1)), short)
 
     def moments(a: Column) -> tuple[Column, Column]:
@@ -114,12 +123,14 @@ def zscores(ranked: DataFrame, value: str, live: Column, long: int = 20, short:
 
     m20, s20 = moments(F.col("_past"))
     m5, s5 = moments(recent)
-    x = F.col(value)
+    x, lag = F.col(value), F.col("_lag")
     clip = lambda z: F.greatest(F.least(z, F.lit(5.0)), F.lit(-5.0))
-    enough = F.size("_past") >= 3
+    enough, some = F.size("_past") >= 3, F.size(recent) >= 2
     return b.where("NOT _halo").select(
         *ranked.columns,
         F.when(enough, (x - m20) / (s20 + 1e-6)).otherwise(0.0).alias(f"{value}_z{long}"),
-        F.when(F.size(recent) >= 2, (x - m5) / (s5 + 1e-6)).otherwise(0.0).alias(f"{value}_z{short}"),
-        F.when(enough, clip((x - m20) / F.greatest(s20, F.lit(0.01)))).otherwise(0.0).alias(f"{value}_zc"),
+        F.when(some, (x - m5) / (s5 + 1e-6)).otherwise(0.0).alias(f"{value}_z{short}"),
+        *([F.when(enough, (F.col(late) - m20) / (s20 + 1e-6)).otherwise(0.0).alias(f"{late}_z{long}")] if late else []),
+        F.when(enough, clip((lag - m20) / F.greatest(s20, F.lit(0.01)))).otherwise(0.0).alias(f"lag_ur_z{long}"),
+        F.when(some, clip((lag - m5) / F.greatest(s5, F.lit(0.01)))).otherwise(0.0).alias(f"lag_ur_z{short}"),
     )

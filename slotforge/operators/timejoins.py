@@ -37,6 +37,17 @@ def as_of(points: DataFrame, time: Column, candles: DataFrame, step: int, name:
     return points.withColumn("_k", key).join(grid, F.col("_k") == F.col("_g"), "left").drop("_k", "_g")
 
 
+def as_of_all(points: DataFrame, key: str, times: dict[str, Column], candles: DataFrame, step: int, value: str = "close") -> DataFrame:
+    """``as_of`` for several times of each point (``key`` is unique) with one fill of the grid and one join."""
+    ends = candles.agg(F.min("ts"), F.max("ts")).first()
+    if ends[0] is None:
+        return points.select("*", *(F.lit(None).cast("double").alias(n) for n in times))
+    place = lambda t: F.least(F.greatest((F.floor((t - ends[0]) / step) * step + ends[0]).cast("long"), F.lit(ends[0])), F.lit(ends[1]))
+    wanted = points.select(key, F.explode(F.array(*(F.struct(F.lit(n).alias("n"), place(t).alias("g")) for n, t in times.items()))).alias("_x")).select(key, "_x.n", "_x.g")
+    found = wanted.join(filled_grid(candles, step, value), F.col("g") == F.col("ts")).groupBy(key).agg(*(F.max(F.when(F.col("n") == n, F.col(value))).alias(n) for n in times))
+    return points.join(found, key, "left")
+
+
 def interval_aggregate(points: DataFrame, start: Column, end: Column, candles: DataFrame, step: int, key: str, *aggs: Column) -> DataFrame:
     """Aggregate candles with start <= ts < end of each point: grid keys are exploded, at most (end-start)/step each."""
     first = F.ceil(start / step) * step
@@ -55,8 +66,10 @@ def ratio_return(now: Column, then: Column) -> Column:
     return F.when(then > 0, now / then - 1).otherwise(0.0)
 
 
-def guarded_ratio(one_hour: Column, four_hours: Column, px: Column, px4: Column) -> Column:
-    return F.when(F.abs(px - px4) > 1, one_hour / (F.when(F.abs(four_hours) < 1e-9, 1e-9).otherwise(four_hours))).otherwise(0.0)
+def guarded_ratio(px: Column, px1: Column, px4: Column) -> Column:
+    """The short change against the long one, 0 unless all prices are positive and the long change is above 1."""
+    known = (px > 0) & (px1 > 0) & (px4 > 0) & (F.abs(px - px4) > 1)
+    return F.when(known, (px - px1) / (px - px4 + 1e-9)).otherwise(0.0)
 
 
 def round_distance(px: Column, unit: float) -> tuple[Column, Column]:

@@ -11,19 +11,20 @@ from slotforge.operators import book
 from slotforge.plans.flow_queries import r6
 from slotforge.plans.registry import query, rounded
 
-_METRICS = ["mid", "spread", "top_imbalance", "ask_depth_near", "bid_depth_near", "depth_ratio", "total_depth", "weighted_imbalance"]
+_METRICS = list(book.STATIC)
 
 
 def _sum(ladder: str, when: str = "true", weight: str = "1") -> str:
     return f"coalesce(list_sum(list_transform(list_filter({ladder}, lambda x: {when}), lambda x: x.size * {weight})), 0)"
 
 
-_SNAP = f"""{X.ctes("ladders")}, two AS (SELECT book_id, asks, bids, asks[1].price AS ap, bids[1].price AS bp, asks[1].size AS asz, bids[1].size AS bsz, (asks[1].price + bids[1].price) / 2 AS mid FROM ladders
+_BOOKS = f"""{X.SQL["ladders"]}, two AS (SELECT book_id, asks, bids, asks[1].price AS ap, bids[1].price AS bp, asks[1].size AS asz, bids[1].size AS bsz, (asks[1].price + bids[1].price) / 2 AS mid FROM ladders
         WHERE len(asks) > 0 AND len(bids) > 0),
-    sums AS (SELECT *, {_sum("asks")} AS sa, {_sum("bids")} AS sb, {_sum("asks", "x.price <= ap * 1.05")} AS na, {_sum("bids", "x.price >= bp * 0.95")} AS nb,
-        {_sum("asks", weight="exp(-10 * abs(x.price / mid - 1))")} AS wa, {_sum("bids", weight="exp(-10 * abs(x.price / mid - 1))")} AS wb FROM two),
-    metrics AS (SELECT book_id, mid, ap - bp AS spread, (bsz - asz) / (bsz + asz + 1e-8) AS top_imbalance, na / (sa + 1e-8) AS ask_depth_near, nb / (sb + 1e-8) AS bid_depth_near,
-        sb / (sa + 1e-8) AS depth_ratio, sa + sb AS total_depth, (wb - wa) / (wb + wa + 1e-8) AS weighted_imbalance, ap FROM sums)"""
+    sums AS (SELECT *, {_sum("asks")} AS sa, {_sum("bids")} AS sb, {_sum("asks", "x.price <= mid + 0.05")} AS na, {_sum("bids", "x.price >= mid - 0.05")} AS nb,
+        {_sum("asks", weight="exp(-10 * abs(x.price - mid))")} AS wa, {_sum("bids", weight="exp(-10 * abs(x.price - mid))")} AS wb FROM two),
+    metrics AS (SELECT book_id, mid, ap - bp AS spread, (bsz - asz) / (bsz + asz + 1e-8) AS imbalance, nb / (sb + 1e-8) AS bid_depth_5c, na / (sa + 1e-8) AS ask_depth_5c,
+        (nb / (sb + 1e-8)) / (na / (sa + 1e-8) + 1e-8) AS depth_ratio, sa + sb AS total_depth, (wb - wa) / (wb + wa + 1e-8) AS weighted_imb, ap FROM sums)"""
+_SNAP = "WITH " + _BOOKS
 
 
 @query(f"{_SNAP} SELECT book_id, {r6(*_METRICS)} FROM metrics")
@@ -32,11 +33,11 @@ def b_snapshot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(l.select("book_id", *book.snapshot_metrics()))
 
 
-@query(f"""{X.ctes("ladders")} SELECT book_id, list_min(list_transform(list_filter(asks, lambda x: x.price < 1500), lambda x: x.price)) AS best_ask,
+@query(f"""{X.ctes("ladders")} SELECT book_id, list_min(list_transform(list_filter(asks, lambda x: x.price < 0.97), lambda x: x.price)) AS best_ask,
     list_max(list_transform(bids, lambda x: x.price)) AS best_bid, len(asks) AS n_asks, len(bids) AS n_bids FROM ladders""")
 def b_best_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = X.ladders(spark, sf_dir)
-    return l.select("book_id", book.best_ask(F.col("asks"), 1500.0).alias("best_ask"), book.best_bid(F.col("bids")).alias("best_bid"), F.size("asks").cast("long").alias("n_asks"), F.size("bids").cast("long").alias("n_bids"))
+    return l.select("book_id", book.best_ask(F.col("asks"), 0.97).alias("best_ask"), book.best_bid(F.col("bids")).alias("best_bid"), F.size("asks").cast("long").alias("n_asks"), F.size("bids").cast("long").alias("n_bids"))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,55 +48,88 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(o, "book_id").withColumnRenamed("book_id", "id")
 
 
-_SNAPS = f"{_SNAP}, snaps AS (SELECT m.*, book_id AS id, o_custkey % 200 AS market, CAST(o_orderkey % 180 AS DOUBLE) AS t FROM metrics m JOIN orders o ON o_orderkey = book_id)"
-_F = "{'m': mid, 's': spread, 'd': total_depth, 'i': top_imbalance}"
-_OC = ["open_mid", "close_mid", "mid_drift", "close_spread", "depth_change", "imb_momentum", "imb_0", "imb_1", "imb_2"]
+_SNAPS = f"{_BOOKS}, snaps AS (SELECT m.*, book_id AS id, o_custkey % 200 AS market, CAST(o_orderkey % 180 AS DOUBLE) AS t FROM metrics m JOIN orders o ON o_orderkey = book_id)"
+_OC = [*book.STATIC, "mid_drift", "imbalance_end", "spread_end", "depth_change", "imb_momentum", "imb_w0", "imb_w1", "imb_w2"]
+_FIELDS = "{" + ", ".join(f"'{n}': {n}" for n in book.STATIC) + "}"
+_OPEN_CLOSE = f"""oc0 AS (SELECT market, count(*) AS n_snapshots, coalesce(arg_min({_FIELDS}, (t, id)) FILTER (t <= 30), arg_min({_FIELDS}, (t, id))) AS o, arg_max({_FIELDS}, (t, id)) FILTER (t >= 150 AND t < 168) AS c,
+    {", ".join(f"coalesce(avg(imbalance) FILTER (t >= {a} AND t < {z}), 0) AS imb_w{k}" for k, (a, z) in enumerate(((0, 60), (60, 120), (120, 168))))} FROM snaps GROUP BY 1),
+    oc AS (SELECT market, n_snapshots, {", ".join(f"CASE WHEN c IS NULL THEN o.{n} ELSE c.{n} END AS {n}" for n in book.STATIC)}, CASE WHEN c IS NULL THEN 0 ELSE c.mid - o.mid END AS mid_drift,
+        CASE WHEN c IS NULL THEN o.imbalance ELSE c.imbalance END AS imbalance_end, CASE WHEN c IS NULL THEN o.spread ELSE c.spread END AS spread_end,
+        CASE WHEN c IS NULL THEN 0 ELSE c.total_depth - o.total_depth END AS depth_change, CASE WHEN c IS NULL THEN 0 ELSE c.imbalance - o.imbalance END AS imb_momentum, imb_w0, imb_w1, imb_w2 FROM oc0)"""
 
 
-@query(f"""{_SNAPS}, g AS (SELECT market, count(*) AS n_snapshots, coalesce(arg_min({_F}, (t, id)) FILTER (t <= 30), arg_min({_F}, (t, id))) AS o, arg_max({_F}, (t, id)) FILTER (t >= 150 AND t < 168) AS c0,
-    {", ".join(f"coalesce(avg(top_imbalance) FILTER (t >= {56 * k} AND t < {56 * (k + 1)}), 0) AS imb_{k}" for k in range(3))} FROM snaps GROUP BY 1), h AS (SELECT *, coalesce(c0, o) AS c FROM g),
-    r AS (SELECT market, n_snapshots, o.m AS open_mid, c.m AS close_mid, c.m - o.m AS mid_drift, c.s AS close_spread, c.d / (o.d + 1e-8) - 1 AS depth_change, c.i - o.i AS imb_momentum, imb_0, imb_1, imb_2 FROM h)
-    SELECT market, n_snapshots, {r6(*_OC)} FROM r""")
+@query(f"WITH {_SNAPS}, {_OPEN_CLOSE} SELECT market, n_snapshots, {r6(*_OC)} FROM oc")
 def b_open_close(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(book.open_close(snapshots(spark, sf_dir), "market", 30, 150, 168))
+    return rounded(book.open_close(snapshots(spark, sf_dir), "market"))
 
 
-@query(f"""WITH d AS (SELECT o_custkey % 200 AS market, l_orderkey * 10 + l_linenumber AS id, CAST(l_orderkey % 180 AS DOUBLE) AS t, round(l_extendedprice / l_quantity, 6) AS price, l_quantity AS size,
-        CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 180 < 168),
-    e AS (SELECT *, price - lag(price) OVER (PARTITION BY market ORDER BY t, id, price) AS dp FROM d)
-    SELECT market, round(CASE WHEN count(*) FILTER (dp <> 0) > 0 THEN count(*) FILTER (dp > 0) / count(*) FILTER (dp <> 0) ELSE 0.5 END, 6) AS pc_up_share, round(coalesce(stddev_pop(dp), 0), 6) AS pc_std,
-    count(*) FILTER (dp <> 0) AS pc_moves, round(sum(CASE WHEN side = 'BUY' THEN size ELSE -size END) / (sum(size) + 1e-8), 6) AS pc_imbalance FROM e GROUP BY 1""")
-def b_price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as price changes of a market before the cutoff; some have no price, some no side."""
     o = X.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 200).alias("market"))
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    side = F.when(F.col("l_returnflag") == "R", "SELL").when(F.col("l_returnflag") == "A", "buy")
     li = X.table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 180 < 168).select(
-        F.col("l_orderkey").alias("o_orderkey"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_orderkey") % 180).cast("double").alias("t"),
-        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 6).alias("price"), F.col("l_quantity").alias("size"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"),
+        F.col("l_orderkey").alias("o_orderkey"), key.alias("id"), (F.col("l_orderkey") % 180).cast("double").alias("t"),
+        F.when(key % 13 != 0, F.round(F.col("l_extendedprice") / F.col("l_quantity"), 6)).alias("price"), F.col("l_quantity").alias("size"), side.alias("side"),
     )
-    return rounded(book.price_changes(li.join(o, "o_orderkey"), "market"))
+    return li.join(o, "o_orderkey")
+
+
+_PC = ["pc_up_ratio", "pc_volatility", "pc_count", "fill_imbalance"]
+_CHANGES = """pc0 AS (SELECT o_custkey % 200 AS market, l_orderkey * 10 + l_linenumber AS id, CAST(l_orderkey % 180 AS DOUBLE) AS t, CASE WHEN (l_orderkey * 10 + l_linenumber) % 13 <> 0 THEN round(l_extendedprice / l_quantity, 6) END AS price,
+        l_quantity AS size, l_returnflag AS flag FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 180 < 168),
+    pc1 AS (SELECT market, price - lag(price) OVER (PARTITION BY market ORDER BY t, id, price) AS d FROM pc0 WHERE price IS NOT NULL),
+    pc2 AS (SELECT market, count(*) FILTER (d > 0) AS up, count(*) FILTER (d < 0) AS down, count(d) AS n, stddev_pop(d) AS sd FROM pc1 GROUP BY 1),
+    pc3 AS (SELECT market, coalesce(sum(size) FILTER (flag = 'A'), 0) AS b, coalesce(sum(size) FILTER (flag = 'R'), 0) AS s FROM pc0 GROUP BY 1),
+    pc AS (SELECT market, coalesce(up, 0) / (coalesce(up + down, 0) + 1e-8) AS pc_up_ratio, CASE WHEN n > 1 THEN sd ELSE 0 END AS pc_volatility, CAST(coalesce(up + down, 0) AS DOUBLE) AS pc_count, (b - s) / (b + s + 1e-8) AS fill_imbalance
+        FROM pc3 LEFT JOIN pc2 USING (market))"""
+
+
+@query(f"WITH {_CHANGES} SELECT market, {r6(*_PC)} FROM pc")
+def b_price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(book.price_changes(moves(spark, sf_dir), "market"))
 
 
-_MS = ["imb_mean", "imb_std", "imb_drift", "spread_mean", "spread_slope", "mid_slope", "mid_move_std", "events_per_sec", "depth_slope", "ask_pressure"]
+def book_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the last minute before the cutoff; every fourth is a price change with mid and spread only, and every
+    second of those is on the selling side."""
+    s = snapshots(spark, sf_dir).where((F.col("t") >= 108) & (F.col("t") < 168))
+    whole = F.col("id") % 4 != 0
+    return s.select("market", "t", "id", "mid", "spread", F.when(F.col("id") % 8 == 0, F.col("ask")).alias("sell_price"), F.when(whole, F.col("imbalance")).alias("imbalance"), F.when(whole, F.col("total_depth")).alias("depth"))
 
 
-@query(f"""{_SNAPS}, ev AS (SELECT market, t, id, mid, spread, ap AS ask, CASE WHEN id % 4 = 0 THEN NULL ELSE top_imbalance END AS imbalance, CASE WHEN id % 4 = 0 THEN NULL ELSE total_depth END AS depth FROM snaps WHERE t < 60),
-    e AS (SELECT *, mid - lag(mid) OVER w AS dm, ask - lag(ask) OVER w AS da FROM ev WINDOW w AS (PARTITION BY market ORDER BY t, id)),
-    r AS (SELECT market, coalesce(avg(imbalance), 0) AS imb_mean, coalesce(stddev_pop(imbalance), 0) AS imb_std,
-        coalesce(arg_max(imbalance, (t, id)) FILTER (imbalance IS NOT NULL) - arg_min(imbalance, (t, id)) FILTER (imbalance IS NOT NULL), 0) AS imb_drift, coalesce(avg(spread), 0) AS spread_mean,
-        CASE WHEN var_pop(t) > 0 THEN regr_slope(spread, t) ELSE 0 END AS spread_slope, CASE WHEN var_pop(t) > 0 THEN regr_slope(mid, t) ELSE 0 END AS mid_slope,
-        coalesce(stddev_pop(dm), 0) AS mid_move_std, count(*) / 60.0 AS events_per_sec,
-        CASE WHEN var_pop(t) FILTER (depth IS NOT NULL) > 0 THEN regr_slope(depth, t) ELSE 0 END AS depth_slope,
-        CASE WHEN count(*) FILTER (da <> 0) > 0 THEN count(*) FILTER (da < 0) / count(*) FILTER (da <> 0) ELSE 0 END AS ask_pressure FROM e GROUP BY 1)
-    SELECT market, {", ".join(f"round({n} + 1e-9, 5) AS {n}" for n in _MS)} FROM r""")
+_MS = ["imb_mean", "imb_std", "imb_drift", "spread_mean", "spread_trend", "mid_velocity", "mid_volatility", "activity_rate", "depth_trend", "ask_pressure"]
+_MICRO = f"""ev AS (SELECT market, t, id, mid, spread, CASE WHEN id % 8 = 0 THEN ap END AS sell_price, CASE WHEN id % 4 <> 0 THEN imbalance END AS imbalance, CASE WHEN id % 4 <> 0 THEN total_depth END AS depth FROM snaps WHERE t >= 108 AND t < 168),
+    ev1 AS (SELECT *, mid - lag(mid) OVER (PARTITION BY market ORDER BY t, id) AS dm FROM ev),
+    ev2 AS (SELECT market, count(*) FILTER (da < 0) / nullif(count(*) FILTER (da <> 0), 0) AS pressure FROM (SELECT market, sell_price - lag(sell_price) OVER (PARTITION BY market ORDER BY t, id) AS da FROM ev WHERE sell_price IS NOT NULL) GROUP BY 1),
+    ev3 AS (SELECT market, count(*) AS n, avg(imbalance) AS imb_mean, stddev_pop(imbalance) AS imb_std, arg_max(imbalance, (t, id)) FILTER (imbalance IS NOT NULL) - arg_min(imbalance, (t, id)) FILTER (imbalance IS NOT NULL) AS imb_drift,
+        avg(spread) AS spread_mean, CASE WHEN var_pop(t) > 0 THEN regr_slope(spread, t) END AS spread_trend, CASE WHEN var_pop(t) > 0 THEN regr_slope(mid, t) END AS mid_velocity, stddev_pop(dm) AS mid_volatility,
+        count(*) / 60.0 AS activity_rate, CASE WHEN var_pop(t) FILTER (depth IS NOT NULL) > 0 THEN regr_slope(depth, t) END AS depth_trend FROM ev1 GROUP BY 1),
+    micro AS (SELECT market, {", ".join(f"CASE WHEN n >= 5 THEN coalesce({n}, 0) ELSE 0 END AS {n}" for n in _MS[:-1])}, CASE WHEN n >= 5 THEN coalesce(pressure, 0) ELSE 0 END AS ask_pressure FROM ev3 LEFT JOIN ev2 USING (market))"""
+
+
+@query(f"""WITH {_SNAPS}, {_MICRO} SELECT market, {", ".join(f"round({n} + 1e-9, 5) AS {n}" for n in _MS)} FROM micro""")
 def b_microstructure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fourth event counts as a synthetic snapshot: mid and spread, but no imbalance and depth."""
-    s = snapshots(spark, sf_dir).where(F.col("t") < 60)
-    real = F.col("id") % 4 != 0
-    s = s.select("market", "t", "id", "mid", "spread", "ask", F.when(real, F.col("top_imbalance")).alias("imbalance"), F.when(real, F.col("total_depth")).alias("depth"))
-    m = book.microstructure(s, "market", 60.0)
+    m = book.microstructure(book_events(spark, sf_dir), "market", 60.0)
     return m.select("market", *(F.round(F.col(n) + 1e-9, 5).alias(n) for n in _MS))  # means of few decimals fall on ties
 
 
-_FILL = ["mid", "mid_drift", "spread", "depth_ratio", "top_imbalance", "total_depth"]
+def slot_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All book features of a market: ob_ (open, close and price changes) and clob_ (last minute)."""
+    oc = features.prefixed(book.open_close(snapshots(spark, sf_dir), "market").drop("n_snapshots"), _OC)
+    pc = features.prefixed(book.price_changes(moves(spark, sf_dir), "market"), _PC)
+    micro = features.prefixed(book.microstructure(book_events(spark, sf_dir), "market", 60.0), _MS, "clob_")
+    joined = oc.join(pc, "market", "left").join(micro, "market", "left")
+    return joined.fillna({"ob_pc_up_ratio": 0.5, "ob_pc_volatility": 0.0, "ob_pc_count": 0.0, "ob_fill_imbalance": 0.0}).fillna(0.0, subset=["clob_" + n for n in _MS])
+
+
+#: Slots take the book of one of 211 markets, of which the last never have one.
+MARKET_OF_SLOT = "slot_ts div 21600 % 211"
+BOOK_SET = f"""{_SNAPS}, {_OPEN_CLOSE}, {_CHANGES}, {_MICRO}, books AS (SELECT market AS m, {", ".join(f"oc.{n} AS ob_{n}" for n in _OC)}, coalesce(pc.pc_up_ratio, 0.5) AS ob_pc_up_ratio,
+    {", ".join(f"coalesce(pc.{n}, 0) AS ob_{n}" for n in _PC[1:])}, {", ".join(f"coalesce(micro.{n}, 0) AS clob_{n}" for n in _MS)} FROM oc LEFT JOIN pc USING (market) LEFT JOIN micro USING (market))"""
+
+
+_FILL = ["mid", "mid_drift", "spread", "depth_ratio", "imbalance", "total_depth", "bid_depth_5c"]
 
 
 def _books_of_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,10 +146,10 @@ def p_neutral_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.fill_by_name(b, ["ob_" + n for n in _FILL], features.neutral_value))
 
 
-_SERVED = ["ob_mid", "ob_spread", "ob_depth_ratio", "ob_total_depth", "ob_depth_5c", "ob_mid_drift"]
+_SERVED = ["ob_mid", "ob_spread", "ob_depth_ratio", "ob_total_depth", "ob_ask_depth_5c", "ob_spread_end", "ob_mid_drift"]
 
 
-@query(f"""{_SNAP} SELECT {", ".join(f"round(coalesce({'NULL' if n in ('ob_depth_5c', 'ob_mid_drift') else n[3:]}, {features.serving_default(n)}), 6) AS {n}" for n in _SERVED)}
+@query(f"""{_SNAP} SELECT {", ".join(f"round(coalesce({'NULL' if n in ('ob_ask_depth_5c', 'ob_spread_end', 'ob_mid_drift') else n[3:]}, {features.serving_default(n)}), 6) AS {n}" for n in _SERVED)}
     FROM orders LEFT JOIN metrics ON book_id = o_orderkey""")
 def p_serving_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.serve(features.prefixed(_books_of_slots(spark, sf_dir), _FILL), _SERVED))

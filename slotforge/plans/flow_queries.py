@@ -90,20 +90,17 @@ _BINS = {"early": f"t_sec <= {_P1}", "mid": f"t_sec > {_P1} AND t_sec <= {_P2}",
 
 
 def _phase_sql() -> str:
-    cols, names = [], []
+    cols, shares = [], []
     for p, c in _BINS.items():
-        for n, e in {
-            "volume": _b(c), "up": _b(f"{c} AND {_UP}"), "down": _b(f"{c} AND NOT {_UP}"), "buy": _b(f"{c} AND side = 'BUY'"), "sell": _b(f"{c} AND side <> 'BUY'"),
-            "avg": f"coalesce(avg(size_usdc) FILTER ({c}), 0)", "price": f"coalesce(avg(price) FILTER ({c}), 0)", "max": f"coalesce(max(size_usdc) FILTER ({c}), 0)",
-        }.items():
-            cols.append(f"{e} AS {p}_{n}")
-            names.append(f"{p}_{n}")
-        cols.append(f"count(*) FILTER ({c}) AS {p}_n")
-    ratios = ", ".join(f"round({p}_up / ({p}_volume + 1e-8), 6) AS {p}_up_ratio" for p in _BINS)
-    return f"""{X.ctes("ticks")}, p AS (SELECT market_id, {", ".join(cols)}, sum(size_usdc) AS total_volume, count(*) AS total_n FROM ticks GROUP BY 1)
-        SELECT market_id, early_n, mid_n, late_n, total_n, {r6(*names, "total_volume")}, {ratios}, round(late_volume / (early_volume + 1e-8), 6) AS momentum_vol_ratio,
-        round(late_volume / (total_volume + 1e-8), 6) AS late_surge, round(mid_volume - early_volume, 6) AS early_mid_vol_diff,
-        round(late_volume - mid_volume, 6) AS mid_late_vol_diff, round((late_volume - early_volume) / (total_volume + 1e-8), 6) AS vol_trend FROM p"""
+        for s, when in (("up", f"{c} AND {_UP}"), ("down", f"{c} AND NOT {_UP}")):
+            cols += [f"{_b(when)} AS {p}_vol_{s}", f"count(*) FILTER ({when}) AS {p}_n_{s}", f"coalesce(sum(price * size_usdc) FILTER ({when}), 0) AS {p}_pv_{s}"]
+        cols += [f"count(*) FILTER ({c}) AS {p}_n_ticks", f"{_b(c)} AS {p}_total_vol"]
+        shares += [f"{p}_vol_up / ({p}_total_vol + 1e-8) AS {p}_up_ratio", *(f"{p}_pv_{s} / ({p}_vol_{s} + 1e-8) AS {p}_vwap_{s}" for s in ("up", "down"))]
+    counts = ", ".join(f"{p}_{n}" for p in _BINS for n in ("n_ticks", "n_up", "n_down"))
+    doubles = r6(*(f"{p}_{n}" for p in _BINS for n in ("vol_up", "vol_down", "up_ratio", "total_vol", "vwap_up", "vwap_down")))
+    return f"""{X.ctes("ticks")}, p AS (SELECT market_id, {", ".join(cols)}, count(*) AS total_temporal_n_ticks FROM ticks GROUP BY 1), q AS (SELECT *, {", ".join(shares)} FROM p)
+        SELECT market_id, total_temporal_n_ticks, {counts}, {doubles}, round(early_up_ratio / (late_up_ratio + 1e-8), 6) AS momentum_vol_ratio, round(late_n_ticks / (total_temporal_n_ticks + 1e-8), 6) AS late_surge,
+        round(early_up_ratio - mid_up_ratio, 6) AS early_mid_vol_diff, round(mid_up_ratio - late_up_ratio, 6) AS mid_late_vol_diff, round(late_total_vol / (early_total_vol + 1e-8), 6) AS vol_trend FROM q"""
 
 
 @query(_phase_sql())

@@ -62,7 +62,7 @@ def s_market_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.to_json(F.array(F.when(F.col("k") % 2 == 0, "Yes").otherwise("Up"), F.lit("Down")))
     quoted = F.concat(F.lit('"'), F.regexp_replace(names, '"', r'\\"'), F.lit('"'))
     body = m.select(
-        "market_id", F.when(F.col("k") % 5 == 0, "Will it rain?").otherwise("Up or Down today?").alias("question"),
+        "market_id", F.when(F.col("k") % 5 == 0, "Will it rain?").otherwise("Bitcoin Up or Down today?").alias("question"),
         F.when((F.col("k") % 5 == 0) & (F.col("k") % 2 == 1), F.concat(F.lit("asset-rain-"), F.col("slot_ts").cast("string"))).otherwise(F.col("slug")).alias("slug"), F.col("slug").alias("own"),
         F.when(F.col("k") % 7 == 0, quoted).otherwise(names).alias("outcomes"), prices.alias("outcomePrices"),
         F.when(F.col("k") % 3 == 0, "true").otherwise("false").alias("closed"), F.when(F.col("k") % 13 == 0, "1").alias("resolution"),
@@ -182,7 +182,7 @@ def p_resolved_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resolved markets of one asset and timeframe; slugs without a time at their end are left out."""
     k = F.expr("slot_ts div 21600")
     s = X.slots(spark, sf_dir).select(
-        "market_id", F.when(k % 11 == 0, F.lit("asset-updown-soon")).otherwise(F.col("slug")).alias("slug"), F.when(k % 3 == 0, "ETH").otherwise("BTC").alias("crypto"),
+        "market_id", F.when(k % 11 == 0, F.lit("btc-updown-soon")).otherwise(F.col("slug")).alias("slug"), F.when(k % 3 == 0, "ETH").otherwise("BTC").alias("crypto"),
         F.when(k % 4 == 0, "1-hour").when(k % 4 == 1, "5-min").otherwise("5-minute").alias("timeframe"), F.when(k % 7 == 0, -1).otherwise(F.col("target")).alias("resolution"),
     )
     return landed.resolved_markets(s, "BTC", strict=True).select("market_id", "slot_ts", "resolution")

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from slotforge import fixtures as X
 from slotforge.functions import features
-from slotforge.operators import ordering, timejoins
+from slotforge.operators import flow, ordering, timejoins
+from slotforge.plans.book_queries import BOOK_SET, MARKET_OF_SLOT, slot_books
 from slotforge.plans.flow_queries import FLOW, flow_cte, r6, slot_flow
 from slotforge.plans.registry import query, rounded
 
@@ -22,20 +23,19 @@ def _asof(name: str, at: str, source: str = "slots") -> str:
 
 def spot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spot at the end of the observation window and at slot start less each horizon, with returns."""
-    c = X.candles(spark, sf_dir)
-    s = timejoins.as_of(X.slots(spark, sf_dir).select("slot_ts"), F.col("slot_ts") + X.OBS, c, X.HOUR, "px")
-    for h in (0, *_H):
-        s = timejoins.as_of(s, F.col("slot_ts") - h * X.HOUR, c, X.HOUR, f"px_{h}h")
+    at = F.col("slot_ts")
+    times = {"px": at + X.OBS} | {f"px_{h}h": at - h * X.HOUR for h in (0, *_H)}
+    s = timejoins.as_of_all(X.slots(spark, sf_dir).select("slot_ts"), "slot_ts", times, X.candles(spark, sf_dir), X.HOUR)
     returns = [timejoins.ratio_return(F.col("px"), F.col(f"px_{h}h")).alias(f"ret_{h}h") for h in (0, *_H)]
     near, inside = timejoins.round_distance(F.col("px"), 10.0)
     s = s.select("*", *returns, near.alias("round_near"), inside.alias("round_pos"))
-    return s.withColumn("ratio_1h_24h", timejoins.guarded_ratio(F.col("ret_1h"), F.col("ret_24h"), F.col("px"), F.col("px_24h")))
+    return s.withColumn("ratio_1h_24h", timejoins.guarded_ratio(F.col("px"), F.col("px_1h"), F.col("px_24h")))
 
 
 SPOT = f"""spot0 AS (SELECT slot_ts, {_asof("px", f"slot_ts + {X.OBS}")}, {", ".join(_asof(f"px_{h}h", f"slot_ts - {h * X.HOUR}") for h in (0, *_H))} FROM slots),
     spot1 AS (SELECT *, {", ".join(f"CASE WHEN px_{h}h > 0 THEN px / px_{h}h - 1 ELSE 0 END AS ret_{h}h" for h in (0, *_H))},
         least(px / 10 - floor(px / 10), ceil(px / 10) - px / 10) AS round_near, (px - 10 * floor(px / 10)) / 10 AS round_pos FROM spot0),
-    spot AS (SELECT *, CASE WHEN abs(px - px_24h) > 1 THEN ret_1h / (CASE WHEN abs(ret_24h) < 1e-9 THEN 1e-9 ELSE ret_24h END) ELSE 0 END AS ratio_1h_24h FROM spot1)"""
+    spot AS (SELECT *, CASE WHEN px > 0 AND px_1h > 0 AND px_24h > 0 AND abs(px - px_24h) > 1 THEN (px - px_1h) / (px - px_24h + 1e-9) ELSE 0 END AS ratio_1h_24h FROM spot1)"""
 _SPOT_COLS = ["px", *(f"px_{h}h" for h in (0, *_H)), *(f"ret_{h}h" for h in (0, *_H)), "round_near", "round_pos", "ratio_1h_24h"]
 
 
@@ -124,40 +124,49 @@ def w_rank_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ordering.lag_features(ranked_flow(spark, sf_dir), X.SLOT))
 
 
-_Z = """zbase AS (SELECT slot_ts, up_ratio, list(CASE WHEN n_ticks > 0 THEN up_ratio END) OVER (ORDER BY slot_ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS raw FROM flow),
-    zpast AS (SELECT slot_ts, up_ratio, list_filter(coalesce(raw, []), lambda x: x IS NOT NULL) AS past FROM zbase),
+_Z = f"""zbase AS (SELECT slot_ts, up_ratio, up_w5, CASE WHEN slot_ts - lag(slot_ts) OVER w <= {3 * X.SLOT} THEN lag(up_ratio) OVER w ELSE 0.5 END AS lagged,
+        list(CASE WHEN n_ticks > 0 THEN up_ratio END) OVER (ORDER BY slot_ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS raw FROM flow WINDOW w AS (ORDER BY slot_ts)),
+    zpast AS (SELECT *, list_filter(coalesce(raw, []), lambda x: x IS NOT NULL) AS past FROM zbase),
     zmom AS (SELECT *, list_avg(past) AS m, list_stddev_pop(past) AS s, past[greatest(len(past) - 4, 1):] AS recent FROM zpast),
-    z AS (SELECT slot_ts, up_ratio, CASE WHEN len(past) >= 3 THEN (up_ratio - m) / (s + 1e-6) ELSE 0 END AS up_ratio_z20,
+    z AS (SELECT slot_ts, up_ratio, CASE WHEN len(past) >= 3 THEN (up_ratio - m) / (s + 1e-6) ELSE 0 END AS up_ratio_z20, CASE WHEN len(past) >= 3 THEN (up_w5 - m) / (s + 1e-6) ELSE 0 END AS up_w5_z20,
         CASE WHEN len(recent) >= 2 THEN (up_ratio - list_avg(recent)) / (list_stddev_pop(recent) + 1e-6) ELSE 0 END AS up_ratio_z5,
-        CASE WHEN len(past) >= 3 THEN greatest(least((up_ratio - m) / greatest(s, 0.01), 5), -5) ELSE 0 END AS up_ratio_zc FROM zmom)"""
+        CASE WHEN len(past) >= 3 THEN greatest(least((lagged - m) / greatest(s, 0.01), 5), -5) ELSE 0 END AS lag_ur_z20,
+        CASE WHEN len(recent) >= 2 THEN greatest(least((lagged - list_avg(recent)) / greatest(list_stddev_pop(recent), 0.01), 5), -5) ELSE 0 END AS lag_ur_z5 FROM zmom)"""
+_ZS = ["up_ratio_z20", "up_ratio_z5", "up_w5_z20", "lag_ur_z20", "lag_ur_z5"]
 
 
-@query(f"{FLOW}, {_Z} SELECT slot_ts, {r6('up_ratio', places=4)}, {r6('up_ratio_z20', 'up_ratio_z5', 'up_ratio_zc', places=4)} FROM z")
+def scored(ranked: DataFrame) -> DataFrame:
+    z = ordering.zscores(ranked.select("slot_ts", "rank", "up_ratio", "up_w5", "n_ticks"), "up_ratio", F.col("n_ticks") > 0, X.SLOT, late="up_w5")
+    return z.select("slot_ts", "up_ratio", *_ZS)
+
+
+@query(f"{FLOW}, {_Z} SELECT slot_ts, {r6('up_ratio', *_ZS, places=4)} FROM z")
 def w_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = ordering.zscores(ranked_flow(spark, sf_dir), "up_ratio", F.col("n_ticks") > 0)
-    return rounded(z.select("slot_ts", "up_ratio", "up_ratio_z20", "up_ratio_z5", "up_ratio_zc"), 4)
+    return rounded(scored(ranked_flow(spark, sf_dir)), 4)
 
 
 def feature_table(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
-    """One wide row a slot: flow, z-scores, spot, lags, calendar and cross features of a named set."""
-    flow_ = slot_flow(spark, sf_dir)
-    ranked = ordering.global_rank(flow_, "slot_ts")
-    z = ordering.zscores(ranked.select("slot_ts", "rank", "up_ratio", "n_ticks"), "up_ratio", F.col("n_ticks") > 0).select("slot_ts", "up_ratio_z20", "up_ratio_z5", "up_ratio_zc")
+    """One wide row a slot: flow, z-scores, spot, lags, calendar, books and cross features of a named set."""
+    ranked = ordering.global_rank(slot_flow(spark, sf_dir), "slot_ts")
     lags = ordering.lag_features(ranked.select("slot_ts", "rank", "target", "up_ratio", "n_ticks", "vol_tot"), X.SLOT).drop("target", "rank", "up_ratio", "n_ticks", "vol_tot")
-    wide = flow_.join(z, "slot_ts").join(lags, "slot_ts").join(spot(spark, sf_dir), "slot_ts").join(interval_features(spark, sf_dir), "slot_ts")
+    wide = ranked.join(scored(ranked).drop("up_ratio"), "slot_ts").join(lags, "slot_ts").join(spot(spark, sf_dir), "slot_ts").join(interval_features(spark, sf_dir), "slot_ts")
+    wide = features.with_books(wide.withColumn("market", F.expr(MARKET_OF_SLOT)), slot_books(spark, sf_dir), "market")
     return features.select_set(features.calendar(wide, "slot_ts"), version)
 
 
-_CAL = """cal AS (SELECT *, sin(2 * pi() / 24 * (slot_ts % 86400 / 3600.0)) AS hour_sin, cos(2 * pi() / 24 * (slot_ts % 86400 / 3600.0)) AS hour_cos,
+_CAL = f"""cal AS (SELECT *, sin(2 * pi() / 24 * (slot_ts % 86400 / 3600.0)) AS hour_sin, cos(2 * pi() / 24 * (slot_ts % 86400 / 3600.0)) AS hour_cos, slot_ts % 86400 / 86400.0 AS hour_share, b.m IS NOT NULL AS has_book,
     sin(2 * pi() / 7 * ((slot_ts // 86400 + 3) % 7)) AS weekday_sin, cos(2 * pi() / 7 * ((slot_ts // 86400 + 3) % 7)) AS weekday_cos
-    FROM flow JOIN z USING (slot_ts) JOIN lags USING (slot_ts) JOIN spot USING (slot_ts) JOIN intervals USING (slot_ts))"""
+    FROM flow JOIN (SELECT * EXCLUDE (up_ratio) FROM z) z USING (slot_ts) JOIN (SELECT * EXCLUDE (market_id, target, n_ticks, vol_tot, up_ratio, up_w5, momentum) FROM lags) lags USING (slot_ts)
+    JOIN spot USING (slot_ts) JOIN intervals USING (slot_ts) LEFT JOIN books b ON b.m = slot_ts // 21600 % 211)"""
 
 
 def _set_sql(version: str) -> str:
-    exprs = features.set_sql(version)
-    cols = ", ".join(f"round(CAST({e} AS DOUBLE), 4) AS {n}" for n, e in exprs.items())
-    wide = _CAL.replace("FROM flow JOIN z USING (slot_ts) JOIN lags USING (slot_ts)", "FROM flow JOIN (SELECT * EXCLUDE (up_ratio) FROM z) z USING (slot_ts) JOIN (SELECT * EXCLUDE (market_id, target, n_ticks, vol_tot, up_ratio, up_w5, momentum) FROM lags) lags USING (slot_ts)")
-    return f"{X.ctes('ticks', 'slots', 'candles')}, {flow_cte()}, {_Z}, {_lag_sql()}, {SPOT}, {_INTERVAL}, {wide} SELECT slot_ts, target, {cols} FROM cal"
+    """Neutral values are written out by hand here: ratios and imbalances 0, spreads 0.02, near depths and mids one half."""
+    half, spread = ("ob_mid", "ob_bid_depth_5c", "ob_ask_depth_5c"), ("ob_spread", "ob_spread_end")
+    plain = {n: f"coalesce({n}, {0.5 if n in half else 0.02 if n in spread else 0})" if n.startswith(("ob_", "clob_")) else n for n in features.SETS[version]}
+    crosses = {n: f"CASE WHEN has_book THEN {a} * {b} ELSE 0 END" if a.startswith("ob_") else f"{a} * {b}" for n, (a, b) in features.CROSS[version].items()}
+    cols = ", ".join(f"round(CAST({e} AS DOUBLE), 4) AS {n}" for n, e in (plain | crosses).items())
+    return f"{X.ctes('ticks', 'slots', 'candles')}, {BOOK_SET}, {flow_cte()}, {_Z}, {_lag_sql()}, {SPOT}, {_INTERVAL}, {_CAL} SELECT slot_ts, target, {cols} FROM cal"
 
 
 @query(_set_sql("v25"))
@@ -170,11 +179,19 @@ def x_v26_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(feature_table(spark, sf_dir, "v26"), 4)
 
 
-@query(f"{FLOW} SELECT slot_ts, round(up_w5 - 2 * up_w4 + up_w3, 6) AS vol_accel, round(vwap_spread * n_ticks, 4) AS vwmom, round(momentum * vol_tot, 4) AS momentum_vol_sync FROM flow")
+def _documented_sql() -> str:
+    v = ", ".join(f"coalesce(sum(size_usdc) FILTER (floor(t_sec / {X.STEP}) = {k}), 0) AS v{k}, coalesce(sum(size_usdc) FILTER (floor(t_sec / {X.STEP}) = {k} AND outcome = 'Up'), 0) AS u{k}" for k in range(6))
+    w = ", ".join(f"CASE WHEN v{k} > 0 THEN u{k} / v{k} ELSE 0.5 END AS w{k}" for k in range(6))
+    return f"""{X.ctes("ticks")}, g AS (SELECT slot_ts, {v}, count(*) FILTER (floor(t_sec / {X.STEP}) = 0) AS c0, count(*) FILTER (floor(t_sec / {X.STEP}) = 5) AS c5 FROM ticks WHERE t_sec >= 0 AND t_sec < {X.OBS} GROUP BY 1),
+        h AS (SELECT *, {w}, v0 + v1 + v2 AS va, v3 + v4 + v5 AS vb FROM g),
+        r AS (SELECT *, CASE WHEN va > 0 THEN vb / va ELSE 1 END AS accel, (w3 + w4 + w5) / 3 - (w0 + w1 + w2) / 3 AS momentum FROM h)
+        SELECT slot_ts, round(accel, 6) AS vol_accel, round(CASE WHEN c0 > 0 THEN (c5 - c0) / c0 ELSE 0 END, 6) AS tick_accel,
+        round(CASE WHEN va + vb > 0 THEN ({" + ".join(f"v{k} * (w{k} - 0.5)" for k in range(6))}) / (va + vb) ELSE 0 END, 6) AS vwmom, round(momentum * accel, 6) AS momentum_vol_sync FROM r"""
+
+
+@query(_documented_sql())
 def x_documented_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features that only the documents of the domain describe: second differences and products of flow columns."""
-    f = slot_flow(spark, sf_dir)
-    return f.select("slot_ts", F.round(F.col("up_w5") - 2 * F.col("up_w4") + F.col("up_w3"), 6).alias("vol_accel"), F.round(F.col("vwap_spread") * F.col("n_ticks"), 4).alias("vwmom"), F.round(F.col("momentum") * F.col("vol_tot"), 4).alias("momentum_vol_sync"))
+    return rounded(flow.documented_features(X.ticks(spark, sf_dir), X.OBS, X.WINDOWS))
 
 
 @query(f"""{FLOW}, l AS (SELECT *, count(*) OVER () AS c FROM (SELECT 'up_ratio' AS feature, up_ratio AS v FROM flow UNION ALL SELECT 'momentum', momentum FROM flow UNION ALL SELECT 'stability', stability FROM flow))

@@ -73,8 +73,8 @@ def slug_time(slug: Column) -> Column:
 
 
 # Phrases that mark a question, hints that mark a slug.
-PHRASES = ("up or down", "higher or lower", "price of", "above or below", "rise or fall", "close above")
-HINTS = ("updown", "up-or-down", "higher-lower", "above-below")
+PHRASES = ("bitcoin up or down", "btc up or down", "will btc be up", "will bitcoin be up", "will btc be higher", "will bitcoin be higher")
+HINTS = ("bitcoin-up-or-down", "btc-up-or-down", "btc-updown", "bitcoin-updown")
 
 
 def is_short_market(question: Column, slug: Column, outcomes: Column) -> Column:
