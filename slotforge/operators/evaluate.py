@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from slotforge.storage import pin
+
 
 def walk_forward(ranked: DataFrame, n: int, folds: int = 5, gap: int = 5, rank: str = "rank") -> DataFrame:
     """A row for each fold that uses it: fold k tests [n-(folds-k)*t, +t) with t = n // (folds+1), trains before less the gap."""
@@ -36,10 +38,18 @@ def stratified_folds(df: DataFrame, label: str, key: Column, folds: int = 5) ->
 
 
 def auc(df: DataFrame, score: str, label: str, *by: str) -> DataFrame:
-    """ROC AUC by average ranks: positives and negatives are summed for each score before any order is made."""
+    """ROC AUC by average ranks: positives and negatives are summed for each score before any order is made.
+
+    Scores are cut into ranges that are written once; ranks run inside a range, and each range begins with what lies
+    before it (one row for each range and group).
+    """
     g = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    r = g.withColumn("_rank", F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = pin(g.repartitionByRange(n, *by, score).withColumn("_part", F.spark_partition_id()), "scores")
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = cut.groupBy("_part", *by).agg(F.sum("_n").alias("_s")).select("_part", *by, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_a"))
+    inside = Window.partitionBy("_part", *by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    r = cut.join(ahead, ["_part", *by]).withColumn("_rank", F.col("_a") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + (F.col("_n") + 1) / 2)
     n1, n0 = F.sum("_p"), F.sum(F.col("_n") - F.col("_p"))
     return r.groupBy(*by).agg(F.when((n1 > 0) & (n0 > 0), (F.sum(F.col("_p") * F.col("_rank")) - n1 * (n1 + 1) / 2) / (n1 * n0)).alias("auc"))
 
@@ -162,7 +172,8 @@ def with_noise(df: DataFrame, columns: int = 5) -> DataFrame:
 def permuted_drop(model, df: DataFrame, feature: str, ranked: str = "rank", label: str = "target") -> float:
     """AUC lost when one column's values are dealt to other rows (a shift of the ranks by a hash order)."""
     n = df.count()
-    moved = df.select(((F.col(ranked) * 7919 + 13) % n).alias(ranked), F.col(feature).alias("_v"))
+    step = next(p for p in (7919, 7927, 7933) if n % p)  # prime to n, so that every rank is met once
+    moved = df.select(((F.col(ranked) * step + 13) % n).alias(ranked), F.col(feature).alias("_v"))
     mixed = df.join(moved, ranked).withColumn(feature, F.col("_v")).drop("_v")
     score = lambda d: auc(predict(model, d), "p", label).first().auc
     return score(df) - score(mixed)

@@ -11,11 +11,16 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a new one only where it is unset (tests)."""
+    """The folder named in ``spark.checkpoint.dir``; a new one only where it is unset on a local master (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="slotforge-"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="slotforge-")
+    return _own[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
