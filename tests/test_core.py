@@ -87,20 +87,21 @@ def test_one_sided_book(spark):
     level = "array<struct<price:double,size:double>>"
     b = spark.createDataFrame([([], [(0.5, 1.0)]), ([(0.6, 2.0), (0.97, 1.0)], [(0.4, 2.0)])], f"asks {level}, bids {level}")
     r = b.select(*book.snapshot_metrics(), book.best_ask(F.col("asks"), 0.6).alias("below")).collect()
-    assert r[0].mid is None and r[1].mid == pytest.approx(0.5) and r[1].top_imbalance == pytest.approx(0) and r[1].below is None
+    assert r[0].mid is None and r[1].mid == pytest.approx(0.5) and r[1].imbalance == pytest.approx(0) and r[1].below is None
 
 
 def test_microstructure_of_one_time(spark):
-    e = spark.createDataFrame([("a", 1.0, k, 0.5, 0.02, 0.51, 0.1, 10.0) for k in range(3)], "k string, t double, id int, mid double, spread double, ask double, imbalance double, depth double")
-    r = book.microstructure(e, "k", 60.0).first()
-    assert r.mid_slope == 0 and r.ask_pressure == 0 and r.events_per_sec == pytest.approx(0.05)
+    e = spark.createDataFrame([("a", 1.0, k, 0.5, 0.02, 0.51, 0.1, 10.0) for k in range(3)], "k string, t double, id int, mid double, spread double, sell_price double, imbalance double, depth double")
+    r = book.microstructure(e, "k", 60.0, least_events=3).first()
+    assert r.mid_velocity == 0 and r.ask_pressure == 0 and r.activity_rate == pytest.approx(0.05)
+    assert book.microstructure(e, "k", 60.0).first().activity_rate == 0  # fewer than five events
 
 
 def test_gates(spark):
     g = spark.createDataFrame([(50, 2, 300, 10), (49, 1, None, 3)], "n_ticks int, n_windows int, feed_age int, n_bars int").select(gates.completeness().alias("g")).collect()
     assert g[0].g == "" and g[1].g == "few_ticks; no_feed; few_bars; empty_windows"
-    v = spark.createDataFrame([(0.5, 0.01), (1.5, math.nan), (None, 0.06)], "up_ratio double, spot_ret double").select(gates.violations(["up_ratio", "spot_ret"]).alias("v")).collect()
-    assert [r.v for r in v] == [[], ["up_ratio", "spot_ret"], ["up_ratio", "spot_ret"]]
+    v = spark.createDataFrame([(0.5, 0.01), (1.5, math.nan), (None, 0.06)], "up_ratio double, ret_1h double").select(gates.violations(["up_ratio", "ret_1h"]).alias("v")).collect()
+    assert [r.v for r in v] == [[], ["up_ratio", "ret_1h"], ["up_ratio", "ret_1h"]]
 
 
 def test_latch_stays(spark):
@@ -169,3 +170,93 @@ def test_compaction(spark):
     spark.range(100).repartition(8).write.parquet(a)
     landed.compact(spark, a, b, 2)
     assert spark.read.parquet(b).count() == 100 and spark.read.parquet(b).rdd.getNumPartitions() <= 2
+
+
+LEVEL = "array<struct<price:double,size:double>>"
+
+
+def test_snapshot_by_hand(spark):
+    """mid 0.5; of the bids 10 of 40 lie within 5 cents, of the asks 30 of 40."""
+    b = spark.createDataFrame([([(0.51, 30.0), (0.61, 10.0)], [(0.49, 10.0), (0.39, 30.0)])], f"asks {LEVEL}, bids {LEVEL}")
+    r = b.select(*book.snapshot_metrics()).first()
+    near, far = math.exp(-0.1), math.exp(-1.1)
+    assert (r.mid, r.spread, r.imbalance) == pytest.approx((0.5, 0.02, -0.5)) and (r.bid_depth_5c, r.ask_depth_5c, r.depth_ratio, r.total_depth) == pytest.approx((0.25, 0.75, 1 / 3, 80))
+    assert r.weighted_imb == pytest.approx((10 * near + 30 * far - 30 * near - 10 * far) / (40 * near + 40 * far))
+
+
+def test_open_close_by_hand(spark):
+    names = "m string, t double, id int, mid double, spread double, imbalance double, bid_depth_5c double, ask_depth_5c double, depth_ratio double, total_depth double, weighted_imb double"
+    row = lambda m, t, k, mid, imb, depth: (m, float(t), k, mid, 0.02, imb, 0.5, 0.5, 1.0, depth, 0.0)
+    rows = [row("a", 5, 1, 0.5, 0.1, 100.0), row("a", 59, 2, 0.5, 0.3, 100.0), row("a", 60, 3, 0.5, 0.5, 100.0), row("a", 155, 4, 0.6, -0.2, 150.0), row("a", 168, 5, 0.9, 0.9, 900.0), row("b", 40, 6, 0.4, 0.2, 70.0)]
+    got = {r.m: r for r in book.open_close(spark.createDataFrame(rows, names), "m").collect()}
+    a, b = got["a"], got["b"]
+    assert (a.mid, a.mid_drift, a.depth_change, a.imb_momentum, a.imbalance_end) == pytest.approx((0.6, 0.1, 50, -0.3, -0.2)) and (a.imb_w0, a.imb_w1, a.imb_w2) == pytest.approx((0.2, 0.5, -0.2))
+    assert (b.mid, b.mid_drift, b.depth_change, b.imb_momentum, b.imbalance_end, b.imb_w1) == pytest.approx((0.4, 0, 0, 0, 0.2, 0))
+
+
+def test_price_changes_by_hand(spark):
+    rows = [("a", 1.0, 1, 0.5, "BUY", 10.0), ("a", 2.0, 2, None, "sell", 4.0), ("a", 3.0, 3, 0.6, None, 50.0), ("a", 4.0, 4, 0.6, "SELL", 2.0), ("a", 5.0, 5, 0.4, "odd", 9.0), ("b", 1.0, 6, 0.5, "BUY", 1.0), ("b", 2.0, 7, 0.5, "BUY", 1.0)]
+    got = {r.k: r for r in book.price_changes(spark.createDataFrame(rows, "k string, t double, id int, price double, side string, size double"), "k").collect()}
+    a, b = got["a"], got["b"]  # moves of a: +0.1, 0, -0.2
+    assert (a.pc_up_ratio, a.pc_count, a.fill_imbalance) == pytest.approx((0.5, 2, 0.25)) and a.pc_volatility == pytest.approx(math.sqrt(((0.1 + 1 / 30) ** 2 + (1 / 30) ** 2 + (0.2 - 1 / 30) ** 2) / 3))
+    assert (b.pc_up_ratio, b.pc_count, b.pc_volatility, b.fill_imbalance) == pytest.approx((0, 0, 0, 1))
+
+
+def test_microstructure_by_hand(spark):
+    """Three books and three price changes; one change has no valid prices, sells go 0.6, 0.5, 0.55."""
+    rows = [("a", 0.0, 1, 0.50, 0.02, None, 0.2, 100.0), ("a", 10.0, 2, 0.52, 0.04, 0.6, None, None), ("a", 20.0, 3, None, None, 0.5, None, None), ("a", 30.0, 4, 0.56, 0.08, 0.55, None, None), ("a", 40.0, 5, 0.58, 0.10, None, -0.4, 180.0)]
+    r = book.microstructure(spark.createDataFrame(rows, "k string, t double, id int, mid double, spread double, sell_price double, imbalance double, depth double"), "k", 60.0).first()
+    assert (r.imb_mean, r.imb_std, r.imb_drift) == pytest.approx((-0.1, 0.3, -0.6)) and (r.mid_velocity, r.spread_trend, r.depth_trend) == pytest.approx((0.002, 0.002, 2.0))
+    assert r.spread_mean == pytest.approx(0.06) and r.activity_rate == pytest.approx(5 / 60) and r.ask_pressure == 0.5 and r.mid_volatility == pytest.approx(math.sqrt(2 / 9) * 0.02)
+
+
+def test_phases_by_hand(spark):
+    t = spark.createDataFrame([("m", 90.0, "Up", "BUY", 0.6, 30.0), ("m", 91.0, "Down", "BUY", 0.4, 20.0), ("m", 200.0, "Up", "BUY", 0.5, 60.0), ("m", 300.0, "Down", "SELL", 0.2, 45.0), ("m", 301.0, "Up", "SELL", 0.8, 15.0)], "market_id string, t_sec double, outcome string, side string, price double, size_usdc double")
+    r = flow.phase_pack(t, 90, 210).first()
+    assert (r.early_up_ratio, r.mid_up_ratio, r.late_up_ratio) == pytest.approx((1, 0.75, 0.25)) and (r.early_n_ticks, r.mid_n_up, r.late_n_down, r.total_temporal_n_ticks) == (1, 1, 1, 5)
+    assert (r.momentum_vol_ratio, r.late_surge, r.early_mid_vol_diff, r.mid_late_vol_diff, r.vol_trend) == pytest.approx((4, 0.4, 0.25, 0.5, 2)) and (r.mid_vwap_down, r.late_vwap_up) == pytest.approx((0.4, 0.8))
+
+
+def test_documented_features_by_hand(spark):
+    rows = [(5, "Up", "BUY", 0.5, 10), (35, "Down", "BUY", 0.5, 10), (160, "Up", "BUY", 0.5, 30), (170, "Down", "BUY", 0.5, 10)]
+    r = flow.documented_features(ticks(spark, rows), 180).first()
+    assert (r.vol_accel, r.tick_accel) == pytest.approx((2, 1)) and r.vwmom == pytest.approx((10 * 0.5 - 10 * 0.5 + 40 * 0.25) / 60)
+    assert r.momentum_vol_sync == pytest.approx(2 * ((0.5 + 0.5 + 0.75) / 3 - (1 + 0 + 0.5) / 3))
+
+
+def test_lagged_score_ignores_the_current_slot(spark):
+    ups = [0.2, 0.4, 0.6, 0.9]
+    rows = [(k * 300, u, 1, 0.5) for k, u in enumerate(ups)]
+    schema = "slot_ts long, up_ratio double, n_ticks int, up_w5 double"
+    score = lambda rs: {x.rank: x for x in ordering.zscores(ranked(spark, rs, schema), "up_ratio", F.col("n_ticks") > 0, 300, late="up_w5").collect()}
+    a, b = score(rows)[3], score([*rows[:3], (900, 0.1, 1, 0.5)])[3]
+    std = math.sqrt(0.08 / 3)
+    assert a.lag_ur_z20 == b.lag_ur_z20 == pytest.approx(0.2 / std) and a.up_ratio_z20 == pytest.approx(0.5 / (std + 1e-6)) and a.up_w5_z20 == pytest.approx(0.1 / (std + 1e-6))
+
+
+def test_ratio_of_changes(spark):
+    rows = spark.createDataFrame([(105.0, 104.0, 100.0), (105.0, 104.0, 104.5), (105.0, 0.0, 100.0)], "a double, b double, c double")
+    assert [r.x for r in rows.select(timejoins.guarded_ratio(F.col("a"), F.col("b"), F.col("c")).alias("x")).collect()] == pytest.approx([0.2, 0, 0])
+
+
+def test_book_names_and_markets(spark):
+    assert features.neutral_value("ob_total_depth") == 0 and features.neutral_value("ob_bid_depth_5c") == 0.5 and features.neutral_value("ob_mid") == 0.5
+    assert features.serving_default("ob_spread_end") == 0 and features.serving_default("ob_total_depth") == 1000 and features.serving_default("clob_mid_velocity") == 0
+    assert gates.range_of("volume_ratio") == gates.WIDEST and gates.range_of("up_w3").high < 1.01 and gates.range_of("up_ratio_z5").high == 5
+    rows = [("Bitcoin Up or Down - May 1", "", 2), ("Price of gold", "gold", 2), ("?", "x-btc-updown-5m-1", 2), ("BTC up or down", "", 3), (None, None, 2)]
+    got = spark.createDataFrame(rows, "q string, s string, n int").select(landed.is_short_market(F.col("q"), F.col("s"), F.array_repeat(F.lit("o"), F.col("n"))).alias("x")).collect()
+    assert [r.x for r in got] == [True, False, True, False, False]
+
+
+def test_running_totals_over_runs_of_blocks(spark):
+    r = ranked(spark, [(k,) for k in range(40)], "slot_ts long")
+    out = ordering.running_max(ordering.running(r, {"total": F.col("rank").cast("double")}, size=3), "slot_ts", "top", size=3).orderBy("rank").collect()
+    assert [x.total for x in out] == [k * (k + 1) / 2 for k in range(40)] and [x.top for x in out] == list(range(40))
+
+
+def test_auc_over_ranges(spark):
+    rows = [((k * 37 % 101) / 101, int((k * 53) % 7 < 3), k % 2) for k in range(300)]
+    got = {r.g: r.auc for r in evaluate.auc(spark.createDataFrame(rows, "p double, y int, g int"), "p", "y", "g").collect()}
+    for g in (0, 1):
+        pos, neg = ([p for p, y, h in rows if h == g and y == want] for want in (1, 0))
+        assert got[g] == pytest.approx(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg)))
