@@ -114,6 +114,12 @@ def tick_pack(ticks: DataFrame) -> DataFrame:
     )
 
 
+def market_packs(ticks: DataFrame) -> DataFrame:
+    """The price pack with the tick pack of each market; the tick pack's own prices give way."""
+    own = tick_pack(ticks).drop("price_first", "price_last", "price_std", "price_mean")
+    return price_pack(ticks).join(own, "market_id")
+
+
 def price_pack(ticks: DataFrame) -> DataFrame:
     """First, last, mean, spread and the price nearest to 25, 50 and 75 % of the elapsed time of each market.
 

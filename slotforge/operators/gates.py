@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotforge.operators.ordering import blocks, in_blocks, running
+from slotforge.operators.ordering import blocks, in_blocks, running, running_max
 
 SEPARATOR = "; "
 
@@ -91,6 +91,30 @@ def warm_up(rank: Column, slots: int = 3) -> Column:
     return rank < slots
 
 
+def execution(ask: Column, paused: Column, low: float = 0.10, high: float = 0.95) -> Column:
+    """Paused by the latch, or an ask that is unknown, not positive or out of range; the first that holds."""
+    return F.when(F.coalesce(paused, F.lit(False)), "paused").when(F.coalesce(ask <= 0, F.lit(True)), "no_ask").when(~ask.between(low, high), "ask_range").otherwise("")
+
+
+def quiet(ranked: DataFrame, placed: Column, time: str, limit: int) -> DataFrame:
+    """Adds ``quiet``, a warning that stops nothing: no trade was placed before a row within ``limit``."""
+    last = running_max(ranked.withColumn("_placed", F.when(placed, F.col(time))), "_placed", "_last")
+    b = blocks(last, 1)
+    before = F.lag("_last", 1).over(in_blocks())
+    out = b.withColumn("quiet", F.coalesce(F.col(time) - before > limit, F.lit(True)))
+    return out.where("NOT _halo").drop("_placed", "_last", "_halo", "_block")
+
+
+def before_prediction(warming: Column, complete: Column, sane: Column) -> Column:
+    """Warm-up, completeness, sanity: the first that fails."""
+    return first_failure(warm_up=F.when(warming, "warming").otherwise(""), completeness=complete, sanity=sane)
+
+
+def after_prediction(prediction: Column, execution: Column) -> Column:
+    """Prediction, execution: the first that fails."""
+    return first_failure(prediction=prediction, execution=execution)
+
+
 def first_failure(**gates: Column) -> Column:
     """The first gate, in the given order, that has a reason: its name and reason."""
     return F.coalesce(*(F.when(c != "", F.concat(F.lit(n + ": "), c)) for n, c in gates.items()))

@@ -85,6 +85,14 @@ def a_price_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(flow.price_pack(X.ticks(spark, sf_dir)))
 
 
+@query(f"""{X.ctes("ticks")}, p AS (SELECT market_id, count(*) AS n, arg_min(price, (t_sec, event_id)) AS a, arg_max(price, (t_sec, event_id)) AS z, stddev_pop(price) AS sd FROM ticks GROUP BY 1),
+    q AS (SELECT market_id, count(*) FILTER (side = 'BUY') AS n_buys, {_b("side = 'BUY'")} AS buy_volume, {_b("side <> 'BUY'")} AS sell_volume FROM ticks GROUP BY 1)
+    SELECT market_id, n, n_buys, {r6("buy_volume", "sell_volume")}, round(z - a, 6) AS price_momentum, round(sd, 6) AS price_std,
+    round(CASE WHEN buy_volume + sell_volume > 0 THEN (buy_volume - sell_volume) / (buy_volume + sell_volume) ELSE 0 END, 6) AS imbalance FROM p JOIN q USING (market_id)""")
+def j_market_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(flow.market_packs(X.ticks(spark, sf_dir)).select("market_id", "n", "n_buys", "buy_volume", "sell_volume", "price_momentum", "price_std", "imbalance"))
+
+
 _P1, _P2 = X.SLOT * 0.3, X.SLOT * 0.7
 _BINS = {"early": f"t_sec <= {_P1}", "mid": f"t_sec > {_P1} AND t_sec <= {_P2}", "late": f"t_sec > {_P2}"}
 

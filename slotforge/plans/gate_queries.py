@@ -68,6 +68,29 @@ def g_stateful_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latched.select("slot_ts", "rank", "won", F.round("win_rate", 6).alias("win_rate"), "paused", "stale", gates.warm_up(F.col("rank")).alias("warming"))
 
 
+@query(f"""{_GATE}, r AS (SELECT *, row_number() OVER (ORDER BY slot_ts) - 1 AS rank, (p >= 0.5) = (target = 1) AS won, round(vwap_up * 1.6, 6) AS ask, abs(p - 0.5) > 0.2 AS placed FROM gated),
+    w AS (SELECT *, avg(CAST(won AS INT)) OVER a AS wr, count(*) OVER a AS m, max(CASE WHEN placed THEN slot_ts END) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last
+        FROM r WINDOW a AS (ORDER BY rank ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+    x AS (SELECT *, max(CAST(m = 20 AND wr < 0.45 AS INT)) OVER (ORDER BY rank) = 1 AS paused FROM w)
+    SELECT slot_ts, CASE WHEN rank < 3 THEN 'warm_up: warming' WHEN completeness <> '' THEN 'completeness: ' || completeness WHEN len(v) > 0 THEN 'sanity: ' || array_to_string(v, '; ') END AS before,
+    CASE WHEN p < 0.25 OR p > 0.75 THEN 'prediction: p_range' WHEN paused THEN 'execution: paused' WHEN ask <= 0 THEN 'execution: no_ask' WHEN ask NOT BETWEEN 0.1 AND 0.95 THEN 'execution: ask_range' END AS after,
+    coalesce(slot_ts - last > 43200, TRUE) AS quiet FROM x""")
+def g_composites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both composite gates of each slot in their fixed order, with the execution gate and the warning of no trades."""
+    step = F.expr("slot_ts div 21600")
+    d = predictions(spark, sf_dir).withColumns({
+        "p": F.round("p", 9), "n_windows": sum((F.col(f"up_w{k}") != 0.5).cast("int") for k in range(6)), "feed_age": F.when(step % 7 == 0, None).otherwise(step % 400), "n_bars": step % 13,
+        "ask": F.round(F.col("vwap_up") * 1.6, 6),
+    })
+    d = d.withColumns({"won": (F.col("p") >= 0.5) == (F.col("target") == 1), "complete": gates.completeness(), "sane": F.concat_ws(gates.SEPARATOR, gates.violations(_CHECKED)), "likely": gates.prediction(0.25, 0.75)})
+    ranked = ordering.global_rank(d.select("slot_ts", "p", "won", "ask", "complete", "sane", "likely"), "slot_ts")
+    latched = gates.quiet(gates.win_rate_latch(ranked, 20, 0.45), F.abs(F.col("p") - 0.5) > 0.2, "slot_ts", 43_200)
+    return latched.select(
+        "slot_ts", gates.before_prediction(gates.warm_up(F.col("rank")), F.col("complete"), F.col("sane")).alias("before"),
+        gates.after_prediction(F.col("likely"), gates.execution(F.col("ask"), F.col("paused"))).alias("after"), "quiet",
+    )
+
+
 @query(f"""{X.ctes("ticks")} SELECT market_id, max(c) AS peak_rate, round(max(gap), 6) AS longest_gap, count(*) FILTER (gap > 900) AS silences FROM (
     SELECT market_id, count(*) OVER (PARTITION BY market_id ORDER BY timestamp_ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW) AS c,
     (timestamp_ms - lag(timestamp_ms) OVER (PARTITION BY market_id ORDER BY timestamp_ms, event_id)) / 1000.0 AS gap FROM ticks) GROUP BY 1""")

@@ -111,6 +111,15 @@ def s_missing_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed.pending(missing, progress, "slot_ts")
 
 
+@query(f"""{X.ctes("candles")}, g AS (SELECT unnest(range((SELECT min(ts) FROM candles), (SELECT max(ts) + 3600 FROM candles), 3600)) AS slot_ts)
+    SELECT slot_ts FROM g WHERE slot_ts // 3600 % 10 <> 0 ORDER BY 1 LIMIT 25""")
+def k_next_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next batch of slots that a progress table doesn't name; the limit is the operator."""
+    a, b = X.candles(spark, sf_dir).agg(F.min("ts"), F.max("ts")).first()
+    calendar = landed.slot_calendar(spark, a, b + 3600, 3600)
+    return landed.next_pending(calendar, calendar.where(F.expr("slot_ts div 3600 % 10 = 0")), "slot_ts", 25)
+
+
 @query(f"""{X.ctes("candles")}, a AS (SELECT ts, round(close, 6) AS close, 'a' AS feed FROM candles WHERE ts // 3600 % 3 <> 0), b AS (SELECT ts, round(close * 2, 6) AS close, 'b' AS feed FROM candles WHERE ts // 3600 % 2 = 0)
     SELECT * FROM a UNION ALL SELECT * FROM b WHERE ts NOT IN (SELECT ts FROM a)""")
 def u_union_first(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,6 +139,11 @@ def pending(wanted: DataFrame, progress: DataFrame, key: str) -> DataFrame:
     return wanted.join(progress.select(key), key, "left_anti")
 
 
+def next_pending(wanted: DataFrame, progress: DataFrame, key: str, most: int) -> DataFrame:
+    """The first ``most`` of what is pending, in order of the key: one batch of work."""
+    return pending(wanted, progress, key).orderBy(key).limit(most)
+
+
 def slot_calendar(spark: SparkSession, start: int, end: int, step: int) -> DataFrame:
     return spark.range(start, end, step).withColumnRenamed("id", "slot_ts")
 
