@@ -23,6 +23,8 @@ NO_RANK = 1 << 30
 SHORT_WORD = 256
 #: Bytes of text that a worker encodes and decodes at once.
 ROUND_BYTES = 1 << 20
+#: Bytes of a worker's cache of words.
+WORD_CACHE = 160 << 20
 
 # The vocabulary file's own split pattern and the characters that count as white space in it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -64,7 +66,7 @@ class WordBpe:
             tokens[i] = token
         self.tokens = pa.array(tokens)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.memo = Memo()
+        self.memo = Memo(limit=WORD_CACHE)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Lowest rank first, the leftmost of equals. A part is known by where it begins, so its neighbours by position."""
