@@ -228,6 +228,62 @@ def serving_pack(ticks: DataFrame) -> DataFrame:
     return base.join(prices, "market_id").select("market_id", "n", *prices.columns[1:], "price_mean", "price_std", "volume")
 
 
+#: What a market without trades gets in the serving row; all other columns but the calendar are null.
+UNTRADED = {n: 0.0 for n in ("n_ticks", "n_trades", "n_buy_trades", "n_sell_trades", "avg_trade_size", "buy_sell_imbalance", "total_volume_usdc", "buy_volume_usdc", "sell_volume_usdc", "up_volume_usdc", "down_volume_usdc")} | {"up_down_volume_ratio": 0.5}
+
+
+def serving_row(ticks: DataFrame, slots: DataFrame, candles: DataFrame, slot_seconds: int, after: int = 60) -> DataFrame:
+    """All 33 serving columns of each market: the price series (Up trades, or all where none is Up), volumes, VWAPs,
+    spot of the candles that open between the first trade and ``after`` seconds past the last, and the calendar of the
+    slot's start. Other sides than BUY and SELL count as trades only. Rank and aggregates share one shuffle.
+    """
+    up, down = F.lower("outcome").isin("yes", "up", "0"), F.lower("outcome").isin("no", "down", "1")
+    size, side = F.coalesce("size_usdc", F.lit(0.0)), F.upper("side")
+    series = Window.partitionBy("slot_ts", "_up")
+    order = ("t_sec", "event_id")
+    t = ticks.withColumn("_up", F.coalesce(up, F.lit(False))).withColumns({"_r": F.row_number().over(series.orderBy(*order)) - 1, "_n": F.count("*").over(series)})
+    at = lambda q: F.max(F.when(F.col("_r") == F.bround(F.lit(q) * (F.col("_n") - 1), 0), F.col("price")))
+    none = lambda c: F.coalesce(c, F.lit(0.0))
+    halves = t.groupBy("slot_ts", "_up").agg(
+        F.struct(
+            at(0.0).alias("first_price"), at(1.0).alias("last_price"), F.avg("price").alias("price_mean"), F.stddev_pop("price").alias("price_std"), F.min("price").alias("price_min"), F.max("price").alias("price_max"),
+            F.count("*").cast("double").alias("n_ticks"), *(at(q).alias(f"price_at_{int(q * 100)}pct") for q in (0.25, 0.5, 0.75)),
+        ).alias("s"),
+        F.count("*").alias("n"), F.count_if(side == "BUY").alias("nb"), F.count_if(side == "SELL").alias("ns"), none(_of(side == "BUY", size)).alias("b"), none(_of(side == "SELL", size)).alias("l"),
+        none(_of(up, size)).alias("u"), none(_of(down, size)).alias("d"), none(_of(up, F.col("price") * size)).alias("pu"), none(_of(down, F.col("price") * size)).alias("pd"), F.min("timestamp_ms").alias("t0"), F.max("timestamp_ms").alias("t1"),
+    )
+    g = halves.groupBy("slot_ts").agg(F.max_by("s", "_up").alias("s"), *(F.sum(c).alias(c) for c in ("n", "nb", "ns", "b", "l", "u", "d", "pu", "pd")), F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+    place = lambda ts: F.floor(ts / slot_seconds) * slot_seconds
+    bars = candles.select("ts", "open", "close", F.explode(F.array_distinct(F.array(place(F.col("ts")), place(F.col("ts") - after)))).alias("slot_ts"))
+    inside = bars.join(g.where("t0 > 0").select("slot_ts", "t0", "t1"), "slot_ts").where((F.col("ts") * 1000 >= F.col("t0")) & (F.col("ts") * 1000 <= F.col("t1") + after * 1000))
+    start, end = F.min_by("open", "ts"), F.max_by("close", "ts")
+    spot = inside.groupBy("slot_ts").agg(
+        start.alias("spot_price_start"), end.alias("spot_price_end"), F.when(start != 0, (end - start) / start).alias("spot_return"), F.avg("close").alias("spot_price_mean"), F.stddev_pop("close").alias("_vol")
+    )
+    both = F.col("b") + F.col("l")
+    traded = g.select(
+        "slot_ts", "s.*", both.alias("total_volume_usdc"), F.col("b").alias("buy_volume_usdc"), F.col("l").alias("sell_volume_usdc"), F.when(both > 0, (F.col("b") - F.col("l")) / both).otherwise(0.0).alias("buy_sell_imbalance"),
+        F.col("u").alias("up_volume_usdc"), F.col("d").alias("down_volume_usdc"), F.when(F.col("u") + F.col("d") > 0, F.col("u") / (F.col("u") + F.col("d"))).otherwise(0.5).alias("up_down_volume_ratio"),
+        *(F.col(c).cast("double").alias(f"n_{name}trades") for c, name in (("n", ""), ("nb", "buy_"), ("ns", "sell_"))), (both / F.col("n")).alias("avg_trade_size"),
+        F.when(F.col("u") > 0, F.col("pu") / F.col("u")).alias("vwap_up"), F.when(F.col("d") > 0, F.col("pd") / F.col("d")).alias("vwap_down"),
+    )
+    traded = traded.withColumn("price_momentum", F.col("last_price") - F.col("first_price"))
+    whole = slots.select("slot_ts").join(traded, "slot_ts", "left").join(spot, "slot_ts", "left")
+    whole = whole.withColumn("spot_volatility", F.when(F.col("n_trades") > 0, F.coalesce("_vol", F.lit(0.0)))).drop("_vol").fillna(UNTRADED)
+    hour, day = F.floor(F.pmod("slot_ts", F.lit(86_400)) / 60) / 60.0, F.pmod(F.floor(F.col("slot_ts") / 86_400) + 3, F.lit(7))
+    return whole.select("*", *cyclical(hour, 24, "hour_of_day"), *cyclical(day, 7, "day_of_week"))
+
+
+def slot_floor(ts: Column, slot_seconds: int = 300) -> Column:
+    """The slot that an epoch second falls into."""
+    return (F.floor(ts / slot_seconds) * slot_seconds).cast("long")
+
+
+def entry_window(t_sec: Column, low: float = 170, high: float = 240) -> Column:
+    """Whether orders may be placed this long after the slot's start, both ends included."""
+    return t_sec.between(low, high)
+
+
 def scan_pack(ticks: DataFrame) -> DataFrame:
     """Linear value percentiles of price and up/(down+eps), sells being all that isn't BUY."""
     up, size = F.col("outcome") == "Up", F.col("size_usdc")

@@ -191,3 +191,41 @@ def a_leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p_live_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = X.ticks(spark, sf_dir).withColumn("phase", flow.phase_of(F.col("t_sec"), _P1, _P2, left_closed=True))
     return t.groupBy("market_id").agg(F.count("*").alias("n_all"), *(F.count_if(F.col("phase") == p).alias(f"n_{p}") for p in flow.PHASES))
+
+
+_SERVED = ["first_price", "last_price", "price_mean", "price_std", "price_min", "price_max", "price_momentum", "n_ticks", "price_at_25pct", "price_at_50pct", "price_at_75pct", "hour_of_day_sin", "hour_of_day_cos", "day_of_week_sin", "day_of_week_cos",
+           "total_volume_usdc", "buy_volume_usdc", "sell_volume_usdc", "buy_sell_imbalance", "up_volume_usdc", "down_volume_usdc", "up_down_volume_ratio", "n_trades", "n_buy_trades", "n_sell_trades", "avg_trade_size",
+           "spot_price_start", "spot_price_end", "spot_return", "spot_volatility", "spot_price_mean", "vwap_up", "vwap_down"]
+
+
+def _served_sql() -> str:
+    quarter = lambda p: f"l[CAST(round_even({p / 100} * (len(l) - 1), 0) AS INT) + 1] AS price_at_{p}pct"
+    return f"""{X.ctes("ticks", "slots", "candles")}, b AS (SELECT slot_ts, count(*) AS n, count(*) FILTER ({_UP}) AS nu, count(*) FILTER (side = 'BUY') AS nb, count(*) FILTER (side = 'SELL') AS ns, {_b("side = 'BUY'")} AS bv, {_b("side = 'SELL'")} AS sv,
+        {_b(_UP)} AS uv, {_b("outcome = 'Down'")} AS dv, sum(price * size_usdc) FILTER ({_UP}) AS pu, sum(price * size_usdc) FILTER (outcome = 'Down') AS pd, min(timestamp_ms) AS t0, max(timestamp_ms) AS t1 FROM ticks GROUP BY 1),
+    p AS (SELECT slot_ts, list(price ORDER BY t_sec, event_id) AS l, avg(price) AS price_mean, stddev_pop(price) AS price_std, min(price) AS price_min, max(price) AS price_max FROM ticks JOIN b USING (slot_ts) WHERE {_UP} OR nu = 0 GROUP BY 1),
+    k AS (SELECT slot_ts, arg_min(open, ts) AS spot_price_start, arg_max(close, ts) AS spot_price_end, avg(close) AS spot_price_mean, stddev_pop(close) AS sd FROM b JOIN candles ON ts * 1000 BETWEEN t0 AND t1 + 60000 GROUP BY 1),
+    a AS (SELECT slot_ts, l[1] AS first_price, l[len(l)] AS last_price, price_mean, price_std, price_min, price_max, l[len(l)] - l[1] AS price_momentum, CAST(len(l) AS DOUBLE) AS n_ticks, {", ".join(map(quarter, (25, 50, 75)))},
+        2 * pi() * (slot_ts % 86400 // 60 / 60.0) / 24 AS h, 2 * pi() * ((slot_ts // 86400 + 3) % 7) / 7 AS w, bv + sv AS total_volume_usdc, bv AS buy_volume_usdc, sv AS sell_volume_usdc, coalesce((bv - sv) / nullif(bv + sv, 0), 0) AS buy_sell_imbalance,
+        uv AS up_volume_usdc, dv AS down_volume_usdc, coalesce(uv / nullif(uv + dv, 0), 0.5) AS up_down_volume_ratio, CAST(n AS DOUBLE) AS n_trades, CAST(nb AS DOUBLE) AS n_buy_trades, CAST(ns AS DOUBLE) AS n_sell_trades, (bv + sv) / n AS avg_trade_size,
+        spot_price_start, spot_price_end, (spot_price_end - spot_price_start) / nullif(spot_price_start, 0) AS spot_return, coalesce(sd, 0) AS spot_volatility, spot_price_mean, pu / nullif(uv, 0) AS vwap_up, pd / nullif(dv, 0) AS vwap_down
+        FROM slots JOIN b USING (slot_ts) JOIN p USING (slot_ts) LEFT JOIN k USING (slot_ts)),
+    z AS (SELECT *, sin(h) AS hour_of_day_sin, cos(h) AS hour_of_day_cos, sin(w) AS day_of_week_sin, cos(w) AS day_of_week_cos FROM a)
+    SELECT slot_ts, {r6(*_SERVED, places=5)} FROM z"""
+
+
+@query(_served_sql())
+def a_serving_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole serving row of each slot."""
+    row = flow.serving_row(X.ticks(spark, sf_dir), X.slots(spark, sf_dir), X.candles(spark, sf_dir), X.SLOT)
+    return rounded(row.select("slot_ts", *_SERVED), 5)
+
+
+_LOW, _HIGH = X.SLOT * 170 // 300, X.SLOT * 240 // 300
+
+
+@query(f"""SELECT epoch_us(ts) // {X.SLOT}000000 * {X.SLOT} AS slot, count(*) FILTER (epoch_us(ts) // 1000000 % {X.SLOT} BETWEEN {_LOW} AND {_HIGH}) AS n_open, count(*) AS n FROM events GROUP BY 1""")
+def p_entry_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks of each slot inside the entry window, the window being the same share of a slot as live."""
+    t = X.ticks(spark, sf_dir).select(F.expr("timestamp_ms div 1000").alias("s"))
+    slot = flow.slot_floor(F.col("s"), X.SLOT)
+    return t.groupBy(slot.alias("slot")).agg(F.count_if(flow.entry_window(F.col("s") - slot, _LOW, _HIGH)).alias("n_open"), F.count("*").alias("n"))
