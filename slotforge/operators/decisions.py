@@ -35,6 +35,12 @@ def decide(predictions: DataFrame, limits: Limits = Limits(), strict_half: bool
     return d.withColumn("skip_reason", skip_reason(limits))
 
 
+def entry_price(mid: Column, drift: Column, direction: Column, low: float = 0.05, high: float = 0.95) -> Column:
+    """What the bought side costs at the close of the window: the Up mid with its drift within [low, high], or the rest to 1."""
+    close = F.greatest(F.least(mid + drift, F.lit(high)), F.lit(low))
+    return F.when(direction == "UP", close).otherwise(1 - close)
+
+
 def skip_reason(limits: Limits) -> Column:
     """The first rule that a row breaks."""
     return (

@@ -179,6 +179,30 @@ def permuted_drop(model, df: DataFrame, feature: str, ranked: str = "rank", labe
     return score(df) - score(mixed)
 
 
+def directional_probes(spark: SparkSession, model, features: list[str], neutral: dict[str, float], up: dict[str, float], down: dict[str, float], least_up: float = 0.40) -> DataFrame:
+    """Three made rows that a sound model puts in order. probe, p, passes: Up above neutral above Down, and the Up row
+    at ``least_up`` or more. Features that a probe doesn't name keep their neutral value, 0 where there is none."""
+    named = (("up", up), ("neutral", {}), ("down", down))
+    rows = spark.createDataFrame([(name, *(float({**neutral, **own}.get(f, 0.0)) for f in features)) for name, own in named], "probe string, " + ", ".join(f"`{f}` double" for f in features))
+    p = predict(model, rows).select("probe", "p")
+    of = lambda name: F.max(F.when(F.col("probe") == name, F.col("p")))
+    verdict = p.agg(((of("up") > of("neutral")) & (of("neutral") > of("down")) & (of("up") >= least_up)).alias("passes"))
+    return p.crossJoin(F.broadcast(verdict))  # three rows with one
+
+
+def overfit_checks(measured: DataFrame, top: int) -> DataFrame:
+    """check, verdict from one row of adversarial_auc, noise_rank (best rank of a noise column, from 1), auc_drop,
+    fold_std, n_trades, pnl. A check whose measure is null is skipped, as is the profit of no trades."""
+    rules = {
+        "adversarial_auc": F.when(F.col("adversarial_auc") <= 0.65, "PASS").when(F.col("adversarial_auc").isNotNull(), "WARN"),
+        "noise_rank": F.when(F.col("noise_rank") > top, "PASS").when(F.col("noise_rank").isNotNull(), "FAIL"),
+        "auc_drop": F.when(F.col("auc_drop") <= 0.03, "PASS").when(F.col("auc_drop").isNotNull(), "WARN"),
+        "fold_stability": F.when(F.col("fold_std") <= 0.05, "PASS").when(F.col("fold_std").isNotNull(), "WARN"),
+        "trading_pnl": F.when(F.col("n_trades") > 0, F.when(F.col("pnl") > 0, "PASS").otherwise("FAIL")),
+    }
+    return measured.select(F.explode(F.array(*(F.struct(F.lit(k).alias("check"), F.coalesce(v, F.lit("SKIP")).alias("verdict")) for k, v in rules.items()))).alias("r")).select("r.*")
+
+
 def promotion(champion: dict[str, float], challenger: dict[str, float], needed: int = 2) -> bool:
     """AUC up, Brier down, accuracy up: enough of the three, or a tie with fewer features."""
     better = (challenger["auc"] > champion["auc"]) + (challenger["brier"] < champion["brier"]) + (challenger["accuracy"] > champion["accuracy"])

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotforge import fixtures as X
+from slotforge.functions import features
 from slotforge.operators import decisions, evaluate, ledger, ordering
-from slotforge.plans.flow_queries import FLOW, slot_flow
+from slotforge.plans.book_queries import BOOK_SET, MARKET_OF_SLOT, slot_books
+from slotforge.plans.flow_queries import FLOW, flow_cte, slot_flow
 from slotforge.plans.gate_queries import PREDICTION, predictions
 from slotforge.plans.registry import query, rounded
 
@@ -219,3 +221,70 @@ def m_overfit_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
         "noise_rank": (float(len(names) - min(order.index("noise_0"), order.index("noise_1"))), 6.0, 8.0),
         "permutation": (-drop, 0.005, 0.05),
     }).select("check", "verdict")
+
+
+@query(f"""{X.ctes("ticks", "slots")}, {BOOK_SET}, {flow_cte()}, e AS (SELECT slot_ts, target, CASE WHEN round({PREDICTION}, 9) > 0.5 THEN 'UP' ELSE 'DOWN' END AS direction, coalesce(ob_mid, 0.5) + coalesce(ob_mid_drift, 0) AS c
+        FROM flow LEFT JOIN books ON m = slot_ts // 21600 % 211),
+    f AS (SELECT slot_ts, target, direction, CASE WHEN direction = 'UP' THEN least(greatest(c, 0.05), 0.95) ELSE 1 - least(greatest(c, 0.05), 0.95) END AS ask FROM e)
+    SELECT slot_ts, direction, round(ask, 6) AS ask, (direction = 'UP') = (target = 1) AS won, round(CASE WHEN (direction = 'UP') = (target = 1) THEN 0.98 - ask ELSE -ask END, 6) AS pnl_share FROM f""")
+def d_entry_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entry at the book's closing mid: direction, price and profit a share of each slot."""
+    p = predictions(spark, sf_dir).select("slot_ts", "target", F.when(F.round("p", 9) > 0.5, "UP").otherwise("DOWN").alias("direction"), F.expr(MARKET_OF_SLOT).alias("market"))
+    priced = features.with_books(p, slot_books(spark, sf_dir).select("market", "ob_mid", "ob_mid_drift"), "market").withColumn("skip_reason", F.lit(None).cast("string"))
+    priced = priced.withColumn("ask", decisions.entry_price(F.col("ob_mid"), F.col("ob_mid_drift"), F.col("direction")))
+    return rounded(priced.select("slot_ts", "direction", "ask", *decisions.pnl()[:2]))
+
+
+_CHECKED_SQL = f"""{DECIDED}, rk AS (SELECT *, row_number() OVER (ORDER BY slot_ts) - 1 AS rank, (SELECT count(*) FROM decided) AS n FROM decided),
+    f AS (SELECT rk.*, k AS fold FROM rk, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS k) WHERE CASE WHEN k < 5 THEN rank >= n - (5 - k) * (n // 6) AND rank < n - (5 - k) * (n // 6) + n // 6 ELSE rank >= n - CAST(floor(n * 0.2) AS BIGINT) END),
+    o AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY p) + (count(*) OVER (PARTITION BY fold, p) - 1) / 2.0 AS rr FROM f),
+    a AS (SELECT fold, (sum(rr) FILTER (target = 1) - sum(target) * (sum(target) + 1) / 2) / (sum(target) * (count(*) - sum(target))) AS auc FROM o GROUP BY 1),
+    m AS (SELECT avg(auc) FILTER (fold < 5) - max(auc) FILTER (fold = 5) AS auc_drop, stddev_pop(auc) FILTER (fold < 5) AS fold_std FROM a),
+    t AS (SELECT count(*) AS n_trades, sum(CASE WHEN (direction = 'UP') = (target = 1) THEN 0.98 - ask ELSE -ask END) AS pnl FROM decided WHERE skip_reason IS NULL)"""
+
+
+@query(f"""{_CHECKED_SQL} SELECT 'adversarial_auc' AS "check", 'SKIP' AS verdict UNION ALL SELECT 'noise_rank', 'SKIP' UNION ALL SELECT 'auc_drop', CASE WHEN auc_drop <= 0.03 THEN 'PASS' ELSE 'WARN' END FROM m
+    UNION ALL SELECT 'fold_stability', CASE WHEN fold_std <= 0.05 THEN 'PASS' ELSE 'WARN' END FROM m UNION ALL SELECT 'trading_pnl', CASE WHEN n_trades = 0 THEN 'SKIP' WHEN pnl > 0 THEN 'PASS' ELSE 'FAIL' END FROM t""")
+def m_prediction_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scorecard's rows that predictions alone decide; those that need a model are skipped."""
+    d = decided(spark, sf_dir)
+    r = ordering.global_rank(d.select("slot_ts", "target", "p"), "slot_ts")
+    n = r.count()
+    folds = evaluate.fold_summary(evaluate.metrics(evaluate.walk_forward(r, n).where("role = 'test'")))
+    last = evaluate.auc(evaluate.holdout(r, n, 0.2).where("role = 'test'"), "p", "target").select(F.col("auc").alias("holdout"))
+    traded = d.where("skip_reason IS NULL").agg(F.count("*").alias("n_trades"), F.sum("pnl_share").alias("pnl"))
+    measured = folds.crossJoin(last).crossJoin(traded)  # one row each
+    none = F.lit(None).cast("double")
+    return evaluate.overfit_checks(measured.select(none.alias("adversarial_auc"), none.alias("noise_rank"), (F.col("auc_mean") - F.col("holdout")).alias("auc_drop"), F.col("auc_std").alias("fold_std"), "n_trades", "pnl"), 4)
+
+
+@query()
+def m_directional_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up, neutral and Down rows through a model fitted on all slots."""
+    model = evaluate.logistic(_MODEL).fit(_model_rows(spark, sf_dir))
+    neutral = {"up_ratio": 0.5, "buy_ratio": 0.5}
+    up = {"up_ratio": 0.75, "momentum": 0.05, "buy_ratio": 0.6, "vwap_spread": 0.10}
+    down = {"up_ratio": 0.25, "momentum": -0.05, "buy_ratio": 0.4, "vwap_spread": -0.10}
+    return rounded(evaluate.directional_probes(spark, model, _MODEL, neutral, up, down))
+
+
+@query()
+def m_feature_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean fold AUC of the whole set, its first features, and the set less one feature; whether each meets the minimum bar."""
+    r = _model_rows(spark, sf_dir)
+    folds = evaluate.walk_forward(r, r.count(), folds=2).where("role IS NOT NULL").persist()
+    sets = {"all": _MODEL, "first_3": _MODEL[:3], "less_momentum": [n for n in _MODEL if n != "momentum"]}
+    tried = spark.createDataFrame(evaluate.sweep(folds, sets, 2, rounds=3), "name string, n_features long, auc double")
+    folds.unpersist()
+    bar = evaluate.usable(tried).select("name", F.lit(True).alias("usable"))
+    return rounded(tried.join(bar, "name", "left").fillna(False, subset=["usable"]))
+
+
+@query()
+def m_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two trials of the random search, best first."""
+    r = _model_rows(spark, sf_dir)
+    folds = evaluate.walk_forward(r, r.count(), folds=2).where("role IS NOT NULL").persist()
+    rows = [(k, p["depth"], p["rounds"], p["step"], s) for k, (s, p) in enumerate(evaluate.search(folds, _MODEL[:4], 2, 2))]
+    folds.unpersist()
+    return rounded(spark.createDataFrame(rows, "place long, depth int, rounds int, step double, score double"))
