@@ -72,6 +72,38 @@ SETS = {
 }
 
 
+#: The 30 features of the earlier champion by rank, with their category, and those it dropped with the reason.
+RANKED = (
+    ("btc_inslot_ret", "spot"), ("ob_mid_drift", "orderbook"), ("btc_pre_5m_ret", "spot"), ("btc_vwap_up", "clob_tick"), ("x_ob_drift_x_inslot", "cross"), ("btc_up_w1", "clob_tick"),
+    ("btc_pre_30m_ret", "spot"), ("ob_weighted_imb", "orderbook"), ("btc_vwap_dn", "clob_tick"), ("ob_mid", "orderbook"), ("prev_slot_up_ratio_2", "lag"), ("btc_vwap_spread", "clob_tick"),
+    ("prev_slot_up_ratio_1", "lag"), ("btc_momentum", "clob_tick"), ("btc_pre_4h_ret", "spot"), ("ob_imb_w0", "orderbook"), ("btc_up_ratio", "clob_tick"), ("btc_up_w2", "clob_tick"),
+    ("prev_slot_up_ratio_3", "lag"), ("btc_pre_1h_ret", "spot"), ("ob_imb_w2", "orderbook"), ("hour_x_up_ratio", "temporal"), ("ob_imb_momentum", "orderbook"), ("x_depth_x_momentum", "cross"),
+    ("btc_size_disparity", "clob_tick"), ("x_imb_x_ur", "cross"), ("btc_buy_ratio", "clob_tick"), ("ob_ask_depth_5c", "orderbook"), ("prev_slot_up_ratio_5", "lag"), ("btc_signal_conviction", "clob_tick"),
+)
+PRUNED = {
+    "ob_total_depth": "0.7% importance, absolute value leak", "btc_up_ratio_zscore_5s": "Noisy short zscore, needs warm history", "btc_up_ratio_zscore_20s": "Noisy long zscore, needs warm history",
+    "btc_pre_1h_4h_ratio": "Cold buffer issues in live", "btc_up_w0": "Earliest window = most noise", "prev_slot_up_ratio_4": "4 slots back, mostly noise", "btc_dist_1k": "Weak round-number signal",
+    "hour_x_tw_ur": "Temporal overfit risk", "ob_imb_w1": "Interpolated in live (not measured)", "hour_cos": "Calendar overfit risk",
+}
+#: Columns here of listed names that no rule gives; slots of six hours look back 1, 6 and 24 hours, so 30 minutes has none.
+_COLUMN_OF = {"btc_inslot_ret": "ret_0h", "btc_pre_5m_ret": "ret_1h", "btc_pre_30m_ret": None, "btc_pre_1h_ret": "ret_6h", "btc_pre_4h_ret": "ret_24h", "btc_signal_conviction": "conviction",
+              "btc_up_ratio_zscore_5s": "up_ratio_z5", "btc_up_ratio_zscore_20s": "up_ratio_z20", "btc_pre_1h_4h_ratio": "ratio_1h_24h", "btc_dist_1k": "round_near"}
+
+
+def column_of(name: str) -> str | None:
+    """The column of this engine that a listed feature stands for."""
+    if name in _COLUMN_OF:
+        return _COLUMN_OF[name]
+    lag = name.removeprefix("prev_slot_up_ratio_")
+    return f"lag{lag}_up_ratio" if lag != name else name.removeprefix("btc_")
+
+
+def ranked(spark: SparkSession) -> DataFrame:
+    """rank (null: pruned), name, category, reason, column of every listed feature."""
+    rows = [(k + 1, n, c, None, column_of(n)) for k, (n, c) in enumerate(RANKED)] + [(None, n, None, why, column_of(n)) for n, why in PRUNED.items()]
+    return spark.createDataFrame(rows, "rank int, name string, category string, reason string, `column` string")
+
+
 def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, c, t) for n, (c, t) in REGISTRY.items()], "name string, category string, text string")
 

@@ -74,12 +74,13 @@ def running_max(ranked: DataFrame, value: str, name: str, rank: str = "rank", si
 LAGS = {"target": 0.5, "up_ratio": 0.5, "n_ticks": 0.0, "vol_tot": 0.0}
 
 
-def lag_features(ranked: DataFrame, slot_seconds: int, lags: int = 5, stale: int = 3, fill: dict[str, float] | None = None) -> DataFrame:
+def lag_features(ranked: DataFrame, slot_seconds: int, lags: int = 5, stale: int = 3, fill: dict[str, float] | None = None, unknown: dict[str, float] | None = None) -> DataFrame:
     """Lags 1..n of each column with a stale guard, matches of lag 1 among the others, and the true run.
 
-    A lag whose slot lies more than n * slot_seconds * stale back counts as stale; before the first slot it is 0.
+    A lag whose slot lies more than n * slot_seconds * stale back counts as stale; before the first slot it is 0, or
+    what ``unknown`` says (the live form: the same as a stale one).
     """
-    fill = fill or LAGS
+    fill, unknown = fill or LAGS, unknown or {}
     w = in_blocks()
     b = blocks(ranked, lags)
     out = []
@@ -89,7 +90,7 @@ def lag_features(ranked: DataFrame, slot_seconds: int, lags: int = 5, stale: int
         known[k] = then.isNotNull()
         fresh[k] = F.coalesce(F.col("slot_ts") - then <= k * slot_seconds * stale, F.lit(False))
         for c, value in fill.items():
-            out.append(F.when(~known[k], 0.0).when(fresh[k], F.lag(c, k).over(w).cast("double")).otherwise(value).alias(f"lag{k}_{c}"))
+            out.append(F.when(~known[k], unknown.get(c, 0.0)).when(fresh[k], F.lag(c, k).over(w).cast("double")).otherwise(value).alias(f"lag{k}_{c}"))
     first = F.lag("target", 1).over(w)
     same = {k: fresh[k] & (F.lag("target", k).over(w) == first) for k in range(2, lags + 1)}
     matches = sum((F.when(F.coalesce(same[k], F.lit(False)), 1).otherwise(0) for k in same), F.lit(1))

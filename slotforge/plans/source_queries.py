@@ -207,3 +207,16 @@ def u_id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = a.join(b, "slot_ts", "full")
     both, alone = F.count_if(F.col("a") & F.col("b")), F.count_if(F.col("a") & F.col("b").isNull())
     return j.agg(both.alias("n_both"), alone.alias("n_without"), F.round(both / F.count("a"), 6).alias("coverage"))
+
+
+@query("""WITH e AS (SELECT 'm' || (l_suppkey % 20) AS market_id, CAST(l_orderkey % 200 AS DOUBLE) AS t, (floor(l_extendedprice / l_quantity * 100) % 99 + 1) / 100 AS p, l_quantity AS q, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side
+        FROM lineitem WHERE l_linestatus = 'F')
+    SELECT market_id, CASE WHEN p >= 0.5 THEN 'Up' ELSE 'Down' END AS outcome, side, count(*) AS n, round(sum(p * q), 4) AS size_usdc FROM e WHERE t < 180 GROUP BY ALL""")
+def s_event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trade events of an order-book feed as ticks, summed by market, outcome and side; line items stand for the events."""
+    l = X.table(spark, sf_dir, "lineitem")
+    events = l.select(
+        F.concat(F.lit("m"), (F.col("l_suppkey") % 20).cast("string")).alias("market_id"), (F.col("l_orderkey") % 200).cast("double").alias("t"), F.when(F.col("l_linestatus") == "F", "last_trade_price").otherwise("book").alias("event_type"),
+        ((F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) % 99 + 1) / 100).alias("trade_price"), F.col("l_quantity").cast("double").alias("trade_size"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("trade_side"),
+    )
+    return rounded(landed.event_ticks(events, 180).groupBy("market_id", "outcome", "side").agg(F.count("*").alias("n"), F.sum("size_usdc").alias("size_usdc")), 4)

@@ -104,3 +104,30 @@ def t_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           F.lit("open").alias("status"), F.lit(None).cast("double").alias("pnl_usdc"), F.lit(None).cast("string").alias("result"))
     s = ledger.settle(open_, labels, 9_999_999_999, X.SLOT, 60)
     return rounded(s.select("slot_ts", "status", "result", "pnl_usdc"))
+
+
+@query("""SELECT event_type AS feed, max(epoch_us(ts)) AS newest_us, (max(epoch_us(ts)) + 1800000000) // 1000 <= (SELECT max(epoch_us(ts)) FROM events) // 1000 - 120000 AS silent FROM events GROUP BY 1""")
+def t_silent_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds that a timer finds silent when all that has landed is processed."""
+    return T.run_to_table(T.silent_feeds(T.landed_events(spark, sf_dir), 600_000_000), ["feed"])
+
+
+_END, _FRESH = X.SLOT * 240 // 300, X.SLOT * 15 // 300
+
+
+@query(f"""{X.ctes("ticks")}, r AS (SELECT *, event_id % 101 = 0 AS cleared, (slot_ts + t_sec, event_id) AS o FROM ticks WHERE t_sec <= {_END}),
+    g AS (SELECT slot_ts, outcome, arg_max(price, o) FILTER (NOT cleared AND price < 0.97) AS p, max(o) FILTER (NOT cleared AND price < 0.97) AS seen, max(t_sec) FILTER (NOT cleared AND price < 0.97) AS t, max(o) FILTER (cleared) AS c FROM r GROUP BY 1, 2)
+    SELECT slot_ts, outcome, round(CASE WHEN seen IS NOT NULL AND (c IS NULL OR seen > c) THEN p END, 6) AS price, seen IS NOT NULL AND (c IS NULL OR seen > c) AND {_END} - t <= {_FRESH} AS fresh FROM g""")
+def t_cached_asks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache of best prices at the end of the entry window; every event whose id divides by 101 stands for a reconnect."""
+    ticks = T.as_ticks(T.landed_events(spark, sf_dir))
+    return rounded(T.run_to_table(T.cached_asks(ticks, F.col("event_id") % 101 == 0, _END, _FRESH), ["slot_ts", "outcome"]))
+
+
+@query("""WITH n AS (SELECT max(epoch_us(ts)) AS now FROM events)
+    SELECT event_type AS feed, (max(now) - max(epoch_us(ts))) // 1000000 AS age, count(*) FILTER (epoch_us(ts) >= now - 3600000000) AS n_1h, count(*) FILTER (epoch_us(ts) >= now - 14400000000) AS n_4h,
+    count(*) FILTER (epoch_us(ts) >= now - 14400000000) < 180 AS low FROM events, n GROUP BY 1""")
+def t_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of each feed when the newest event came."""
+    now = X.table(spark, sf_dir, "events").agg(F.max(F.expr(X.EPOCH_US))).first()[0] or 0
+    return T.run_to_table(T.coverage(T.landed_events(spark, sf_dir), now), ["feed"])

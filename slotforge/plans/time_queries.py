@@ -203,3 +203,28 @@ def x_registry_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = f.select(F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).alias("v")) for n in names))).alias("x")).select("x.*")
     reg = features.registry(spark).select(F.col("name").alias("feature"), "category")
     return long.join(F.broadcast(reg), "feature").groupBy("feature", "category").agg(F.count("v").alias("n_known"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("std"))
+
+
+_LISTED = [(k + 1, n) for k, (n, _) in enumerate(features.RANKED)] + [(None, n) for n in features.PRUNED]
+_HELD = sorted({c for _, n in _LISTED if (c := features.column_of(n))})
+
+
+@query(f"""WITH wide AS ({_set_sql("v25")}), long AS (UNPIVOT (SELECT {", ".join(_HELD)} FROM wide) ON {", ".join(_HELD)} INTO NAME c VALUE v),
+    listed(rank, feature, c) AS (VALUES {", ".join(f"({k or 'NULL'}, '{n}', {repr(features.column_of(n)) if features.column_of(n) else 'NULL'})" for k, n in _LISTED)})
+    SELECT CAST(rank AS INT) AS rank, feature, rank IS NULL AS pruned, count(v) AS n_known, round(avg(v), 3) AS mean FROM listed LEFT JOIN long USING (c) GROUP BY ALL""")
+def x_ranked_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked and the pruned features with what the data says about each; a feature without a column here has no rows."""
+    wide = rounded(feature_table(spark, sf_dir, "v25"), 4)
+    means = wide.agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in _HELD))
+    long = means.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col("n").alias("n"), F.col(c).alias("mean")) for c in _HELD))).alias("x")).select("x.*")
+    listed = features.ranked(spark).join(long, "column", "left")
+    return listed.select("rank", F.col("name").alias("feature"), F.col("rank").isNull().alias("pruned"), F.coalesce("n", F.lit(0)).alias("n_known"), F.round("mean", 3).alias("mean"))
+
+
+@query(f"""{FLOW}, l AS (SELECT slot_ts, {", ".join(f"slot_ts - lag(slot_ts, {k}) OVER w AS gap{k}, lag(up_ratio, {k}) OVER w AS u{k}, CAST(lag(n_ticks, {k}) OVER w AS DOUBLE) AS t{k}" for k in (1, 2, 3))} FROM flow WINDOW w AS (ORDER BY slot_ts))
+    SELECT slot_ts, {", ".join(f"round(CASE WHEN gap{k} <= {k * 3 * X.SLOT} THEN u{k} ELSE 0.5 END, 6) AS lag{k}_up_ratio, CASE WHEN gap{k} <= {k * 3 * X.SLOT} THEN t{k} ELSE 0 END AS lag{k}_n_ticks" for k in (1, 2, 3))} FROM l""")
+def w_live_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lags as served live: what lies before the first slot counts like a stale one."""
+    ranked = ordering.global_rank(slot_flow(spark, sf_dir).select("slot_ts", "target", "up_ratio", "n_ticks", "vol_tot"), "slot_ts")
+    live = ordering.lag_features(ranked, X.SLOT, lags=3, unknown=ordering.LAGS)
+    return rounded(live.select("slot_ts", *(f"lag{k}_{c}" for k in (1, 2, 3) for c in ("up_ratio", "n_ticks"))))

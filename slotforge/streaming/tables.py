@@ -150,6 +150,41 @@ def silence(events: DataFrame, quiet_us: int, checks: int = 3) -> DataFrame:
     return rows.groupBy("feed").applyInPandasWithState(update, "feed string, gaps long, alarms long", "last long, gaps long, alarms long", "update", GroupStateTimeout.NoTimeout)
 
 
+def silent_feeds(events: DataFrame, quiet_us: int, checks: int = 3) -> DataFrame:
+    """feed, newest_us, silent. A feed turns silent by a timer, without an event of its own, once the watermark is
+    ``checks`` limits past its newest row; its next row ends that. State is one instant a feed."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else 0
+        if not state.hasTimedOut:
+            last = max([last, *(int(f["us"].max()) for f in frames if len(f))])
+            state.update((last,))
+        due = (last + checks * quiet_us) // 1000
+        silent = state.hasTimedOut or due <= state.getCurrentWatermarkMs()
+        if not silent:
+            state.setTimeoutTimestamp(due)
+        yield pd.DataFrame({"feed": [key[0]], "newest_us": [last], "silent": [bool(silent)]})
+
+    rows = events.withWatermark("at", LATE).select(F.col("event_type").alias("feed"), "us", "at")
+    return rows.groupBy("feed").applyInPandasWithState(update, "feed string, newest_us long, silent boolean", "last long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def cached_asks(ticks: DataFrame, reset: Column, end: int, limit: int, below: float = 0.97) -> DataFrame:
+    """Newest price under ``below`` of each token and slot, ``end`` seconds into it: null where a reset came later (the
+    cache was cleared) or nothing came yet, and not fresh if older than ``limit`` seconds. A slot's state ends with it."""
+    t = ticks.where(F.col("t_sec") <= end).withColumn("_reset", reset).withWatermark("at", LATE)
+    order = F.when(~F.col("_reset") & (F.col("price") < below), F.struct("at", "event_id"))
+    g = t.groupBy(F.window("at", f"{X.SLOT} seconds").alias("w"), "outcome").agg(F.max_by("price", order).alias("p"), F.max(order).alias("seen"), F.max(F.when(F.col("_reset"), F.struct("at", "event_id"))).alias("cleared"))
+    held = F.col("seen").isNotNull() & (F.col("cleared").isNull() | (F.col("seen") > F.col("cleared")))
+    age = F.unix_seconds("w.start") + end - F.unix_micros("seen.at") / 1e6
+    return g.select(F.unix_seconds("w.start").alias("slot_ts"), "outcome", F.when(held, F.col("p")).alias("price"), (held & (age <= limit)).alias("fresh"))
+
+
+def coverage(events: DataFrame, now_us: int, least: int = 180) -> DataFrame:
+    """Age, rows of the last hour and of the last four of each feed at an instant, and whether the four hours are thin."""
+    past = lambda hours: F.count_if((F.col("us") <= now_us) & (F.col("us") >= now_us - hours * 3_600_000_000))
+    g = events.groupBy(F.col("event_type").alias("feed")).agg(F.max("us").alias("newest"), past(1).alias("n_1h"), past(4).alias("n_4h"))
+    return g.select("feed", F.expr(f"({now_us} - newest) div 1000000").alias("age"), "n_1h", "n_4h", (F.col("n_4h") < least).alias("low"))
 
 
 def slot_targets(events: DataFrame) -> DataFrame:
