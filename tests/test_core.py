@@ -260,3 +260,54 @@ def test_auc_over_ranges(spark):
     for g in (0, 1):
         pos, neg = ([p for p, y, h in rows if h == g and y == want] for want in (1, 0))
         assert got[g] == pytest.approx(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg)))
+
+
+def test_serving_row_of_traded_and_untraded_markets(spark):
+    t = ticks(spark, [(10, "Down", "SELL", 0.2, 5), (20, "Up", "BUY", 0.5, 10), (30, "Up", "SELL", 0.6, 10), (40, "Up", "BUY", 0.8, 20)]).withColumn("timestamp_ms", (F.col("t_sec") * 1000 + 1).cast("long"))
+    slots = spark.createDataFrame([(0,), (300,)], "slot_ts long")
+    bars = spark.createDataFrame([(0, 9.0, 9.0), (60, 100.0, 110.0), (100, 105.0, 120.0), (120, 1.0, 1.0)], "ts long, open double, close double")
+    a, b = flow.serving_row(t, slots, bars, 300).orderBy("slot_ts").collect()
+    assert (a.first_price, a.last_price, a.n_ticks, a.n_trades, a.price_at_25pct, a.price_at_50pct) == (0.5, 0.8, 3, 4, 0.5, 0.6)
+    assert a.price_momentum == pytest.approx(0.3) and a.buy_sell_imbalance == pytest.approx(15 / 45) and a.up_down_volume_ratio == pytest.approx(40 / 45)
+    assert a.vwap_up == pytest.approx((5 + 6 + 16) / 40) and a.vwap_down == pytest.approx(0.2) and a.avg_trade_size == 45 / 4
+    assert (a.spot_price_start, a.spot_price_end, a.spot_price_mean, a.spot_volatility) == (100, 120, 115, 5) and a.spot_return == pytest.approx(0.2)
+    assert (b.n_trades, b.n_ticks, b.up_down_volume_ratio, b.first_price, b.vwap_up, b.spot_volatility) == (0, 0, 0.5, None, None, None)
+    assert b.hour_of_day_cos == pytest.approx(math.cos(2 * math.pi * (5 / 60) / 24))
+
+
+def test_serving_row_takes_all_trades_without_an_up_trade(spark):
+    t = ticks(spark, [(10, "Down", "SELL", 0.2, 5), (20, "Down", "SELL", 0.4, 5)])
+    r = flow.serving_row(t, spark.createDataFrame([(0,)], "slot_ts long"), spark.createDataFrame([], "ts long, open double, close double"), 300).first()
+    assert (r.first_price, r.last_price, r.n_ticks, r.vwap_up, r.spot_return, r.spot_volatility) == (0.2, 0.4, 2, None, None, 0)
+
+
+def test_entry_window_and_price(spark):
+    r = spark.range(1).select(*(flow.entry_window(F.lit(t)).alias(f"t{t}") for t in (169, 170, 240, 241)), flow.slot_floor(F.lit(899)).alias("slot"),
+                              decisions.entry_price(F.lit(0.9), F.lit(0.2), F.lit("UP")).alias("up"), decisions.entry_price(F.lit(0.6), F.lit(0.1), F.lit("DOWN")).alias("down")).first()
+    assert (r.t169, r.t170, r.t240, r.t241, r.slot) == (False, True, True, False, 600) and r.up == 0.95 and r.down == pytest.approx(0.3)
+
+
+def test_overfit_checks(spark):
+    schema = "adversarial_auc double, noise_rank double, auc_drop double, fold_std double, n_trades long, pnl double"
+    verdicts = lambda *row: [r.verdict for r in evaluate.overfit_checks(spark.createDataFrame([row], schema), 4).collect()]
+    assert verdicts(0.65, 5.0, 0.03, 0.05, 3, 1.0) == ["PASS"] * 5
+    assert verdicts(0.66, 4.0, 0.04, 0.06, 3, 0.0) == ["WARN", "FAIL", "WARN", "WARN", "FAIL"]
+    assert verdicts(None, None, None, None, 0, None) == ["SKIP"] * 5
+
+
+def test_directional_probes_see_an_inverted_model(spark):
+    rows = spark.createDataFrame([(k / 100, int(k >= 50)) for k in range(100)], "up_ratio double, target int")
+    probe = lambda d: {r.probe: (r.p, r.passes) for r in evaluate.directional_probes(spark, evaluate.logistic(["up_ratio"]).fit(d), ["up_ratio"], {"up_ratio": 0.5}, {"up_ratio": 0.75}, {"up_ratio": 0.25}).collect()}
+    good, bad = probe(rows), probe(rows.withColumn("target", 1 - F.col("target")))
+    assert good["up"][0] > good["neutral"][0] > good["down"][0] and good["up"][1] and not bad["up"][1]
+
+
+def test_live_lags_before_the_first_slot(spark):
+    r = spark.createDataFrame([(0, 0, 1, 0.9, 7, 3.0), (1, 300, 0, 0.4, 5, 2.0)], "rank long, slot_ts long, target int, up_ratio double, n_ticks long, vol_tot double")
+    first, second = ordering.lag_features(r, 300, lags=2, unknown=ordering.LAGS).orderBy("rank").collect()
+    assert (first.lag1_up_ratio, first.lag1_n_ticks, second.lag1_up_ratio, second.lag2_up_ratio) == (0.5, 0, 0.9, 0.5)
+
+
+def test_ranked_list():
+    assert len(features.RANKED) == 30 and len(features.PRUNED) == 10 and not {n for n, _ in features.RANKED} & features.PRUNED.keys()
+    assert [features.column_of(n) for n in ("btc_up_w1", "prev_slot_up_ratio_2", "ob_mid", "btc_pre_30m_ret")] == ["up_w1", "lag2_up_ratio", "ob_mid", None]
