@@ -288,3 +288,25 @@ def m_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(k, p["depth"], p["rounds"], p["step"], s) for k, (s, p) in enumerate(evaluate.search(folds, _MODEL[:4], 2, 2))]
     folds.unpersist()
     return rounded(spark.createDataFrame(rows, "place long, depth int, rounds int, step double, score double"))
+
+
+@query()
+def m_full_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five checks of one boosted model: adversarial AUC, noise rank, loss from folds to holdout, fold spread, profit."""
+    r = evaluate.with_noise(_model_rows(spark, sf_dir), 2)
+    n = r.count()
+    h = evaluate.holdout(r, n, 0.2)
+    train, test = h.where("role = 'train'"), h.where("role = 'test'")
+    names = [*_MODEL, "noise_0", "noise_1"]
+    model = evaluate.gbt(names, rounds=5).fit(train)
+    order = [f for f, _ in evaluate.importances(model, names)]
+    folds = evaluate.evaluate_folds(evaluate.walk_forward(r, n, folds=2), _MODEL, 2, rounds=5)
+    summary = evaluate.fold_summary(evaluate.metrics(folds))
+    held = evaluate.auc(evaluate.predict(model, test), "p", "target").select(F.col("auc").alias("holdout"))
+    decided_ = decisions.decide(folds.select("slot_ts", "target", "up_ratio", "p"), LIMITS)
+    traded = decided_.select("*", *decisions.pnl(LIMITS)).where("skip_reason IS NULL").agg(F.count("*").alias("n_trades"), F.sum("pnl_share").alias("pnl"))
+    measured = summary.crossJoin(held).crossJoin(traded)  # one row each
+    return evaluate.overfit_checks(measured.select(
+        F.lit(evaluate.adversarial_auc(train, test, _MODEL)).alias("adversarial_auc"), F.lit(float(1 + min(order.index("noise_0"), order.index("noise_1")))).alias("noise_rank"),
+        (F.col("auc_mean") - F.col("holdout")).alias("auc_drop"), F.col("auc_std").alias("fold_std"), "n_trades", "pnl",
+    ), 4)
