@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import uuid
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotforge.llm import bpe, counts, embed, exact, langid, license, mixing, packing, simhash, toxicity
+from slotforge.llm import bpe, counts, embed, exact, langid, license, merkle, mixing, packing, periodic, sharding, simhash, toxicity
 from slotforge.llm.common import fold, shared_dir
 
 
@@ -66,8 +67,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(_documents(spark, sf_dir), vocabulary))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    merkle.build(_documents(spark, sf_dir), path, received={"text": F.when(fold(F.col("doc_id"), 3) == 0, lowered).otherwise(F.col("text"))})
+    return merkle.proofs(spark, path)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard_rows(_documents(spark, sf_dir))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(_documents(spark, sf_dir), alter=periodic.plant))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_toxicity, op3_exact_dedup, op4_language_id, op5_token_counts, op6_license_scan, op7_simhash_dedup, op8_embedding_dedup, op9_mixing, op10_bpe)}
+    return {f.__name__: f for f in (op1_token_output, op2_toxicity, op3_exact_dedup, op4_language_id, op5_token_counts, op6_license_scan, op7_simhash_dedup, op8_embedding_dedup, op9_mixing, op10_bpe, op11_merkle_manifest, op12_sharding, op13_periodic_runs)}
 
 
 def _license_sql() -> str:
@@ -88,9 +105,44 @@ def _license_sql() -> str:
         SELECT doc_id, license, round(max(c), 6) AS containment FROM scored WHERE c >= {license.CONTAINED} GROUP BY ALL"""
 
 
+def _merkle_sql() -> str:
+    def digest(text: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    step = "lambda a, b: xor(a // 256, crc[xor(a % 256, b) + 1])"
+    crc = f"xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
+    fold = "CASE WHEN h % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+    tree = """SELECT tree, level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (max(n) + 7) // 8 FROM {0} WHERE n > 1 GROUP BY tree, level, pos // 8"""
+    run = "(PARTITION BY tree, level, pos // 8 ORDER BY pos ROWS BETWEEN {} AND {})"
+    sides = f"coalesce(string_agg(node, '') OVER {run.format('7 PRECEDING', '1 PRECEDING')}, '') AS l, coalesce(string_agg(node, '') OVER {run.format('1 FOLLOWING', '7 FOLLOWING')}, '') AS r"
+    return f"""
+        WITH RECURSIVE bits(i, v, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL
+                SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM bits WHERE k < 8),
+        bytes AS (SELECT list(v ORDER BY i) AS crc FROM bits WHERE k = 8),
+        docs AS (SELECT documents.*, {crc} AS h FROM documents, bytes),
+        leaves AS (SELECT coalesce('=' || lang, '') AS tree, doc_id, {digest("text")} AS leaf, {digest("lowered")} AS received,
+                   row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+                   FROM (SELECT *, {fold} AS lowered FROM docs) q),
+        nodes(tree, level, pos, node, n) AS (SELECT tree, 0, pos, leaf, n FROM leaves UNION ALL {tree.format("nodes")}),
+        subroots AS (SELECT tree, level AS height, node AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        tops(tree, level, pos, node, n) AS (SELECT '', 0, pos, subroot, n FROM subroots UNION ALL {tree.format("tops")}),
+        sibs AS (SELECT tree, level, pos, {sides} FROM nodes WHERE n > 1),
+        topsibs AS (SELECT level, pos, {sides} FROM tops WHERE n > 1),
+        steps AS (SELECT doc_id, received, s.level AS k, l, r FROM leaves JOIN subroots USING (tree) JOIN sibs s ON s.tree = leaves.tree AND s.pos = leaves.pos // (8 ** s.level)::BIGINT
+                  UNION ALL SELECT doc_id, received, height + t.level, l, r FROM leaves JOIN subroots u USING (tree) JOIN topsibs t ON t.pos = u.pos // (8 ** t.level)::BIGINT),
+        folded(doc_id, k, node) AS (SELECT doc_id, 0, received FROM leaves
+                  UNION ALL SELECT f.doc_id, f.k + 1, sha256(l || node || r) FROM folded f JOIN steps s ON s.doc_id = f.doc_id AND s.k = f.k),
+        last AS (SELECT doc_id, arg_max(node, k) AS folded_root FROM folded GROUP BY 1),
+        proofs AS (SELECT doc_id, sha256(coalesce(string_agg(l || r, '' ORDER BY k), '')) AS proof FROM leaves LEFT JOIN (SELECT doc_id, k, l, r FROM steps) q USING (doc_id) GROUP BY 1),
+        root AS (SELECT node AS root FROM tops WHERE n = 1)
+        SELECT doc_id, leaf, subroot, root, proof AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM leaves JOIN subroots USING (tree) JOIN last USING (doc_id) JOIN proofs USING (doc_id), root"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_license_scan": _license_sql(),
+        "op11_merkle_manifest": _merkle_sql(),
         "op8_embedding_dedup": """
             WITH RECURSIVE v AS (
                 SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
