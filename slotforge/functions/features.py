@@ -32,6 +32,8 @@ REGISTRY: dict[str, tuple[str, str]] = {
     "lag_ur_z5": ("lag", "up ratio of the slot before against 5 slots, clipped"),
     "ret_0h": ("spot", "return inside the slot"),
     "ret_1h": ("spot", "return since an hour before"),
+    "ret_2h": ("spot", "return since two hours before"),
+    "ret_3h": ("spot", "return since three hours before"),
     "ret_6h": ("spot", "return since six hours before"),
     "ret_24h": ("spot", "return since a day before"),
     "ratio_1h_24h": ("spot", "short return against long"),
@@ -40,6 +42,11 @@ REGISTRY: dict[str, tuple[str, str]] = {
     "day_range": ("spot", "range of the last day"),
     "volume_ratio": ("spot", "recent volume against before"),
     "range_pos": ("spot", "place in the day's range"),
+    "inslot_range": ("spot", "range of prices inside the slot"),
+    "vol_inslot": ("spot", "spread of returns inside the slot"),
+    "vol_6h": ("spot", "spread of returns in six hours"),
+    "vol_24h": ("spot", "spread of returns in a day"),
+    "spot_vol_ratio": ("spot", "last hour's volume against the five before"),
     "lag_streak": ("lag", "recent slots that ended like the last"),
     "hour_sin": ("calendar", "hour of day"),
     "hour_cos": ("calendar", "hour of day"),
@@ -61,14 +68,20 @@ CROSS = {
         "x_spread_x_vol": ("ob_spread", "n_ticks"), "x_ob_drift_x_inslot": ("ob_mid_drift", "ret_0h"), "x_fill_imb_x_buy": ("ob_fill_imbalance", "buy_ratio"),
     },
     "v26": {
-        "x_imb_x_inslot": ("ob_imbalance", "ret_0h"), "x_drift_x_ret5m": ("ob_mid_drift", "ret_1h"), "x_spread_x_vol": ("ob_spread", "ret_vol"), "x_imb_end_x_ret": ("ob_imbalance_end", "ret_0h"),
-        "x_depth_x_vol": ("ob_depth_ratio", "ret_vol"),
+        "x_imb_x_inslot": ("ob_imbalance", "ret_0h"), "x_drift_x_ret5m": ("ob_mid_drift", "ret_1h"), "x_spread_x_vol": ("ob_spread", "vol_6h"), "x_imb_end_x_ret": ("ob_imbalance_end", "ret_0h"),
+        "x_depth_x_vol": ("ob_depth_ratio", "vol_6h"),
     },
 }
 
+#: Spot columns of each set: returns over the horizons that stand for 5, 15 and 30 minutes, one hour and four, and in the slot.
+SPOT = {
+    "v25": ("ret_1h", "ret_3h", "ret_6h", "ret_24h", "ratio_1h_24h", "ret_0h", "round_near"),
+    "v26": ("ret_1h", "ret_2h", "ret_3h", "ret_6h", "ret_24h", "ret_0h", "inslot_range", "vol_6h", "vol_24h", "vol_inslot", "ratio_1h_24h", "round_near", "spot_vol_ratio"),
+}
+_OF = lambda *categories: [n for n, (c, _) in REGISTRY.items() if c in categories]
 SETS = {
-    "v25": [n for n in REGISTRY if n not in ("lag_ur_z20", "lag_ur_z5", "ret_vol", "volume_ratio", "range_pos", "day_range")],
-    "v26": [n for n, (category, _) in REGISTRY.items() if category in ("spot", "lag", "calendar", "book", "clob")],
+    "v25": [*_OF("flow", "zscore"), *SPOT["v25"], *(n for n in _OF("lag", "calendar", "book", "clob") if not n.startswith("lag_ur"))],
+    "v26": [*SPOT["v26"], *_OF("book", "clob", "lag", "calendar")],
 }
 
 
@@ -85,8 +98,8 @@ PRUNED = {
     "btc_pre_1h_4h_ratio": "Cold buffer issues in live", "btc_up_w0": "Earliest window = most noise", "prev_slot_up_ratio_4": "4 slots back, mostly noise", "btc_dist_1k": "Weak round-number signal",
     "hour_x_tw_ur": "Temporal overfit risk", "ob_imb_w1": "Interpolated in live (not measured)", "hour_cos": "Calendar overfit risk",
 }
-#: Columns here of listed names that no rule gives; slots of six hours look back 1, 6 and 24 hours, so 30 minutes has none.
-_COLUMN_OF = {"btc_inslot_ret": "ret_0h", "btc_pre_5m_ret": "ret_1h", "btc_pre_30m_ret": None, "btc_pre_1h_ret": "ret_6h", "btc_pre_4h_ret": "ret_24h", "btc_signal_conviction": "conviction",
+#: Columns here of listed names that no rule gives; slots of six hours look back 1, 3, 6 and 24 hours.
+_COLUMN_OF = {"btc_inslot_ret": "ret_0h", "btc_pre_5m_ret": "ret_1h", "btc_pre_30m_ret": "ret_3h", "btc_pre_1h_ret": "ret_6h", "btc_pre_4h_ret": "ret_24h", "btc_signal_conviction": "conviction",
               "btc_up_ratio_zscore_5s": "up_ratio_z5", "btc_up_ratio_zscore_20s": "up_ratio_z20", "btc_pre_1h_4h_ratio": "ratio_1h_24h", "btc_dist_1k": "round_near"}
 
 

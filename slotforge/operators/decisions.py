@@ -61,8 +61,12 @@ def pnl(limits: Limits = Limits(), stake: float = 10.0) -> list[Column]:
     return [F.when(traded, won).alias("won"), F.when(traded, share).alias("pnl_share"), F.when(traded, staked).alias("pnl_stake")]
 
 
-def position_size(balance: Column, ask: Column, low: tuple[float, float] = (20.0, 5.0), high: tuple[float, float] = (700.0, 40.0), cap: float = 0.10) -> Column:
-    """Shares between the two (balance, shares) points, at most ``cap`` of the balance in cost, at least the lower."""
+def position_size(balance: Column, ask: Column, low: tuple[float, float] = (20.0, 5.0), high: tuple[float, float] = (700.0, 40.0), cap: float = 0.10, fixed: float | None = None) -> Column:
+    """Shares between the two (balance, shares) points, at most ``cap`` of the balance in cost, at least the lower.
+
+    ``fixed`` shares don't follow balance or cost; they too are at least the lower."""
+    if fixed is not None:
+        return F.lit(int(max(fixed, low[1]))).cast("long")
     slope = (high[1] - low[1]) / (high[0] - low[0])
     linear = F.least(F.greatest(low[1] + (balance - low[0]) * slope, F.lit(low[1])), F.lit(high[1]))
     capped = F.when(ask > 0, F.least(linear, balance * cap / ask)).otherwise(linear)

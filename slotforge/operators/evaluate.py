@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from slotforge.operators.ordering import global_rank, rank_within
 from slotforge.storage import pin
 
 
@@ -32,9 +34,12 @@ def holdout(ranked: DataFrame, n: int, share: float = 0.1, embargo: int = 12, ra
     return ranked.withColumn("role", F.when(r >= cut, "test").when(r >= cut - embargo, "embargo").otherwise("train"))
 
 
-def stratified_folds(df: DataFrame, label: str, key: Column, folds: int = 5) -> DataFrame:
-    """Adds fold: within each label a hash of the key deals rows out, so no task holds a label's rows."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(key, F.col(label), F.lit(42)), F.lit(folds)).cast("int"))
+def stratified_folds(df: DataFrame, label: str, key: Column, folds: int = 5, seed: int = 42) -> DataFrame:
+    """Adds fold: each label's rows are shuffled by a digest of the key and dealt out in turn, so that a label's counts
+    differ by one at most between folds. Rows without a label are left out."""
+    mixed = df.where(F.col(label).isNotNull()).withColumn("_mix", F.md5(F.concat_ws("-", key.cast("string"), F.lit(str(seed))).cast("binary")))
+    ranked = rank_within(mixed, label, "_mix", name="_r")
+    return ranked.select(*df.columns, (F.col("_r") % folds).cast("int").alias("fold"))
 
 
 def auc(df: DataFrame, score: str, label: str, *by: str) -> DataFrame:
@@ -169,14 +174,61 @@ def with_noise(df: DataFrame, columns: int = 5) -> DataFrame:
     return df.withColumns({f"noise_{k}": F.randn(k) for k in range(columns)})
 
 
-def permuted_drop(model, df: DataFrame, feature: str, ranked: str = "rank", label: str = "target") -> float:
-    """AUC lost when one column's values are dealt to other rows (a shift of the ranks by a hash order)."""
-    n = df.count()
-    step = next(p for p in (7919, 7927, 7933) if n % p)  # prime to n, so that every rank is met once
-    moved = df.select(((F.col(ranked) * step + 13) % n).alias(ranked), F.col(feature).alias("_v"))
-    mixed = df.join(moved, ranked).withColumn(feature, F.col("_v")).drop("_v")
-    score = lambda d: auc(predict(model, d), "p", label).first().auc
-    return score(df) - score(mixed)
+def shuffled(rank: Column, n: int, key: Column, rounds: int = 4) -> Column:
+    """A keyed one-to-one map of 0..n-1 onto itself, without a sort: a Feistel network on a square of side s, s*s >= n.
+
+    A place outside is mapped on until it is inside. Fewer than 2*sqrt(n) places lie outside, so 16 steps are enough; a
+    row that isn't inside by then is an error.
+    """
+    side = int(np.ceil(np.sqrt(max(1, n))))
+
+    def network(x: Column) -> Column:
+        half = F.struct(F.floor(x / side).cast("long").alias("a"), (x % side).alias("b"))
+        mixed = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), half, lambda h, k: F.struct(h["b"].alias("a"), F.pmod(h["a"] + F.pmod(F.xxhash64(key, k, h["b"]), F.lit(side)), F.lit(side)).alias("b")))
+        return F.transform(F.array(mixed), lambda h: h["a"] * side + h["b"])[0]
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(16)), F.lit(-1).cast("long"), lambda x, k: F.when((k > 1) & (x < n), x).otherwise(network(F.when(k == 1, rank.cast("long")).otherwise(x))))
+    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a row has left its range")).cast("long"))
+
+
+def permutation_importance(model, df: DataFrame, features: list[str], label: str = "target", order: str = "slot_ts", harmful: float = -0.005) -> DataFrame:
+    """feature, auc_drop, harmful: the AUC lost on ``df`` when one column is dealt to other rows, for all features at once.
+
+    Each feature has its own one-to-one map of ranks; all moved values meet their new rows in one join, and one pass of
+    the model scores every row once as it is and once for each feature.
+    """
+    ranked = global_rank(df.select(order, label, *features), order, name="_r")
+    n = ranked.count()
+    moved = ranked.select(F.explode(F.array(*(F.struct(F.lit(k).alias("f"), shuffled(F.col("_r"), n, F.lit(k + 1)).alias("to"), F.col(c).cast("double").alias("v")) for k, c in enumerate(features)))).alias("m"))
+    dealt = moved.groupBy(F.col("m.to").alias("_r")).agg(*(F.max(F.when(F.col("m.f") == k, F.col("m.v"))).alias(f"_m{k}") for k in range(len(features))))
+    both = ranked.join(dealt, "_r")
+    cases = [F.struct(F.lit(-1).alias("case"), *(F.col(c).cast("double").alias(c) for c in features))]
+    cases += [F.struct(F.lit(k).alias("case"), *(F.col(f"_m{j}" if j == k else c).cast("double").alias(c) for j, c in enumerate(features))) for k in range(len(features))]
+    scored = predict(model, both.select(label, F.explode(F.array(*cases)).alias("x")).select(label, "x.*")).select("case", label, "p")
+    by_case = pin(auc(scored, "p", label, "case"), "permuted")
+    base = by_case.where("case = -1").select(F.col("auc").alias("base"))
+    names = df.sparkSession.createDataFrame(list(enumerate(features)), "case int, feature string")
+    drops = by_case.join(F.broadcast(names), "case").crossJoin(F.broadcast(base))  # a row for each feature, and one row
+    return drops.select("feature", (F.col("base") - F.col("auc")).alias("auc_drop"), (F.col("base") - F.col("auc") < harmful).alias("harmful"))
+
+
+def early_stopped(features: list[str], label: str, validation: str, rounds: int = 30, tolerance: float = 0.005, depth: int = 3, step: float = 0.1, seed: int = 42) -> Pipeline:
+    """Boosted trees that stop once the rows marked ``validation`` gain less than ``tolerance``; the model has the trees used."""
+    boosted = GBTClassifier(featuresCol="_x", labelCol=label, maxDepth=depth, maxIter=rounds, stepSize=step, seed=seed, validationIndicatorCol=validation, validationTol=tolerance)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep"), boosted])
+
+
+def cross_validated(df: DataFrame, features: list[str], label: str, key: Column, folds: int = 5, **params) -> tuple[DataFrame, list[int]]:
+    """Out-of-fold predictions of stratified folds, each model stopped early by its own fold, and the rounds each used."""
+    dealt = pin(stratified_folds(df, label, key, folds), "folds")
+    out, used = None, []
+    for k in range(folds):
+        marked = dealt.withColumn("_held", F.col("fold") == k)
+        model = early_stopped(features, label, "_held", **params).fit(marked)
+        used.append(model.stages[-1].getNumTrees)
+        p = predict(model, marked.where("_held")).drop("_held")
+        out = p if out is None else out.unionByName(p)
+    return out, used
 
 
 def directional_probes(spark: SparkSession, model, features: list[str], neutral: dict[str, float], up: dict[str, float], down: dict[str, float], least_up: float = 0.40) -> DataFrame:
@@ -210,6 +262,19 @@ def promotion(champion: dict[str, float], challenger: dict[str, float], needed:
     return better >= needed or (same and challenger["n_features"] < champion["n_features"])
 
 
+def promotion_table(measured: DataFrame, champion: str, needed: int = 2) -> DataFrame:
+    """name, auc, brier, accuracy, n_features of models to how many of the three each gains on the champion, whether that
+    is enough (or a tie with fewer features), and the one to promote: most gains, then fewest features, then highest AUC.
+    """
+    held = measured.where(F.col("name") == champion).select(*(F.col(c).alias(f"_{c}") for c in ("auc", "brier", "accuracy", "n_features")))
+    rows = measured.where(F.col("name") != champion).crossJoin(F.broadcast(held))  # one champion
+    gains = (F.col("auc") > F.col("_auc")).cast("int") + (F.col("brier") < F.col("_brier")).cast("int") + (F.col("accuracy") > F.col("_accuracy")).cast("int")
+    tie = (F.col("auc") == F.col("_auc")) & (F.col("brier") == F.col("_brier")) & (F.col("accuracy") == F.col("_accuracy")) & (F.col("n_features") < F.col("_n_features"))
+    scored = rows.select("name", "auc", "brier", "accuracy", "n_features", gains.alias("gains"), ((gains >= needed) | tie).alias("passes"))
+    best = scored.where("passes").agg(F.max_by("name", F.struct("gains", -F.col("n_features"), "auc", "name")).alias("best"))
+    return scored.crossJoin(F.broadcast(best)).withColumn("promoted", F.coalesce(F.col("name") == F.col("best"), F.lit(False))).drop("best")  # one row
+
+
 def scorecard(spark: SparkSession, checks: dict[str, tuple[float, float, float]]) -> DataFrame:
     """name: (value, warn, fail): PASS below warn, WARN below fail, else FAIL."""
     rows = spark.createDataFrame([(k, *v) for k, v in checks.items()], "check string, value double, warn double, fail double")

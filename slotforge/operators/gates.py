@@ -35,7 +35,7 @@ class Range:
 
 
 # Which features are returns, shares and z-scores; all values stay within a million.
-RETURNS = frozenset(("ret_0h", "ret_1h", "ret_6h", "ret_24h"))
+RETURNS = frozenset(("ret_0h", "ret_1h", "ret_2h", "ret_3h", "ret_6h", "ret_24h"))
 RATIOS = frozenset(("up_ratio", "buy_ratio", "decayed_up_ratio", "up_w0", "up_w1", "up_w2", "up_w3", "up_w4", "up_w5", "ob_bid_depth_5c", "ob_ask_depth_5c"))
 ZSCORES = frozenset(("up_ratio_z5", "up_ratio_z20", "up_w5_z20"))
 WIDEST = Range(-1e6, 1e6)

@@ -41,6 +41,17 @@ def backfill(log: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     return log.join(known, key, "left").withColumn("target", F.coalesce("target", "_label")).drop("_label")
 
 
+def reconcile(derived: DataFrame, label: str, known: str, least: float | None = None) -> DataFrame:
+    """n_match, n_mismatch, n_missing, agreement of derived labels with known ones; ``least`` makes too low an agreement an
+    error when the row is made."""
+    same, told = F.count_if(F.col(label) == F.col(known)), F.count_if(F.col(label).isNotNull() & F.col(known).isNotNull())
+    g = derived.agg(same.alias("n_match"), F.count_if(F.col(label) != F.col(known)).alias("n_mismatch"), F.count_if(F.col(label).isNull() & F.col(known).isNotNull()).alias("n_missing"), (same / told).alias("agreement"))
+    if least is None:
+        return g
+    low = F.coalesce(F.col("agreement"), F.lit(0.0)) < least
+    return g.withColumn("agreement", F.when(low, F.raise_error(F.format_string(f"labels agree on %.4f of rows, less than {least}", "agreement")).cast("double")).otherwise(F.col("agreement")))
+
+
 def log_stats(log: DataFrame) -> DataFrame:
     return log.agg(F.count("*").alias("total"), F.count("target").alias("resolved"), (F.count("*") - F.count("target")).alias("pending"))
 

@@ -29,6 +29,20 @@ def global_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
     return placed.withColumn(name, (start + inside)).drop("_at")
 
 
+def rank_within(df: DataFrame, key: str, *order: str, name: str = "rank") -> DataFrame:
+    """Rank 0..n-1 inside each key (not null), whatever its size: range partitions over key and order, counted and offset.
+
+    The joined counts have a row for each partition and key in it.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
+    placed = pin(spread.withColumn("_at", F.monotonically_increasing_id()), "ranked").withColumn("_p", F.shiftright("_at", 33))
+    before = Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = placed.groupBy(key, "_p").agg(F.min("_at").alias("_f"), F.count("*").alias("_n"))
+    pieces = pieces.select(key, "_p", "_f", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    return placed.join(pieces, [key, "_p"]).select(*df.columns, (F.col("_at") - F.col("_f") + F.col("_o")).alias(name))
+
+
 def blocks(ranked: DataFrame, halo: int, rank: str = "rank", size: int = BLOCK) -> DataFrame:
     """Rows with their block, and the last ``halo`` rows of each block again in the next one, marked ``_halo``."""
     own = F.floor(F.col(rank) / size)
@@ -37,8 +51,8 @@ def blocks(ranked: DataFrame, halo: int, rank: str = "rank", size: int = BLOCK)
     return ranked.select("*", F.explode(copies).alias("_c")).select(*ranked.columns, F.col("_c.b").alias("_block"), F.col("_c.h").alias("_halo"))
 
 
-def in_blocks(rank: str = "rank"):
-    return Window.partitionBy("_block").orderBy(rank)
+def in_blocks(rank: str = "rank", by: tuple[str, ...] = ()):
+    return Window.partitionBy(*by, "_block").orderBy(rank)
 
 
 def _ahead(each: DataFrame, aggs: dict[str, tuple], size: int) -> DataFrame:
@@ -74,14 +88,15 @@ def running_max(ranked: DataFrame, value: str, name: str, rank: str = "rank", si
 LAGS = {"target": 0.5, "up_ratio": 0.5, "n_ticks": 0.0, "vol_tot": 0.0}
 
 
-def lag_features(ranked: DataFrame, slot_seconds: int, lags: int = 5, stale: int = 3, fill: dict[str, float] | None = None, unknown: dict[str, float] | None = None) -> DataFrame:
-    """Lags 1..n of each column with a stale guard, matches of lag 1 among the others, and the true run.
+def lag_features(ranked: DataFrame, slot_seconds: int, lags: int = 5, stale: int = 3, fill: dict[str, float] | None = None, unknown: dict[str, float] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Lags 1..n of each column with a stale guard, matches of lag 1 among the others, and the true run; with ``by``, whose
+    keys have ranks of their own, inside each key.
 
     A lag whose slot lies more than n * slot_seconds * stale back counts as stale; before the first slot it is 0, or
     what ``unknown`` says (the live form: the same as a stale one).
     """
     fill, unknown = fill or LAGS, unknown or {}
-    w = in_blocks()
+    w = in_blocks(by=by)
     b = blocks(ranked, lags)
     out = []
     fresh, known = {}, {}
@@ -103,7 +118,7 @@ def lag_features(ranked: DataFrame, slot_seconds: int, lags: int = 5, stale: int
     return b.select(*ranked.columns, "_halo", *out, streak.alias("lag_streak"), true_streak.alias("true_streak")).where("NOT _halo").drop("_halo")
 
 
-def zscores(ranked: DataFrame, value: str, live: Column, slot_seconds: int, late: str | None = None, long: int = 20, short: int = 5, stale: int = 3) -> DataFrame:
+def zscores(ranked: DataFrame, value: str, live: Column, slot_seconds: int, late: str | None = None, long: int = 20, short: int = 5, stale: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
     """z against the previous ``long`` slots and the ``short`` most recent available ones, the current one excluded.
 
     Slots where ``live`` is false are skipped. Plain: (x - mean) / (std_pop + 1e-6), needs 3 (short: 2) values; ``late``
@@ -111,10 +126,10 @@ def zscores(ranked: DataFrame, value: str, live: Column, slot_seconds: int, late
     current one: std of at least 0.01, result within -5..5, one half where that slot is stale.
     """
     b = blocks(ranked.withColumn("_v", F.when(live, F.col(value))), long)
-    back = in_blocks().rowsBetween(-long, -1)
+    back = in_blocks(by=by).rowsBetween(-long, -1)
     past = F.collect_list("_v").over(back)  # nulls are left out; at most ``long`` values
-    fresh = F.coalesce(F.col("slot_ts") - F.lag("slot_ts", 1).over(in_blocks()) <= slot_seconds * stale, F.lit(False))
-    b = b.withColumns({"_past": past, "_lag": F.when(fresh, F.lag(value, 1).over(in_blocks())).otherwise(0.5)})
+    fresh = F.coalesce(F.col("slot_ts") - F.lag("slot_ts", 1).over(in_blocks(by=by)) <= slot_seconds * stale, F.lit(False))
+    b = b.withColumns({"_past": past, "_lag": F.when(fresh, F.lag(value, 1).over(in_blocks(by=by))).otherwise(0.5)})
     recent = F.slice("_past", F.greatest(F.size("_past") - short + 1, F.lit(1)), short)
 
     def moments(a: Column) -> tuple[Column, Column]:

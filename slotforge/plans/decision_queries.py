@@ -9,7 +9,7 @@ from slotforge import fixtures as X
 from slotforge.functions import features
 from slotforge.operators import decisions, evaluate, ledger, ordering
 from slotforge.plans.book_queries import BOOK_SET, MARKET_OF_SLOT, slot_books
-from slotforge.plans.flow_queries import FLOW, flow_cte, slot_flow
+from slotforge.plans.flow_queries import FLOW, FLOW_DOUBLES, flow_cte, slot_flow
 from slotforge.plans.gate_queries import PREDICTION, predictions
 from slotforge.plans.registry import query, rounded
 
@@ -215,7 +215,7 @@ def m_overfit_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [*_MODEL, "noise_0", "noise_1"]
     model = evaluate.gbt(names, rounds=5).fit(train)
     order = [n for n, _ in evaluate.importances(model, names)]
-    drop = evaluate.permuted_drop(model, h, "up_ratio")
+    drop = evaluate.permutation_importance(model, h, names).where("feature = 'up_ratio'").first().auc_drop
     return evaluate.scorecard(spark, {
         "adversarial_auc": (evaluate.adversarial_auc(train, test, _MODEL), 0.65, 0.8),
         "noise_rank": (float(len(names) - min(order.index("noise_0"), order.index("noise_1"))), 6.0, 8.0),
@@ -310,3 +310,42 @@ def m_full_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(evaluate.adversarial_auc(train, test, _MODEL)).alias("adversarial_auc"), F.lit(float(1 + min(order.index("noise_0"), order.index("noise_1")))).alias("noise_rank"),
         (F.col("auc_mean") - F.col("holdout")).alias("auc_drop"), F.col("auc_std").alias("fold_std"), "n_trades", "pnl",
     ), 4)
+
+
+@query(f"""{FLOW}, r AS (SELECT slot_ts, target, row_number() OVER (PARTITION BY target ORDER BY md5(CAST(slot_ts AS VARCHAR) || '-42')) - 1 AS k FROM flow) SELECT slot_ts, target, CAST(k % 5 AS INT) AS fold FROM r""")
+def m_stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.stratified_folds(_model_rows(spark, sf_dir), "target", F.col("slot_ts")).select("slot_ts", "target", "fold")
+
+
+@query()
+def m_stratified_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three stratified folds with early stopping: metrics and rounds used of each."""
+    p, used = evaluate.cross_validated(_model_rows(spark, sf_dir), _MODEL, "target", F.col("slot_ts"), 3, rounds=12)
+    rounds = spark.createDataFrame(list(enumerate(used)), "fold int, rounds int")
+    return rounded(evaluate.metrics(p).join(F.broadcast(rounds), "fold"))
+
+
+@query()
+def m_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC lost on the holdout by dealing each feature to other rows; features that hurt are flagged."""
+    r = ordering.global_rank(slot_flow(spark, sf_dir), "slot_ts")
+    names = [n for n in FLOW_DOUBLES if n not in ("vol_up", "vol_dn")]
+    h = evaluate.holdout(r, r.count(), 0.3)
+    model = evaluate.gbt(names, rounds=5).fit(h.where("role = 'train'"))
+    return rounded(evaluate.permutation_importance(model, h.where("role = 'test'"), names))
+
+
+_VARIANTS = {"flow": (2, "p"), "ratio": (1, "up_ratio"), "price": (1, "vwap_up"), "bought": (3, "buy_ratio")}
+
+
+@query(f"""{FLOW}, v AS ({" UNION ALL ".join(f"SELECT '{k}' AS name, {n} AS n_features, target, round({PREDICTION if c == 'p' else c}, 9) AS p FROM flow" for k, (n, c) in _VARIANTS.items())}),
+    k AS (SELECT *, rank() OVER (PARTITION BY name ORDER BY p) + (count(*) OVER (PARTITION BY name, p) - 1) / 2.0 AS rk FROM v),
+    m AS (SELECT name, max(n_features) AS n_features, (sum(rk) FILTER (target = 1) - sum(target) * (sum(target) + 1) / 2) / (sum(target) * (count(*) - sum(target))) AS auc, avg((p - target) ** 2) AS brier, avg(CAST(CAST(p > 0.5 AS INT) = target AS INT)) AS accuracy FROM k GROUP BY 1),
+    won AS (SELECT m.*, CAST(m.auc > c.auc AS INT) + CAST(m.brier < c.brier AS INT) + CAST(m.accuracy > c.accuracy AS INT) AS gains FROM m, (SELECT * FROM m WHERE name = 'flow') c WHERE m.name <> 'flow')
+    SELECT name, n_features, round(auc, 6) AS auc, round(brier, 6) AS brier, round(accuracy, 6) AS accuracy, gains, gains >= 2 AS passes, gains >= 2 AND row_number() OVER (ORDER BY gains >= 2 DESC, gains DESC, n_features, auc DESC) = 1 AS promoted FROM won""")
+def m_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simple predictors held against a champion: gains of three, and which is promoted."""
+    f = predictions(spark, sf_dir)
+    v = f.select("target", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.lit(n).alias("n_features"), F.round(c, 9).alias("p")) for k, (n, c) in _VARIANTS.items()))).alias("v")).select("target", "v.*")
+    sizes = v.groupBy("name").agg(F.max("n_features").alias("n_features"))
+    return rounded(evaluate.promotion_table(evaluate.metrics(v, by="name").join(sizes, "name").select("name", "auc", "brier", "accuracy", "n_features"), "flow"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotforge import fixtures as X
-from slotforge.operators import flow, timejoins
+from slotforge import plugins
+from slotforge.operators import flow, ledger, timejoins
 from slotforge.plans.registry import query, rounded
 
 _UP = "(outcome = 'Up')"
@@ -152,11 +153,8 @@ def a_label_from_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_LABELS} SELECT count(*) FILTER (derived = target) AS n_match, count(*) FILTER (derived <> target) AS n_mismatch, count(*) FILTER (derived IS NULL) AS n_missing,
     round(count(*) FILTER (derived = target) / count(derived), 6) AS agreement, count(*) FILTER (derived = target) / count(derived) >= 0.995 AS passed FROM r""")
 def j_label_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    same = F.count_if(F.col("derived") == F.col("target"))
-    return candle_labels(spark, sf_dir).agg(
-        same.alias("n_match"), F.count_if(F.col("derived") != F.col("target")).alias("n_mismatch"), F.count_if(F.col("derived").isNull()).alias("n_missing"),
-        F.round(same / F.count("derived"), 6).alias("agreement"), (same / F.count("derived") >= 0.995).alias("passed"),
-    )
+    r = ledger.reconcile(candle_labels(spark, sf_dir), "derived", "target")
+    return r.select("n_match", "n_mismatch", "n_missing", F.round("agreement", 6).alias("agreement"), (F.col("agreement") >= 0.995).alias("passed"))
 
 
 @query(f"""{X.ctes("ticks", "slots")} SELECT target, count(DISTINCT s.market_id) AS n_markets, count(t.event_id) AS n_ticks, count(*) FILTER (t.price IS NULL) AS null_prices,
@@ -229,3 +227,32 @@ def p_entry_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = X.ticks(spark, sf_dir).select(F.expr("timestamp_ms div 1000").alias("s"))
     slot = flow.slot_floor(F.col("s"), X.SLOT)
     return t.groupBy(slot.alias("slot")).agg(F.count_if(flow.entry_window(F.col("s") - slot, _LOW, _HIGH)).alias("n_open"), F.count("*").alias("n"))
+
+
+_SERVED = {"up_ratio": 0.5, "momentum": 0.0, "n_ticks": 0.0, "vwap_up": 0.5, "ob_mid": 0.5}
+
+
+def _plugin_markets(ticks: DataFrame) -> DataFrame:
+    """Ticks with their market's slot: what the plugin's other steps start from."""
+    return ticks.where("timestamp_ms > 0 AND market_id IS NOT NULL")
+
+
+def _plugin_features(ticks: DataFrame) -> DataFrame:
+    seen = ticks.where((F.col("t_sec") >= 0) & (F.col("t_sec") < X.OBS)).groupBy("market_id").agg(*flow.flow_sums(X.OBS, X.WINDOWS, X.DECAY)).select("market_id", *flow.flow_features(X.WINDOWS))
+    return ticks.select("market_id").distinct().join(seen, "market_id", "left")
+
+
+def _plugin_truth(ticks: DataFrame) -> DataFrame:
+    """Up won if the last size is above the first; every seventh market isn't resolved."""
+    order = F.struct("t_sec", "event_id")
+    g = ticks.groupBy("market_id").agg((F.max_by("size_usdc", order) > F.min_by("size_usdc", order)).cast("int").alias("up"), F.min("slot_ts").alias("s"))
+    return g.select("market_id", F.when(F.expr(f"s div {X.SLOT} % 7 <> 0"), F.col("up")).alias("target"))
+
+
+plugins.register(plugins.Plugin("six_hour_updown", "market_id", _plugin_markets, _plugin_features, _plugin_truth, _SERVED))
+
+
+@query(f"""{FLOW} SELECT market_id, target, round(up_ratio, 6) AS up_ratio, round(momentum, 6) AS momentum, CAST(n_ticks AS DOUBLE) AS n_ticks, round(vwap_up, 6) AS vwap_up, 0.5::DOUBLE AS ob_mid FROM flow WHERE slot_ts // {X.SLOT} % 7 <> 0""")
+def x_plugin_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled rows of a registered plugin, from landed ticks; a feature it doesn't have is served at its default."""
+    return rounded(plugins.training_rows("six_hour_updown", X.ticks(spark, sf_dir)))

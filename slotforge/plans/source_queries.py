@@ -8,8 +8,9 @@ from pyspark.sql.types import StructType
 
 from slotforge import fixtures as X
 from slotforge.functions.features import epoch_seconds
+from slotforge.operators import book
 from slotforge.plans.registry import query, rounded
-from slotforge.sources import landed
+from slotforge.sources import landed, versioned
 from slotforge.storage import new_path
 
 
@@ -220,3 +221,80 @@ def s_event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) % 99 + 1) / 100).alias("trade_price"), F.col("l_quantity").cast("double").alias("trade_size"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("trade_side"),
     )
     return rounded(landed.event_ticks(events, 180).groupBy("market_id", "outcome", "side").agg(F.count("*").alias("n"), F.sum("size_usdc").alias("size_usdc")), 4)
+
+
+@query(f"""{X.ctes("ticks")}, t AS (SELECT event_id, market_id, timestamp_ms // 600000 * 600000 AS timestamp_ms, outcome, side, price, size_usdc FROM ticks),
+    r AS (SELECT *, row_number() OVER (PARTITION BY market_id, timestamp_ms, outcome, side ORDER BY price, size_usdc, event_id) AS k FROM t)
+    SELECT event_id, market_id, timestamp_ms, outcome, side, round(price, 6) AS price, round(size_usdc, 6) AS size_usdc FROM r WHERE k = 1""")
+def u_distinct_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = X.ticks(spark, sf_dir).withColumn("timestamp_ms", F.expr("timestamp_ms div 600000 * 600000"))
+    return rounded(landed.distinct_ticks(t.select("event_id", "market_id", "timestamp_ms", "outcome", "side", "price", "size_usdc")))
+
+
+@query(f"""{X.ctes("ticks")}, d AS (SELECT min(slot_ts) AS a FROM ticks) SELECT event_id, market_id, round(price, 6) AS price FROM ticks, d WHERE slot_ts < a + 86400""")
+def s_pushed_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks of the markets of the first day, which the scan itself filters."""
+    path = new_path(spark, "ticks")
+    X.ticks(spark, sf_dir).repartitionByRange(4, "market_id").sortWithinPartitions("market_id").write.parquet(path)
+    slots = X.slots(spark, sf_dir)
+    ids = [r.market_id for r in slots.join(F.broadcast(slots.agg(F.min("slot_ts").alias("a"))), F.col("slot_ts") < F.col("a") + 86_400).select("market_id").collect()]  # a day's slots
+    return rounded(landed.read_markets(spark, path, ids).select("event_id", "market_id", "price"))
+
+
+def _by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "ticks-by-day")
+    X.ticks(spark, sf_dir).withColumn("day", F.expr("slot_ts div 86400")).write.partitionBy("day").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(f"""{X.ctes("ticks", "slots")} SELECT t.market_id, count(*) AS n, round(sum(size_usdc), 4) AS volume FROM ticks t JOIN slots s USING (market_id) WHERE target = 1 AND s.slot_ts // 86400 % 5 = 0 GROUP BY 1""")
+def s_dynamic_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks partitioned by day joined with chosen slots: days without one aren't read."""
+    slots = X.slots(spark, sf_dir).withColumn("day", F.expr("slot_ts div 86400")).where("target = 1 AND day % 5 = 0").select("market_id", "day")
+    t = _by_day(spark, sf_dir).join(slots, ["market_id", "day"])
+    return t.groupBy("market_id").agg(F.count("*").alias("n"), F.round(F.sum("size_usdc"), 4).alias("volume"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS book_id, (CAST(floor(l_extendedprice / l_quantity * 100) AS BIGINT) % 99 + 1) / 100.0 AS price, CAST(sum(l_quantity) AS DOUBLE) AS size FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2)
+    SELECT book_id, CASE WHEN book_id % 11 <> 0 THEN count(*) END AS n_levels, CASE WHEN book_id % 11 <> 0 THEN round(min(price), 6) END AS best, CASE WHEN book_id % 11 <> 0 THEN round(sum(size), 4) END AS depth FROM l GROUP BY 1""")
+def f_ladder_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ask ladders landed as JSON in five shapes, and broken for every eleventh book."""
+    li = X.table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'")
+    price = (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) % 99 + 1) / 100.0
+    levels = li.groupBy(F.col("l_orderkey").alias("book_id"), price.alias("price")).agg(F.sum("l_quantity").cast("double").alias("size"))
+    books = levels.groupBy("book_id").agg(F.collect_list(F.struct("price", "size")).alias("l"))
+    objects = F.to_json("l")
+    short = F.to_json(F.transform("l", lambda x: F.struct(x["price"].cast("string").alias("p"), x["size"].cast("string").alias("s"))))
+    pairs = F.to_json(F.transform("l", lambda x: F.array(x["price"], x["size"])))
+    by_price = F.to_json(F.map_from_entries(F.transform("l", lambda x: F.struct(x["price"].cast("string").alias("key"), x["size"].alias("value")))))
+    held = F.concat(F.lit('"'), F.replace(objects, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    k = F.col("book_id") % 5
+    text = F.when(F.col("book_id") % 11 == 0, F.lit("[{broken")).when(k == 0, objects).when(k == 1, short).when(k == 2, pairs).when(k == 3, by_price).otherwise(held)
+    parsed = books.select("book_id", landed.ladder(text).alias("asks"))
+    return parsed.select(
+        "book_id", F.when(F.col("asks").isNotNull(), F.size("asks")).cast("long").alias("n_levels"), F.round(book.best_ask(F.col("asks")), 6).alias("best"),
+        F.when(F.col("asks").isNotNull(), F.round(book.total(F.col("asks")), 4)).alias("depth"),
+    )
+
+
+@query(f"""{X.ctes("slots")} SELECT slot_ts, CASE WHEN slot_ts // 86400 % 4 = 0 THEN 1 - target ELSE target END AS target FROM slots WHERE slot_ts // 86400 % 9 <> 1""")
+def s_partition_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by day of which some days are rewritten and some end, all compacted and swapped in by its manifest."""
+    root, day = new_path(spark, "versioned"), F.expr("slot_ts div 86400")
+    slots = X.slots(spark, sf_dir).select("slot_ts", "target")
+    versioned.replace(slots, root, day)
+    gone = [k for k in versioned.manifest(spark, root)["parts"] if int(k) % 9 == 1]
+    versioned.replace(slots.where((day % 4 == 0) & (day % 9 != 1)).withColumn("target", 1 - F.col("target")), root, day, gone=gone)
+    versioned.compact(spark, root, day)
+    return versioned.read(spark, root)
+
+
+@query(f"""WITH b AS (SELECT event_id, ts FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, ts FROM events WHERE event_id % 3 = 0) SELECT event_id % 10 AS digit, count(*) AS n, max(epoch_us(ts)) AS newest_us FROM b GROUP BY 1""")
+def s_jsonl_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches appended to one log of JSON lines and read back."""
+    path = new_path(spark, "log")
+    e = X.table(spark, sf_dir, "events").select("event_id", F.expr(X.EPOCH_US).alias("us"))
+    for n in (2, 3):
+        landed.write(e.where(F.col("event_id") % n == 0), path, "json")
+    back = landed.read_jsonl(spark, path, e.schema)
+    return back.groupBy((F.col("event_id") % 10).alias("digit")).agg(F.count("*").alias("n"), F.max("us").alias("newest_us"))

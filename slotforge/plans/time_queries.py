@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,8 +12,10 @@ from slotforge.operators import flow, ordering, timejoins
 from slotforge.plans.book_queries import BOOK_SET, MARKET_OF_SLOT, slot_books
 from slotforge.plans.flow_queries import FLOW, flow_cte, r6, slot_flow
 from slotforge.plans.registry import query, rounded
+from slotforge.storage import pin
 
-_H = (1, 6, 24)
+#: Hours looked back; they stand for 5, 15 and 30 minutes, one hour and four of the five-minute slots.
+_H = (1, 2, 3, 6, 24)
 
 
 def _asof(name: str, at: str, source: str = "slots") -> str:
@@ -21,60 +23,107 @@ def _asof(name: str, at: str, source: str = "slots") -> str:
     return f"(SELECT coalesce((SELECT arg_max(close, c.ts) FROM candles c WHERE c.ts <= {at}), (SELECT arg_min(close, ts) FROM candles))) AS {name}"
 
 
-def spot(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spot(slots: DataFrame, candles: DataFrame) -> DataFrame:
     """Spot at the end of the observation window and at slot start less each horizon, with returns."""
     at = F.col("slot_ts")
-    times = {"px": at + X.OBS} | {f"px_{h}h": at - h * X.HOUR for h in (0, *_H)}
-    s = timejoins.as_of_all(X.slots(spark, sf_dir).select("slot_ts"), "slot_ts", times, X.candles(spark, sf_dir), X.HOUR)
-    returns = [timejoins.ratio_return(F.col("px"), F.col(f"px_{h}h")).alias(f"ret_{h}h") for h in (0, *_H)]
+    times = {"px": at + X.OBS} | {f"px_{h}h": at - h * X.HOUR for h in _H}
+    s = timejoins.as_of_all(slots.select("slot_ts"), "slot_ts", times, candles, X.HOUR)
+    returns = [timejoins.ratio_return(F.col("px"), F.col(f"px_{h}h")).alias(f"ret_{h}h") for h in _H]
     near, inside = timejoins.round_distance(F.col("px"), 10.0)
     s = s.select("*", *returns, near.alias("round_near"), inside.alias("round_pos"))
     return s.withColumn("ratio_1h_24h", timejoins.guarded_ratio(F.col("px"), F.col("px_1h"), F.col("px_24h")))
 
 
-SPOT = f"""spot0 AS (SELECT slot_ts, {_asof("px", f"slot_ts + {X.OBS}")}, {", ".join(_asof(f"px_{h}h", f"slot_ts - {h * X.HOUR}") for h in (0, *_H))} FROM slots),
-    spot1 AS (SELECT *, {", ".join(f"CASE WHEN px_{h}h > 0 THEN px / px_{h}h - 1 ELSE 0 END AS ret_{h}h" for h in (0, *_H))},
+SPOT = f"""spot0 AS (SELECT slot_ts, {_asof("px", f"slot_ts + {X.OBS}")}, {", ".join(_asof(f"px_{h}h", f"slot_ts - {h * X.HOUR}") for h in _H)} FROM slots),
+    spot1 AS (SELECT *, {", ".join(f"CASE WHEN px_{h}h > 0 THEN px / px_{h}h - 1 ELSE 0 END AS ret_{h}h" for h in _H)},
         least(px / 10 - floor(px / 10), ceil(px / 10) - px / 10) AS round_near, (px - 10 * floor(px / 10)) / 10 AS round_pos FROM spot0),
     spot AS (SELECT *, CASE WHEN px > 0 AND px_1h > 0 AND px_24h > 0 AND abs(px - px_24h) > 1 THEN (px - px_1h) / (px - px_24h + 1e-9) ELSE 0 END AS ratio_1h_24h FROM spot1)"""
-_SPOT_COLS = ["px", *(f"px_{h}h" for h in (0, *_H)), *(f"ret_{h}h" for h in (0, *_H)), "round_near", "round_pos", "ratio_1h_24h"]
+_SPOT_COLS = ["px", *(f"px_{h}h" for h in _H), *(f"ret_{h}h" for h in _H), "round_near", "round_pos", "ratio_1h_24h"]
 
 
 @query(f"{X.ctes('candles', 'slots')}, {SPOT} SELECT slot_ts, {r6(*_SPOT_COLS)} FROM spot")
 def j_asof_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spot(spark, sf_dir))
+    return rounded(spot(X.slots(spark, sf_dir), X.candles(spark, sf_dir)))
 
 
 def with_returns(candles: DataFrame) -> DataFrame:
-    """Simple return of each candle on the one before it: lag inside days, the day's first from the day before."""
+    """Simple return of each candle on the one before it, and that one's time: lag inside days, the day's first from the day before."""
     day = F.floor(F.col("ts") / 86_400)
-    last = candles.groupBy(day.alias("d")).agg(F.max("ts").alias("t"), F.max_by("close", "ts").alias("carry"))
-    carried = last.select("d", F.lag("carry").over(Window.orderBy("d")).alias("carry"))  # one row a day
+    last = candles.groupBy(day.alias("d")).agg(F.max_by(F.struct("ts", "close"), "ts").alias("last"))
+    carried = last.select("d", F.lag("last").over(Window.orderBy("d")).alias("carry"))  # one row a day
     w = Window.partitionBy("d").orderBy("ts")
     c = candles.withColumn("d", day).join(carried, "d", "left")
-    prev = F.coalesce(F.lag("close").over(w), F.col("carry"))
-    return c.select(*candles.columns, F.when(prev > 0, F.col("close") / prev - 1).alias("ret"))
+    prev = F.coalesce(F.lag(F.struct("ts", "close")).over(w), F.col("carry"))
+    return c.select(*candles.columns, prev.alias("_p")).select(*candles.columns, F.col("_p.ts").alias("prev_ts"), F.when(F.col("_p.close") > 0, F.col("close") / F.col("_p.close") - 1).alias("ret"))
 
 
-def interval_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def volatility(start: Column, end: Column, least: int = 3) -> Column:
+    """std_pop of the returns between candles with start <= ts <= end, 0 for fewer than ``least`` candles: an aggregate."""
+    inside = (F.col("ts") >= start) & (F.col("ts") <= end)
+    return F.when(F.count_if(inside) >= least, F.coalesce(F.stddev_pop(F.when(inside & (F.col("prev_ts") >= start), F.col("ret"))), F.lit(0.0))).otherwise(0.0)
+
+
+def inslot_features(slots: DataFrame, candles: DataFrame) -> DataFrame:
+    """Return and range between the first candle at or after slot start and the last one observed, volatilities inside the
+    slot, of six hours and of a day, and the last hour's volume against the hours before. Both ends of a window belong to
+    it. What no candle shows is 0, a price over the range is as of the end of the observation window.
+    """
+    at, end, ts = F.col("slot_ts"), F.col("slot_ts") + X.OBS, F.col("ts")
+    seen = (ts >= at) & (ts <= end)
+    volume = lambda a, b: F.coalesce(F.sum(F.when((ts >= a) & (ts <= b), F.col("volume"))), F.lit(0)).cast("double")
+    g = timejoins.interval_aggregate(
+        slots.select("slot_ts"), at - 24 * X.HOUR, end + 1, with_returns(candles), X.HOUR, "slot_ts",
+        F.min_by(F.when(seen, F.col("close")), F.when(seen, ts)).alias("first"), F.max_by(F.when(seen, F.col("close")), F.when(seen, ts)).alias("last"),
+        (F.max(F.when(seen, F.col("high"))) - F.min(F.when(seen, F.col("low")))).alias("span"),
+        volatility(at, end).alias("vol_inslot"), volatility(at - 6 * X.HOUR, at).alias("vol_6h"), volatility(at - 24 * X.HOUR, at).alias("vol_24h"),
+        (volume(at - X.HOUR, at) / (volume(at - 6 * X.HOUR, at - X.HOUR) / 5 + 1e-9)).alias("spot_vol_ratio"),
+    )
+    known = slots.select("slot_ts").join(g, "slot_ts", "left")
+    # an observed candle is the last one at the end of the window, so its close is the price there
+    return known.select(
+        "slot_ts", F.coalesce(timejoins.ratio_return(F.col("last"), F.col("first")), F.lit(0.0)).alias("ret_0h"), F.coalesce(F.when(F.col("last") > 0, F.col("span") / F.col("last")), F.lit(0.0)).alias("inslot_range"),
+        *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("vol_inslot", "vol_6h", "vol_24h", "spot_vol_ratio")),
+    )
+
+
+def _within(what: str, a: str, b: str, f: str = "list({} ORDER BY c.ts)") -> str:
+    return f"(SELECT {f.format(what)} FROM candles c WHERE c.ts >= {a} AND c.ts <= {b})"
+
+
+def _vol_sql(px: str) -> str:
+    return f"CASE WHEN len({px}) >= 3 THEN list_stddev_pop(list_transform(range(2, len({px}) + 1), lambda i: {px}[i] / {px}[i - 1] - 1)) ELSE 0 END"
+
+
+_INSLOT = f"""inslot0 AS (SELECT slot_ts, {_within("close", "slot_ts", f"slot_ts + {X.OBS}")} AS p0, {_within("close", f"slot_ts - {6 * X.HOUR}", "slot_ts")} AS p6, {_within("close", f"slot_ts - {24 * X.HOUR}", "slot_ts")} AS p24,
+        {_within("high", "slot_ts", f"slot_ts + {X.OBS}", "max({})")} AS hi, {_within("low", "slot_ts", f"slot_ts + {X.OBS}", "min({})")} AS lo, {_asof("px", f"slot_ts + {X.OBS}")},
+        {_within("volume", f"slot_ts - {X.HOUR}", "slot_ts", "coalesce(sum({}), 0)")} AS v1, {_within("volume", f"slot_ts - {6 * X.HOUR}", f"slot_ts - {X.HOUR}", "coalesce(sum({}), 0)")} AS v6 FROM slots),
+    inslot AS (SELECT slot_ts, coalesce(CASE WHEN p0[1] > 0 THEN p0[-1] / p0[1] - 1 END, 0) AS ret_0h, coalesce(CASE WHEN len(p0) > 0 AND px > 0 THEN (hi - lo) / px END, 0) AS inslot_range,
+        {_vol_sql("p0")} AS vol_inslot, {_vol_sql("p6")} AS vol_6h, {_vol_sql("p24")} AS vol_24h, v1 / (v6 / 5.0 + 1e-9) AS spot_vol_ratio FROM inslot0)"""
+_INSLOT_COLS = ["ret_0h", "inslot_range", "vol_inslot", "vol_6h", "vol_24h", "spot_vol_ratio"]
+
+
+@query(f"{X.ctes('candles', 'slots')}, {_INSLOT} SELECT slot_ts, {r6(*_INSLOT_COLS)} FROM inslot")
+def j_inslot_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(inslot_features(X.slots(spark, sf_dir), X.candles(spark, sf_dir)))
+
+
+def interval_features(slots: DataFrame, candles: DataFrame) -> DataFrame:
     """Volatility, range and volume of the day before each slot, and volume against the part before its last 6 hours."""
-    c, s = with_returns(X.candles(spark, sf_dir)), X.slots(spark, sf_dir).select("slot_ts")
-    recent = F.col("ts") >= F.col("slot_ts") - 6 * X.HOUR
+    at = F.col("slot_ts")
+    recent = F.col("ts") >= at - 6 * X.HOUR
+    s = slots.select("slot_ts")
     g = timejoins.interval_aggregate(
-        s, F.col("slot_ts") - 24 * X.HOUR, F.col("slot_ts"), c, X.HOUR, "slot_ts",
-        F.count("*").alias("n_candles"),
-        F.sort_array(F.collect_list(F.struct("ts", "close", "ret"))).alias("_c"),  # 24 candles at most
+        s, at - 24 * X.HOUR, at, with_returns(candles), X.HOUR, "slot_ts",
+        F.count("*").alias("n_candles"), volatility(at - 24 * X.HOUR, at).alias("ret_vol"),
+        F.sort_array(F.collect_list(F.struct("ts", "close"))).alias("_c"),  # the candles of one window
         F.max("high").alias("hi"), F.min("low").alias("lo"), F.max_by("close", "ts").alias("last_px"),
         F.avg("close").alias("px_mean"), F.stddev_pop("close").alias("px_std"),
         F.sum(F.when(recent, F.col("volume")).otherwise(0)).alias("vol_recent"), F.sum(F.when(~recent, F.col("volume")).otherwise(0)).alias("vol_before"),
     )
-    inner = F.slice("_c", 2, 1000)  # the first return reaches out of the range
-    n = F.size(inner)
-    mean = F.aggregate(inner, F.lit(0.0), lambda a, x: a + x["ret"]) / n
-    vol = F.sqrt(F.aggregate(inner, F.lit(0.0), lambda a, x: a + (x["ret"] - mean) * (x["ret"] - mean)) / n)
     middle = F.element_at("_c", (F.floor(F.size("_c") / 2) + 1).cast("int"))["close"]
     return s.join(g, "slot_ts", "left").select(
         "slot_ts", F.coalesce("n_candles", F.lit(0)).alias("n_candles"),
-        F.when(F.col("n_candles") >= 3, vol).otherwise(0.0).alias("ret_vol"),
+        F.coalesce("ret_vol", F.lit(0.0)).alias("ret_vol"),
         F.coalesce(F.col("px_std") / F.col("px_mean"), F.lit(0.0)).alias("level_vol"),
         F.coalesce((F.col("hi") - F.col("lo")) / F.col("last_px"), F.lit(0.0)).alias("day_range"),
         F.coalesce(F.when(F.col("vol_before") > 0, F.col("vol_recent") / (F.col("vol_before") / 3)), F.lit(0.0)).alias("volume_ratio"),
@@ -96,7 +145,43 @@ _INTERVAL_COLS = ["ret_vol", "level_vol", "day_range", "volume_ratio", "half_mom
 
 @query(f"{X.ctes('candles', 'slots')}, {_INTERVAL} SELECT slot_ts, n_candles, {r6(*_INTERVAL_COLS)} FROM intervals")
 def j_interval_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(interval_features(spark, sf_dir))
+    return rounded(interval_features(X.slots(spark, sf_dir), X.candles(spark, sf_dir)))
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of customers (as symbols) over days, irregular, several a day: symbol, ts, price, amount, id."""
+    o = X.table(spark, sf_dir, "orders")
+    return o.select((F.col("o_custkey") % 97).alias("symbol"), F.expr("unix_date(CAST(o_orderdate AS DATE)) * 86400L").alias("ts"), (F.col("o_totalprice") / 1000).alias("price"), (F.col("o_orderkey") % 50 + 1.0).alias("amount"), F.col("o_orderkey").alias("id"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as points; some symbols have no series."""
+    li = X.table(spark, sf_dir, "lineitem")
+    one = li.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point")).agg(F.min("l_suppkey").alias("s"), F.min("l_shipdate").alias("d"), F.min("l_partkey").alias("p"))
+    at = F.expr("unix_date(CAST(d AS DATE)) * 86400L")
+    return one.select("point", (F.col("s") % 101).alias("symbol"), at.alias("at"), (at - (F.col("p") % 90) * 86_400).alias("since"))
+
+
+_SERIES = """series AS (SELECT o_custkey % 97 AS symbol, epoch(date_trunc('day', o_orderdate))::BIGINT AS ts, o_totalprice / 1000 AS price, o_orderkey % 50 + 1.0 AS amount, o_orderkey AS id FROM orders),
+    asked AS (SELECT l_orderkey * 10 + l_linenumber AS point, min(l_suppkey) % 101 AS symbol, epoch(date_trunc('day', min(l_shipdate)))::BIGINT AS at_, epoch(date_trunc('day', min(l_shipdate)))::BIGINT - min(l_partkey) % 90 * 86400 AS since FROM lineitem GROUP BY 1)"""
+
+
+@query(f"""WITH {_SERIES}, newest AS (SELECT symbol, ts, arg_max(price, id) AS price FROM series GROUP BY 1, 2), firsts AS (SELECT symbol, min(ts) AS ts, arg_min(price, ts) AS price FROM newest GROUP BY 1)
+    SELECT point, a.symbol, round(coalesce(n.price, f.price), 6) AS price, coalesce(n.ts, f.ts) AS as_of_ts FROM asked a ASOF LEFT JOIN newest n ON a.symbol = n.symbol AND a.at_ >= n.ts LEFT JOIN firsts f ON f.symbol = a.symbol""")
+def j_asof_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As-of prices of many irregular series, without a grid; points before a series take its first row."""
+    found = timejoins.as_of_join(_asked(spark, sf_dir), _series(spark, sf_dir), ["symbol"], "at", "ts", ["price"], 30 * 86_400, clamp=True, tie="id")
+    return rounded(found.select("point", "symbol", "price", "as_of_ts"))
+
+
+@query(f"""WITH {_SERIES} SELECT point, count(id) AS n, round(coalesce(sum(amount), 0), 4) AS amount, round(coalesce(sum(amount * price), 0) + 1e-7, 3) AS paid, round(CASE WHEN count(id) > 1 THEN stddev_pop(price) ELSE 0 END, 3) AS spread
+    FROM asked a LEFT JOIN series s ON s.symbol = a.symbol AND ts >= since AND ts < at_ GROUP BY 1""")
+def j_interval_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count, amount, paid and spread of prices of each point's series over its own interval of up to 90 days, from running totals."""
+    one = {"n": F.lit(1.0), "amount": F.col("amount"), "paid": F.col("amount") * F.col("price"), "p1": F.col("price"), "p2": F.col("price") * F.col("price")}
+    g = timejoins.interval_sums(_asked(spark, sf_dir), _series(spark, sf_dir), ["symbol"], "since", "at", "ts", one, 30 * 86_400)
+    mean = F.col("p1") / F.col("n")
+    return g.select("point", F.col("n").cast("long").alias("n"), F.round("amount", 4).alias("amount"), F.round(F.col("paid") + 1e-7, 3).alias("paid"), F.round(F.when(F.col("n") > 1, F.sqrt(F.greatest(F.col("p2") / F.col("n") - mean * mean, F.lit(0.0)))).otherwise(0.0), 3).alias("spread"))
 
 
 def ranked_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,10 +231,14 @@ def w_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_table(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
-    """One wide row a slot: flow, z-scores, spot, lags, calendar, books and cross features of a named set."""
+    """One wide row a slot: flow, z-scores, spot, lags, calendar, books and cross features of a named set.
+
+    Events are aggregated to flow rows and to candles once each; both tables are written, all else starts from them.
+    """
     ranked = ordering.global_rank(slot_flow(spark, sf_dir), "slot_ts")
+    candles, slots = pin(X.candles(spark, sf_dir), "candles"), ranked.select("slot_ts")
     lags = ordering.lag_features(ranked.select("slot_ts", "rank", "target", "up_ratio", "n_ticks", "vol_tot"), X.SLOT).drop("target", "rank", "up_ratio", "n_ticks", "vol_tot")
-    wide = ranked.join(scored(ranked).drop("up_ratio"), "slot_ts").join(lags, "slot_ts").join(spot(spark, sf_dir), "slot_ts").join(interval_features(spark, sf_dir), "slot_ts")
+    wide = ranked.join(scored(ranked).drop("up_ratio"), "slot_ts").join(lags, "slot_ts").join(spot(slots, candles), "slot_ts").join(inslot_features(slots, candles), "slot_ts")
     wide = features.with_books(wide.withColumn("market", F.expr(MARKET_OF_SLOT)), slot_books(spark, sf_dir), "market")
     return features.select_set(features.calendar(wide, "slot_ts"), version)
 
@@ -157,7 +246,7 @@ def feature_table(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
 _CAL = f"""cal AS (SELECT *, sin(2 * pi() / 24 * (slot_ts % 86400 / 3600.0)) AS hour_sin, cos(2 * pi() / 24 * (slot_ts % 86400 / 3600.0)) AS hour_cos, slot_ts % 86400 / 86400.0 AS hour_share, b.m IS NOT NULL AS has_book,
     sin(2 * pi() / 7 * ((slot_ts // 86400 + 3) % 7)) AS weekday_sin, cos(2 * pi() / 7 * ((slot_ts // 86400 + 3) % 7)) AS weekday_cos
     FROM flow JOIN (SELECT * EXCLUDE (up_ratio) FROM z) z USING (slot_ts) JOIN (SELECT * EXCLUDE (market_id, target, n_ticks, vol_tot, up_ratio, up_w5, momentum) FROM lags) lags USING (slot_ts)
-    JOIN spot USING (slot_ts) JOIN intervals USING (slot_ts) LEFT JOIN books b ON b.m = slot_ts // 21600 % 211)"""
+    JOIN spot USING (slot_ts) JOIN inslot USING (slot_ts) LEFT JOIN books b ON b.m = slot_ts // 21600 % 211)"""
 
 
 def _set_sql(version: str) -> str:
@@ -166,7 +255,7 @@ def _set_sql(version: str) -> str:
     plain = {n: f"coalesce({n}, {0.5 if n in half else 0.02 if n in spread else 0})" if n.startswith(("ob_", "clob_")) else n for n in features.SETS[version]}
     crosses = {n: f"CASE WHEN has_book THEN {a} * {b} ELSE 0 END" if a.startswith("ob_") else f"{a} * {b}" for n, (a, b) in features.CROSS[version].items()}
     cols = ", ".join(f"round(CAST({e} AS DOUBLE), 4) AS {n}" for n, e in (plain | crosses).items())
-    return f"{X.ctes('ticks', 'slots', 'candles')}, {BOOK_SET}, {flow_cte()}, {_Z}, {_lag_sql()}, {SPOT}, {_INTERVAL}, {_CAL} SELECT slot_ts, target, {cols} FROM cal"
+    return f"{X.ctes('ticks', 'slots', 'candles')}, {BOOK_SET}, {flow_cte()}, {_Z}, {_lag_sql()}, {SPOT}, {_INSLOT}, {_CAL} SELECT slot_ts, target, {cols} FROM cal"
 
 
 @query(_set_sql("v25"))

@@ -24,6 +24,33 @@ def read_ticks(spark: SparkSession, path: str, ids: DataFrame | None = None) ->
     return t.join(ids.select("market_id"), "market_id", "left_semi") if ids is not None else t
 
 
+def read_markets(spark: SparkSession, path: str, ids: list[str] | DataFrame, most: int = 1_000) -> DataFrame:
+    """Ticks of the markets named. A list of up to ``most`` ids is pushed into the scan as a literal filter, which skips row
+    groups by their statistics; more ids, or a table of them, become a semi join that the optimiser prunes by.
+    """
+    spark_ids = spark.createDataFrame([(i,) for i in ids], "market_id string") if isinstance(ids, list) and len(ids) > most else ids
+    t = spark.read.parquet(path)
+    if isinstance(spark_ids, list):
+        return t.where(F.col("market_id").isin(spark_ids))
+    return t.join(spark_ids.select("market_id").distinct(), "market_id", "left_semi")
+
+
+def ladder(text: Column) -> Column:
+    """One side of a book, as JSON of any of its shapes, to an array of (price, size).
+
+    An array of objects (price/size or p/s), an array of pairs, an object of size by price, or a string that holds one of
+    these; numbers may be strings. Levels without a price or size, and those that aren't numbers, are left out. What is
+    neither array nor object, broken text too, is null.
+    """
+    v = F.try_parse_json(text)
+    inner = F.try_variant_get(v, "$", "string")
+    v = F.when(F.schema_of_variant(v) == "STRING", F.try_parse_json(inner)).otherwise(v)
+    number = lambda e, *paths: F.coalesce(*(F.try_variant_get(e, p, "double") for p in paths))
+    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e: F.struct(number(e, "$.price", "$.p", "$[0]").alias("price"), number(e, "$.size", "$.s", "$[1]").alias("size")))
+    pairs = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.struct(e["key"].try_cast("double").alias("price"), number(e["value"], "$").alias("size")))
+    return F.filter(F.coalesce(items, pairs), lambda x: x["price"].isNotNull() & x["size"].isNotNull())
+
+
 def read_partition(spark: SparkSession, path: str, **keys: str) -> DataFrame:
     """A partitioned table pruned to the named partition."""
     df = spark.read.parquet(path)
@@ -148,6 +175,16 @@ def slot_calendar(spark: SparkSession, start: int, end: int, step: int) -> DataF
     return spark.range(start, end, step).withColumnRenamed("id", "slot_ts")
 
 
+def distinct_ticks(ticks: DataFrame, key: tuple[str, ...] = ("market_id", "timestamp_ms", "outcome", "side"), order: tuple[str, ...] = ("price", "size_usdc")) -> DataFrame:
+    """One row of those with an equal key, the first in ``order`` (nulls first), with all its columns.
+
+    The default key loses trades of one moment at other prices; a longer one keeps them.
+    """
+    rest = [c for c in ticks.columns if c not in key]
+    first = F.struct(*order, *(c for c in rest if c not in order))
+    return ticks.groupBy(*key).agg(F.min(first).alias("r")).select(*(c if c in key else F.col(f"r.{c}") for c in ticks.columns))
+
+
 def compact(spark: SparkSession, source: str, target: str, files: int) -> None:
     """Many files of a batch job to a few, in a new folder."""
     spark.read.parquet(source).repartition(files).write.mode("errorifexists").parquet(target)

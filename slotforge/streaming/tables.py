@@ -1,7 +1,10 @@
 """The live tables as Structured Streaming: candles, slots, gates, books, silence, all in event time.
 
 Queries run with ``availableNow`` over landed files. In update mode each micro-batch is appended with its number, and
-the newest row of a key counts, so a run over all files equals the batch form.
+the newest row of a key counts. A run over all files equals the batch form where rows come no more than ``LATE`` behind
+the newest one of earlier micro-batches. What comes later than that may be dropped: a window is closed for good one
+micro-batch after the watermark has passed its end. ``run_to_table`` says how many groups of rows that were, and
+``late_rows`` counts every row that came behind the watermark.
 """
 
 from __future__ import annotations
@@ -11,26 +14,40 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from slotforge import fixtures as X
-from slotforge.operators import flow
+from slotforge.operators import flow, ledger
+from slotforge.sources import versioned
 from slotforge.storage import new_path
 
 LATE = "120 seconds"
+#: Files of a micro-batch.
+FILES = 64
 
 
-def landed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream. Watermarks need a timestamp with zone, so ``at`` is the same instant in UTC."""
+def landed_events(spark: SparkSession, sf_dir: str, files: int = FILES) -> DataFrame:
+    """Events as a stream, ``files`` of them a micro-batch. Watermarks need a timestamp with zone, so ``at`` is the same instant in UTC."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/events.parq*")  # a file or a folder
+    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/events.parq*")  # a file or a folder
     us = F.expr(X.EPOCH_US)
     return e.withColumn("us", us).withColumn("at", F.timestamp_micros("us"))
 
 
-def run_to_table(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
-    """Process all that has landed; the newest row of each key."""
+def newest_rows(rows: DataFrame, keys: list[str], version: str, rest: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("r")).select(*keys, "r.*")
+
+
+def dropped(query: StreamingQuery) -> int:
+    """What stateful operators have dropped for coming behind the watermark, of the progress that the query remembers; an
+    aggregation counts its partial groups, not rows."""
+    return sum(int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators)
+
+
+def run_to_table(stream: DataFrame, keys: list[str], mode: str = "update", counts: dict[str, int] | None = None) -> DataFrame:
+    """Process all that has landed; the newest row of each key. ``counts`` gets the micro-batches and the rows dropped as late."""
     spark = stream.sparkSession
     out, state = new_path(spark, "stream"), new_path(spark, "state")
     schema = stream.schema
@@ -40,11 +57,12 @@ def run_to_table(stream: DataFrame, keys: list[str], mode: str = "update") -> Da
 
     query = stream.writeStream.outputMode(mode).foreachBatch(append).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
+    if counts is not None:
+        counts |= {"batches": sum(p.numInputRows > 0 for p in query.recentProgress), "dropped": dropped(query)}
     columns = [f.name for f in schema.fields]
     wide = StructType([*schema.fields, StructField("_batch", IntegerType())])
     read = spark.read.schema(wide).parquet(f"{out}/*")
-    rest = [c for c in columns if c not in keys]
-    return read.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*keys, "r.*")
+    return newest_rows(read, keys, "_batch", [c for c in columns if c not in keys])
 
 
 def candles(events: DataFrame, width: str = "1 hour") -> DataFrame:
@@ -100,14 +118,28 @@ def opening_state(ticks: DataFrame, low: float, high: float) -> DataFrame:
     return g.select(F.unix_seconds("w.start").alias("slot_ts"), "open_price", "last_price", (F.col("last_price") - F.col("open_price")).alias("drift"))
 
 
-def late_rows(events: DataFrame, delay: Column, limit: float) -> DataFrame:
-    """Rows that arrive later than the limit, counted by hour in a branch of their own that drops nothing."""
-    late = F.when(delay > limit, 1).otherwise(0)
-    return events.groupBy(F.date_trunc("hour", "at").alias("h")).agg(F.sum(late).cast("long").alias("late"), F.count("*").alias("n")).select(F.unix_seconds("h").alias("hour"), "late", "n")
+def late_rows(events: DataFrame, limit_us: int) -> DataFrame:
+    """hour, n, late: rows of each hour, and those that came more than a limit behind the newest row of earlier micro-batches.
+
+    That is what a watermark of this limit leaves out of windows it has closed. Nothing is dropped here; the newest time
+    is taken from the counts that earlier batches have written, so a repeated batch gives the same rows.
+    """
+    spark, out = events.sparkSession, new_path(events.sparkSession, "late")
+    schema = "hour long, n long, late long, newest_us long"
+
+    def count(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(schema).parquet(*(f"{out}/_b={k}" for k in range(number))).agg(F.max("newest_us")).first()[0] if number else None
+        late = F.lit(0) if before is None else F.when(F.col("us") < before - limit_us, 1).otherwise(0)
+        hours = batch.groupBy(F.expr("us div 3600000000 * 3600").alias("hour"))
+        hours.agg(F.count("*").alias("n"), F.sum(late).cast("long").alias("late"), F.max("us").alias("newest_us")).write.mode("overwrite").parquet(f"{out}/_b={number}")
+
+    events.writeStream.foreachBatch(count).option("checkpointLocation", new_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{out}/*").groupBy("hour").agg(F.sum("n").alias("n"), F.sum("late").alias("late"))
 
 
 def resolved_log(log: DataFrame, labels: DataFrame, key: str, bound: str) -> DataFrame:
-    """A feature log joined with resolutions that come within ``bound``; both sides keep bounded state."""
+    """A feature log joined with resolutions that come within ``bound``; both sides keep bounded state. A row without one
+    comes out once both feeds are past the bound."""
     l = log.withWatermark("at", LATE)
     r = labels.withWatermark("resolved_at", LATE)
     return l.join(r, F.expr(f"{key} = r_{key} AND resolved_at >= at AND resolved_at <= at + INTERVAL {bound}"), "leftOuter")
@@ -194,6 +226,31 @@ def slot_targets(events: DataFrame) -> DataFrame:
     return g.select(F.unix_seconds("w.start").alias("slot_ts"), F.col("up").cast("int").alias("target"))
 
 
+def settle_stream(labels: DataFrame, root: str, slot: int, grace: int) -> None:
+    """Settle the open rows of a versioned ledger (partitioned by ``ledger_day``) with final labels, a version a micro-batch.
+
+    Only the days that a batch has labels of are read, rewritten and swapped in. The manifest holds the batch's number, so
+    a batch that is repeated after a failure changes nothing, whether it failed before or after the swap.
+    """
+    spark = labels.sparkSession
+
+    def apply(batch: DataFrame, number: int) -> None:
+        known = batch.persist()
+        try:
+            days = [r[0] for r in known.select(ledger_day(F.col("slot_ts")).cast("string")).distinct().collect()]
+            if days:
+                now = known.agg(F.max("slot_ts")).first()[0] + slot + grace
+                versioned.replace(ledger.settle(versioned.read(spark, root, parts=days), known, now, slot, grace), root, ledger_day(F.col("slot_ts")), batch=number)
+        finally:
+            known.unpersist()
+
+    labels.writeStream.outputMode("append").foreachBatch(apply).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def ledger_day(slot_ts: Column) -> Column:
+    return F.floor(slot_ts / 86_400)
+
+
 def stateful_gates(settled: DataFrame, last: int = 20, least: float = 0.4, warm: int = 3, run: int = 3) -> DataFrame:
     """feed, us, id, won, signature to the gates of each feed: win rate of the last rows, the latch that stays, whether
     the last ``run`` signatures were ever the same, and whether the feed still warms up. State has ``last`` rows a feed.
