@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from slotforge.llm.common import materialize, shuffle_parts
+from slotforge.llm.common import materialize, parts, shuffle_parts
 
-#: Bytes of content that splitters carry; the digest and the id behind them keep equal texts together in the order.
-SPLITTER_CHARS = 32
+#: Sampled rows for each partition, and characters of a sampled text that come to the driver at first; those that tie come
+#: again with LONGER times as many.
+SAMPLED, HEAD, LONGER = 64, 32, 8
 
 _RUNS = "id long, text_sha256 string, part int, run int, run_rows long, run_last long, is_last boolean, edge string, edge_text string"
 
@@ -30,8 +33,9 @@ def exact_dedup(
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
-    Sampled splitters over (content prefix, digest, id) range-partition the normalised texts, each task sorts its
-    range externally, and neighbours are compared in full. A group of copies that spans several ranges is rejoined
+    Sampled splitters range-partition the normalised texts by their bytes, each task sorts its range externally, and
+    neighbours are compared in full. A splitter is a prefix just long enough to part two neighbours of the sample; where a
+    whole text fills a range, its copies are parted by id. A group of copies that spans several ranges is rejoined
     through the two edge runs of each partition, so no task ever holds a whole group. ``keep``: which id stays,
     ``smallest`` or ``largest``.
 
@@ -44,10 +48,7 @@ def exact_dedup(
     n = partitions or shuffle_parts(spark)
     text = F.coalesce(docs[text_col] if normalise is None else normalise, F.lit(""))
     rows = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"))
-    rows = rows.withColumns({"head": F.substring("text", 1, SPLITTER_CHARS), "digest": F.sha2("text", 256)})
-    last = F.col("id").asc_nulls_first() if keep == "largest" else F.col("id").desc_nulls_first()
-    order = [F.col("head"), F.col("digest"), last]
-    runs = materialize(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "text", "digest").mapInArrow(_runs, _RUNS), "exact-runs")
+    runs = materialize(_sorted(rows, n, keep).select("id", "text", F.sha2("text", 256).alias("digest")).mapInArrow(_runs, _RUNS), "exact-runs")
 
     edges = _edge_groups(runs)
     out = runs.join(F.broadcast(edges), ["part", "run"], "left")  # two rows for each partition at most
@@ -61,6 +62,55 @@ def exact_dedup(
     )
 
 
+def _sorted(rows: DataFrame, n: int, keep: str) -> DataFrame:
+    """Rows with ``id`` and ``text`` in ``n`` ranges of (text's bytes, id), each sorted; the id to keep comes last."""
+    bounds = _splitters(rows, n, keep)
+    at = rows.columns.index("id"), rows.columns.index("text")
+    schema = StructType([*rows.schema.fields, StructField("_part", IntegerType())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, "text"):
+            ids, texts = part.column(at[0]).to_pylist(), part.column(at[1]).cast(pa.binary()).to_pylist()
+            place = [bisect_right(bounds, (t, _order(i, keep))) for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(place, pa.int32())], names=schema.names)
+
+    last = F.col("id").asc_nulls_first() if keep == "largest" else F.col("id").desc_nulls_first()
+    return rows.mapInArrow(deal, schema).repartitionById(len(bounds) + 1, "_part").sortWithinPartitions("text", last)
+
+
+def _order(i: int | None, keep: str) -> int:
+    """Ascending in this, the id to keep comes last; a null id comes first."""
+    return -(2**63) - 1 if i is None else i if keep == "largest" else -i
+
+
+def _splitters(rows: DataFrame, n: int, keep: str) -> list[tuple[bytes, int]]:
+    """At most n-1 bounds (bytes, id order). Sampled rows are sorted by prefixes; a bound whose prefix ties with another
+    sampled text's, and isn't its whole text, is looked at again with a longer prefix. Only such prefixes come to the
+    driver, and whole texts only if they are short or fill a range."""
+    total = rows.count()
+    if n < 2 or not total:
+        return []
+    drawn = rows.select("id", "text").sample(min(1.0, SAMPLED * n / total), seed=23).withColumn("k", F.monotonically_increasing_id())
+    sample = materialize(drawn, "exact-sample")
+    head = lambda chars: F.struct(F.substring("text", 1, chars).cast("binary").alias("head"), (F.length("text") <= chars).alias("whole"))
+    held = {r.k: (bytes(r.h.head), r.h.whole, _order(r.id, keep)) for r in sample.select("k", "id", head(HEAD).alias("h")).collect()}
+    chars = HEAD
+    while True:
+        keys = sorted(held, key=lambda k: (held[k][0], held[k][2], k))
+        chosen = sorted({keys[len(keys) * j // n] for j in range(1, n)}) if keys else []
+        same = Counter(x[0] for x in held.values())
+        tied = {held[k][0] for k in chosen if not held[k][1] and same[held[k][0]] > 1}
+        if not tied:
+            break
+        again = [k for k, x in held.items() if x[0] in tied and not x[1]]
+        chars *= LONGER
+        longer = sample.join(F.broadcast(sample.sparkSession.createDataFrame([(k,) for k in again], "k long")), "k")  # sampled rows
+        for r in longer.select("k", head(chars).alias("h")).collect():
+            held[r.k] = (bytes(r.h.head), r.h.whole, held[r.k][2])
+    whole = Counter(x[0] for x in held.values() if x[1])
+    return sorted({(held[k][0], held[k][2] if held[k][1] and whole[held[k][0]] > 1 else -(2**63) - 2) for k in chosen})
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Column | None = None, keep: str = "smallest", partitions: int | None = None) -> DataFrame:
     """The rows that ``exact_dedup`` keeps, with all their columns, after a single shuffle of the texts.
 
@@ -71,9 +121,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", no
         raise ValueError("keep is smallest or largest")
     text = F.coalesce(docs[text_col] if normalise is None else normalise, F.lit(""))
     rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs[id_col].cast("long").alias("id"), text.alias("text"))
-    rows = rows.withColumns({"head": F.substring("text", 1, SPLITTER_CHARS), "digest": F.sha2("text", 256)})
-    order = [F.col("head"), F.col("digest"), F.col("id").asc_nulls_first() if keep == "largest" else F.col("id").desc_nulls_first()]
-    dealt = rows.repartitionByRange(partitions or shuffle_parts(docs.sparkSession), *order).sortWithinPartitions(*order).select("row", "text", "digest")
+    dealt = _sorted(rows, partitions or shuffle_parts(docs.sparkSession), keep).select("row", "text", F.sha2("text", 256).alias("digest"))
     kind = StructType([StructField("row", rows.schema["row"].dataType), StructField("part", IntegerType()), StructField("edge", StringType()), StructField("edge_text", StringType())])
     kept = materialize(dealt.mapInArrow(_last_of_runs, kind), "exact-kept")
     firsts = kept.where("edge IN ('F', 'FL')").select("part", "edge_text")

@@ -17,9 +17,11 @@ from slotforge.llm.common import materialize, parts
 UNKNOWN = "und"
 #: Hashed n-gram features, the n-grams' lengths, and characters that are hashed at once.
 FEATURES, ORDERS, STRETCH = 1 << 15, (1, 2, 3), 1 << 18
-#: Bound of the training sample: rows of one language, rows in all (both in expectation), and n-grams of a row, of which
-#: the most frequent stay. At most SAMPLE * ROW_GRAMS * 6 bytes come to the driver.
-PER_LANGUAGE, SAMPLE, ROW_GRAMS = 1_500, 12_000, 4_096
+#: Bound of the training sample: rows of one language, rows in all, and n-grams of all rows (all in expectation). Where
+#: the rows have more n-grams, fewer rows are taken; at most GRAMS * 6 bytes come to the driver.
+PER_LANGUAGE, SAMPLE, GRAMS = 1_500, 12_000, 24 << 20
+#: More languages than this are an error: their weights would no longer be a small table.
+LANGUAGES = 1_200
 
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
@@ -44,14 +46,6 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return index, counts[index]
 
 
-def heaviest(index: np.ndarray, counts: np.ndarray, most: int = ROW_GRAMS) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent n-grams of a text, the lower number first of equals, in ascending order of number."""
-    if len(index) <= most:
-        return index, counts
-    kept = np.sort(np.argsort(-counts, kind="stable")[:most])
-    return index[kept], counts[kept]
-
-
 def weigh(index: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF with logarithmic term frequency, of length one."""
     value = (1 + np.log(counts)) * idf[index]
@@ -124,27 +118,35 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], alpha: float = 0.5, beta
     return Model(languages, idf, model.weights, model.bias, float(min(np.geomspace(0.05, 5, 60), key=loss)))
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
-    """Fit on a bounded sample of labelled rows: about ``per_language`` of each language, drawn by a hash of the id.
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE, grams: int = GRAMS) -> Model:
+    """Fit on a bounded sample of labelled rows: about ``per_language`` of each language, drawn by a hash of id and text.
 
-    The n-grams are counted where the rows are read; only their numbers and counts come to the driver.
+    The n-grams of whole texts are counted where the rows are read; only their numbers and counts come to the driver.
 
-    Rows with a null language, a null text or no letter teach nothing. Without any row the model knows no language.
+    Rows with a null language, a null text or no letter teach nothing; null and repeated ids are drawn like others, rows
+    that are the same in id and text all or none. Without any row the model knows no language; more than LANGUAGES of
+    them are an error.
     """
     rows = labelled.select(labelled[id_col].alias("id"), labelled[text_col].alias("text"), labelled[lang_col].cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample // 10), "languages")
-    each = min(per_language, sample // max(1, sizes.count()))
+    sizes = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    if (known := sizes.count()) > LANGUAGES:
+        raise ValueError(f"{known} languages, more than {LANGUAGES}")
+    each = max(1, min(per_language, sample // max(1, known)))
     share = sizes.select("lang", (F.lit(float(each)) / F.col("n")).alias("share"))
-    draw = F.pmod(F.xxhash64(F.col("id"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.join(F.broadcast(share), "lang").where(draw < F.col("share")).select(F.xxhash64("id", F.lit(13)).alias("at"), "text", "lang")  # sample / 10 languages at most
+    draw = F.pmod(F.xxhash64(F.col("id"), F.col("text"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = rows.join(F.broadcast(share), "lang").where(draw < F.col("share")).select(F.xxhash64("id", "text", F.lit(13)).alias("at"), "text", "lang")  # LANGUAGES at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, "text"):
-            found = [heaviest(*features(x)) for x in part.column("text").to_pylist()]
+            found = [features(x) for x in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("at"), pa.array([x[0].astype(np.int16) for x in found], pa.list_(pa.int16())), pa.array([x[1].astype(np.float32) for x in found], pa.list_(pa.float32())), part.column("lang")], names=["at", "index", "counts", "lang"])
 
-    table = drawn.mapInArrow(count, "at long, index array<short>, counts array<float>, lang string").toArrow().sort_by([("at", "ascending"), ("lang", "ascending")])
+    counted = materialize(drawn.mapInArrow(count, "at long, index array<short>, counts array<float>, lang string"), "grams")
+    held = counted.agg(F.sum(F.size("index"))).first()[0] or 0
+    if held > grams:
+        counted = counted.where(F.pmod(F.xxhash64("at", F.lit(17)), F.lit(1 << 30)) / float(1 << 30) < grams / held)
+    table = counted.toArrow().sort_by([("at", "ascending"), ("lang", "ascending")])
     index, counts = table.column("index"), table.column("counts")
     return fit([(np.asarray(i.values), np.asarray(c.values), x) for i, c, x in zip(index, counts, table.column("lang").to_pylist(), strict=True)])
 
@@ -152,10 +154,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """id, lang_pred and score of each row; with ``whole`` a struct ``row`` of all its columns instead of the id.
 
-    lang_pred is ``und`` with score 0 where the text is null, empty or has no letter, or the model knows no language.
+    lang_pred is ``und`` with score 0 where the text is null, empty or has no letter, or the model knows no language. Null
+    and repeated ids are rows like others.
     Very long texts are read whole, in stretches; repeated rows get equal results; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages, at most SAMPLE / 10 languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages, LANGUAGES at most
     kept = F.struct(*(docs[f"`{c}`"] for c in docs.columns)) if whole else F.struct(docs[id_col].alias("id"))
     rows = docs.select(kept.alias("row"), docs[text_col].alias("text"))
     kind = rows.schema["row"].dataType

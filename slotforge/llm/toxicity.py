@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from slotforge.llm.common import materialize, parts, texts_of
 
-#: Bounds of what is learned from: labelled rows, and lexicon entries.
-SAMPLE, ENTRIES = 12_000, 400
+#: Bound of what is learned from, in labelled rows.
+SAMPLE = 12_000
 #: Words on either side of a hit that make its window.
 WINDOW = 5
 #: Stems are the first letters of words; a term must be in so many toxic texts (a hundredth of them, if that is more),
@@ -214,12 +214,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     counted = drawn.mapInArrow(terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
-    best = counted.where((F.col("toxic") >= max(LEAST, n1 // 100)) & (odds >= MARKED)).withColumn("odds", odds).orderBy(F.desc(F.col("odds")), "term").limit(20 * ENTRIES).collect()
+    # a term is in a hundredth of the toxic texts at least, so there are a hundred times the terms of a mean one at most
+    best = counted.where((F.col("toxic") >= max(LEAST, n1 // 100)) & (odds >= MARKED)).withColumn("odds", odds).collect()
+    best.sort(key=lambda r: (-r.odds, r.term))
     words, stems, exact = _lexicon([(r.term, r.odds) for r in best])
     model = Model(words, stems, exact, list(exact))
     model.fuzzy = _fuzzy_weights(drawn, spark.sparkContext.broadcast(model), len(exact), n1, n0)
 
-    shared = spark.sparkContext.broadcast(model)  # at most ENTRIES terms
+    shared = spark.sparkContext.broadcast(model)  # bounded as ``best`` is
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, "text"):
@@ -241,11 +243,11 @@ def _lexicon(ranked: list[tuple[str, float]]) -> tuple[dict[str, int], dict[str,
     weights: list[float] = []
     for n in STEMS:
         for term, value in ranked:
-            if len(term) == n + 1 and term[-1] == "*" and not any(term[:k] in stems for k in STEMS if k < n) and len(weights) < ENTRIES:
+            if len(term) == n + 1 and term[-1] == "*" and not any(term[:k] in stems for k in STEMS if k < n):
                 stems[term[:-1]] = len(weights)
                 weights.append(value)
     for term, value in ranked:
-        if term[-1] != "*" and len(weights) < ENTRIES and not any(term[:k] in stems and odds[term[:k] + "*"] >= value - 0.7 for k in STEMS):
+        if term[-1] != "*" and not any(term[:k] in stems and odds[term[:k] + "*"] >= value - 0.7 for k in STEMS):
             words[term] = len(weights)
             weights.append(value)
     return words, stems, weights
@@ -288,7 +290,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score (0 to 1) of each row; a null text counts as empty, ids pass as they are, other columns are ignored."""
+    """id and score (0 to 1) of each row; a null text counts as empty, ids pass as they are, other columns are ignored.
+
+    Whole texts count, whatever their length; equal texts get equal scores; an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

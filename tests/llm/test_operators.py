@@ -435,3 +435,27 @@ def test_mixing(spark, empty):
     assert all(tables[k] == pytest.approx(want[k] / cells[k], rel=1e-4) for k in cells)
     drawn = mixing.sample(d, topic=F.col("topic"), targets=targets)
     assert drawn.columns == d.columns and sorted(str(r.doc_id) for r in drawn.collect()) == sorted(str(r.doc_id) for r in out if r.sampled)
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_exact_order_is_of_content(spark, keep):
+    """Long shared beginnings, a group of copies over many ranges, and ranges in the order of bytes."""
+    rng = random.Random(12)
+    start = "the same licence header before every text of this table " * 12
+    rows = [(k, start + f"{rng.randrange(200)} é") for k in range(300)] + [(1000 + k, start + "copies") for k in range(400)] + [(k, "ü" if k % 2 else None) for k in range(50)] + [(None, "ü"), (None, None)]
+    df = spark.createDataFrame([(i, t or "") for i, t in rows], "id long, text string").repartition(5)
+    bounds = exact._splitters(df, 12, keep)
+    assert len(bounds) >= 8 and bounds == sorted(bounds)
+    copies = [b for b in bounds if b[0] == (start + "copies").encode()]
+    assert len(copies) >= 3 and len({b[1] for b in copies}) == len(copies)  # copies are parted by id
+    assert all(len(b[0]) < len(start) + 20 for b in bounds)
+    placed = exact._sorted(df, 12, keep).withColumn("at", F.monotonically_increasing_id()).collect()
+    order = [(r.text.encode(), exact._order(r.id, keep)) for r in sorted(placed, key=lambda r: r["at"])]
+    assert order == sorted(order) and len({r._part for r in placed}) > 8
+    got = exact.exact_dedup(df.withColumnRenamed("id", "doc_id"), keep=keep, partitions=12).collect()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t or "", []).append(i)
+    best = {t: (min if keep == "smallest" else max)(i for i in ids if i is not None) for t, ids in groups.items()}
+    assert len(got) == len(rows) and {(r.keep_id, r.group_size, r.text_sha256) for r in got} == {(best[t], len(ids), hashlib.sha256(t.encode()).hexdigest()) for t, ids in groups.items()}
+    assert sum(r.kept for r in got) == len(groups) and all(r.kept == (r.doc_id == r.keep_id) for r in got)
