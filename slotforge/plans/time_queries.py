@@ -174,14 +174,14 @@ def j_asof_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("point", "symbol", "price", "as_of_ts"))
 
 
-@query(f"""WITH {_SERIES} SELECT point, count(id) AS n, round(coalesce(sum(amount), 0), 4) AS amount, round(coalesce(sum(amount * price), 0) + 1e-7, 3) AS paid, round(CASE WHEN count(id) > 1 THEN stddev_pop(price) ELSE 0 END, 3) AS spread
+@query(f"""WITH {_SERIES} SELECT point, count(id) AS n, round(coalesce(sum(amount), 0), 4) AS amount, round(coalesce(sum(amount * price), 0) + 1e-7, 3) AS paid, round(CASE WHEN count(id) > 1 THEN stddev_pop(price) ELSE 0 END + 1e-7, 3) AS spread
     FROM asked a LEFT JOIN series s ON s.symbol = a.symbol AND ts >= since AND ts < at_ GROUP BY 1""")
 def j_interval_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count, amount, paid and spread of prices of each point's series over its own interval of up to 90 days, from running totals."""
     one = {"n": F.lit(1.0), "amount": F.col("amount"), "paid": F.col("amount") * F.col("price"), "p1": F.col("price"), "p2": F.col("price") * F.col("price")}
     g = timejoins.interval_sums(_asked(spark, sf_dir), _series(spark, sf_dir), ["symbol"], "since", "at", "ts", one, 30 * 86_400)
     mean = F.col("p1") / F.col("n")
-    return g.select("point", F.col("n").cast("long").alias("n"), F.round("amount", 4).alias("amount"), F.round(F.col("paid") + 1e-7, 3).alias("paid"), F.round(F.when(F.col("n") > 1, F.sqrt(F.greatest(F.col("p2") / F.col("n") - mean * mean, F.lit(0.0)))).otherwise(0.0), 3).alias("spread"))
+    return g.select("point", F.col("n").cast("long").alias("n"), F.round("amount", 4).alias("amount"), F.round(F.col("paid") + 1e-7, 3).alias("paid"), F.round(F.when(F.col("n") > 1, F.sqrt(F.greatest(F.col("p2") / F.col("n") - mean * mean, F.lit(0.0)))).otherwise(0.0) + 1e-7, 3).alias("spread"))
 
 
 def ranked_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
