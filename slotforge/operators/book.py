@@ -44,23 +44,25 @@ def snapshot_metrics(band: float = 0.05, sharpness: float = 10.0) -> list[Column
     return [F.when(both, c).alias(k) for k, c in zip(STATIC, values, strict=True)]
 
 
-def open_close(snapshots: DataFrame, key: str, opened: float = 30, close_from: float = 150, cutoff: float = 168, window: float = 60) -> DataFrame:
+def open_close(snapshots: DataFrame, key: str | list[str], opened: float = 30, close_from: float = 150, cutoff: float = 168, window: float = 60) -> DataFrame:
     """Open: first snapshot with t <= opened, else the first; close: last with close_from <= t < cutoff.
 
     Static features are those of the close, or of the open where there is none; then all changes are 0. Mean imbalances
-    are of the windows that begin at 0, ``window`` and twice that, the last one ends at ``cutoff``.
+    are of the windows that begin at 0, ``window`` and twice that, the last one ends at ``cutoff``. Plain aggregates, so
+    the same columns serve a stream, whose key includes the slot's window.
     """
+    keys = [key] if isinstance(key, str) else key
     order, fields, t = F.struct("t", "id"), F.struct(*STATIC), F.col("t")
     early, late = t <= opened, (t >= close_from) & (t < cutoff)
     mean = lambda a, b: F.coalesce(F.avg(F.when((t >= a) & (t < b), F.col("imbalance"))), F.lit(0.0))
-    g = snapshots.groupBy(key).agg(
+    g = snapshots.groupBy(*keys).agg(
         F.min_by(F.when(early, fields), F.when(early, order)).alias("_o"), F.min_by(fields, order).alias("_f"), F.max_by(F.when(late, fields), F.when(late, order)).alias("_c"),
         *(mean(a, b).alias(f"imb_w{k}") for k, (a, b) in enumerate(((0, window), (window, 2 * window), (2 * window, cutoff)))), F.count("*").alias("n_snapshots"),
     )
     o = F.coalesce("_o", "_f")
     c = F.coalesce(F.col("_c"), o)
     return g.select(
-        key, "n_snapshots", *(c[n].alias(n) for n in STATIC), (c["mid"] - o["mid"]).alias("mid_drift"), c["imbalance"].alias("imbalance_end"), c["spread"].alias("spread_end"),
+        *keys, "n_snapshots", *(c[n].alias(n) for n in STATIC), (c["mid"] - o["mid"]).alias("mid_drift"), c["imbalance"].alias("imbalance_end"), c["spread"].alias("spread_end"),
         (c["total_depth"] - o["total_depth"]).alias("depth_change"), (c["imbalance"] - o["imbalance"]).alias("imb_momentum"), "imb_w0", "imb_w1", "imb_w2",
     )
 
@@ -85,20 +87,43 @@ def price_changes(moves: DataFrame, key: str) -> DataFrame:
     )
 
 
-def microstructure(events: DataFrame, key: str, span: float, least_events: int = 5, least_mids: int = 2) -> DataFrame:
+def synthetic(best_bid: Column, best_ask: Column) -> tuple[Column, Column]:
+    """Mid and spread that a price change tells of a book: null unless the best ask is above the best bid and that above 0."""
+    sound = (best_ask > best_bid) & (best_bid > 0)
+    return F.when(sound, (best_ask + best_bid) / 2), F.when(sound, best_ask - best_bid)
+
+
+def microstructure(events: DataFrame, key: str, span: float, least_events: int = 5, least_mids: int = 2, variant: str = "window", least_span: float = 5.0) -> DataFrame:
     """Ten features of a window: columns t, id, mid, spread (null where unknown), imbalance and depth (null unless the
     event is a whole book), sell_price (null unless the event is a price change on the selling side).
 
-    All are 0 for fewer than ``least_events`` events or ``least_mids`` mids. Slopes are least squares, 0 for one time;
-    pressure is the share of downward moves among the moves of consecutive sell prices.
+    Slopes are least squares, 0 for one time; pressure is the share of downward moves among the moves of consecutive sell
+    prices. All features are 0 where the variant finds too little:
+
+    - ``window``: the rate is by ``span``; ``least_events`` events and ``least_mids`` mids are needed.
+    - ``books``: only whole books have mid and spread; the rate is by the time between the first and the last of them,
+      which must be ``least_span`` at least, between two books at least.
+    - ``live``: price changes lend mid and spread too (``synthetic``); ``least_events`` events are needed, and
+      ``least_span`` between the books, or else between the price changes (``least_events`` of them with fewer than two
+      books, two otherwise).
     """
+    real = F.col("imbalance").isNotNull()
+    if variant == "books":
+        events = events.withColumns({"mid": F.when(real, F.col("mid")), "spread": F.when(real, F.col("spread"))})
     e = events.withColumns({"_dm": F.col("mid") - _before("mid", key, "t", "id"), "_da": F.col("sell_price") - _before("sell_price", key, "t", "id")})
-    order, real = F.struct("t", "id"), F.col("imbalance").isNotNull()
+    order, seen = F.struct("t", "id"), F.col("mid").isNotNull()
     moved = F.count_if(F.col("_da") != 0)
-    enough = (F.count("*") >= least_events) & (F.count("mid") >= least_mids)
+    between = lambda c: F.max(F.when(c, F.col("t"))) - F.min(F.when(c, F.col("t")))
+    mids, changes = F.count("mid"), F.count_if(~real)
+    length = {
+        "window": F.lit(span),
+        "books": F.when((mids >= 2) & (between(seen) >= least_span), between(seen)),
+        "live": F.when((mids >= 2) & (between(seen) >= least_span), between(seen)).when((changes >= F.when(mids >= 2, 2).otherwise(least_events)) & (between(~real) >= least_span), between(~real)),
+    }[variant]
+    enough = {"window": (F.count("*") >= least_events) & (mids >= least_mids), "books": length.isNotNull(), "live": (F.count("*") >= least_events) & length.isNotNull()}[variant]
     values = {
         "imb_mean": F.avg("imbalance"), "imb_std": F.stddev_pop("imbalance"), "imb_drift": F.max_by("imbalance", F.when(real, order)) - F.min_by("imbalance", F.when(real, order)),
         "spread_mean": F.avg("spread"), "spread_trend": F.regr_slope("spread", "t"), "mid_velocity": F.regr_slope("mid", "t"), "mid_volatility": F.stddev_pop("_dm"),
-        "activity_rate": F.count("*") / F.lit(span), "depth_trend": F.regr_slope("depth", "t"), "ask_pressure": F.when(moved > 0, F.count_if(F.col("_da") < 0) / moved),
+        "activity_rate": F.count("*") / length, "depth_trend": F.regr_slope("depth", "t"), "ask_pressure": F.when(moved > 0, F.count_if(F.col("_da") < 0) / moved),
     }
     return e.groupBy(key).agg(*(F.when(enough, F.coalesce(c, F.lit(0.0))).otherwise(0.0).alias(n) for n, c in values.items()))

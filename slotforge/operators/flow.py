@@ -82,7 +82,7 @@ def slot_flow(ticks: DataFrame, slots: DataFrame, obs: float, windows: int = 6,
 
 
 def tick_pack(ticks: DataFrame) -> DataFrame:
-    """Volumes, imbalance, counts, spot first/last/return/std (sample)/mean and VWAPs of each market."""
+    """Volumes, imbalance, counts, first/last/return/std (sample)/mean of the trade price and VWAPs of each market."""
     up, buy, size = F.col("outcome") == "Up", F.col("side") == "BUY", F.col("size_usdc")
     order = F.struct("t_sec", "event_id")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -114,6 +114,20 @@ def tick_pack(ticks: DataFrame) -> DataFrame:
     )
 
 
+def spot_pack(ticks: DataFrame, spot: str = "spot_price_usdt") -> DataFrame:
+    """market_id and first, last, return, std (sample) and mean of the spot price that trades carry, nulls left out; all
+    null for a market without one."""
+    known, x = F.col(spot).isNotNull(), F.col(spot)
+    order = F.when(known, F.struct("t_sec", "event_id"))
+    g = ticks.groupBy("market_id").agg(F.min_by(x, order).alias("spot_first"), F.max_by(x, order).alias("spot_last"), F.stddev_samp(x).alias("spot_volatility"), F.avg(x).alias("spot_mean"))
+    return g.withColumn("spot_return", F.when(F.col("spot_first") > 0, F.col("spot_last") / F.col("spot_first") - 1))
+
+
+def with_phases(base: DataFrame, phases: DataFrame, key: str = "market_id") -> DataFrame:
+    """The base set with its phase features; rows without one get 0 in all of them."""
+    return base.join(phases, key, "left").fillna(0, subset=[c for c in phases.columns if c != key])
+
+
 def market_packs(ticks: DataFrame) -> DataFrame:
     """The price pack with the tick pack of each market; the tick pack's own prices give way."""
     own = tick_pack(ticks).drop("price_first", "price_last", "price_std", "price_mean")
@@ -284,9 +298,19 @@ def entry_window(t_sec: Column, low: float = 170, high: float = 240) -> Column:
     return t_sec.between(low, high)
 
 
-def scan_pack(ticks: DataFrame) -> DataFrame:
-    """Linear value percentiles of price and up/(down+eps), sells being all that isn't BUY."""
+def scan_pack(ticks: DataFrame, first: float | None = None, second: float | None = None, end: float | None = None) -> DataFrame:
+    """Linear value percentiles of price and up/(down+eps), sells being all that isn't BUY; with bounds of the phases also
+    what each phase of the live form (closed on the left, up to ``end``) has of volume, trades and up/(down+eps)."""
     up, size = F.col("outcome") == "Up", F.col("size_usdc")
     q = F.percentile("price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    packed = ticks.groupBy("market_id").agg(q.alias("_q"), F.coalesce(_of(up, size), F.lit(0.0)).alias("_u"), F.coalesce(_of(~up, size), F.lit(0.0)).alias("_d"), F.count_if(F.col("side") != "BUY").alias("n_sells"))
-    return packed.select("market_id", *(F.col("_q")[k].alias(f"price_p{p}") for k, p in enumerate((25, 50, 75))), (F.col("_u") / (F.col("_d") + 1e-8)).alias("up_down_ratio"), "n_sells")
+    packed = ticks.groupBy("market_id").agg(q.alias("_q"), F.coalesce(_of(up, size), F.lit(0.0)).alias("_u"), F.coalesce(_of(~up, size), F.lit(0.0)).alias("_d"), F.count_if(F.col("side") != "BUY").alias("n_sells"), *_scan_phases(first, second, end))
+    phased = [c for p in PHASES for c in ((F.col(f"_{p}_u") + F.col(f"_{p}_d")).alias(f"{p}_vol"), F.col(f"_{p}_n").alias(f"{p}_n_ticks"), (F.col(f"_{p}_u") / (F.col(f"_{p}_d") + 1e-8)).alias(f"{p}_up_down_ratio"))] if first is not None else []
+    return packed.select("market_id", *(F.col("_q")[k].alias(f"price_p{p}") for k, p in enumerate((25, 50, 75))), (F.col("_u") / (F.col("_d") + 1e-8)).alias("up_down_ratio"), "n_sells", *phased)
+
+
+def _scan_phases(first: float | None, second: float | None, end: float | None) -> list[Column]:
+    if first is None:
+        return []
+    phase, up, size = phase_of(F.col("t_sec"), first, second, end, left_closed=True), F.col("outcome") == "Up", F.col("size_usdc")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return [c for p in PHASES for c in (zero(_of((phase == p) & up, size)).alias(f"_{p}_u"), zero(_of((phase == p) & ~up, size)).alias(f"_{p}_d"), F.count_if(phase == p).alias(f"_{p}_n"))]

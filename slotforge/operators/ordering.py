@@ -150,3 +150,18 @@ def zscores(ranked: DataFrame, value: str, live: Column, slot_seconds: int, late
         F.when(enough, clip((lag - m20) / F.greatest(s20, F.lit(0.01)))).otherwise(0.0).alias(f"lag_ur_z{long}"),
         F.when(some, clip((lag - m5) / F.greatest(s5, F.lit(0.01)))).otherwise(0.0).alias(f"lag_ur_z{short}"),
     )
+
+
+def keep_last(df: DataFrame, key: str, n: int, *order: str) -> DataFrame:
+    """The last ``n`` rows of each key in ``order``; a task gives up all but ``n`` rows of a key before the shuffle."""
+    w = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
+    return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
+
+
+def event_rate(df: DataFrame, key: str, time_ms: str, width_ms: int, quiet_s: float, *order: str) -> DataFrame:
+    """key, peak_rate (most rows in any trailing ``width_ms``, both ends included), longest_gap and silences (gaps above
+    ``quiet_s``), in seconds; ``order`` settles rows of one time."""
+    rate = Window.partitionBy(key).orderBy(time_ms).rangeBetween(-width_ms, 0)
+    step = Window.partitionBy(key).orderBy(time_ms, *order)
+    d = df.select(key, F.count("*").over(rate).alias("_c"), ((F.col(time_ms) - F.lag(time_ms).over(step)) / 1000.0).alias("_gap"))
+    return d.groupBy(key).agg(F.max("_c").alias("peak_rate"), F.max("_gap").alias("longest_gap"), F.count_if(F.col("_gap") > quiet_s).alias("silences"))

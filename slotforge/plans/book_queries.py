@@ -10,6 +10,7 @@ from slotforge.functions import features
 from slotforge.operators import book
 from slotforge.plans.flow_queries import r6
 from slotforge.plans.registry import query, rounded
+from slotforge.storage import pin
 
 _METRICS = list(book.STATIC)
 
@@ -90,10 +91,10 @@ def b_price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(book.price_changes(moves(spark, sf_dir), "market"))
 
 
-def book_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def book_events(taken: DataFrame) -> DataFrame:
     """Events of the last minute before the cutoff; every fourth is a price change with mid and spread only, and every
     second of those is on the selling side."""
-    s = snapshots(spark, sf_dir).where((F.col("t") >= 108) & (F.col("t") < 168))
+    s = taken.where((F.col("t") >= 108) & (F.col("t") < 168))
     whole = F.col("id") % 4 != 0
     return s.select("market", "t", "id", "mid", "spread", F.when(F.col("id") % 8 == 0, F.col("ask")).alias("sell_price"), F.when(whole, F.col("imbalance")).alias("imbalance"), F.when(whole, F.col("total_depth")).alias("depth"))
 
@@ -110,15 +111,49 @@ _MICRO = f"""ev AS (SELECT market, t, id, mid, spread, CASE WHEN id % 8 = 0 THEN
 
 @query(f"""WITH {_SNAPS}, {_MICRO} SELECT market, {", ".join(f"round({n} + 1e-9, 5) AS {n}" for n in _MS)} FROM micro""")
 def b_microstructure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = book.microstructure(book_events(spark, sf_dir), "market", 60.0)
+    m = book.microstructure(book_events(snapshots(spark, sf_dir)), "market", 60.0)
     return m.select("market", *(F.round(F.col(n) + 1e-9, 5).alias(n) for n in _MS))  # means of few decimals fall on ties
 
 
+def _variant_sql(variant: str) -> str:
+    mid = "CASE WHEN imbalance IS NOT NULL THEN {} END" if variant == "books" else "{}"
+    by_books = "CASE WHEN n_mids >= 2 AND book_span >= 5 THEN book_span"
+    length = f"{by_books} END" if variant == "books" else f"{by_books} WHEN n_changes >= CASE WHEN n_mids >= 2 THEN 2 ELSE 5 END AND change_span >= 5 THEN change_span END"
+    return f"""{variant}1 AS (SELECT market, t, id, {mid.format("mid")} AS mid, {mid.format("spread")} AS spread, sell_price, imbalance, depth FROM changed),
+    {variant}2 AS (SELECT *, mid - last_value(mid IGNORE NULLS) OVER w AS dm, sell_price - last_value(sell_price IGNORE NULLS) OVER w AS da FROM {variant}1 WINDOW w AS (PARTITION BY market ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    {variant}3 AS (SELECT market, count(*) AS n, count(mid) AS n_mids, count(*) FILTER (imbalance IS NULL) AS n_changes, max(t) FILTER (mid IS NOT NULL) - min(t) FILTER (mid IS NOT NULL) AS book_span, max(t) FILTER (imbalance IS NULL) - min(t) FILTER (imbalance IS NULL) AS change_span,
+        avg(imbalance) AS imb_mean, stddev_pop(imbalance) AS imb_std, arg_max(imbalance, (t, id)) FILTER (imbalance IS NOT NULL) - arg_min(imbalance, (t, id)) FILTER (imbalance IS NOT NULL) AS imb_drift, avg(spread) AS spread_mean,
+        CASE WHEN var_pop(t) FILTER (spread IS NOT NULL) > 0 THEN regr_slope(spread, t) END AS spread_trend, CASE WHEN var_pop(t) FILTER (mid IS NOT NULL) > 0 THEN regr_slope(mid, t) END AS mid_velocity, stddev_pop(dm) AS mid_volatility,
+        CASE WHEN var_pop(t) FILTER (depth IS NOT NULL) > 0 THEN regr_slope(depth, t) END AS depth_trend, count(*) FILTER (da < 0) / nullif(count(*) FILTER (da <> 0), 0) AS ask_pressure FROM {variant}2 GROUP BY 1),
+    {variant}4 AS (SELECT *, {length} AS length FROM {variant}3), {variant}5 AS (SELECT *, n / length AS activity_rate, length IS NOT NULL AND {"n >= 5" if variant == "live" else "true"} AS enough FROM {variant}4)"""
+
+
+_CHANGED = """changed AS (SELECT market, t, id, CASE WHEN id % 4 <> 0 THEN mid WHEN ap > bid AND bid > 0 THEN (ap + bid) / 2 END AS mid, CASE WHEN id % 4 <> 0 THEN spread WHEN ap > bid AND bid > 0 THEN ap - bid END AS spread,
+    CASE WHEN id % 8 = 0 THEN ap END AS sell_price, CASE WHEN id % 4 <> 0 THEN imbalance END AS imbalance, CASE WHEN id % 4 <> 0 THEN total_depth END AS depth
+    FROM (SELECT *, CASE WHEN id % 20 = 0 THEN ap ELSE ap - spread END AS bid FROM snaps WHERE t >= 108 AND t < 168))"""
+
+
+@query(f"""WITH {_SNAPS}, {_CHANGED}, {_variant_sql("books")}, {_variant_sql("live")}
+    {" UNION ALL ".join(f"SELECT market, '{v}' AS variant, {', '.join(f'round(CASE WHEN enough THEN coalesce({n}, 0) ELSE 0 END + 1e-9, 5) AS {n}' for n in _MS)} FROM {v}5" for v in ("books", "live"))}""")
+def b_microstructure_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form over whole books and the live form, in which price changes with a sound best bid and ask lend mid and spread."""
+    s = snapshots(spark, sf_dir).where((F.col("t") >= 108) & (F.col("t") < 168))
+    whole = F.col("id") % 4 != 0
+    mid, spread = book.synthetic(F.when(F.col("id") % 20 == 0, F.col("ask")).otherwise(F.col("ask") - F.col("spread")), F.col("ask"))
+    e = s.select(
+        "market", "t", "id", F.when(whole, F.col("mid")).otherwise(mid).alias("mid"), F.when(whole, F.col("spread")).otherwise(spread).alias("spread"), F.when(F.col("id") % 8 == 0, F.col("ask")).alias("sell_price"),
+        F.when(whole, F.col("imbalance")).alias("imbalance"), F.when(whole, F.col("total_depth")).alias("depth"),
+    )
+    out = [book.microstructure(e, "market", 60.0, variant=v).select("market", F.lit(v).alias("variant"), *(F.round(F.col(n) + 1e-9, 5).alias(n) for n in _MS)) for v in ("books", "live")]
+    return out[0].unionByName(out[1])
+
+
 def slot_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All book features of a market: ob_ (open, close and price changes) and clob_ (last minute)."""
-    oc = features.prefixed(book.open_close(snapshots(spark, sf_dir), "market").drop("n_snapshots"), _OC)
+    """All book features of a market: ob_ (open, close and price changes) and clob_ (last minute). Ladders are built once."""
+    taken = pin(snapshots(spark, sf_dir), "snapshots")
+    oc = features.prefixed(book.open_close(taken, "market").drop("n_snapshots"), _OC)
     pc = features.prefixed(book.price_changes(moves(spark, sf_dir), "market"), _PC)
-    micro = features.prefixed(book.microstructure(book_events(spark, sf_dir), "market", 60.0), _MS, "clob_")
+    micro = features.prefixed(book.microstructure(book_events(taken), "market", 60.0), _MS, "clob_")
     joined = oc.join(pc, "market", "left").join(micro, "market", "left")
     return joined.fillna({"ob_pc_up_ratio": 0.5, "ob_pc_volatility": 0.0, "ob_pc_count": 0.0, "ob_fill_imbalance": 0.0}).fillna(0.0, subset=["clob_" + n for n in _MS])
 

@@ -256,3 +256,33 @@ plugins.register(plugins.Plugin("six_hour_updown", "market_id", _plugin_markets,
 def x_plugin_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled rows of a registered plugin, from landed ticks; a feature it doesn't have is served at its default."""
     return rounded(plugins.training_rows("six_hour_updown", X.ticks(spark, sf_dir)))
+
+
+@query(f"""{X.ctes("ticks")}, s AS (SELECT *, CASE WHEN event_id % 4 <> 0 AND slot_ts // {X.SLOT} % 9 <> 0 THEN size_usdc + 1 END AS spot FROM ticks)
+    SELECT market_id, round(arg_min(spot, (t_sec, event_id)) FILTER (spot IS NOT NULL), 6) AS spot_first, round(arg_max(spot, (t_sec, event_id)) FILTER (spot IS NOT NULL), 6) AS spot_last, round(stddev_samp(spot), 6) AS spot_volatility, round(avg(spot), 6) AS spot_mean,
+    round(arg_max(spot, (t_sec, event_id)) FILTER (spot IS NOT NULL) / arg_min(spot, (t_sec, event_id)) FILTER (spot IS NOT NULL) - 1, 6) AS spot_return FROM s GROUP BY 1""")
+def a_spot_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spot prices that three of four trades carry, and those of every ninth slot don't."""
+    t = X.ticks(spark, sf_dir)
+    return rounded(flow.spot_pack(t.withColumn("spot_price_usdt", F.when((F.col("event_id") % 4 != 0) & F.expr(f"slot_ts div {X.SLOT} % 9 <> 0"), F.col("size_usdc") + 1))))
+
+
+_LIVE = {"early": f"t_sec < {_P1}", "mid": f"t_sec >= {_P1} AND t_sec < {_P2}", "late": f"t_sec >= {_P2} AND t_sec <= {X.SLOT}"}
+
+
+@query(f"""{X.ctes("ticks")} SELECT market_id, {", ".join(f"round(quantile_cont(price, {q / 100}), 6) AS price_p{q}" for q in (25, 50, 75))}, CASE WHEN {_b("NOT " + _UP)} > 0 THEN round({_b(_UP)} / ({_b("NOT " + _UP)} + 1e-8), 4) ELSE -1 END AS up_down_ratio, count(*) FILTER (side <> 'BUY') AS n_sells,
+    {", ".join(f"round({_b(c)}, 4) AS {p}_vol, count(*) FILTER ({c}) AS {p}_n_ticks, round(CASE WHEN {_b(f'{c} AND NOT {_UP}')} > 0 THEN {_b(f'{c} AND {_UP}')} / ({_b(f'{c} AND NOT {_UP}')} + 1e-8) ELSE -1 END, 4) AS {p}_up_down_ratio" for p, c in _LIVE.items())} FROM ticks GROUP BY 1""")
+def a_scan_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan pack with its phases; a ratio without Down volume is shown as -1, as it has no bound."""
+    s = flow.scan_pack(X.ticks(spark, sf_dir), _P1, _P2, X.SLOT)
+    r = lambda n: F.round(F.when(F.col(n) < 1e6, F.col(n)).otherwise(-1.0), 4) if n.endswith("up_down_ratio") else F.round(n, 4)
+    ratio = lambda p: F.when((F.col(f"{p}_vol") == 0) | (F.col(f"{p}_up_down_ratio") > 1e6), -1.0).otherwise(F.round(f"{p}_up_down_ratio", 4)).alias(f"{p}_up_down_ratio")
+    return s.select("market_id", *(F.round(f"price_p{q}", 6).alias(f"price_p{q}") for q in (25, 50, 75)), r("up_down_ratio").alias("up_down_ratio"), "n_sells", *(c for p in flow.PHASES for c in (F.round(f"{p}_vol", 4).alias(f"{p}_vol"), F.col(f"{p}_n_ticks"), ratio(p))))
+
+
+@query(f"""{X.ctes("ticks", "slots")}, p AS (SELECT market_id, count(*) AS n, {_b(f"{_BINS['late']} AND {_UP}")} AS lu FROM ticks WHERE slot_ts // {X.SLOT} % 5 <> 0 GROUP BY 1)
+    SELECT market_id, target, coalesce(n, 0) AS total_temporal_n_ticks, round(coalesce(lu, 0), 6) AS late_vol_up FROM slots LEFT JOIN p USING (market_id)""")
+def j_phase_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phase features joined onto all slots; every fifth slot has none and gets zeros."""
+    phases = flow.phase_pack(X.ticks(spark, sf_dir).where(F.expr(f"slot_ts div {X.SLOT} % 5 <> 0")), _P1, _P2)
+    return rounded(flow.with_phases(X.slots(spark, sf_dir).select("market_id", "target"), phases).select("market_id", "target", "total_temporal_n_ticks", "late_vol_up"))

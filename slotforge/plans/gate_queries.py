@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from slotforge import fixtures as X
 from slotforge.operators import gates, ordering
 from slotforge.plans.flow_queries import FLOW, slot_flow
-from slotforge.plans.registry import query
+from slotforge.plans.registry import query, rounded
 
 PREDICTION = "1 / (1 + exp(-(4 * (up_ratio - 0.5) + 2 * momentum)))"
 
@@ -96,17 +95,12 @@ def g_composites(spark: SparkSession, sf_dir: str) -> DataFrame:
     (timestamp_ms - lag(timestamp_ms) OVER (PARTITION BY market_id ORDER BY timestamp_ms, event_id)) / 1000.0 AS gap FROM ticks) GROUP BY 1""")
 def w_event_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trailing event rate and silences of each market."""
-    t = X.ticks(spark, sf_dir)
-    rate = Window.partitionBy("market_id").orderBy("timestamp_ms").rangeBetween(-3_600_000, 0)
-    order = Window.partitionBy("market_id").orderBy("timestamp_ms", "event_id")
-    d = t.select("market_id", F.count("*").over(rate).alias("c"), ((F.col("timestamp_ms") - F.lag("timestamp_ms").over(order)) / 1000.0).alias("gap"))
-    return d.groupBy("market_id").agg(F.max("c").alias("peak_rate"), F.round(F.max("gap"), 6).alias("longest_gap"), F.count_if(F.col("gap") > 900).alias("silences"))
+    return rounded(ordering.event_rate(X.ticks(spark, sf_dir), "market_id", "timestamp_ms", 3_600_000, 900, "event_id"))
 
 
 @query(f"""{X.ctes("ticks")} SELECT market_id, timestamp_ms, event_id, price FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY timestamp_ms DESC, event_id DESC) AS k FROM ticks) WHERE k <= 25""")
 def w_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("market_id").orderBy(F.desc("timestamp_ms"), F.desc("event_id"))
-    return X.ticks(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k <= 25").select("market_id", "timestamp_ms", "event_id", "price")
+    return ordering.keep_last(X.ticks(spark, sf_dir).select("market_id", "timestamp_ms", "event_id", "price"), "market_id", 25, "timestamp_ms", "event_id")
 
 
 _PATTERNS = {"license": "[Ll]icen[sc]e", "secret": "token *=", "address": "@[a-z]+", "digits": "[0-9]{4,}"}

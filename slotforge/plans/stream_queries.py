@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from slotforge import fixtures as X
-from slotforge.operators import ledger, ordering
-from slotforge.plans.book_queries import _MICRO, _MS, _SNAPS, snapshots
+from slotforge.operators import book, ledger, ordering
+from slotforge.plans.book_queries import _MICRO, _MS, _OC, _OPEN_CLOSE, _SNAPS, snapshots
 from slotforge.plans.flow_queries import FLOW, FLOW_DOUBLES, r6, slot_flow
 from slotforge.plans.registry import query, rounded
 from slotforge.sources import versioned
@@ -220,3 +220,11 @@ def t_settled_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = X.table(spark, sf_dir, "events").withColumn("us", F.expr(X.EPOCH_US)).withColumn("at", F.timestamp_micros("us"))
     T.settle_stream(T.slot_targets(L.replay(e, "us")), root, X.SLOT, 60)
     return rounded(versioned.read(spark, root).select("slot_ts", "status", "result", "pnl_usdc"))
+
+
+@query(f"WITH {_SNAPS}, {_OPEN_CLOSE} SELECT market, n_snapshots, {r6(*_OC)} FROM oc")
+def t_opening_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opening and decision books of each market's slot as they stand, in four micro-batches, by the batch form's aggregates."""
+    s = pin(snapshots(spark, sf_dir).withColumn("at", F.timestamp_seconds(F.col("t") + _BASE)), "snapshots")
+    live = L.replay(s, "t").withWatermark("at", "30 seconds").withColumn("slot", F.window("at", "180 seconds", startTime=f"{_BASE % 180} seconds"))
+    return rounded(T.run_to_table(book.open_close(live, ["slot", "market"]), ["slot", "market"]).drop("slot"))

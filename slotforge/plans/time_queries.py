@@ -231,7 +231,12 @@ def w_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_table(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
-    """One wide row a slot: flow, z-scores, spot, lags, calendar, books and cross features of a named set.
+    """One wide row a slot with the columns and cross features of a named set."""
+    return features.select_set(wide_table(spark, sf_dir)[0], version)
+
+
+def wide_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One wide row a slot: flow, z-scores, spot, lags, calendar and books; and the slots and candles that it is made from.
 
     Events are aggregated to flow rows and to candles once each; both tables are written, all else starts from them.
     """
@@ -240,7 +245,7 @@ def feature_table(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
     lags = ordering.lag_features(ranked.select("slot_ts", "rank", "target", "up_ratio", "n_ticks", "vol_tot"), X.SLOT).drop("target", "rank", "up_ratio", "n_ticks", "vol_tot")
     wide = ranked.join(scored(ranked).drop("up_ratio"), "slot_ts").join(lags, "slot_ts").join(spot(slots, candles), "slot_ts").join(inslot_features(slots, candles), "slot_ts")
     wide = features.with_books(wide.withColumn("market", F.expr(MARKET_OF_SLOT)), slot_books(spark, sf_dir), "market")
-    return features.select_set(features.calendar(wide, "slot_ts"), version)
+    return features.calendar(wide, "slot_ts"), slots, candles
 
 
 _CAL = f"""cal AS (SELECT *, sin(2 * pi() / 24 * (slot_ts % 86400 / 3600.0)) AS hour_sin, cos(2 * pi() / 24 * (slot_ts % 86400 / 3600.0)) AS hour_cos, slot_ts % 86400 / 86400.0 AS hour_share, b.m IS NOT NULL AS has_book,
@@ -249,13 +254,20 @@ _CAL = f"""cal AS (SELECT *, sin(2 * pi() / 24 * (slot_ts % 86400 / 3600.0)) AS
     JOIN spot USING (slot_ts) JOIN inslot USING (slot_ts) LEFT JOIN books b ON b.m = slot_ts // 21600 % 211)"""
 
 
-def _set_sql(version: str) -> str:
+def _neutral(n: str) -> str:
     """Neutral values are written out by hand here: ratios and imbalances 0, spreads 0.02, near depths and mids one half."""
     half, spread = ("ob_mid", "ob_bid_depth_5c", "ob_ask_depth_5c"), ("ob_spread", "ob_spread_end")
-    plain = {n: f"coalesce({n}, {0.5 if n in half else 0.02 if n in spread else 0})" if n.startswith(("ob_", "clob_")) else n for n in features.SETS[version]}
+    return f"coalesce({n}, {0.5 if n in half else 0.02 if n in spread else 0})" if n.startswith(("ob_", "clob_")) else n
+
+
+def _set_sql(version: str) -> str:
+    plain = {n: _neutral(n) for n in features.SETS[version]}
     crosses = {n: f"CASE WHEN has_book THEN {a} * {b} ELSE 0 END" if a.startswith("ob_") else f"{a} * {b}" for n, (a, b) in features.CROSS[version].items()}
     cols = ", ".join(f"round(CAST({e} AS DOUBLE), 4) AS {n}" for n, e in (plain | crosses).items())
-    return f"{X.ctes('ticks', 'slots', 'candles')}, {BOOK_SET}, {flow_cte()}, {_Z}, {_lag_sql()}, {SPOT}, {_INSLOT}, {_CAL} SELECT slot_ts, target, {cols} FROM cal"
+    return f"{_WIDE} SELECT slot_ts, target, {cols} FROM cal"
+
+
+_WIDE = f"{X.ctes('ticks', 'slots', 'candles')}, {BOOK_SET}, {flow_cte()}, {_Z}, {_lag_sql()}, {SPOT}, {_INSLOT}, {_CAL}"
 
 
 @query(_set_sql("v25"))
@@ -294,6 +306,23 @@ def x_registry_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.join(F.broadcast(reg), "feature").groupBy("feature", "category").agg(F.count("v").alias("n_known"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("std"))
 
 
+_ALL = ", ".join(features.REGISTRY)
+
+
+@query(f"""{_WIDE}, {_INTERVAL}, w AS (SELECT {", ".join(f"round(CAST({_neutral(n)} AS DOUBLE), 4) AS {n}" for n in features.REGISTRY)} FROM cal JOIN intervals USING (slot_ts)), long AS (UNPIVOT w ON {_ALL} INTO NAME feature VALUE v),
+    listed(feature, category) AS (VALUES {", ".join(f"('{n}', '{c}')" for n, (c, _) in features.REGISTRY.items())})
+    SELECT feature, category, count(v) AS n_known, round(avg(v) + 1e-7, 2) AS mean, round(min(v), 3) AS low, round(max(v), 3) AS high FROM listed LEFT JOIN long USING (feature) GROUP BY 1, 2""")
+def x_registry_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry of the registry with what the data says about it."""
+    wide, slots, candles = wide_table(spark, sf_dir)
+    names = list(features.REGISTRY)
+    w = wide.join(interval_features(slots, candles), "slot_ts").select(*(F.round(F.col(n).cast("double"), 4).alias(n) for n in names))
+    one = w.agg(*(f(n).alias(f"{n}_{k}") for n in names for k, f in (("n", F.count), ("mean", F.avg), ("low", F.min), ("high", F.max))))
+    long = one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), *(F.col(f"{n}_{k}").alias(k) for k in ("n", "mean", "low", "high"))) for n in names))).alias("x")).select("x.*")
+    reg = features.registry(spark).select(F.col("name").alias("feature"), "category")
+    return reg.join(long, "feature", "left").select("feature", "category", F.col("n").alias("n_known"), F.round(F.col("mean") + 1e-7, 2).alias("mean"), F.round("low", 3).alias("low"), F.round("high", 3).alias("high"))
+
+
 _LISTED = [(k + 1, n) for k, (n, _) in enumerate(features.RANKED)] + [(None, n) for n in features.PRUNED]
 _HELD = sorted({c for _, n in _LISTED if (c := features.column_of(n))})
 
