@@ -1,8 +1,19 @@
 """The pipeline's stages keep what they must and drop what they decide on."""
 
+import hashlib
+import os
+import random
+import re
+
+import public_tokenizers as P
+from pyspark.sql import functions as F
+from test_operators import brute_fingerprint
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from slotforge.llm import mixing, simhash
 from slotforge.llm.common import materialize
+from slotforge.storage import new_path
 
 
 def test_near_copies_drop_rows_not_ids(spark):
@@ -42,3 +53,96 @@ def test_stages(spark):
             assert after.count() == before.count()
         assert stage(spark, empty, "").count() == 0
         before = after
+
+
+def brute_topic(t):
+    low = t.lower()
+    if re.search(r"licen[sc]e|copyright", low):
+        return "legal"
+    if re.search(r"https?://|www\.|[a-z0-9._]+@[a-z0-9.]+|token\s*=|api[_-]?key", low):
+        return "web"
+    if re.search(r"\d{4,}", low):
+        return "figures"
+    return "lists" if " | " in low else "prose"
+
+
+def brute_mixture(docs, draws):
+    """docs: (id, text, lang, source) to the ids that are drawn; plain raking to flattened shares, then the scale by halving."""
+    cells = {}
+    for _, text, lang, source in docs:
+        key = (source or "(none)", lang, brute_topic(text))
+        cells[key] = cells.get(key, 0) + len(text.split())
+    total = sum(cells.values())
+    goals = []
+    for at in range(3):
+        seen = {}
+        for key, n in cells.items():
+            seen[key[at]] = seen.get(key[at], 0) + n
+        flat = {v: n**0.7 for v, n in seen.items() if n}
+        goals.append({v: x * total / sum(flat.values()) for v, x in flat.items()})
+    raked = dict(cells)
+    for _ in range(400):
+        for at in range(3):
+            sums = {}
+            for key, n in raked.items():
+                sums[key[at]] = sums.get(key[at], 0) + n
+            raked = {key: n * goals[at][key[at]] / sums[key[at]] if n else 0.0 for key, n in raked.items()}
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        k = (low + high) / 2
+        if sum(min(cells[c], k * raked[c]) for c in cells) < total / 2:
+            low = k
+        else:
+            high = k
+    chance = {c: min(1.0, high * raked[c] / max(1, cells[c])) for c in cells}
+    return {i for i, text, lang, source in docs if draws[i] < chance[source or "(none)", lang, brute_topic(text)]}
+
+
+def test_run_against_plain_code(spark):
+    """Whole runs: the rows that plain code keeps at every stage, and the library's tokens for them."""
+    rng = random.Random(21)
+    words = {"en": "the house and river walk under green light with people who talk about weather".split(), "de": "das haus und der fluss unter grünem licht mit leuten die über das wetter reden".split()}
+    rows = []
+    for k in range(160):
+        lang = rng.choice(["en", "en", "de"])
+        text = " ".join(rng.choice(words[lang]) for _ in range(rng.randint(8, 40)))
+        text += rng.choice(["", "", " 12345", " www.example.org", " a | b", " copyright"])
+        rows.append((k, text, lang if k % 10 else None, rng.choice(["s0", "s0", "s1", None]), len(text)))
+    rows += [(200 + k, rows[k][1], rows[k][2], "s2", 1) for k in range(0, 40, 3)]  # exact copies
+    rows += [(300 + k, rows[k][1].replace(" ", "  "), rows[k][2], "s1", 1) for k in range(0, 60, 7)]  # near ones
+    rows += [(400, "", "en", "s0", 0), (401, None, "en", "s0", 0), (402, "12 34 !", "de", "s0", 7), (403, "das haus und der fluss " * 4_000, "de", "s1", 1)]
+    folder = new_path(spark, "pipeline-tables")
+    os.makedirs(folder)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"row": F.lit("clash"), "weight": F.lit(1.5), "tokens": F.lit(2), "fp": F.lit(0)}).write.parquet(f"{folder}/documents.parquet")
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, folder).collect()}
+
+    spoken = [(i, t, "de" if re.search(r"\b(das|haus|und|der|fluss|unter|grünem|licht|mit|leuten|die|über|wetter|reden)\b", t) else "en", s) for i, t, _, s, _ in rows if t and re.search(r"[^\W\d_]", t)]
+    first = {}
+    for r in sorted(spoken):
+        first.setdefault(r[1], r)
+    kept = sorted(first.values())
+    prints = {r[0]: brute_fingerprint(r[1]) for r in kept}
+    root = {r[0]: r[0] for r in kept}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(prints)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    kept = [r for r in kept if find(r[0]) == r[0]]
+    draws = {r.id: r.u for r in spark.createDataFrame([(r[0],) for r in kept], "id long").select("id", F.expr(f"pmod(xxhash64(id, {mixing.SEED}), 9007199254740992) / 9007199254740992D").alias("u")).collect()}
+    chosen = brute_mixture(kept, draws)
+    assert len(rows) > len(kept) > len(chosen) > 20
+    tk, sha = Tokenizer.from_file(P.path("word_bpe_49k.json")), lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {}
+    for i, text, _, _ in kept:
+        if i in chosen:
+            e = tk.encode(text, add_special_tokens=False).ids
+            want[i] = (len(e), sha(" ".join(map(str, e))), sha(tk.decode(e, skip_special_tokens=False)))
+    assert got == want
