@@ -27,6 +27,8 @@ from slotforge.llm.common import Memo, parts, shuffle_parts, texts_of
 #: A block is closed when it has so many ids; a longer document has a block of its own.
 BLOCK_IDS = 1 << 16
 END_ID = 0
+#: Stands for a null id in the order.
+NO_ID = -(2**63)
 #: Unknown chunks that the library encodes in one text.
 TOGETHER = 128
 
@@ -165,14 +167,16 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
     """Encode every text, end each document with ``end_id``, and write blocks to ``path`` in ascending order of id.
 
     Texts are encoded where they are read and only packed ids are shuffled, once. Shards are ranges of ids between
-    splitters from the id column alone. Null text counts as empty; null ids come first; rows tied on the id are ordered
-    by their ids' bytes; an empty table writes no block; other columns are ignored.
+    splitters from the id column alone; an id, or null, that fills several shards is dealt to them by a checksum. Null text
+    counts as empty; null ids come first; rows tied on the id are ordered by their ids' bytes inside a shard; an empty table
+    writes no block; other columns are ignored.
     """
     spark = docs.sparkSession
     n, bits = shards or shuffle_parts(spark), chunk_encoder(vocabulary).bits
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    cuts = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    splitters = sorted(set(cuts)) if n > 1 else []
+    keyed = F.coalesce("id", F.lit(NO_ID))
+    cuts = rows.agg(F.percentile_approx(keyed, [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    splitters = sorted(cuts) if n > 1 else []
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunk_encoder(vocabulary)
@@ -180,8 +184,12 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
         end = b"" if end_id is None else np.array([end_id], dtype=encoder.kind).tobytes()
         for part in parts(batches, "text"):
             ids = [x + end for x in encoder.encode(texts_of(part, "text"))]
-            keys = np.array([-(2**63) if i is None else i for i in part.column("id").to_pylist()], dtype=np.int64)
-            shard = np.searchsorted(np.array(splitters, dtype=np.int64), keys, "left").astype(np.int32)
+            keys = np.array([NO_ID if i is None else i for i in part.column("id").to_pylist()], dtype=np.int64)
+            bounds = np.array(splitters, dtype=np.int64)
+            shard = np.searchsorted(bounds, keys, "left").astype(np.int32)
+            wide = np.searchsorted(bounds, keys, "right") - shard
+            for k in np.flatnonzero(wide > 1).tolist():  # an id that fills several shards is dealt to them by checksum
+                shard[k] += zlib.crc32(ids[k]) * int(wide[k]) >> 32
             packed = ids if exact else [pack(np.frombuffer(x, dtype=encoder.kind), encoder.bits) for x in ids]
             yield pa.RecordBatch.from_arrays([pa.array(shard), part.column("id"), pa.array([len(x) // unit for x in ids], pa.int32()), pa.array(packed, pa.binary())], names=["shard", "id", "n", "payload"])
 

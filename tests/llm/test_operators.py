@@ -459,3 +459,20 @@ def test_exact_order_is_of_content(spark, keep):
     best = {t: (min if keep == "smallest" else max)(i for i in ids if i is not None) for t, ids in groups.items()}
     assert len(got) == len(rows) and {(r.keep_id, r.group_size, r.text_sha256) for r in got} == {(best[t], len(ids), hashlib.sha256(t.encode()).hexdigest()) for t, ids in groups.items()}
     assert sum(r.kept for r in got) == len(groups) and all(r.kept == (r.doc_id == r.keep_id) for r in got)
+
+
+def test_tokens_of_one_id_spread_over_shards(spark):
+    rng = random.Random(14)
+    for ids in ([7] * 300, [None] * 300, [*range(100), *[50] * 200, *[None] * 100]):
+        rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 9)))) for i in ids]
+        path = new_path(spark, "test-tokens")
+        packing.write_tokens(frame(spark, rows), path, P.path("byte_bpe_50k.json"), shards=8)
+        index = packing.token_index(spark, path).collect()
+        assert len(packing.read_blocks(spark, path).select("shard").distinct().collect()) >= 5
+        order = sorted(index, key=lambda r: r.start)
+        assert [(-1 if r.doc_id is None else r.doc_id) for r in order] == sorted(-1 if i is None else i for i in ids)
+        ends = [0, *np.cumsum([r.n_tokens for r in order]).tolist()]
+        assert [r.start for r in order] == ends[:-1]
+        byte = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+        want = sorted((str(i), zlib.crc32(np.array([*byte.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, t in rows)
+        assert sorted((str(r.doc_id), r.ids_crc32) for r in index) == want
