@@ -29,8 +29,9 @@ BLOCK_IDS = 1 << 16
 END_ID = 0
 #: Stands for a null id in the order.
 NO_ID = -(2**63)
-#: Unknown chunks that the library encodes in one text.
-TOGETHER = 128
+#: Unknown chunks that the library encodes in one text, and bytes of texts encoded at once: few enough that what is
+#: looked up for them stays in the processor's caches.
+TOGETHER, PART = 128, 1 << 20
 
 #: Marks that make a pre-token of their own at the end of a word.
 MARKS = ".,;:!?*%$&#()\"-"
@@ -182,7 +183,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
         encoder = chunk_encoder(vocabulary)
         unit, exact = encoder.unit, encoder.unit * 8 == encoder.bits
         end = b"" if end_id is None else np.array([end_id], dtype=encoder.kind).tobytes()
-        for part in parts(batches, "text"):
+        for part in parts(batches, "text", PART):
             ids = [x + end for x in encoder.encode(texts_of(part, "text"))]
             keys = np.array([NO_ID if i is None else i for i in part.column("id").to_pylist()], dtype=np.int64)
             bounds = np.array(splitters, dtype=np.int64)
