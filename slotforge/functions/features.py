@@ -177,3 +177,23 @@ def epoch_seconds(col: Column) -> Column:
     """Seconds from an epoch that may be in seconds, milliseconds or microseconds; what isn't a number is 0."""
     x = col.try_cast("double")
     return F.when(x.isNull(), 0.0).when(x > 1e14, x / 1e6).when(x > 1e10, x / 1e3).otherwise(x)
+
+
+def epoch_near(col: Column, now: Column) -> Column:
+    """Seconds from an epoch in seconds or milliseconds: seconds if it lies within a billion of ``now``."""
+    x = col.try_cast("double")
+    return F.when(F.abs(x - now) < 1e9, x).otherwise(x / 1e3)
+
+
+def time_parts(ts: Column) -> list[Column]:
+    """label (minutes, UTC), hour, minute and weekday (Monday 0) of an epoch second, whatever the session's zone."""
+    day = F.floor(ts / 86_400)
+    second = F.pmod(ts, F.lit(86_400))
+    hour, minute = F.floor(second / 3_600), F.floor(second % 3_600 / 60)
+    label = F.concat_ws(" ", F.date_from_unix_date(day.cast("int")).cast("string"), F.concat_ws(":", F.lpad(hour.cast("string"), 2, "0"), F.lpad(minute.cast("string"), 2, "0")))
+    return [label.alias("label"), hour.alias("hour"), minute.alias("minute"), F.pmod(day + 3, F.lit(7)).alias("weekday")]
+
+
+def iso_seconds(text: Column) -> Column:
+    """Epoch seconds of an ISO time, ``Z`` or an offset included; null where it isn't one."""
+    return F.unix_micros(F.try_to_timestamp(text)) / 1e6

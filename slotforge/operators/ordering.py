@@ -165,3 +165,13 @@ def event_rate(df: DataFrame, key: str, time_ms: str, width_ms: int, quiet_s: fl
     step = Window.partitionBy(key).orderBy(time_ms, *order)
     d = df.select(key, F.count("*").over(rate).alias("_c"), ((F.col(time_ms) - F.lag(time_ms).over(step)) / 1000.0).alias("_gap"))
     return d.groupBy(key).agg(F.max("_c").alias("peak_rate"), F.max("_gap").alias("longest_gap"), F.count_if(F.col("_gap") > quiet_s).alias("silences"))
+
+
+def window_scores(ranked: DataFrame, values: list[str], live: Column, long: int, suffix: str, least: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """(x - mean) / (std_pop + 1e-6) of each value against its own last ``long`` slots, the current one excluded and those
+    that aren't ``live`` skipped; 0 with fewer than ``least`` of them. All values in one pass over the blocks."""
+    back = in_blocks(by=by).rowsBetween(-long, -1)
+    b = blocks(ranked, long)
+    past = lambda f, v: f(F.when(live, F.col(v))).over(back)
+    z = [F.when(past(F.count, v) >= least, (F.col(v) - past(F.avg, v)) / (past(F.stddev_pop, v) + 1e-6)).otherwise(0.0).alias(f"{v}{suffix}") for v in values]
+    return b.select(*ranked.columns, "_halo", *z).where("NOT _halo").drop("_halo")

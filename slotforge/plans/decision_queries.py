@@ -37,10 +37,10 @@ def d_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH b AS (SELECT c_custkey, c_acctbal / 10 AS balance, (c_custkey % 101) / 100.0 AS ask FROM customer), l AS (SELECT *, least(greatest(5 + (balance - 20) * (35.0 / 680), 5), 40) AS x FROM b)
-    SELECT c_custkey, CAST(greatest(floor(CASE WHEN ask > 0 THEN least(x, balance * 0.10 / ask) ELSE x END), 5) AS BIGINT) AS shares FROM l""")
+    SELECT c_custkey, CAST(greatest(floor(CASE WHEN ask > 0 THEN least(x, balance * 0.10 / ask) ELSE x END), 5) AS BIGINT) AS shares, 5::BIGINT AS fixed_low, 12::BIGINT AS fixed FROM l""")
 def d_position_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = X.table(spark, sf_dir, "customer")
-    return c.select("c_custkey", decisions.position_size(F.col("c_acctbal") / 10, (F.col("c_custkey") % 101) / 100.0).alias("shares"))
+    return c.select("c_custkey", decisions.position_size(F.col("c_acctbal") / 10, (F.col("c_custkey") % 101) / 100.0).alias("shares"), *(decisions.position_size(F.col("c_acctbal"), F.lit(0.5), fixed=n).alias(name) for name, n in (("fixed_low", 3), ("fixed", 12))))
 
 
 _TRADED = f"{DECIDED}, traded AS (SELECT * FROM decided WHERE skip_reason IS NULL)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from slotforge import fixtures as X
-from slotforge.functions.features import epoch_seconds
+from slotforge.functions.features import epoch_near, epoch_seconds, iso_seconds, time_parts
 from slotforge.operators import book
 from slotforge.plans.registry import query, rounded
 from slotforge.sources import landed, versioned
@@ -177,10 +177,9 @@ def p_resolved_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p_synthesised_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A known row's fields, else the catalogue's, else defaults."""
     s = X.slots(spark, sf_dir).withColumn("k", F.expr("slot_ts div 21600 - 78888"))
-    known = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus", F.lit(True).alias("known"))
-    cat = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_mktsegment")
-    j = s.join(known, "k", "left").join(cat, "k", "left")
-    return j.select("market_id", F.coalesce("o_orderstatus", "c_mktsegment", F.lit("unknown")).alias("source"), (F.col("slot_ts") - 300).alias("start_ts"), (F.col("slot_ts") + 300).alias("end_ts"), (F.col("slot_ts") + F.when(F.col("known"), 300).otherwise(310)).alias("closed_ts"))
+    known = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("source"))
+    cat = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("source"))
+    return landed.synthesised(s, known, cat, "k", "source", "unknown").select("market_id", "source", "start_ts", "end_ts", "closed_ts")
 
 
 _CATALOGUE = f"""{X.ctes("slots")}, cat AS (SELECT market_id, slot_ts // 21600 AS k, target FROM slots), c AS (SELECT market_id, CASE WHEN k % 3 = 0 THEN 'ETH' ELSE 'BTC' END AS crypto,
@@ -298,3 +297,14 @@ def s_jsonl_append(spark: SparkSession, sf_dir: str) -> DataFrame:
         landed.write(e.where(F.col("event_id") % n == 0), path, "json")
     back = landed.read_jsonl(spark, path, e.schema)
     return back.groupBy((F.col("event_id") % 10).alias("digit")).agg(F.count("*").alias("n"), F.max("us").alias("newest_us"))
+
+
+@query("""SELECT event_id, round(epoch_us(ts) / 1e6, 3) AS seconds, strftime(ts, '%Y-%m-%d %H:%M') AS label, CAST(hour(ts) AS BIGINT) AS hour, CAST(minute(ts) AS BIGINT) AS minute, CAST(isodow(ts) - 1 AS BIGINT) AS weekday,
+    CASE WHEN event_id % 5 <> 0 THEN round(epoch_us(date_trunc('second', ts)) / 1e6, 3) END AS parsed FROM events""")
+def f_time_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds of times that came as seconds or milliseconds, their label and parts, and ISO texts read back, some broken."""
+    e = X.table(spark, sf_dir, "events").withColumn("us", F.expr(X.EPOCH_US))
+    came = F.when(F.col("event_id") % 2 == 0, (F.col("us") / 1e6).cast("decimal(20,6)").cast("string")).otherwise((F.col("us") / 1e3).cast("decimal(20,3)").cast("string"))
+    iso = F.when(F.col("event_id") % 5 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    seconds = epoch_near(came, F.lit(1.72e9))
+    return e.select("event_id", F.round(seconds, 3).alias("seconds"), *time_parts(F.expr("us div 1000000")), F.round(iso_seconds(iso), 3).alias("parsed"))

@@ -295,6 +295,23 @@ def x_documented_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(flow.documented_features(X.ticks(spark, sf_dir), X.OBS, X.WINDOWS))
 
 
+def _past(f: str, c: str, n: int) -> str:
+    return f"{f}(CASE WHEN n_ticks > 0 THEN {c} END) OVER (ORDER BY slot_ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+
+
+_SCORED = {**{f"up_w{k}": 20 for k in range(5)}, "up_ratio": 10}
+
+
+@query(f"""{FLOW} SELECT slot_ts, {", ".join(f"round(CASE WHEN {_past('count', c, n)} >= 3 THEN ({c} - {_past('avg', c, n)}) / ({_past('stddev_pop', c, n)} + 1e-6) ELSE 0 END, 3) AS {c}_z{n}" for c, n in _SCORED.items())} FROM flow""")
+def x_documented_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores that only the documents of the domain describe: each sub-window against its own 20 slots, the ratio against 10."""
+    f = slot_flow(spark, sf_dir).select("slot_ts", "n_ticks", *_SCORED)
+    ranked = ordering.global_rank(f, "slot_ts")
+    windows = ordering.window_scores(ranked, [c for c, n in _SCORED.items() if n == 20], F.col("n_ticks") > 0, 20, "_z20")
+    ten = ordering.window_scores(ranked, ["up_ratio"], F.col("n_ticks") > 0, 10, "_z10").select("slot_ts", "up_ratio_z10")
+    return rounded(windows.join(ten, "slot_ts").select("slot_ts", *(f"{c}_z{n}" for c, n in _SCORED.items())), 3)
+
+
 @query(f"""{FLOW}, l AS (SELECT *, count(*) OVER () AS c FROM (SELECT 'up_ratio' AS feature, up_ratio AS v FROM flow UNION ALL SELECT 'momentum', momentum FROM flow UNION ALL SELECT 'stability', stability FROM flow))
     SELECT feature, 'flow' AS category, count(v) AS n_known, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM l GROUP BY 1""")
 def x_registry_profile(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,6 +171,15 @@ def next_pending(wanted: DataFrame, progress: DataFrame, key: str, most: int) ->
     return pending(wanted, progress, key).orderBy(key).limit(most)
 
 
+def synthesised(slots: DataFrame, known: DataFrame, catalogue: DataFrame, key: str, field: str, default: str, before: int = 300, after: int = 300, unknown: int = 310) -> DataFrame:
+    """Slots with a row's ``field`` from the known rows, else from the catalogue, else a default, and made-up bounds: start
+    and end around the slot, closed ``after`` it for known rows and ``unknown`` for others. Both sides have a row a key."""
+    k = known.select(key, F.col(field).alias("_known"), F.lit(True).alias("_is"))
+    j = slots.join(k, key, "left").join(catalogue.select(key, F.col(field).alias("_listed")), key, "left")
+    at = F.col("slot_ts")
+    return j.select(*slots.columns, F.coalesce("_known", "_listed", F.lit(default)).alias(field), (at - before).alias("start_ts"), (at + after).alias("end_ts"), (at + F.when(F.col("_is"), after).otherwise(unknown)).alias("closed_ts"))
+
+
 def slot_calendar(spark: SparkSession, start: int, end: int, step: int) -> DataFrame:
     return spark.range(start, end, step).withColumnRenamed("id", "slot_ts")
 

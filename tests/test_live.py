@@ -22,6 +22,15 @@ from slotforge.streaming import tables as T
 BASE = 1_704_067_200  # a day's start
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """A small state store for each micro-batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def events(rows):
     """(seconds after BASE, event_id, type, user, value)."""
     return [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), u, kind, float(v), '{"k": %d}' % (i % 100)) for s, i, kind, u, v in rows]
@@ -68,8 +77,8 @@ BATCH = {
 @pytest.fixture(scope="module")
 def one_and_many(spark, tmp_path_factory):
     """The same events as one file, as four files in order, and as four that overlap by less than the watermark's delay."""
-    rows = drawn(500, 1)
-    cut = [rows[k * 125 : (k + 1) * 125] for k in range(4)]
+    rows = drawn(320, 1)
+    cut = [rows[k * 80 : (k + 1) * 80] for k in range(4)]
     near = [list(c) for c in cut]
     for k in range(3):  # the last rows of a file and the first of the next one trade places where they lie close together
         if near[k + 1][0][0] - near[k][-1][0] < 100:
@@ -466,3 +475,25 @@ def test_reconcile_raises(spark):
     assert ledger.reconcile(df, "derived", "target", 0.995).first().agreement == pytest.approx(0.995)
     with pytest.raises(Exception, match="labels agree"):
         ledger.reconcile(df.union(spark.createDataFrame([(0, 1)], "derived int, target int")), "derived", "target", 0.995).collect()
+
+
+def test_microstructure_variants(spark):
+    """Hand-made windows: too few books, too short a span, price changes that lend mid and spread."""
+    col = "m string, t double, id long, mid double, spread double, imbalance double, depth double, sell_price double"
+    book_ = lambda m, t, k, mid, imb: (m, float(t), k, mid, 0.02, imb, 10.0 + t, None)
+    change = lambda m, t, k, mid, sell: (m, float(t), k, mid, None if mid is None else 0.04, None, None, sell)
+    rows = [book_("two", 0, 1, 0.5, 0.2), change("two", 3, 2, 0.6, 0.7), change("two", 4, 3, None, 0.6), change("two", 5, 4, 0.4, None), book_("two", 10, 5, 0.7, 0.4)]
+    rows += [book_("one", 0, 10, 0.5, 0.2)] + [change("one", 2 * k, 11 + k, None, 0.5 - k / 100) for k in range(1, 6)]
+    rows += [book_("short", k, 30 + k, 0.5, 0.1) for k in range(4)] + [change("short", 0, 36, None, 0.4), change("short", 8, 37, None, 0.5)]
+    rows += [book_("few", 0, 40, 0.5, 0.2), book_("few", 30, 41, 0.5, 0.2)]
+    df = spark.createDataFrame(rows, col)
+    got = {v: {r.m: r for r in book.microstructure(df, "m", 60.0, variant=v).collect()} for v in ("books", "live", "window")}
+    books, live_ = got["books"], got["live"]
+    assert books["two"].spread_mean == pytest.approx(0.02) and books["two"].mid_velocity == pytest.approx(0.02) and books["two"].activity_rate == pytest.approx(0.5) and books["two"].ask_pressure == 1.0
+    assert live_["two"].spread_mean == pytest.approx(0.03) and live_["two"].mid_volatility == pytest.approx(np.std([0.1, -0.2, 0.3])) and live_["two"].activity_rate == pytest.approx(0.5) and live_["two"].imb_drift == pytest.approx(0.2)
+    assert tuple(books["one"])[1:] == (0.0,) * 10 and live_["one"].activity_rate == pytest.approx(6 / 8) and live_["one"].ask_pressure == 1.0 and live_["one"].imb_std == 0.0
+    assert tuple(books["short"])[1:] == (0.0,) * 10 and live_["short"].activity_rate == pytest.approx(6 / 8)  # the price changes' span
+    assert books["few"].activity_rate == pytest.approx(2 / 30) and tuple(live_["few"])[1:] == (0.0,) * 10
+    assert got["window"]["two"].activity_rate == pytest.approx(5 / 60) and tuple(got["window"]["few"])[1:] == (0.0,) * 10
+    sound = spark.createDataFrame([(0.4, 0.6), (0.6, 0.6), (0.0, 0.5), (0.7, 0.6), (None, 0.5)], "b double, a double").select(*book.synthetic(F.col("b"), F.col("a"))).collect()
+    assert [tuple(r) for r in sound] == [(pytest.approx(0.5), pytest.approx(0.2))] + [(None, None)] * 4
