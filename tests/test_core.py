@@ -310,4 +310,4 @@ def test_live_lags_before_the_first_slot(spark):
 
 def test_ranked_list():
     assert len(features.RANKED) == 30 and len(features.PRUNED) == 10 and not {n for n, _ in features.RANKED} & features.PRUNED.keys()
-    assert [features.column_of(n) for n in ("btc_up_w1", "prev_slot_up_ratio_2", "ob_mid", "btc_pre_30m_ret")] == ["up_w1", "lag2_up_ratio", "ob_mid", None]
+    assert [features.column_of(n) for n in ("btc_up_w1", "prev_slot_up_ratio_2", "ob_mid", "btc_pre_30m_ret")] == ["up_w1", "lag2_up_ratio", "ob_mid", "ret_3h"]
