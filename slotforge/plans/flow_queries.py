@@ -229,7 +229,7 @@ def p_entry_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy(slot.alias("slot")).agg(F.count_if(flow.entry_window(F.col("s") - slot, _LOW, _HIGH)).alias("n_open"), F.count("*").alias("n"))
 
 
-_SERVED = {"up_ratio": 0.5, "momentum": 0.0, "n_ticks": 0.0, "vwap_up": 0.5, "ob_mid": 0.5}
+_PLUGIN_DEFAULTS = {"up_ratio": 0.5, "momentum": 0.0, "n_ticks": 0.0, "vwap_up": 0.5, "ob_mid": 0.5}
 
 
 def _plugin_markets(ticks: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def _plugin_truth(ticks: DataFrame) -> DataFrame:
     return g.select("market_id", F.when(F.expr(f"s div {X.SLOT} % 7 <> 0"), F.col("up")).alias("target"))
 
 
-plugins.register(plugins.Plugin("six_hour_updown", "market_id", _plugin_markets, _plugin_features, _plugin_truth, _SERVED))
+plugins.register(plugins.Plugin("six_hour_updown", "market_id", _plugin_markets, _plugin_features, _plugin_truth, _PLUGIN_DEFAULTS))
 
 
 @query(f"""{FLOW} SELECT market_id, target, round(up_ratio, 6) AS up_ratio, round(momentum, 6) AS momentum, CAST(n_ticks AS DOUBLE) AS n_ticks, round(vwap_up, 6) AS vwap_up, 0.5::DOUBLE AS ob_mid FROM flow WHERE slot_ts // {X.SLOT} % 7 <> 0""")

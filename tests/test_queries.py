@@ -1,5 +1,6 @@
 """Every registered query against its SQL in DuckDB, on the smallest given tables."""
 
+import ast
 import glob
 import math
 import os
@@ -43,3 +44,15 @@ def test_query(spark, duck, name):
     at = {d[0]: k for k, d in enumerate(cursor.description)}
     assert sorted(at) == names
     assert ours == sorted(tuple(plain(r[at[n]]) for n in names) for r in cursor.fetchall())
+
+
+@pytest.mark.parametrize("path", sorted(glob.glob(os.path.join(os.path.dirname(__file__), "../slotforge/plans/*.py"))))
+def test_no_name_is_bound_twice(path):
+    """Queries read their module's names when they run, so a second binding changes the queries above it."""
+    names = []
+    for node in ast.parse(open(path).read()).body:
+        if isinstance(node, ast.Assign):
+            names += [t.id for t in node.targets if isinstance(t, ast.Name)]
+        elif isinstance(node, ast.FunctionDef | ast.ClassDef):
+            names.append(node.name)
+    assert sorted(names) == sorted(set(names))
