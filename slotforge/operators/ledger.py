@@ -45,7 +45,7 @@ def reconcile(derived: DataFrame, label: str, known: str, least: float | None =
     """n_match, n_mismatch, n_missing, agreement of derived labels with known ones; ``least`` makes too low an agreement an
     error when the row is made."""
     same, told = F.count_if(F.col(label) == F.col(known)), F.count_if(F.col(label).isNotNull() & F.col(known).isNotNull())
-    g = derived.agg(same.alias("n_match"), F.count_if(F.col(label) != F.col(known)).alias("n_mismatch"), F.count_if(F.col(label).isNull() & F.col(known).isNotNull()).alias("n_missing"), (same / told).alias("agreement"))
+    g = derived.agg(same.alias("n_match"), F.count_if(F.col(label) != F.col(known)).alias("n_mismatch"), F.count_if(F.col(label).isNull() & F.col(known).isNotNull()).alias("n_missing"), F.try_divide(same, told).alias("agreement"))
     if least is None:
         return g
     low = F.coalesce(F.col("agreement"), F.lit(0.0)) < least
@@ -57,9 +57,10 @@ def log_stats(log: DataFrame) -> DataFrame:
 
 
 def summary(ledger: DataFrame) -> DataFrame:
+    """Counts of a ledger; without a settled row the win rate is null."""
     won = F.count_if(F.col("result") == "WIN")
     settled = F.count_if(F.col("status") == "settled")
-    return ledger.agg(settled.alias("settled"), won.alias("wins"), F.count_if(F.col("result") == "LOSS").alias("losses"), (won / settled).alias("win_rate"), F.sum("pnl_usdc").alias("pnl"), F.count_if(F.col("status") == "open").alias("open"))
+    return ledger.agg(settled.alias("settled"), won.alias("wins"), F.count_if(F.col("result") == "LOSS").alias("losses"), F.try_divide(won, settled).alias("win_rate"), F.sum("pnl_usdc").alias("pnl"), F.count_if(F.col("status") == "open").alias("open"))
 
 
 def ask_buckets(settled: DataFrame, width: float = 0.05) -> DataFrame:

@@ -11,7 +11,7 @@ from slotforge.operators import decisions, evaluate, ledger, ordering
 from slotforge.plans.book_queries import BOOK_SET, MARKET_OF_SLOT, slot_books
 from slotforge.plans.flow_queries import FLOW, FLOW_DOUBLES, flow_cte, slot_flow
 from slotforge.plans.gate_queries import PREDICTION, predictions
-from slotforge.plans.registry import query, rounded
+from slotforge.plans.registry import query, rounded, share
 
 LIMITS = decisions.Limits(confidence=0.52, ask_low=0.3, ask_high=0.9, edge_ask=0.01, edge_mid=0.02)
 
@@ -138,7 +138,7 @@ def d_label_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d_ledger_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = decided(spark, sf_dir).where("skip_reason IS NULL")
     l = t.select(F.lit("settled").alias("status"), F.when(F.col("won"), "WIN").otherwise("LOSS").alias("result"), F.col("pnl_share").alias("pnl_usdc"))
-    return rounded(ledger.summary(l))
+    return rounded(ledger.summary(l).withColumn("win_rate", share("win_rate")))
 
 
 _RANKED = f"{FLOW}, r AS (SELECT slot_ts, target, round({PREDICTION}, 9) AS p, row_number() OVER (ORDER BY slot_ts) - 1 AS rank, (SELECT count(*) FROM flow) AS n FROM flow)"

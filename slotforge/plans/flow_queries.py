@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from slotforge import fixtures as X
 from slotforge import plugins
 from slotforge.operators import flow, ledger, timejoins
-from slotforge.plans.registry import query, rounded
+from slotforge.plans.registry import query, rounded, share
 
 _UP = "(outcome = 'Up')"
 
@@ -153,7 +153,7 @@ def a_label_from_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_LABELS} SELECT count(*) FILTER (derived = target) AS n_match, count(*) FILTER (derived <> target) AS n_mismatch, count(*) FILTER (derived IS NULL) AS n_missing,
     round(count(*) FILTER (derived = target) / count(derived), 6) AS agreement, count(*) FILTER (derived = target) / count(derived) >= 0.995 AS passed FROM r""")
 def j_label_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = ledger.reconcile(candle_labels(spark, sf_dir), "derived", "target")
+    r = ledger.reconcile(candle_labels(spark, sf_dir), "derived", "target").withColumn("agreement", share("agreement"))
     return r.select("n_match", "n_mismatch", "n_missing", F.round("agreement", 6).alias("agreement"), (F.col("agreement") >= 0.995).alias("passed"))
 
 
@@ -177,7 +177,7 @@ def a_leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     post, late = F.col("t") >= X.OBS, F.col("t") > _P2
     whole = t.agg(
         F.count_if(F.col("t") < 0).alias("n_pre"), F.count_if((F.col("t") >= 0) & ~post).alias("n_in"), F.count_if(post).alias("n_post"),
-        F.round(F.count_if(post) / F.count("*"), 6).alias("post_share"), F.round(F.count_if(post & late) / F.count_if(late), 6).alias("late_post_share"),
+        F.round(share(F.count_if(post), F.count("*")), 6).alias("post_share"), F.round(share(F.count_if(post & late), F.count_if(late)), 6).alias("late_post_share"),
     )
     each = t.groupBy("market_id").agg(F.avg(F.when(F.col("t") > X.OBS, 1.0).otherwise(0.0)).alias("leak"), (F.max("t") - F.min("t")).alias("length"))
     markets = each.agg(F.round(F.avg("leak"), 6).alias("leak_mean"), *(F.round(f("length"), 4).alias(f"length_{n}") for n, f in (("mean", F.avg), ("median", F.median), ("min", F.min), ("max", F.max))))

@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from slotforge import fixtures as X
 from slotforge.functions.features import epoch_near, epoch_seconds, iso_seconds, time_parts
 from slotforge.operators import book
-from slotforge.plans.registry import query, rounded
+from slotforge.plans.registry import query, rounded, share
 from slotforge.sources import landed, versioned
 from slotforge.storage import new_path
 
@@ -206,7 +206,7 @@ def u_id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = X.candles(spark, sf_dir).where("volume > 20").select(F.expr("ts div 21600 * 21600").alias("slot_ts")).distinct().withColumn("b", F.lit(True))
     j = a.join(b, "slot_ts", "full")
     both, alone = F.count_if(F.col("a") & F.col("b")), F.count_if(F.col("a") & F.col("b").isNull())
-    return j.agg(both.alias("n_both"), alone.alias("n_without"), F.round(both / F.count("a"), 6).alias("coverage"))
+    return j.agg(both.alias("n_both"), alone.alias("n_without"), F.round(share(both, F.count("a")), 6).alias("coverage"))
 
 
 @query("""WITH e AS (SELECT 'm' || (l_suppkey % 20) AS market_id, CAST(l_orderkey % 200 AS DOUBLE) AS t, (floor(l_extendedprice / l_quantity * 100) % 99 + 1) / 100 AS p, l_quantity AS q, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side

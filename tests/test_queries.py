@@ -56,3 +56,35 @@ def test_no_name_is_bound_twice(path):
         elif isinstance(node, ast.FunctionDef | ast.ClassDef):
             names.append(node.name)
     assert sorted(names) == sorted(set(names))
+
+
+_UNTRADED = ["d_ledger_summary", "j_label_reconciliation", "a_leakage_audit", "u_id_sets"]
+
+
+@pytest.fixture(scope="module")
+def untraded(tmp_path_factory):
+    """Events whose slots give no trade; and none at all."""
+    duckdb = pytest.importorskip("duckdb")
+    root = tmp_path_factory.mktemp("untraded")
+    row = "i AS event_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (i) SECOND AS ts, i % 7 AS user_id, CASE WHEN i // 2 % 2 = 0 THEN 'purchase' ELSE 'view' END AS event_type, 1.0::DOUBLE AS value, '{\"k\": 5}' AS props"
+    for name, n in (("even", 100), ("none", 0)):
+        (root / name).mkdir()
+        duckdb.connect().execute(f"COPY (SELECT {row} FROM range({n}) r(i)) TO '{root}/{name}/events.parquet'")
+    return root
+
+
+@pytest.mark.parametrize("table", ["even", "none"])
+@pytest.mark.parametrize("name", _UNTRADED)
+def test_shares_of_nothing(spark, untraded, name, table):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{untraded}/{table}/events.parquet'")
+    df = QUERIES[name](spark, f"{untraded}/{table}")
+    names = sorted(df.columns)
+    ours = [tuple(str(r[n]) if isinstance(r[n], float) else plain(r[n]) for n in names) for r in df.collect()]
+    cursor = con.execute(SQL[name])
+    at = {d[0]: k for k, d in enumerate(cursor.description)}
+    want = [tuple(str(r[at[n]]) if isinstance(r[at[n]], float) else plain(r[at[n]]) for n in names) for r in cursor.fetchall()]
+    assert ours == want
