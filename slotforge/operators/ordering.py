@@ -158,13 +158,29 @@ def keep_last(df: DataFrame, key: str, n: int, *order: str) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
 
 
-def event_rate(df: DataFrame, key: str, time_ms: str, width_ms: int, quiet_s: float, *order: str) -> DataFrame:
-    """key, peak_rate (most rows in any trailing ``width_ms``, both ends included), longest_gap and silences (gaps above
-    ``quiet_s``), in seconds; ``order`` settles rows of one time."""
-    rate = Window.partitionBy(key).orderBy(time_ms).rangeBetween(-width_ms, 0)
-    step = Window.partitionBy(key).orderBy(time_ms, *order)
-    d = df.select(key, F.count("*").over(rate).alias("_c"), ((F.col(time_ms) - F.lag(time_ms).over(step)) / 1000.0).alias("_gap"))
-    return d.groupBy(key).agg(F.max("_c").alias("peak_rate"), F.max("_gap").alias("longest_gap"), F.count_if(F.col("_gap") > quiet_s).alias("silences"))
+def event_rate(df: DataFrame, key: str, time_ms: str, width_ms: int, quiet_s: float) -> DataFrame:
+    """key, peak_rate (most rows in any trailing ``width_ms``, both ends included; rows without a time are one such set),
+    longest_gap and silences (gaps above ``quiet_s``, which isn't negative), in seconds.
+
+    Rows are counted by time. Those of one time come in at it and go out ``width_ms`` later, which is in the next bucket
+    of that width: a running sum gives the rate, and a bucket has at most two rows for each of its milliseconds,
+    however many rows a key has. The second window has one row for each bucket of a key.
+    """
+    t, width = F.col(time_ms), F.lit(width_ms)
+    each = df.groupBy(key, time_ms).agg(F.count("*").alias("_n")).withColumn("_b", t - F.pmod(t, width))
+    row = lambda b, at, gone: F.struct(b.alias("_b"), at.alias("_t"), F.lit(gone).alias("_gone"), "_n")
+    come, go = row(F.col("_b"), t, False), row(F.col("_b") + width, t + width, True)
+    moved = each.select(key, F.inline(F.when(t.isNull(), F.array(come)).otherwise(F.array(come, go))))
+    bucket = Window.partitionBy(key, "_b")
+    at = bucket.orderBy("_t", "_gone")  # what goes out at a time still counts at it
+    gone, n, here = F.col("_gone"), F.col("_n"), F.when(~F.col("_gone"), F.col("_t"))
+    carried, change = F.sum(F.when(gone, n).otherwise(0)).over(bucket), F.sum(F.when(gone, -n).otherwise(n)).over(at.rowsBetween(Window.unboundedPreceding, 0))
+    gap = (here - F.last(here, True).over(at.rowsBetween(Window.unboundedPreceding, -1))) / 1000.0
+    rated = moved.select("*", (carried + change).alias("_c"), F.coalesce(gap, F.when(here.isNotNull() & (n > 1), 0.0)).alias("_gap"), here.alias("_here"))
+    inside = rated.where("NOT _gone").groupBy(key, "_b").agg(F.max("_c").alias("_c"), F.max("_gap").alias("_gap"), F.count_if(F.col("_gap") > quiet_s).alias("_q"), F.min("_here").alias("_from"), F.max("_here").alias("_to"))
+    between = (F.col("_from") - F.lag("_to").over(Window.partitionBy(key).orderBy("_b"))) / 1000.0
+    d = inside.withColumn("_step", between)
+    return d.groupBy(key).agg(F.max("_c").alias("peak_rate"), F.max(F.greatest("_gap", "_step")).alias("longest_gap"), (F.sum("_q") + F.count_if(F.col("_step") > quiet_s)).alias("silences"))
 
 
 def window_scores(ranked: DataFrame, values: list[str], live: Column, long: int, suffix: str, least: int = 3, by: tuple[str, ...] = ()) -> DataFrame:

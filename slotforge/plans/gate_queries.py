@@ -95,7 +95,7 @@ def g_composites(spark: SparkSession, sf_dir: str) -> DataFrame:
     (timestamp_ms - lag(timestamp_ms) OVER (PARTITION BY market_id ORDER BY timestamp_ms, event_id)) / 1000.0 AS gap FROM ticks) GROUP BY 1""")
 def w_event_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trailing event rate and silences of each market."""
-    return rounded(ordering.event_rate(X.ticks(spark, sf_dir), "market_id", "timestamp_ms", 3_600_000, 900, "event_id"))
+    return rounded(ordering.event_rate(X.ticks(spark, sf_dir), "market_id", "timestamp_ms", 3_600_000, 900))
 
 
 @query(f"""{X.ctes("ticks")} SELECT market_id, timestamp_ms, event_id, price FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY timestamp_ms DESC, event_id DESC) AS k FROM ticks) WHERE k <= 25""")

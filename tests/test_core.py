@@ -311,3 +311,22 @@ def test_live_lags_before_the_first_slot(spark):
 def test_ranked_list():
     assert len(features.RANKED) == 30 and len(features.PRUNED) == 10 and not {n for n, _ in features.RANKED} & features.PRUNED.keys()
     assert [features.column_of(n) for n in ("btc_up_w1", "prev_slot_up_ratio_2", "ob_mid", "btc_pre_30m_ret")] == ["up_w1", "lag2_up_ratio", "ob_mid", "ret_3h"]
+
+
+def test_event_rate_by_plain_code(spark):
+    rows = [(k % 3, k * k * 7919 % 5_000 - 1_000) for k in range(300)] + [(3, 50), (3, 50), (4, 9), (5, None), (5, None), (5, 7), (6, 0), (6, 100), (6, 201), (None, 1), (None, 1)]
+    got = {r.m: tuple(r)[1:] for r in ordering.event_rate(spark.createDataFrame(rows, "m int, at long"), "m", "at", 100, 0.05).collect()}
+    for m in {m for m, _ in rows}:
+        at = sorted(t for k, t in rows if k == m and t is not None)
+        gaps = [(b - a) / 1000 for a, b in zip(at, at[1:], strict=False)]
+        peak = max([sum(t - 100 <= x <= t for x in at) for t in at] + [sum(k == m and t is None for k, t in rows)])
+        assert got[m] == (peak, max(gaps, default=None), sum(g > 0.05 for g in gaps)), m
+
+
+def test_event_rate_has_no_group_that_grows_with_a_key(spark):
+    """Half a million rows of one market in 1,000 milliseconds: no partition of a sliding frame holds them."""
+    df = spark.range(500_000).selectExpr("1 AS m", "id % 1000 AS at")
+    out = ordering.event_rate(df, "m", "at", 500, 0.05)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame" not in plan
+    assert tuple(out.first()) == (1, 501 * 500, 0.001, 0)
