@@ -19,19 +19,27 @@ from slotforge.storage import new_path
 from slotforge.streaming.tables import newest_rows
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of the table for each file of a replayed piece.
+ROWS = 250_000
 
 
-def replay(df: DataFrame, arrival: str, pieces: int = 4) -> DataFrame:
-    """A table as a stream that arrives in ``pieces`` files, a micro-batch each, in the order of ``arrival``."""
+def replay(df: DataFrame, arrival: str, pieces: int = 4, rows: int = ROWS) -> DataFrame:
+    """A table as a stream that arrives in ``pieces`` micro-batches, in the order of ``arrival``.
+
+    A piece has a file for each ``rows`` rows of the table, two for each core at most, so that all tasks write it. All
+    pieces have the same number of files, empty ones if need be, as a micro-batch takes that many.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, "arrivals")
-    ends = df.agg(F.min(arrival), F.max(arrival)).first()
-    low, high = ends if ends[0] is not None else (0, 0)
-    step = (high - low) // pieces + 1
+    low, high, n = df.agg(F.min(arrival), F.max(arrival), F.count("*")).first()
+    low, high = (low, high) if low is not None else (0, 0)
+    step, files = (high - low) // pieces + 1, min(n // rows + 1, 2 * spark.sparkContext.defaultParallelism)
     for k in range(pieces):  # one after the other: a file source reads files by their time
         part = df.where((F.col(arrival) >= low + k * step) & (F.col(arrival) < low + (k + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.coalesce(files).write.mode("append").parquet(path)
+        for _ in range((k + 1) * files - len(spark.read.schema(df.schema).parquet(path).inputFiles()) if files > 1 else 0):
+            spark.createDataFrame([], df.schema).write.mode("append").parquet(path)
         time.sleep(0.01)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def stateful(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, time_mode: str = "None", mode: str = "Update") -> DataFrame:

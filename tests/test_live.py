@@ -497,3 +497,21 @@ def test_microstructure_variants(spark):
     assert got["window"]["two"].activity_rate == pytest.approx(5 / 60) and tuple(got["window"]["few"])[1:] == (0.0,) * 10
     sound = spark.createDataFrame([(0.4, 0.6), (0.6, 0.6), (0.0, 0.5), (0.7, 0.6), (None, 0.5)], "b double, a double").select(*book.synthetic(F.col("b"), F.col("a"))).collect()
     assert [tuple(r) for r in sound] == [(pytest.approx(0.5), pytest.approx(0.2))] + [(None, None)] * 4
+
+
+def test_replay_writes_each_piece_in_many_files(spark):
+    """Pieces of different size, one of them without a row: still a micro-batch each, in order, none of one file."""
+    ids = [*range(50), *range(75, 78), *range(80, 100)]
+    df = spark.createDataFrame([(k,) for k in ids], "at long").repartition(6)
+    stream, seen = L.replay(df, "at", 4, rows=10), []
+
+    def look(batch, number):
+        got = batch.collect()
+        seen.append((sorted(r.at for r in got), len({r.f for r in got})))
+
+    stream.select("at", F.col("_metadata.file_path").alias("f")).writeStream.foreachBatch(look).option("checkpointLocation", new_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    low, high = min(ids), max(ids)
+    step = (high - low) // 4 + 1
+    want = [[k for k in ids if low + p * step <= k < low + (p + 1) * step] for p in range(4)]
+    assert [ids for ids, _ in seen if ids] == [w for w in want if w]
+    assert all(n > 1 for ids, n in seen if len(ids) >= 20)
